@@ -29,7 +29,7 @@ class PieceEncoder:
     ``kind`` is ``byte`` or ``word``. At most ``cache_size`` pieces are kept; a full cache is emptied.
     """
 
-    def __init__(self, path: str, kind: str, cache_size: int = 250_000):
+    def __init__(self, path: str, kind: str, cache_size: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
