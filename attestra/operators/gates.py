@@ -69,10 +69,10 @@ def edges(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def directed_edge(lines: DataFrame, leaves: DataFrame, keys: list[str], leaf: str = "leaf_id") -> DataFrame:
     """Edges of ``leaves(keys, leaf, source, destination)``: a reversed one beats one in order."""
-    want = leaves.select(*keys, leaf, normalize_ascii(F.col("source")).alias("s"), normalize_ascii(F.col("destination")).alias("d"))
+    want = leaves.select(*keys, leaf, normalize_ascii(F.col("source")).alias("_s"), normalize_ascii(F.col("destination")).alias("_d"))
     e = edges(lines, keys)
-    forward = want.join(e.select(*keys, F.col("source").alias("s"), F.col("destination").alias("d"), "ref"), [*keys, "s", "d"]).select(*keys, leaf, F.lit("positive").alias("class"), F.array("ref").alias("refs"))
-    back = want.join(e.select(*keys, F.col("destination").alias("s"), F.col("source").alias("d"), "ref"), [*keys, "s", "d"]).select(*keys, leaf, F.lit("conflict").alias("class"), F.array("ref").alias("refs"))
+    forward = want.join(e.select(*keys, F.col("source").alias("_s"), F.col("destination").alias("_d"), "ref"), [*keys, "_s", "_d"]).select(*keys, leaf, F.lit("positive").alias("class"), F.array("ref").alias("refs"))
+    back = want.join(e.select(*keys, F.col("destination").alias("_s"), F.col("source").alias("_d"), "ref"), [*keys, "_s", "_d"]).select(*keys, leaf, F.lit("conflict").alias("class"), F.array("ref").alias("refs"))
     found = _best(forward.union(back), [*keys, leaf])
     status = F.when(F.col("is_conflict"), "incorrect").when(F.col("is_positive"), "correct").otherwise("missing")
     return leaves.join(found, [*keys, leaf], "left").select(*keys, leaf, status.alias("status"))

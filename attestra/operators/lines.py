@@ -45,8 +45,8 @@ def page_map(lines: DataFrame, keys: list[str], pages: str = "n_pages") -> DataF
     counter = F.regexp_extract(F.regexp_replace("raw", r"[*_`]", ""), r"(?<![0-9+])([0-9]{1,6})/([0-9]{1,6})[ ]*>?[ ]*$", 0)
     n, m = F.split(counter, "/")[0].try_cast("int"), F.regexp_extract(counter, "/([0-9]+)", 1).try_cast("int")
     lines = lines.withColumns({"_n": F.when((n >= 1) & (n <= m) & (m >= 2), n), "_m": F.when((n >= 1) & (n <= m) & (m >= 2), m)})
-    totals = lines.where("_n is not null").groupBy(*keys, "_m").agg(F.count_distinct("_n").alias("d"), F.count("*").alias("c"), F.min("ref").alias("f")).where("d >= 2")
-    trusted = totals.groupBy(*keys).agg(F.max_by("_m", F.struct("d", "c", -F.col("f"))).alias("_total"))
+    totals = lines.where("_n is not null").groupBy(*keys, "_m").agg(F.count_distinct("_n").alias("_d"), F.count("*").alias("_c"), F.min("ref").alias("_f")).where("_d >= 2")
+    trusted = totals.groupBy(*keys).agg(F.max_by("_m", F.struct("_d", "_c", -F.col("_f"))).alias("_total"))
     rows = lines.join(trusted, keys, "left").withColumn("_total", F.coalesce("_total", F.col(pages)))
     mark = F.regexp_extract("raw", r"(?i)^[ ]*(?:<!--)?[ ]*(?:#{1,6}[ ]*)?page[ ]+([0-9]{1,6})(?![0-9])", 1).try_cast("int")
     mark = F.coalesce(F.when(mark.between(1, F.col(pages)), mark), F.when((F.col("_m") == F.col("_total")) & (F.col("_n") <= F.col(pages)), F.col("_n")))
