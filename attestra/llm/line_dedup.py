@@ -126,7 +126,8 @@ def dropped_lines(docs: DataFrame, least_docs: int = 5, shortest: int = 40) -> D
     same = ends.select("hi", "lo", F.col("least").alias("border"), "task")
     again = ends.join(same.withColumnRenamed("task", "other"), ["hi", "lo"]).where((F.col("border") == F.col("most")) & (F.col("other") < F.col("task"))).groupBy("hi", "lo", "task").agg(F.lit(1).alias("twice"))
     totals = ends.join(again, ["hi", "lo", "task"], "left").groupBy("hi", "lo").agg((F.sum("n") - F.sum(F.coalesce("twice", F.lit(0)))).alias("total"), F.max("most").alias("last")).where(F.col("total") >= least_docs)
-    settled = opened.join(totals, ["hi", "lo"]).where(F.col("doc") < F.col("last"))
+    # At most two keys a partition are open, so the totals are few; opened rows of one common key stay where they are.
+    settled = opened.join(F.broadcast(totals), ["hi", "lo"]).where(F.col("doc") < F.col("last"))
     return rows.where("not open").select("doc", "text_key", "at").union(settled.select("doc", "text_key", "at"))
 
 
