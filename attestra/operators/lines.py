@@ -38,33 +38,54 @@ def sections(lines: DataFrame, keys: list[str]) -> DataFrame:
 def page_map(lines: DataFrame, keys: list[str], pages: str = "n_pages") -> DataFrame:
     """``lines`` with the page of each line or null, from ``PAGE n`` marks and trusted ``n/m`` counters.
 
-    Marks of one page in a row count once. A mark with a lower page than the one before makes the whole map null.
-    From a mark, lines belong to its page up to the next page's mark; where pages are missing between, or nothing
-    follows, up to the first rule (``---`` or ``***``), or else the line alone, the last page excepted.
+    The trusted total is the counters' own where one total has two pages or more, else ``pages``. Marks of one page in a
+    row count once; a mark with a lower page than the one before makes the whole map null. Then, in this order:
+
+    * footers: all marks are counters that end a block of over six lines and stand before a rule (``---`` or ``***``);
+      a page is what ends with its counter, if the counter before is that of the page before;
+    * blocks: the rules cut the text into as many blocks as there are pages; all null if a mark is in another's block;
+    * marks: a page runs from its mark to that of the next page; where pages are missing between, or nothing follows
+      one that isn't the last, up to the first rule, or else it is the mark's line alone.
     """
-    counter = F.regexp_extract(F.regexp_replace("raw", r"[*_`]", ""), r"(?<![0-9+])([0-9]{1,6})/([0-9]{1,6})[ ]*>?[ ]*$", 0)
-    n, m = F.split(counter, "/")[0].try_cast("int"), F.regexp_extract(counter, "/([0-9]+)", 1).try_cast("int")
-    lines = lines.withColumns({"_n": F.when((n >= 1) & (n <= m) & (m >= 2), n), "_m": F.when((n >= 1) & (n <= m) & (m >= 2), m)})
-    totals = lines.where("_n is not null").groupBy(*keys, "_m").agg(F.count_distinct("_n").alias("_d"), F.count("*").alias("_c"), F.min("ref").alias("_f")).where("_d >= 2")
+    w, everything = by(keys), Window.partitionBy(*keys)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    onward, after = w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(1, Window.unboundedFollowing)
+    counter = F.regexp_extract(F.trim(F.regexp_replace("raw", r"[*_`]", "")), r"(?:^|[^0-9+])([0-9]{1,3}\s*/\s*[0-9]{1,3})\s*>?\s*$", 1)
+    n, m = F.trim(F.split(counter, "/")[0]).try_cast("int"), F.trim(F.get(F.split(counter, "/"), F.lit(1))).try_cast("int")
+    good = (n >= 1) & (n <= m) & (m >= 2)
+    rows = lines.withColumns({"_n": F.when(good, n), "_m": F.when(good, m), "_rule": F.col("raw").rlike(r"^\s*(?:-{3,}|\*{3,})\s*$").cast("int")})
+    totals = rows.where("_n is not null").groupBy(*keys, "_m").agg(F.count_distinct("_n").alias("_d"), F.count("*").alias("_c"), F.min("ref").alias("_f")).where("_d >= 2")
     trusted = totals.groupBy(*keys).agg(F.max_by("_m", F.struct("_d", "_c", -F.col("_f"))).alias("_total"))
-    rows = lines.join(trusted, keys, "left").withColumn("_total", F.coalesce("_total", F.col(pages)))
-    mark = F.regexp_extract("raw", r"(?i)^[ ]*(?:<!--)?[ ]*(?:#{1,6}[ ]*)?page[ ]+([0-9]{1,6})(?![0-9])", 1).try_cast("int")
-    mark = F.coalesce(F.when(mark.between(1, F.col(pages)), mark), F.when((F.col("_m") == F.col("_total")) & (F.col("_n") <= F.col(pages)), F.col("_n")))
-    rows = rows.withColumn("_mark", mark)
-    w, up = by(keys), by(keys).rowsBetween(Window.unboundedPreceding, 0)
-    before = F.last("_mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumns({"_page": F.last("_mark", ignorenulls=True).over(up), "_down": F.coalesce(F.col("_mark") < before, F.lit(False))})
-    after = F.first("_mark", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    everything = Window.partitionBy(*keys)
-    rows = rows.withColumns({"_bad": F.max("_down").over(everything), "_next": after})
-    # Between two marks that skip pages, only what stands before the first rule belongs to the first of them.
-    rows = rows.withColumn("_rule", F.col("raw").rlike(r"^[ ]*(?:-{3,}|\*{3,})[ ]*$").cast("int"))
-    run = Window.partitionBy(*keys, "_page").orderBy("ref")
-    rows = rows.withColumns({"_rules": F.sum("_rule").over(run.rowsBetween(Window.unboundedPreceding, 0)), "_any": F.max("_rule").over(Window.partitionBy(*keys, "_page"))})
-    whole = (F.col("_next") - F.col("_page") <= 1) | (F.col("_next").isNull() & (F.col("_page") == F.col(pages)))
-    belongs = whole | ((F.col("_any") == 1) & (F.col("_rules") == 0)) | ((F.col("_any") == 0) & F.col("_mark").isNotNull())
-    page = F.when(~F.col("_bad") & F.coalesce(belongs, F.lit(False)), F.col("_page"))
-    return rows.withColumn("page", page).drop("_n", "_m", "_total", "_mark", "_page", "_down", "_bad", "_next", "_rule", "_rules", "_any")
+    rows = rows.join(trusted, keys, "left").withColumn("_total", F.coalesce("_total", F.col(pages)))
+    named = F.regexp_extract("raw", r"(?i)^\s*(?:<!--\s*)?(?:#{1,6}\s*)?page\s*:?\s*([0-9]{1,9})\b", 1).try_cast("int")
+    rows = rows.withColumn("_count", F.when(F.col("_m") == F.col("_total"), F.col("_n"))).withColumn("_mark", F.coalesce(named, "_count"))
+    rows = rows.withColumn("_mark", F.when((F.col("_mark") >= 1) & F.coalesce(F.col("_mark") <= F.col("_total"), F.lit(True)), F.col("_mark")))
+    last = F.last("_mark", ignorenulls=True).over(before)
+    rows = rows.withColumns({"_down": F.coalesce(F.col("_mark") < last, F.lit(False)), "_anchor": F.when(last.isNull() | (F.col("_mark") != last), F.col("_mark")), "_block": 1 + F.coalesce(F.sum("_rule").over(before), F.lit(0))})
+    full = F.sum((F.trim("raw") != "").cast("int")).over(Window.partitionBy(*keys, "_block").orderBy("ref").rowsBetween(Window.unboundedPreceding, -1))
+    foot = (F.col("_count") == F.col("_anchor")) & (F.coalesce(full, F.lit(0)) > 6) & ((F.col("_anchor") == F.col("_total")) | (F.max("_rule").over(w.rowsBetween(1, 2)) == 1))
+    rows = rows.withColumns({
+        "_foot": F.when(F.col("_anchor").isNotNull(), F.coalesce(foot, F.lit(False))),
+        "_odd": F.col("_anchor") != F.col("_block"),
+        "_page": F.last("_anchor", ignorenulls=True).over(upto),
+        "_prior": F.last("_anchor", ignorenulls=True).over(before),
+        "_next": F.first("_anchor", ignorenulls=True).over(after),
+        "_ends": F.first("_anchor", ignorenulls=True).over(onward),
+    })
+    whole = lambda f: f.over(everything)
+    rows = rows.withColumns({
+        "_bad": whole(F.bool_or("_down")),
+        "_footers": (whole(F.count("_anchor")) >= 2) & whole(F.bool_and("_foot")),
+        "_blocks": whole(F.max("_block")) == F.col("_total"),
+        "_mixed": F.coalesce(whole(F.bool_or("_odd")), F.lit(False)),
+    })
+    span = Window.partitionBy(*keys, "_page")
+    cut = (F.max("_block").over(span) > F.min("_block").over(span)) & (F.col("_block") == F.min("_block").over(span))
+    to_next = (F.col("_next") == F.col("_page") + 1) | (F.col("_next").isNull() & (F.col("_total").isNull() | (F.col("_page") == F.col("_total"))))
+    marks = F.when(F.coalesce(to_next, F.lit(False)) | cut | F.col("_anchor").isNotNull(), F.col("_page"))
+    footers = F.when((F.col("_ends") == 1) | (F.col("_prior") == F.col("_ends") - 1), F.col("_ends"))
+    page = F.when(F.col("_bad"), None).when(F.coalesce("_footers", F.lit(False)), footers).when(F.coalesce("_blocks", F.lit(False)), F.when(~F.col("_mixed"), F.col("_block"))).otherwise(marks)
+    return rows.withColumn("page", page.cast("int")).select(*lines.columns, "page")
 
 
 def page_scoped(lines: DataFrame, allowed: str) -> DataFrame:

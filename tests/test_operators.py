@@ -62,10 +62,30 @@ def test_forms(spark):
     assert {r.leaf_id: r.status for r in gates.form_state(rows, leaves, ["d"]).collect()} == {1: "correct", 2: "incorrect", 3: "missing"}
 
 
-def test_page_gaps_and_footers(spark):
-    doc = "PAGE 1\na\nPAGE 3\nb\n---\nc"
-    rows = lines.candidate_lines(spark.createDataFrame([(1, 4, doc)], "d int, n_pages int, text string"), ["d", "n_pages"])
-    assert [r.page for r in lines.page_map(rows, ["d", "n_pages"]).orderBy("ref").collect()] == [1, None, 3, 3, None, None]
+def pages(spark, doc, n):
+    rows = lines.candidate_lines(spark.createDataFrame([(1, n, doc)], "d int, n_pages int, text string"), ["d", "n_pages"])
+    return [r.page for r in lines.page_map(rows, ["d", "n_pages"]).orderBy("ref").collect()]
+
+
+def test_pages_from_marks(spark):
+    # A block ends after its rule, so the rule is still the page's.
+    assert pages(spark, "PAGE 1\na\nPAGE 3\nb\n---\nc", 4) == [1, None, 3, 3, 3, None]
+    assert pages(spark, "Page: 1\na\nPAGE 1\nb\n## PAGE 2\nc", 2) == [1, 1, 1, 1, 2, 2]
+    assert pages(spark, "PAGE 2\na\nPAGE 1\nb", 2) == [None] * 4
+    assert pages(spark, "a\nb", 3) == [None, None]
+
+
+def test_pages_from_footers(spark):
+    block = "\n".join("abcdefg")
+    assert pages(spark, f"{block}\n1/3\n---\n{block}\n2/3\n---\n{block}\n3 / 3", 9) == [1] * 8 + [2] * 9 + [3] * 9
+    # A gap leaves its lines without a page.
+    assert pages(spark, f"{block}\n1/4\n---\n{block}\n3/4\n---\n{block}\n4/4", 9) == [1] * 8 + [None] * 9 + [4] * 9
+
+
+def test_pages_from_blocks(spark):
+    assert pages(spark, "a\n---\nb\n***\nc", 3) == [1, 1, 2, 2, 3]
+    assert pages(spark, "a\n---\nb PAGE\nPAGE 2\n***\nc", 3) == [1, 1, 2, 2, 2, 3]
+    assert pages(spark, "a\n---\nPAGE 3\n***\nc", 3) == [None] * 5
 
 
 def test_empty_lines_stay(spark):
