@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.functions import signals, text
-from attestra.operators import gates, lines, members, scoring, tables
+from attestra.operators import bindings, evidence, gates, lines, members, scoring, tables
 from attestra.sources import facts
 
 
@@ -145,3 +145,81 @@ def test_stream_scores_only_new_keys(spark, tmp_path):
         q = score_new(keyed_candidates(spark, str(tmp_path / "in")), lambda df: df.withColumn("score", F.lit(1.0)), str(tmp_path / "out"), str(tmp_path / "cp"))
         q.awaitTermination()
     assert sorted(r.draw for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+TERM = "d int, leaf_id int, group_no int, alternative string"
+
+
+def test_lexical_polarity(spark):
+    docs = spark.createDataFrame([(1, "Release state is GO. It does not close unrelated item Z-9."), (2, "Release state is not GO.")], "d int, text string")
+    terms = spark.createDataFrame([(d, 1, g, a) for d in (1, 2) for g, a in enumerate(("Release state", "GO"))], TERM)
+    leaves = spark.createDataFrame([(1, 1, "Release state is GO"), (2, 1, "Release state is GO")], "d int, leaf_id int, expectation string")
+    u = evidence.units(docs, ["d"])
+    assert {r.d for r in evidence.lexical(u, terms, leaves, ["d"]).collect()} == {1}
+    denied = leaves.withColumn("expectation", F.lit("Release state is not GO"))
+    assert {r.d for r in evidence.lexical(u, terms, denied, ["d"]).collect()} == {1, 2}
+
+
+def test_bindings_need_one_unit(spark):
+    docs = spark.createDataFrame([(1, "Pump A runs; pump B stops.\n| Unit | State |\n|---|---|\n| Pump C | idle |")], "d int, text string")
+    rows = [(1, 1, 0, 0, "pump a"), (1, 1, 0, 1, "runs"), (1, 2, 0, 0, "pump c"), (1, 2, 0, 1, "state"), (1, 2, 0, 2, "idle"), (1, 3, 0, 0, "pump c"), (1, 3, 0, 1, "stops")]
+    wanted = spark.createDataFrame(rows, "d int, leaf_id int, binding_no int, group_no int, alternative string")
+    got = {r.leaf_id: r.refs for r in evidence.required_bindings(evidence.units(docs, ["d"]), wanted, ["d"]).collect()}
+    assert got == {1: [1], 2: [2, 4]}
+
+
+def test_citations_are_recovered(spark):
+    rows = lines.candidate_lines(spark.createDataFrame([(1, "alpha 7\n\nbeta\ngamma\nalpha 7 beta")], "d int, text string"), ["d"])
+    terms = spark.createDataFrame([(1, 1, 0, "alpha"), (1, 1, 1, "7"), (1, 1, 2, "beta"), (1, 2, 0, "beta"), (1, 2, 1, "gamma")], TERM)
+    got = {r.leaf_id: (r.matched, r.refs) for r in evidence.recovered_citations(rows, terms, ["d"]).collect()}
+    assert got == {1: (3, [5])}  # two groups without digits are too few
+
+
+def test_ordered_tokens(spark):
+    docs = spark.createDataFrame([(1, "Third step, second step, first step."), (2, "First, then second and third")], "d int, text string")
+    terms = spark.createDataFrame([(d, 1, g, a) for d in (1, 2) for g, a in enumerate(("First", "second", "third"))], TERM)
+    assert {r.d: r.in_order for r in evidence.ordered_tokens(docs, terms, ["d"]).collect()} == {1: False, 2: True}
+
+
+def test_visual_citations(spark):
+    rows = lines.candidate_lines(spark.createDataFrame([(1, "## Room 12\ndoor on the left wall\nsomething else")], "d int, text string"), ["d"])
+    cited = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 3)], "d int, leaf_id int, ref int")
+    terms = spark.createDataFrame([(1, 1, 0, "west"), (1, 1, 1, "Room 12"), (1, 2, 0, "Room 12"), (1, 3, 0, "Room 12")], TERM)
+    leaves = spark.createDataFrame([(1, 1, "Door of room 12 is west"), (1, 2, "Door of room 12 is west"), (1, 3, "Room 12"), (1, 4, "x")], "d int, leaf_id int, expectation string")
+    got = {r.leaf_id: r.anchored for r in evidence.visual_citations(rows, cited, terms, leaves, ["d"]).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False}
+
+
+def obligations(spark, rows):
+    """(leaf_id, row, column, value) as terms of document 1; a tuple as row: its parts."""
+    terms = []
+    for leaf, row, column, value in rows:
+        parts = row if isinstance(row, tuple) else ()
+        terms += [(1, leaf, "row", 0, row)] if not parts else [(1, leaf, "rowParts", g, p) for g, p in enumerate(parts)]
+        terms += [(1, leaf, "column", 0, column), (1, leaf, "value", 0, value)]
+    return spark.createDataFrame(terms, "d int, leaf_id int, role string, group_no int, alternative string")
+
+
+def bound(spark, doc, rows):
+    docs = spark.createDataFrame([(1, doc)], "d int, text string")
+    return {r.leaf_id: (r.status, r.partial, r.refs) for r in bindings.binding(docs, obligations(spark, rows), ["d"]).collect()}
+
+
+def test_binding_in_plain_columns_and_lists(spark):
+    assert bound(spark, "Metric | Sample A | Sample B\n- Viscosity | 87 | 91", [(1, "Viscosity", "Sample A", "87"), (2, "Viscosity", "Sample B", "87")]) == {1: ("correct", False, [1, 2]), 2: ("incorrect", False, [1, 2])}
+    doc = "Control | Value | Interpretation\n- Base committed cost: $25,070 (implementation and validation)"
+    assert bound(spark, doc, [(1, "Base committed cost", "Value", "$25,070"), (2, "Base committed cost", "Owner", "x")]) == {1: ("correct", False, [2]), 2: ("missing", False, None)}
+
+
+def test_binding_in_prose_yields_to_tables(spark):
+    doc = "For pump A the state is idle; pump B flow was 7.\n| Unit | Line | Flow |\n|---|---|---|\n| Pump B | 2 | 7 |\n| Pump C | 3 | dark |"
+    want = [(1, "pump A", "state", "idle"), (2, "pump A", "state", "running"), (3, "Pump B", "Flow", "7"), (4, ("Pump C", "3"), "Flow", "dark blue"), (5, "Pump B", "Line", "9")]
+    got = bound(spark, doc, want)
+    assert {k: v[:2] for k, v in got.items()} == {1: ("correct", False), 2: ("incorrect", False), 3: ("correct", False), 4: ("missing", True), 5: ("incorrect", False)}
+
+
+def test_near_binding(spark):
+    doc = "| Unit | Admin state |\n|---|---|\n| Pump A | on |\n## Pump B\n- State: off"
+    terms = obligations(spark, [(1, "Pump A", "Administrative state code", "x"), (2, "Pump B", "State", "x"), (3, "Pump C", "State", "x")])
+    got = bindings.near_binding(spark.createDataFrame([(1, doc)], "d int, text string"), terms, ["d"])
+    assert {r.leaf_id: r.refs for r in got.collect()} == {1: [1, 3], 2: [4, 5]}
