@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.functions import signals, text
-from attestra.operators import bindings, evidence, gates, lines, members, scoring, tables
+from attestra.operators import bindings, edges, evidence, gates, lines, members, scoring, tables
 from attestra.sources import facts
 
 
@@ -223,3 +223,29 @@ def test_near_binding(spark):
     terms = obligations(spark, [(1, "Pump A", "Administrative state code", "x"), (2, "Pump B", "State", "x"), (3, "Pump C", "State", "x")])
     got = bindings.near_binding(spark.createDataFrame([(1, doc)], "d int, text string"), terms, ["d"])
     assert {r.leaf_id: r.refs for r in got.collect()} == {1: [1, 3], 2: [4, 5]}
+
+
+def edge_status(spark, doc, rows, **more):
+    roles = ("source", "destination", "relation", "identifier")
+    terms = [(1, n, role, 0, value) for n, row in enumerate(rows, 1) for role, value in zip(roles, row) if value]
+    terms = spark.createDataFrame(terms, "d int, leaf_id int, role string, group_no int, alternative string")
+    return [r.status for r in edges.edge(spark.createDataFrame([(1, doc)], "d int, text string"), terms, ["d"], **more).orderBy("leaf_id").collect()]
+
+
+def test_edges_in_sentences(spark):
+    assert edge_status(spark, "### Directed links\nNODE-A \\rightarrow NODE-B \\rightarrow NODE-C", [("NODE-A", "NODE-B"), ("NODE-C", "NODE-B"), ("NODE-A", "NODE-D")]) == ["correct", "incorrect", "missing"]
+    doc = "NODE-A receives data from NODE-B. The tank does not feed the pump."
+    assert edge_status(spark, doc, [("NODE-A", "NODE-B", "data"), ("NODE-B", "NODE-A", "data"), ("NODE-B", "NODE-A", "steam"), ("tank", "pump")]) == ["incorrect", "correct", "missing", "incorrect"]
+
+
+def test_edges_in_fields_and_tables(spark):
+    doc = "Source: Mill\nDestination: Silo\nSource: Silo\nDestination: Port\n| From | To | Label | Edge |\n|---|---|---|---|\n| Port | Ship | loads | E 7 |"
+    assert edge_status(spark, doc, [("Mill", "Silo"), ("Port", "Silo"), ("Port", "Ship", "loads", "E 7"), ("Port", "Ship", "loads", "E 8")]) == ["correct", "incorrect", "correct", "missing"]
+
+
+def test_edges_joined_by_identifier(spark):
+    doc = "E 4: carries steam\nBoiler -> Turbine, E 4"
+    assert edge_status(spark, doc, [("Boiler", "Turbine", "carries steam", "E 4"), ("Boiler", "Turbine", "carries oil", "E 4")]) == ["correct", "missing"]
+    doc = "E 5: feeds\nThe Boiler outlet E 5 enters the northern culvert channel.\nThe northern culvert runs to the Basin."
+    assert edge_status(spark, doc, [("Boiler", "Basin", "feeds", "E 5")]) == ["missing"]
+    assert edge_status(spark, doc, [("Boiler", "Basin", "feeds", "E 5")], semantic=True) == ["correct"]
