@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import evidence_rank, normalize_ascii, plain_cells
-from .evidence import CLAUSE, phrase_pattern, term_hits
+from .evidence import CLAUSE, normal_terms, phrase_pattern, term_hits
 from .lines import candidate_lines
 from .tables import table_cells
 
@@ -75,7 +75,7 @@ def plain_grids(docs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]
 
 
 def _role(terms: DataFrame, keys: list[str], role: str) -> DataFrame:
-    return terms.where(F.col("role") == role).select(*keys, "leaf_id", "group_no", normalize_ascii(F.col("alternative")).alias("alternative")).where("alternative <> ''").distinct()
+    return terms.where(F.col("role") == role).transform(normal_terms).select(*keys, "leaf_id", "group_no", "alternative")
 
 
 def _all_parts(hits: DataFrame, terms: DataFrame, keys: list[str], by: list[str]) -> DataFrame:

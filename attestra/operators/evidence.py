@@ -47,9 +47,14 @@ def blocking_word(phrase: Column) -> Column:
     return F.coalesce(F.array_max(words)["w"], F.lit(""))
 
 
-def term_hits(unit_rows: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """``unit_rows`` with every term that they hold, and ``at``: its first place, from 1. Alternatives come back in normal form."""
-    want = terms.withColumn("alternative", normalize_ascii(F.col("alternative"))).where("alternative <> ''").distinct().withColumn("_w", blocking_word(F.col("alternative")))
+def normal_terms(terms: DataFrame) -> DataFrame:
+    """Terms with their alternatives in normal form, each once. The normal form of a normal form may be another, so it is taken once."""
+    return terms.withColumn("alternative", normalize_ascii(F.col("alternative"))).where("alternative <> ''").distinct()
+
+
+def term_hits(unit_rows: DataFrame, normal: DataFrame, keys: list[str]) -> DataFrame:
+    """``unit_rows`` with every one of the ``normal_terms`` that they hold, and ``at``: its first place, from 1."""
+    want = normal.withColumn("_w", blocking_word(F.col("alternative")))
     words = F.array_distinct(F.concat(ascii_words("text"), F.array(F.lit(""))))
     met = unit_rows.withColumn("_w", F.explode(words)).join(want, [*keys, "_w"]).drop("_w")
     return met.withColumn("at", F.regexp_instr("text", phrase_pattern(F.col("alternative")))).where("at > 0")
@@ -73,12 +78,12 @@ def lexical(unit_rows: DataFrame, terms: DataFrame, leaves: DataFrame, keys: lis
     A group may stand negated if an alternative has a negator itself, or if ``leaves(keys, leaf_id, expectation)`` names it
     negated and never otherwise. This gate never contradicts.
     """
-    normal = terms.withColumn("alternative", normalize_ascii(F.col("alternative"))).where("alternative <> ''")
+    normal = normal_terms(terms)
     said = normal.join(leaves.select(*keys, "leaf_id", F.coalesce(normalize_ascii(F.col("expectation")), F.lit("")).alias("_e")), [*keys, "leaf_id"])
     said = said.withColumn("_p", polarity(F.col("_e"), F.col("alternative"))).withColumn("_own", F.col("alternative").rlike(rf"(?<![a-z0-9])(?:{NEGATORS})(?![a-z0-9])"))
     free = F.bool_or("_own") | (F.bool_or("_p.negated") & ~F.bool_or("_p.positive"))
     groups = said.groupBy(*keys, "leaf_id", "group_no").agg(free.alias("_free"))
-    hits = term_hits(unit_rows, terms, keys).withColumn("_p", polarity(F.col("text"), F.col("alternative")))
+    hits = term_hits(unit_rows, normal, keys).withColumn("_p", polarity(F.col("text"), F.col("alternative")))
     held = hits.join(groups, [*keys, "leaf_id", "group_no"]).where("_free or _p.positive")
     held = held.groupBy(*keys, "leaf_id", "unit").agg(F.count_distinct("group_no").alias("_n"), F.first("refs").alias("refs"))
     return held.join(_group_counts(terms, keys), [*keys, "leaf_id"]).where("_n = _groups").select(*keys, "leaf_id", "unit", "refs")
@@ -86,7 +91,7 @@ def lexical(unit_rows: DataFrame, terms: DataFrame, leaves: DataFrame, keys: lis
 
 def required_bindings(unit_rows: DataFrame, bindings: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, leaf_id, refs): obligations each of whose bindings has all its groups in one unit; ``bindings`` are terms with ``binding_no``."""
-    hits = term_hits(unit_rows, bindings, keys)
+    hits = term_hits(unit_rows, normal_terms(bindings), keys)
     by = [*keys, "leaf_id", "binding_no"]
     full = hits.groupBy(*by, "unit").agg(F.count_distinct("group_no").alias("_n"), F.first("refs").alias("refs"))
     full = full.join(_group_counts(bindings, keys, "binding_no"), by).where("_n = _groups")
@@ -106,7 +111,7 @@ def recovered_citations(lines: DataFrame, terms: DataFrame, keys: list[str], rea
     some = lines.where(F.trim("raw") != "").select(*keys, "ref", F.array("ref").alias("refs"), F.col("ref").alias("unit"), normalize_ascii(F.col("raw")).alias("text"))
     digits = terms.groupBy(*keys, "leaf_id", "group_no").agg(F.bool_or(F.col("alternative").rlike("[0-9]")).alias("_digit"))
     need = digits.groupBy(*keys, "leaf_id").agg(F.count("*").alias("_groups"), F.array_compact(F.collect_list(F.when(F.col("_digit"), F.col("group_no")))).alias("_digits"))
-    hits = term_hits(some, terms, keys).groupBy(*keys, "leaf_id", "ref").agg(F.collect_set("group_no").alias("g"))
+    hits = term_hits(some, normal_terms(terms), keys).groupBy(*keys, "leaf_id", "ref").agg(F.collect_set("group_no").alias("g"))
     frame = Window.partitionBy(*keys).orderBy("ref").rangeBetween(0, reach)
     filled = some.select(*keys, "ref", F.array_sort(F.collect_list("ref").over(frame)).alias("_near"))
     ahead = Window.partitionBy(*keys, "leaf_id").orderBy("ref").rangeBetween(0, reach)
@@ -171,7 +176,7 @@ def visual_citations(lines: DataFrame, cited: DataFrame, terms: DataFrame, leave
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref", "raw"))), lambda r: r["raw"]), "\n")
     read = rows.groupBy(*keys, "leaf_id").agg(text.alias("_cited"), F.concat_ws("\n", F.collect_set("_head"), text).alias("_all"), F.bool_or("_row").alias("_table"))
     read = read.withColumns({"_cited": normalize_ascii(F.col("_cited")), "_all": normalize_ascii(F.col("_all"))})
-    want = terms.withColumn("alternative", normalize_ascii(F.col("alternative"))).where("alternative <> ''")
+    want = normal_terms(terms)
     same = F.create_map(*(x for k, v in SPATIAL.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     words = F.regexp_extract_all("_all", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     own = F.regexp_extract_all("alternative", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

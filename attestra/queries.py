@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import signals as sig
 from .functions import text as tx
-from .operators import constraints, gates, lines, members, scoring, tables
+from .operators import bindings, constraints, edges, evidence, gates, lines, members, scoring, tables
 from .plans import fidelity
 from .session import ship, table
 from .streaming import incremental
@@ -223,6 +223,107 @@ def ordered_record(t):
     return gates.ordered_record(values, wanted, ["conv_id"])
 
 
+# Gates over units of text
+
+@query("""WITH c AS (SELECT c_custkey // 40 AS doc, c_custkey % 40 AS pos, max(c_custkey % 40) OVER (PARTITION BY c_custkey // 40) AS top, c_name FROM customer)
+ SELECT doc, c_name, CASE WHEN top >= 19 AND top >= pos // 10 * 10 + 9 THEN pos // 10 + 1 END AS page FROM c""")
+def page_footers(t):
+    """Forty customers a document, each ten with their page's counter below and a rule."""
+    pos = F.col("c_custkey") % 40
+    foot = F.when(pos % 10 == 9, F.concat(F.lit("\n"), F.floor(pos / 10 + 1).cast("string"), F.lit("/4\n---"))).otherwise("")
+    docs = t("customer").groupBy(F.floor(F.col("c_custkey") / 40).alias("doc")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.concat("c_name", foot).alias("s")))).alias("x"))
+    docs = docs.select("doc", F.lit(4).alias("n_pages"), F.array_join(F.transform("x", lambda x: x["s"]), "\n").alias("text"))
+    rows = lines.page_map(lines.candidate_lines(docs, ["doc", "n_pages"]), ["doc", "n_pages"])
+    return rows.where("raw like 'Customer%'").select("doc", F.col("raw").alias("c_name"), F.col("page").cast("long").alias("page"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+def lexical_polarity(t):
+    """Statements that every third order denies, while every second obligation expects the denial."""
+    o = t("orders").select("o_orderkey")
+    docs = o.withColumn("text", F.concat(F.lit("Shipment "), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, " is not open").otherwise(" is open"), F.lit(", as agreed.")))
+    words = F.array(F.struct(F.lit(0).alias("group_no"), F.concat(F.lit("Shipment "), F.col("o_orderkey").cast("string")).alias("alternative")), F.struct(F.lit(1).alias("group_no"), F.lit("open").alias("alternative")))
+    terms = o.select("o_orderkey", F.lit(1).alias("leaf_id"), F.inline(words))
+    leaves = o.select("o_orderkey", F.lit(1).alias("leaf_id"), F.when(F.col("o_orderkey") % 2 == 0, "It is not open").otherwise("It is open").alias("expectation"))
+    return evidence.lexical(evidence.units(docs, ["o_orderkey"]), terms, leaves, ["o_orderkey"]).select("o_orderkey").distinct()
+
+
+@query("SELECT c_custkey AS leaf_id FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0")
+def required_bindings(t):
+    docs, leaves = _customer_tables(t)
+    groups = F.posexplode(F.array("row_key", "column", "value")).alias("group_no", "alternative")
+    wanted = leaves.select("doc", "leaf_id", F.lit(0).alias("binding_no"), groups)
+    return evidence.required_bindings(evidence.units(docs, ["doc"]), wanted, ["doc"]).select("leaf_id")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey % 2 = 0 AS two, 1 + sum(1 + (o_orderkey + 1) % 2) OVER w - (1 + (o_orderkey + 1) % 2) AS line,
+ lag(o_orderpriority) OVER w = o_orderpriority AS again FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+ SELECT o_orderkey, CAST(3 AS BIGINT) AS matched, CAST(CASE WHEN two AND again THEN line - 1 ELSE line END AS BIGINT) AS first, CAST(CASE WHEN two AND NOT coalesce(again, FALSE) THEN line + 1 ELSE line END AS BIGINT) AS last FROM o""")
+def citation_recovery(t):
+    """A customer's orders, the even ones on two lines: the tightest lines that give number and priority."""
+    o = t("orders").select("o_custkey", "o_orderkey", "o_orderpriority", F.concat(F.lit("K"), F.col("o_orderkey").cast("string")).alias("k"))
+    line = F.concat(F.lit("Order "), "k", F.when(F.col("o_orderkey") % 2 == 0, "\n").otherwise(" "), "o_orderpriority")
+    docs = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("s")))).alias("x")).select("o_custkey", F.array_join(F.transform("x", lambda x: x["s"]), "\n").alias("text"))
+    terms = o.select("o_custkey", F.col("o_orderkey").alias("leaf_id"), F.posexplode(F.array(F.lit("order"), F.col("k"), F.col("o_orderpriority"))).alias("group_no", "alternative"))
+    rows = evidence.recovered_citations(lines.candidate_lines(docs, ["o_custkey"]), terms, ["o_custkey"])
+    return rows.select(F.col("leaf_id").alias("o_orderkey"), F.col("matched").cast("long").alias("matched"), F.array_min("refs").cast("long").alias("first"), F.array_max("refs").cast("long").alias("last"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 = 0 AS in_order FROM orders")
+def ordered_tokens(t):
+    o = t("orders").select("o_orderkey")
+    docs = o.withColumn("text", F.element_at(F.array(*map(F.lit, ("Alpha, then beta, then gamma", "beta before alpha before gamma", "alpha and gamma"))), (F.col("o_orderkey") % 3 + 1).cast("int")))
+    terms = o.select("o_orderkey", F.lit(1).alias("leaf_id"), F.posexplode(F.array(*map(F.lit, ("alpha", "beta", "gamma")))).alias("group_no", "alternative"))
+    return evidence.ordered_tokens(docs, terms, ["o_orderkey"]).select("o_orderkey", "in_order")
+
+
+@query("SELECT s_suppkey, s_suppkey % 3 <> 1 AS anchored FROM supplier")
+def visual_citations(t):
+    s = t("supplier").select("s_suppkey", F.concat(F.lit("Room "), F.col("s_suppkey").cast("string")).alias("room"))
+    docs = s.select("s_suppkey", F.concat(F.lit("## "), "room", F.element_at(F.array(*map(F.lit, ("\na door on the left", "\nsomething is here", "\na door on the upper wall"))), (F.col("s_suppkey") % 3 + 1).cast("int"))).alias("text"))
+    one = s.withColumn("leaf_id", F.lit(1))
+    terms = one.select("s_suppkey", "leaf_id", F.posexplode(F.array(F.lit("west"), F.col("room"))).alias("group_no", "alternative"))
+    rows = evidence.visual_citations(lines.candidate_lines(docs, ["s_suppkey"]), one.select("s_suppkey", "leaf_id", F.lit(2).alias("ref")), terms, one.select("s_suppkey", "leaf_id", F.lit("The door is west").alias("expectation")), ["s_suppkey"])
+    return rows.select("s_suppkey", "anchored")
+
+
+def _supplier_lists(t):
+    """Twenty suppliers a document: plain columns, prose or nothing, some with another nation; and all their obligations."""
+    rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).withColumn("doc", F.floor(F.col("s_suppkey") / 20))
+    k = F.col("s_suppkey")
+    shown = F.when(k % 7 == 0, F.lit("Atlantis")).otherwise(F.col("n_name"))
+    plain, prose = F.when(k % 3 == 0, F.concat("s_name", F.lit("  |  "), shown)), F.when(k % 3 == 1, F.concat(F.lit("For "), "s_name", F.lit(" the nation is "), shown, F.lit(".")))
+    part = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("s_suppkey", c.alias("x"))))), lambda x: x["x"]), "\n")
+    docs = rows.groupBy("doc").agg(F.concat(F.lit("Supplier  |  Nation\n"), part(plain), F.lit("\n\n"), part(prose)).alias("text"))
+    roles = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(0).alias("group_no"), c.alias("alternative")) for r, c in (("row", F.col("s_name")), ("column", F.lit("Nation")), ("value", F.col("n_name")))))
+    return docs, rows.select("doc", F.col("s_suppkey").alias("leaf_id"), F.inline(roles))
+
+
+@query("SELECT s_suppkey AS leaf_id, CASE WHEN s_suppkey % 3 = 2 THEN 'missing' WHEN s_suppkey % 7 = 0 THEN 'incorrect' ELSE 'correct' END AS status FROM supplier")
+def binding_everywhere(t):
+    docs, terms = _supplier_lists(t)
+    return bindings.binding(docs, terms, ["doc"]).select("leaf_id", "status")
+
+
+@query("SELECT c_custkey AS leaf_id FROM customer WHERE c_custkey % 5 <> 0")
+def near_binding(t):
+    """Whatever the value, the rows that are shown under a heading that is alike."""
+    docs, leaves = _customer_tables(t)
+    roles = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(0).alias("group_no"), c.alias("alternative")) for r, c in (("row", F.col("row_key")), ("column", F.lit("Market segment")), ("value", F.col("value")))))
+    return bindings.near_binding(docs, leaves.select("doc", "leaf_id", F.inline(roles)), ["doc"]).select("leaf_id")
+
+
+@query("SELECT s_suppkey AS leaf_id, CASE s_suppkey % 4 WHEN 0 THEN 'missing' WHEN 1 THEN 'incorrect' ELSE 'correct' END AS status FROM supplier")
+def edge_records(t):
+    """Supplies told as sentences, against their direction, or as fields; every fourth is left out."""
+    rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).withColumn("doc", F.floor(F.col("s_suppkey") / 20))
+    k = F.col("s_suppkey") % 4
+    told = F.when(k == 1, F.concat("s_name", F.lit(" receives goods from "), "n_name", F.lit("."))).when(k == 2, F.concat("s_name", F.lit(" sends goods to "), "n_name", F.lit("."))).when(k == 3, F.concat(F.lit("Source: "), "s_name", F.lit("\nDestination: "), "n_name", F.lit("\n")))
+    docs = rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", told.alias("x")))), lambda x: F.coalesce(x["x"], F.lit(""))), "\n").alias("text"))
+    roles = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(0).alias("group_no"), F.col(c).alias("alternative")) for r, c in (("source", "s_name"), ("destination", "n_name"))))
+    return edges.edge(docs, rows.select("doc", F.col("s_suppkey").alias("leaf_id"), F.inline(roles)), ["doc"]).select("leaf_id", "status")
+
+
 # Members and constraints
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b USING (p_brand, p_type, p_size) WHERE a.p_partkey < b.p_partkey")
