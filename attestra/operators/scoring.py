@@ -22,12 +22,12 @@ def credit(status: Column) -> Column:
 def region_scores(leaves: DataFrame, claims: DataFrame | None, keys: list[str]) -> DataFrame:
     """(keys, possible, earned, penalty, ratio) from ``leaves(keys, status, harm)`` and claims counted as ``claims(keys, n_claims)``.
 
-    A claim's harm is 2 where a region has a leaf of harm 2, else 1. The ratio is signed and not clamped.
+    A claim's harm is 2 where a region has a leaf of harm 2, else 1. The ratio is signed and not clamped; it is 0 where nothing can be earned.
     """
     rows = leaves.groupBy(*keys).agg(F.sum("harm").alias("possible"), F.sum(credit(F.col("status")) * F.col("harm")).alias("earned"), F.max("harm").alias("_harm"))
     rows = rows.join(claims, keys, "left") if claims is not None else rows.withColumn("n_claims", F.lit(0))
     rows = rows.withColumn("penalty", -UNSUPPORTED * F.coalesce("n_claims", F.lit(0)) * F.col("_harm"))
-    return rows.select(*keys, F.col("possible").cast("long").alias("possible"), "earned", "penalty", F.try_divide(F.col("earned") - F.col("penalty"), F.col("possible")).alias("ratio"))
+    return rows.select(*keys, F.col("possible").cast("long").alias("possible"), "earned", "penalty", F.coalesce(F.try_divide(F.col("earned") - F.col("penalty"), F.col("possible")), F.lit(0.0)).alias("ratio"))
 
 
 def case_scores(regions: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.functions import signals, text
-from attestra.operators import bindings, edges, evidence, gates, lines, members, scoring, tables
+from attestra.operators import bindings, closed_world, edges, evidence, gates, lines, members, scoring, tables
 from attestra.sources import facts
 
 
@@ -249,3 +249,23 @@ def test_edges_joined_by_identifier(spark):
     doc = "E 5: feeds\nThe Boiler outlet E 5 enters the northern culvert channel.\nThe northern culvert runs to the Basin."
     assert edge_status(spark, doc, [("Boiler", "Basin", "feeds", "E 5")]) == ["missing"]
     assert edge_status(spark, doc, [("Boiler", "Basin", "feeds", "E 5")], semantic=True) == ["correct"]
+
+
+def test_invented_rows_need_their_scope(spark):
+    table = "\n\n| Seq | Color | State |\n|---|---|---|\n| 1 | Red | ready |\n| 2 | Blue | held |\n| 3 | Green | pending |\n| 4 | Teal |  |"
+    docs = spark.createDataFrame([(1, "## Color register" + table), (2, "## Other register" + table)], "d int, text string")
+    regions = spark.createDataFrame([(d, "r", ["Color register"], ["Red", "Blue"], ["State"]) for d in (1, 2)], "d int, region_id string, labels array<string>, members array<string>, columns array<string>")
+    found = closed_world.invented_rows(docs, regions, ["d"])
+    assert {(r.d, r.key, r.claim, r.ref) for r in found.collect()} == {(1, "Green", "3 | Green | pending", 7), (1, "Teal", "4 | Teal | ", 8)}
+
+
+def test_claims_are_counted_once(spark):
+    kind = "d int, region_id string, key string"
+    reported, found = spark.createDataFrame([(1, "r", "Green")], kind), spark.createDataFrame([(1, "r", "green"), (1, "r", "Pink"), (1, "r", "Grey")], kind)
+    members = spark.createDataFrame([(1, "s", "pink"), (1, "r", "grey")], "d int, region_id string, member string")
+    assert {(r.region_id, r.key) for r in closed_world.applied_claims(reported, found, members, ["d"]).collect()} == {("r", "Green"), ("r", "Grey")}
+
+
+def test_aliases(spark):
+    rows = spark.createDataFrame([("room 12", "room 13", False), ("room", "room 13", True), ("north pump house", "north house", True), ("a 1 2 x", "b 1 2 x", True), ("red", "blue", False)], "a string, b string, want boolean")
+    assert [r[0] == r[1] for r in rows.select(closed_world.is_alias(F.col("a"), F.col("b")), "want").collect()] == [True] * 5
