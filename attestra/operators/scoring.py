@@ -107,6 +107,39 @@ def packed(rows: DataFrame, keys: list[str], order: list[str], stable: int = 64,
     return rows.withColumn("request", F.floor(n / request))
 
 
+def audit_batches(regions: DataFrame, keys: list[str], most_regions: int = 24, most_members: int = 256) -> DataFrame:
+    """(keys, region_id, batch): regions of ``regions(keys, region_id, pos, members)`` in their order, a new batch where one more would be too many.
+
+    A fold over the regions of one key, as each batch begins where the one before is full; a region that is too large alone has its own.
+    """
+    rows = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "region_id", F.col("members").cast("long").alias("members")))).alias("rs"))
+    state = F.struct(F.array().cast("array<long>").alias("batches"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("b"))
+
+    def step(s: Column, r: Column) -> Column:
+        full = (s["n"] > 0) & ((s["n"] >= most_regions) | (s["m"] + r["members"] > most_members))
+        at = s["b"] + full.cast("long")
+        return F.struct(F.concat(s["batches"], F.array(at)).alias("batches"), F.when(full, F.lit(1).cast("long")).otherwise(s["n"] + 1).alias("n"), F.when(full, r["members"]).otherwise(s["m"] + r["members"]).alias("m"), at.alias("b"))
+
+    rows = rows.withColumn("bs", F.aggregate("rs", state, step, lambda s: s["batches"]))
+    return rows.select(*keys, F.inline(F.arrays_zip(F.transform("rs", lambda r: r["region_id"]).alias("region_id"), F.col("bs").alias("batch"))))
+
+
+#: Kinds of obligations that gates may credit without a judge.
+CREDITED_KINDS = ("table_binding", "form_state", "directed_edge")
+
+
+def precredits(leaves: DataFrame, gates: DataFrame, collisions: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, leaf_id, refs): obligations that are correct before any judgement.
+
+    ``leaves(keys, leaf_id, kind, claim, unique_evidence)`` of an eligible kind (or ordered tokens of a structure), whose evidence is unique,
+    whose locator is not in ``collisions(keys, a, b)``, and which ``gates(keys, leaf_id, status, refs, on_page)`` find correct on expected pages.
+    """
+    kind = F.col("kind").isin(*CREDITED_KINDS) | ((F.col("kind") == "ordered_tokens") & (F.col("claim") == "structure"))
+    alike = collisions.select(*keys, F.explode(F.array("a", "b")).alias("leaf_id")).distinct()
+    sure = leaves.where(kind & F.col("unique_evidence")).join(alike, [*keys, "leaf_id"], "left_anti")
+    return sure.join(gates.where("status = 'correct' and on_page and size(refs) > 0"), [*keys, "leaf_id"]).select(*keys, "leaf_id", "refs")
+
+
 def merged_status(leaves: DataFrame, judged: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
     """External judgements under the gates' guard: ``leaves(keys, kind)``, ``judged(keys, at, status, n_refs)``, ``evidence(keys, satisfied, contradiction, partial, near)``.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import signals as sig
 from .functions import text as tx
-from .operators import bindings, constraints, edges, evidence, gates, lines, members, scoring, tables
+from .operators import bindings, closed_world, constraints, edges, evidence, gates, lines, members, scoring, tables
 from .plans import fidelity
 from .session import ship, table
 from .streaming import incremental
@@ -324,6 +324,16 @@ def edge_records(t):
     return edges.edge(docs, rows.select("doc", F.col("s_suppkey").alias("leaf_id"), F.inline(roles)), ["doc"]).select("leaf_id", "status")
 
 
+@query("SELECT s_suppkey // 20 AS doc, s_name AS key FROM supplier WHERE s_suppkey % 10 = 0")
+def closed_world_rows(t):
+    """Suppliers' tables under their heading, in which every tenth supplier is not a known member."""
+    rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).withColumn("doc", F.floor(F.col("s_suppkey") / 20))
+    docs = tables.rendered(rows, ["doc"], {"s_name": "Supplier", "n_name": "Nation"}, "s_suppkey").withColumn("text", F.concat(F.lit("## Supplier register\n\n"), "text"))
+    known = rows.groupBy("doc").agg(F.collect_list(F.when(F.col("s_suppkey") % 10 != 0, F.col("s_name"))).alias("members"))
+    regions = known.select("doc", F.lit(1).alias("region_id"), F.array(F.lit("Supplier register")).alias("labels"), "members", F.array(F.lit("Nation")).alias("columns"))
+    return closed_world.invented_rows(docs, regions, ["doc"]).select("doc", "key")
+
+
 # Members and constraints
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b USING (p_brand, p_type, p_size) WHERE a.p_partkey < b.p_partkey")

@@ -269,3 +269,17 @@ def test_claims_are_counted_once(spark):
 def test_aliases(spark):
     rows = spark.createDataFrame([("room 12", "room 13", False), ("room", "room 13", True), ("north pump house", "north house", True), ("a 1 2 x", "b 1 2 x", True), ("red", "blue", False)], "a string, b string, want boolean")
     assert [r[0] == r[1] for r in rows.select(closed_world.is_alias(F.col("a"), F.col("b")), "want").collect()] == [True] * 5
+
+
+def test_audit_batches(spark):
+    rows = [(1, f"r{i}", i, m) for i, m in enumerate((200, 50, 10, 300, 1))] + [(2, f"r{i}", i, 1) for i in range(25)]
+    got = scoring.audit_batches(spark.createDataFrame(rows, "c int, region_id string, pos int, members int"), ["c"]).collect()
+    assert [r.batch for r in sorted(got, key=lambda r: r.region_id) if r.c == 1] == [0, 0, 1, 2, 3]
+    assert sum(r.batch == 1 for r in got if r.c == 2) == 1
+
+
+def test_precredits(spark):
+    leaves = spark.createDataFrame([(1, 1, "form_state", "state", True), (1, 2, "form_state", "state", False), (1, 3, "lexical", "value", True), (1, 4, "ordered_tokens", "structure", True), (1, 5, "form_state", "state", True)], "c int, leaf_id int, kind string, claim string, unique_evidence boolean")
+    found = spark.createDataFrame([(1, i, "correct", [1], i != 4) for i in range(1, 6)], "c int, leaf_id int, status string, refs array<int>, on_page boolean")
+    alike = spark.createDataFrame([(1, 5, 9)], "c int, a int, b int")
+    assert [r.leaf_id for r in scoring.precredits(leaves, found, alike, ["c"]).collect()] == [1]
