@@ -368,3 +368,29 @@ def test_pipeline(spark, tmp_path):
         got[p.doc_id].append(p)
     assert {i: b"".join(bytes(p.ids) for p in sorted(ps, key=lambda p: p.start)) for i, ps in got.items()} == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "packing"]
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    """Copies with a few words changed go, those with many stay; a crowd of near copies leaves one."""
+    import corpus_pipeline
+
+    r = random.Random(33)
+    base = [words(r, 200) for _ in range(21)]
+
+    def changed(text, n):
+        w = text.split()
+        for i in range(n):
+            w[15 + i * 180 // n] = "changed" + str(r.random())
+        return " ".join(w)
+
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, changed(t, 3)) for i, t in enumerate(base[:20])] + [(200 + i, changed(t, 12)) for i, t in enumerate(base[:20])]
+    rows += [(300 + i, changed(base[20], 1)) for i in range(150)] + [(500, None), (501, ""), (None, base[0])]
+    assert all(jaccard(t, dict(rows)[100 + i]) >= 0.8 > 0.6 > jaccard(t, dict(rows)[200 + i]) for i, t in enumerate(base[:20]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, df, str(tmp_path)).collect()) == [*range(21), *range(200, 220), 500]
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), str(tmp_path)).count() == 0
