@@ -7,6 +7,10 @@ number. Windows of ``size`` template tokens of documents and items are joined by
 has in the item always stands against the same value in the document. So a question with other numbers and names
 put in is caught, while a text that only shares its shape, with values at odds, is not.
 
+A window that holds more placeholders than words says little by its shape. It counts when its values are those of the item
+too, or when its occurrence bears it out: one of its windows has as many words as placeholders, or it has several with
+words that repeat a value, or all of the item's. Windows without a word are looked up by their values alone.
+
 A pair (document, item) is reported when at least ``min(least, half)`` of the item's windows are hit in
 occurrences with consistent slots (half: of its windows, rounded up). An item with fewer than ``size`` tokens is one
 window of its own length; below ``shortest`` tokens it is too short to tell and is never reported.
@@ -19,6 +23,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,21 +60,41 @@ def template(raw: Column) -> Column:
     return F.transform(raw, lambda t, i: _kind(t, F.when(i > 0, F.get(raw, i - 1)).otherwise("")))
 
 
-def _windows(tokens: Column, size: int) -> Column:
+def _is_slot(token: Column) -> Column:
+    return token.startswith("<")
+
+
+def _hash(tokens: Column, raw: Column, size: Column) -> Column:
+    """A window's hash; one of placeholders alone has the hash of its values, as its template would fit any row of numbers."""
+    return F.when(F.forall(tokens, _is_slot), F.xxhash64(-size, F.transform(raw, F.lower))).otherwise(F.xxhash64(size, tokens))
+
+
+def _windows(tokens: Column, raw: Column, size: int) -> Column:
     """Hashes of all windows of ``size`` tokens."""
     n = F.size(tokens) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.lit(size), F.slice(tokens, i + 1, size)))).otherwise(F.array().cast("array<long>"))
+    part = lambda c, i: F.slice(c, i + 1, size)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: _hash(part(tokens, i), part(raw, i), F.lit(size)))).otherwise(F.array().cast("array<long>"))
 
 
 def _item_windows(items: DataFrame, size: int, shortest: int) -> DataFrame:
-    """(item_id, raw, size, n_windows, item_at, h) of every window that holds at least as many words as placeholders."""
+    """(item_id, size, item_at, h, item_raw, item_tokens, heavy, n_worded, named) of every window.
+
+    ``heavy``: it holds more placeholders than words; ``n_worded``: the windows of its text that hold a word; ``named``:
+    its first word, which begins the item, taken as the name that it looks like after a comma or colon in a document.
+    """
     rows = items.select(F.col("item_id"), raw_tokens(F.col("text")).alias("raw")).withColumn("tokens", template(F.col("raw"))).where(F.size("tokens") >= shortest)
     rows = rows.withColumn("size", F.least(F.lit(size), F.size("tokens")))
     starts = F.sequence(F.lit(0), F.size("tokens") - F.col("size"))
     rows = rows.select("item_id", "raw", "tokens", "size", F.explode(starts).alias("item_at"))
-    rows = rows.withColumn("w", F.slice("tokens", F.col("item_at") + 1, F.col("size")))
-    rows = rows.where(2 * F.size(F.filter("w", lambda t: t.startswith("<"))) <= F.col("size"))
-    return rows.select("item_id", "size", "item_at", F.xxhash64(F.col("size"), "w").alias("h"), F.slice("raw", F.col("item_at") + 1, F.col("size")).alias("item_raw"), F.col("w").alias("item_tokens"))
+    rows = rows.withColumn("w", F.slice("tokens", F.col("item_at") + 1, F.col("size"))).withColumn("r", F.slice("raw", F.col("item_at") + 1, F.col("size")))
+    at = F.filter(F.sequence(F.lit(0), F.size("tokens") - F.col("size")), lambda i: F.exists(F.slice("tokens", i + 1, F.col("size")), lambda t: ~_is_slot(t)))
+    heavy = 2 * F.size(F.filter("w", _is_slot)) > F.col("size")
+    rows = rows.select("item_id", "size", "item_at", heavy.alias("heavy"), F.size(at).alias("n_worded"), F.struct(F.lit(False).alias("named"), "w", "r").alias("x"))
+    rest = lambda c, first: F.concat(F.array(first), F.slice(c, F.lit(2), F.col("size") - 1))
+    named = F.struct(F.lit(True).alias("named"), rest(F.col("x.w"), F.lit("<name>")).alias("w"), rest(F.col("x.r"), F.concat(F.lit(MARK), F.col("x.r")[0])).alias("r"))
+    begins = (F.col("item_at") == 0) & F.col("x.r")[0].rlike(r"^\p{Lu}\p{Ll}+$")
+    rows = rows.withColumn("x", F.explode(F.when(begins, F.array("x", named)).otherwise(F.array("x"))))
+    return rows.select("item_id", "size", "item_at", _hash(F.col("x.w"), F.col("x.r"), F.col("size")).alias("h"), F.col("x.r").alias("item_raw"), F.col("x.w").alias("item_tokens"), "heavy", "n_worded", F.col("x.named").alias("named"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, least: int = 6, shortest: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
@@ -78,24 +104,34 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, least: int =
     hashes = sized(written(windows.select("h").distinct(), "decontam-hashes"))
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most ``size`` numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), raw_tokens(F.col("text")).alias("raw"))
-    rows = rows.select("doc_id", "text_key", template(F.col("raw")).alias("tokens"))
+    rows = rows.select("doc_id", "text_key", "raw", template(F.col("raw")).alias("tokens"))
     found = None
     for n in sizes or [size]:
-        part = rows.select("doc_id", "text_key", F.posexplode(_windows(F.col("tokens"), n)).alias("at", "h")).join(hashes, "h", "left_semi")
+        part = rows.select("doc_id", "text_key", F.posexplode(_windows(F.col("tokens"), F.col("raw"), n)).alias("at", "h")).join(hashes, "h", "left_semi")
         found = part if found is None else found.union(part)
     found = written(found, "decontam-hits")
     ids = sized(written(found.select("doc_id", "text_key").distinct(), "decontam-ids"))
     raws = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"), F.col("text").alias("_text"))
     raws = raws.join(ids, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")), "left_semi").dropDuplicates(["_id", "_key"])
     raws = raws.select("_id", "_key", raw_tokens(F.col("_text")).alias("raw"))
-    hits = found.join(sized(windows), "h").select("doc_id", "text_key", "at", "item_id", "item_at", "size", "item_raw", "item_tokens")
+    hits = found.join(sized(windows), "h").select("doc_id", "text_key", "at", "item_id", "item_at", "size", "item_raw", "item_tokens", "heavy", "n_worded", "named")
     hits = raws.join(hits, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))).withColumn("doc_raw", F.slice("raw", F.col("at") + 1, F.col("size"))).drop("raw", "_id", "_key")
+    hits = hits.where(~F.col("named") | (F.lower(F.col("item_raw")[0]) == F.lower(F.col("doc_raw")[0])))
     pairs = F.transform(F.arrays_zip("item_tokens", "item_raw", "doc_raw"), lambda z: F.struct(z["item_tokens"].alias("kind"), F.lower(z["item_raw"]).alias("item"), F.lower(z["doc_raw"]).alias("doc")))
     hits = hits.withColumn("slots", F.filter(pairs, lambda p: p["kind"].startswith("<"))).withColumn("exact", F.forall(pairs, lambda p: p["item"] == p["doc"]))
     by = ["doc_id", "text_key", "item_id", "run"]
-    hits = hits.withColumn("run", F.col("at") - F.col("item_at")).select(*by, "item_at", "slots", "exact").distinct()
-    slots = hits.select(*by, F.explode("slots").alias("p")).distinct().groupBy(*by, "p.kind", "p.item").agg(F.count("*").alias("n")).where("n > 1").select(*by).distinct()
-    held = hits.join(slots, [hits[c].eqNullSafe(slots[c]) for c in by], "left_anti")
+    places = F.filter(F.transform(pairs, lambda p, i: F.struct(p["kind"].alias("kind"), p["item"].alias("item"), p["doc"].alias("doc"), (F.col("item_at") + i).alias("place"))), lambda p: _is_slot(p["kind"]))
+    hits = hits.withColumn("run", F.col("at") - F.col("item_at")).withColumn("slots", places).withColumn("worded", F.exists("item_tokens", lambda t: ~_is_slot(t)))
+    hits = hits.select(*by, "item_at", "slots", "exact", "heavy", "worded", "n_worded").distinct()
+    same = lambda x, y: reduce(lambda p, q: p & q, (x[c].eqNullSafe(y[c]) for c in by))
+    slots = hits.select(*by, F.explode("slots").alias("p")).groupBy(*by, "p.kind", "p.item").agg(F.count_distinct("p.doc").alias("n"), F.count_distinct("p.place").alias("n_places"))
+    slots = slots.groupBy(*by).agg(F.bool_or(F.col("n") > 1).alias("odd"), F.bool_or(F.col("n_places") > 1).alias("repeats"))
+    runs = hits.groupBy(*by).agg(F.bool_or(~F.col("heavy")).alias("light"), F.count_if("worded").alias("n_seen"), F.max("n_worded").alias("n_all"))
+    hits = hits.join(slots.where("odd"), same(hits, slots), "left_anti")
+    several = (F.col("n_seen") > 1) & (F.coalesce("repeats", F.lit(False)) | (F.col("n_seen") == F.col("n_all")))
+    runs = runs.join(slots, same(runs, slots), "left").select(*(runs[c] for c in by), (F.col("light") | several).alias("backed"))
+    held = hits.join(runs, same(hits, runs)).where(~F.col("heavy") | F.col("exact") | F.col("backed"))
+    held = held.select(*(hits[c] for c in by), "item_at", "exact")
     held = held.groupBy("doc_id", "item_id", "item_at").agg(F.max("exact").alias("exact"))
     held = held.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hit"), F.count_if("exact").alias("n_exact"))
     totals = windows.select("item_id", "item_at").distinct().groupBy("item_id").agg(F.count("*").alias("n_windows"))

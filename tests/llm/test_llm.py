@@ -212,6 +212,18 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs_of(spark, rows).limit(0), items).count() == 0 == decontam.contaminated(docs_of(spark, rows), items.limit(0)).count()
 
 
+def test_decontamination_of_numbers(spark):
+    """Items made mostly of numbers, names and units are found word for word and, if their shape is whole, with other values."""
+    texts = ["What is 12 + 7 * 3 - 4 + 19?", "Solve 3x + 12 = 27, 5y - 4 = 16, 2z + 9 = 31.", "Sort 14, 3, 27, 8, 91, 45, 62, 7 and 19.", "Mary has 3 kg, Tom has 2 kg, Ann has 4 kg, Bob has 7 kg."]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(i, "It was asked: " + t + " Nobody knew.") for i, t in enumerate(texts)]
+    rows += [(10, "What is 11 + 6 * 2 - 5 + 18?"), (11, "Sort 15, 4, 28, 9, 92, 46, 63, 8 and 20."), (12, texts[3].replace("kg", "lb").replace("2", "5")), (13, "See 1, 2, 3, 4, 5, 6, 7, 8 and 9."), (14, "1 2 3 4 5 6 7 8 9 10 " * 50)]
+    for limit in (0, 500_000):
+        got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs_of(spark, rows), items, broadcast_rows=limit).collect()}
+        assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (11, 2), (12, 3)}
+        assert all(got[i, i].n_windows == got[i, i].n_hit == got[i, i].n_exact for i in range(4))
+
+
 def brute_lines(rows):
     at = collections.defaultdict(set)
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
