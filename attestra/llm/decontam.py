@@ -12,7 +12,8 @@ too, or when its occurrence bears it out: one of its windows has as many words a
 words that repeat a value, or all of the item's. Windows without a word are looked up by their values alone.
 
 A pair (document, item) is reported when at least ``min(least, half)`` of the item's windows are hit in
-occurrences with consistent slots (half: of its windows, rounded up). An item with fewer than ``size`` tokens is one
+occurrences with consistent slots (half: of its windows, rounded up). Windows that are equal word by word count in other
+occurrences too; where the rest does not reach that number, all of them together must reach half. An item with fewer than ``size`` tokens is one
 window of its own length; below ``shortest`` tokens it is too short to tell and is never reported.
 
 The items' windows are broadcast only if counted at no more than ``broadcast_rows``, else joined by shuffle; likewise the
@@ -127,16 +128,16 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, least: int =
     slots = hits.select(*by, F.explode("slots").alias("p")).groupBy(*by, "p.kind", "p.item").agg(F.count_distinct("p.doc").alias("n"), F.count_distinct("p.place").alias("n_places"))
     slots = slots.groupBy(*by).agg(F.bool_or(F.col("n") > 1).alias("odd"), F.bool_or(F.col("n_places") > 1).alias("repeats"))
     runs = hits.groupBy(*by).agg(F.bool_or(~F.col("heavy")).alias("light"), F.count_if("worded").alias("n_seen"), F.max("n_worded").alias("n_all"))
-    hits = hits.join(slots.where("odd"), same(hits, slots), "left_anti")
     several = (F.col("n_seen") > 1) & (F.coalesce("repeats", F.lit(False)) | (F.col("n_seen") == F.col("n_all")))
-    runs = runs.join(slots, same(runs, slots), "left").select(*(runs[c] for c in by), (F.col("light") | several).alias("backed"))
-    held = hits.join(runs, same(hits, runs)).where(~F.col("heavy") | F.col("exact") | F.col("backed"))
-    held = held.select(*(hits[c] for c in by), "item_at", "exact")
-    held = held.groupBy("doc_id", "item_id", "item_at").agg(F.max("exact").alias("exact"))
-    held = held.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hit"), F.count_if("exact").alias("n_exact"))
+    runs = runs.join(slots, same(runs, slots), "left").select(*(runs[c].alias(f"_{c}") for c in by), (F.col("light") | several).alias("backed"), F.coalesce("odd", F.lit(False)).alias("odd"))
+    held = hits.join(runs, reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))).where(F.col("exact") | (~F.col("odd") & (~F.col("heavy") | F.col("backed"))))
+    held = held.select(*by, "item_at", "exact", "odd")
+    held = held.groupBy("doc_id", "item_id", "item_at").agg(F.max("exact").alias("exact"), F.min("odd").alias("odd"))
+    held = held.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hit"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("odd")).alias("n_even"))
     totals = windows.select("item_id", "item_at").distinct().groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    held = held.join(totals, held["item_id"].eqNullSafe(totals["item_id"])).select("doc_id", held["item_id"], "n_windows", "n_hit", "n_exact")
-    return held.where(F.col("n_hit") >= F.least(F.lit(least), F.ceil(F.col("n_windows") / 2)))
+    held = held.join(totals, held["item_id"].eqNullSafe(totals["item_id"])).select("doc_id", held["item_id"], "n_windows", "n_hit", "n_exact", "n_even")
+    half = F.ceil(F.col("n_windows") / 2)
+    return held.where((F.col("n_even") >= F.least(F.lit(least), half)) | (F.col("n_hit") >= half)).drop("n_even")
 
 
 def cleaned(docs: DataFrame, items: DataFrame) -> DataFrame:

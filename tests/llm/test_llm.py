@@ -224,6 +224,14 @@ def test_decontamination_of_numbers(spark):
         assert all(got[i, i].n_windows == got[i, i].n_hit == got[i, i].n_exact for i in range(4))
 
 
+def test_decontamination_of_one_changed_value(spark):
+    """A value at odds with its others leaves the exact windows of an occurrence standing."""
+    item = "Each morning the miller walks 12 km to the old town and carries bags of flour back before noon, then rests a while and at last he walks another 12 km to the harbour."
+    rows = [(1, item.replace("another 12", "another 13")), (2, item.replace("12 km to the harbour", "12 kilometers to the harbour")), (3, item.replace("12 km", "12 mi", 1).replace("old town", "old sea").replace("noon", "dusk").replace("a while", "a bit"))]
+    got = {r.doc_id: r for r in decontam.contaminated(docs_of(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2} and all(2 * x.n_exact >= x.n_windows > x.n_hit for x in got.values())
+
+
 def brute_lines(rows):
     at = collections.defaultdict(set)
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
