@@ -24,10 +24,12 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one on a local master where none is set (tests)."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="attestra-", dir="/tmp")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -39,11 +41,40 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: its lineage is cut and it is computed once."""
+    """``df`` written as a table in the shared folder and read again: its lineage is cut and it is computed once.
+
+    The table stays until ``forget`` is given it, or ``forget_all`` clears what this session has written.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._attestra_path = path
+    _WRITTEN.add(path)
+    return out
+
+
+#: Paths of this process's written tables that are still there.
+_WRITTEN: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.discard(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again; frames that are no such table are left alone."""
+    for t in tables:
+        if path := getattr(t, "_attestra_path", None):
+            _delete(t.sparkSession, path)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Delete all written tables of this session, once their results have been saved."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
 
 
 def ship(spark: SparkSession) -> None:
