@@ -2,18 +2,21 @@
 
 1. Each text gets a 64-bit fingerprint from the XXH64 hashes of its word shingles.
 2. Texts with one fingerprint form a class; from here on only distinct fingerprints are handled.
-3. The pivot table holds the Hamming distance of every fingerprint to ``pivots`` reference fingerprints.
+3. The pivot table holds the Hamming distance of every fingerprint to ``pivots`` reference fingerprints: its coordinates.
 4. Fingerprints that differ in at most ``max_bits`` of 64 bits agree in all bits of some of the segments that the 64
-   bits are cut into, so pairs are only formed among fingerprints that share those segments (all pairs of a corpus
-   are not formed, as distances to pivots alone leave far too many of them). A pair goes when its
-   coordinates in the pivot table differ by more than ``max_bits`` anywhere; the survivors' bits are compared.
-5. A segment value that over ``group_rows`` fingerprints share is not paired at all. Its members are looked up by
-   every fingerprint one bit away: two fingerprints at most two bits apart have such a neighbour in common,
-   and any two that have one are at most two bits apart. That is exact, linear in the rows and loses no link.
-6. Connected components over the links give each class its group.
+   bits are cut into. Pivots choose the candidates among those: the first ``bands`` coordinates, cut into bands of
+   ``max_bits + 1``, are part of the key, and each fingerprint also looks into the neighbouring bands that a coordinate
+   ``max_bits`` away may lie in. That is exact, as no coordinate of a link differs by more than ``max_bits``.
+5. Candidates go when any other coordinate differs by more than ``max_bits``; the survivors' bits are compared.
+6. A key that over ``group_rows`` fingerprints share is not paired. Its members, and those that look into it, meet at
+   fingerprints one bit away: with ``max_bits`` 2, two of them are at most two bits apart if and only if they have such a
+   neighbour (or each other) in common, so each is linked to the least around that neighbour; with ``max_bits`` 1 each is
+   linked to those that it turns into by one bit. That is exact and linear in the rows.
+7. Connected components over the links give each class its group.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; rows that repeat are in one
-class; a group's id is its smallest doc_id, null ids left out (null if it has no other); other columns are ignored.
+class; a group's id is its smallest doc_id, null ids left out (null if it has no other); other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship, written
 from .components import connected_components
+from .skew import join_hot, one_of_each
 from .text import text_key
 
 
@@ -85,44 +89,48 @@ def segment_keys(fp, max_bits: int, segments: int) -> list:
     return keys
 
 
-def links(fps: DataFrame, max_bits: int = 2, pivots: int = 32, segments: int = 4, group_rows: int = 256) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 2, pivots: int = 16, bands: int = 2, segments: int = 4, group_rows: int = 256) -> DataFrame:
     """(a, b): links between distinct fingerprints of ``fps(fp)``; each linked pair is joined by a path of these."""
-    if not 0 < max_bits <= 2 < segments:
-        raise ValueError("max_bits is 1 or 2, and there are at least 3 segments")
-    keyed = pivot_table(fps, pivots).select("fp", "d", F.explode(F.array(*segment_keys(F.col("fp"), max_bits, segments))).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = written(keyed.join(sizes, "key").select("key", "fp", "d", "n"), "simhash-segments")
-    small = keyed.where(F.col("n") <= group_rows)
-    x, y = small.select("key", F.col("fp").alias("a"), F.col("d").alias("da")), small.select("key", F.col("fp").alias("b"), F.col("d").alias("db"))
-    near = reduce(lambda p, q: p & q, (F.abs(F.col("da")[i] - F.col("db")[i]) <= max_bits for i in range(pivots)))
+    if not 0 < max_bits <= 2 < segments or not 0 <= bands <= pivots:
+        raise ValueError("max_bits is 1 or 2, there are at least 3 segments, and no more bands than pivots")
+    keyed = fps.select("fp", F.explode(F.array(*segment_keys(F.col("fp"), max_bits, segments))).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    keyed = written(pivot_table(keyed.join(shared, "key").select("key", "fp"), pivots), "simhash-segments")
+    band = lambda c: F.floor(c / (max_bits + 1)).cast("byte")
+    own = [band(F.col("d")[i]).alias(f"b{i}") for i in range(bands)]
+    home = keyed.select("key", *own, F.col("fp").alias("a"), F.col("d").alias("da"))
+    look = keyed.select("key", F.col("fp").alias("b"), F.col("d").alias("db"))
+    for i in range(bands):
+        d = F.col("db")[i]
+        look = look.withColumn(f"b{i}", F.explode(F.array_distinct(F.array(band(d - max_bits), band(d), band(d + max_bits)))))
+    on = ["key", *(f"b{i}" for i in range(bands))]
+    crowded = written(home.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select(*on), "simhash-crowds")
+    near = reduce(lambda p, q: p & q, (F.abs(F.col("da")[i] - F.col("db")[i]) <= max_bits for i in range(bands, pivots)), F.lit(True))
     exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & near & exact).select("a", "b")
+    pairs = home.join(crowded, on, "left_anti").join(look, on).where((F.col("a") < F.col("b")) & near & exact).select("a", "b")
+    large = home.join(crowded, on, "left_semi").select(F.col("a").alias("fp")).union(look.join(crowded, on, "left_semi").select("b")).distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i) for i in range(64)))
-    large = keyed.where(F.col("n") > group_rows).select("fp").distinct()
     around = large.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("z"))
-    hubs = around.groupBy("z").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = around.join(hubs, "z").where("fp <> a").select("a", F.col("fp").alias("b"))
     if max_bits == 1:
-        stars = stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 1)
+        stars = around.where("fp < z").join(large.select(F.col("fp").alias("z")), "z").select(F.col("fp").alias("a"), F.col("z").alias("b"))
+    else:
+        hubs = around.groupBy("z").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+        stars = around.join(hubs, "z").where("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 2, pivots: int = 32, segments: int = 4, group_rows: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 2, pivots: int = 16, bands: int = 2, segments: int = 4, group_rows: int = 256) -> DataFrame:
     """(doc_id, text_key, fp, root, component_id): a row for each document, with its group's root and smallest doc_id."""
     rows = written(fingerprints(docs, size), "simhash-fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    roots = connected_components(links(classes.select("fp"), max_bits, pivots, segments, group_rows)).withColumnRenamed("node", "fp")
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
+    roots = connected_components(links(classes.select("fp"), max_bits, pivots, bands, segments, group_rows)).withColumnRenamed("node", "fp")
     linked = roots.join(classes, "fp")
     linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("group_least")), "root").select("fp", "root", "group_least")
-    classes = classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("group_least")).alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+    component = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("group_least"))
+    classes = written(classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), component.alias("component_id")), "simhash-groups")
+    return join_hot(rows, classes, "fp", "n").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group: the smallest doc_id (null ids last), then the smallest text key."""
-    groups = near_duplicates(docs)
-    keep = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key")).distinct()
-    rows = docs.withColumn("_text_key", text_key())
-    kept = rows.join(keep, rows["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (rows["_text_key"] == keep["_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    return one_of_each(docs, near_duplicates(docs))
