@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes template tokens: words in lower case; numbers, names and units as the typed placeholders <num>, <name>
-and <unit>. A name is a capitalised word that doesn't begin a sentence; a unit is a word of ``UNITS`` right after a
-number. Windows of ``size`` template tokens of documents and items are joined by hash. Windows that hit on one diagonal
+and <unit>. A name is a capitalised word, those of ``STARTERS`` aside, which begin sentences; a unit is a word of ``UNITS``
+right after a number. A capitalised word that begins a sentence of an item may be a name or not, so its windows are looked up
+both ways. Windows of ``size`` template tokens of documents and items are joined by hash. Windows that hit on one diagonal
 (document place less item place) are one occurrence, and its slots must be consistent: each value that a placeholder
 has in the item always stands against the same value in the document. So a question with other numbers and names
 put in is caught, while a text that only shares its shape, with values at odds, is not.
@@ -14,12 +15,15 @@ words that repeat a value, or all of the item's. Windows without a word are look
 A pair (document, item) is reported when at least ``min(least, half)`` of the item's windows are hit in
 occurrences with consistent slots (half: of its windows, rounded up). Windows that are equal word by word count in other
 occurrences too; where the rest does not reach that number, all of them together must reach half. An item with fewer than ``size`` tokens is one
-window of its own length; below ``shortest`` tokens it is too short to tell and is never reported.
+window of its own length; below ``shortest`` tokens its shape tells nothing, and it is looked up by its values alone, word for word.
 
-The items' windows are broadcast only if counted at no more than ``broadcast_rows``, else joined by shuffle; likewise the
-ids of the documents that are hit. Only built-in functions are used. Defined results: null and empty texts and items hit
-nothing; rows with one id count as one document; a null doc_id is reported as null; rows that repeat change nothing; other
-columns are ignored.
+Each document is cut into tokens once and each token hashed once; the windows of all sizes that items have are then made in one
+pass from the tokens' hashes, inside one generated stage with the semi join on the items' hashes. Hashes, windows and items are
+broadcast only if measured at no more than ``broadcast_rows`` rows (and items at 16 MB), else joined by shuffle; likewise the
+ids of the documents that are hit. Only built-in functions are used.
+
+Defined results: null and empty texts and items hit nothing; rows with one id count as one document; a null doc_id is reported
+as null; rows that repeat change nothing; very long items have as many windows as tokens; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from .skew import unused
 from .text import text_key
 
 #: Fixed list: words that count as units after a number.
@@ -39,91 +44,110 @@ UNITS = (
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "cent cents dollar dollars euro euros usd eur gbp percent degree degrees mph kmh"
 ).split()
-NAME = r"(?<=[\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll}+)"
+#: Fixed list: words that begin sentences and are no names.
+STARTERS = (
+    "the a an in on at it if is are was were to of for from by with as and but or so he she we you they this that these those there here "
+    "what where when who whom whose why which how each every all some no not after before while then since until during under over "
+    "do does did can could will would should may might must let find solve suppose given compute calculate determine consider sort"
+).split()
+NAME = r"(?<!\p{L})(\p{Lu}\p{Ll}+)(?!\p{L})"
+#: A capitalised word inside a sentence.
+INNER_NAME = r"(?<=[\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll}+)(?!\p{L})"
 TOKEN = r"\x01?\p{L}+|[0-9]+(?:[.,:/][0-9]+)*"
 MARK = "\x01"
 
 
-def raw_tokens(text: Column) -> Column:
+def raw_tokens(text: Column, name: str = NAME) -> Column:
     """Words and numbers in turn; names with a mark before them."""
     t = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
-    return F.regexp_extract_all(F.regexp_replace(t, NAME, MARK + "$1"), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(t, name, MARK + "$1"), F.lit(TOKEN), F.lit(0))
+
 
+def tokenised(rows: DataFrame) -> DataFrame:
+    """``rows(raw)`` with words (lower case, no marks), vh (hashes of words) and th (hashes of template tokens).
 
-def _kind(raw: Column, before: Column) -> Column:
-    """A raw token's template token, given the one before it."""
-    word = F.lower(raw)
-    return F.when(raw < "A", F.when(raw.startswith(MARK), "<name>").otherwise("<num>")).when(before.between("0", ":") & word.isin(UNITS), "<unit>").otherwise(word)
+    The lowest bit of a template token's hash tells whether it is a placeholder.
+    """
+    rows = rows.withColumn("words", F.transform("raw", lambda t: F.lower(F.ltrim(t, F.lit(MARK)))))
+    rows = rows.withColumn("vh", F.transform("words", lambda w: F.xxhash64(w)))
+    slot = lambda n: F.lit(n).cast("long")
+    unit = lambda w, i: (i > 0) & F.get("raw", i - 1).between("0", ":") & w.isin(UNITS)
+    even = lambda h: h.bitwiseAND(F.lit(-2).cast("long"))
+    kind = lambda t, i: F.when(t < "A", F.when(t.startswith(MARK), F.when(F.get("words", i).isin(STARTERS), even(F.get("vh", i))).otherwise(slot(3))).otherwise(slot(1))).when(unit(F.get("words", i), i), slot(5)).otherwise(even(F.get("vh", i)))
+    return rows.withColumn("th", F.transform("raw", kind))
 
 
-def template(raw: Column) -> Column:
-    """Template tokens of an array of raw tokens."""
-    return F.transform(raw, lambda t, i: _kind(t, F.when(i > 0, F.get(raw, i - 1)).otherwise("")))
+def _is_slot(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(1).cast("long")) == 1
 
 
-def _is_slot(token: Column) -> Column:
-    return token.startswith("<")
+def window_hash(at: Column, size: int, shortest: int) -> Column:
+    """The hash of the window of ``size`` tokens at ``at``: of its template, or of its values where it has no word or is too short."""
+    th, vh = ([F.get(c, at + i) for i in range(size)] for c in ("th", "vh"))
+    values = F.xxhash64(F.lit(-size), *vh)
+    if size < shortest:
+        return values
+    return F.when(_is_slot(reduce(lambda p, q: p.bitwiseAND(q), th)), values).otherwise(F.xxhash64(F.lit(size), *th))
 
 
-def _hash(tokens: Column, raw: Column, size: Column) -> Column:
-    """A window's hash; one of placeholders alone has the hash of its values, as its template would fit any row of numbers."""
-    return F.when(F.forall(tokens, _is_slot), F.xxhash64(-size, F.transform(raw, F.lower))).otherwise(F.xxhash64(size, tokens))
+def _any_size(at: Column, size: Column, sizes: list[int], shortest: int) -> Column:
+    return F.coalesce(*(F.when(size == n, window_hash(at, n, shortest)) for n in sizes))
 
 
-def _windows(tokens: Column, raw: Column, size: int) -> Column:
-    """Hashes of all windows of ``size`` tokens."""
-    n = F.size(tokens) - size + 1
-    part = lambda c, i: F.slice(c, i + 1, size)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: _hash(part(tokens, i), part(raw, i), F.lit(size)))).otherwise(F.array().cast("array<long>"))
+def _item_rows(items: DataFrame, size: int) -> DataFrame:
+    """(item_id, named, raw, words, vh, th, size): items as tokens, with the words that begin sentences as words and, if that differs, as names."""
+    rows = items.select("item_id", F.explode(F.array(*(F.struct(F.lit(named).alias("named"), raw_tokens(F.col("text"), p).alias("raw")) for named, p in ((False, INNER_NAME), (True, NAME))))).alias("x"))
+    rows = tokenised(rows.select("item_id", "x.*").where("size(raw) > 0"))
+    return rows.dropDuplicates(["item_id", "th", "words"]).withColumn("size", F.least(F.lit(size), F.size("raw")))
 
 
-def _item_windows(items: DataFrame, size: int, shortest: int) -> DataFrame:
-    """(item_id, size, item_at, h, item_raw, item_tokens, heavy, n_worded, named) of every window.
+def _item_windows(rows: DataFrame, sizes: list[int], shortest: int) -> DataFrame:
+    """(item_id, named, size, item_at, h, heavy, worded, n_worded) of every window.
 
-    ``heavy``: it holds more placeholders than words; ``n_worded``: the windows of its text that hold a word; ``named``:
-    its first word, which begins the item, taken as the name that it looks like after a comma or colon in a document.
+    ``heavy``: it holds more placeholders than words; ``worded``: it holds a word; ``n_worded``: the windows of its text that do.
     """
-    rows = items.select(F.col("item_id"), raw_tokens(F.col("text")).alias("raw")).withColumn("tokens", template(F.col("raw"))).where(F.size("tokens") >= shortest)
-    rows = rows.withColumn("size", F.least(F.lit(size), F.size("tokens")))
-    starts = F.sequence(F.lit(0), F.size("tokens") - F.col("size"))
-    rows = rows.select("item_id", "raw", "tokens", "size", F.explode(starts).alias("item_at"))
-    rows = rows.withColumn("w", F.slice("tokens", F.col("item_at") + 1, F.col("size"))).withColumn("r", F.slice("raw", F.col("item_at") + 1, F.col("size")))
-    at = F.filter(F.sequence(F.lit(0), F.size("tokens") - F.col("size")), lambda i: F.exists(F.slice("tokens", i + 1, F.col("size")), lambda t: ~_is_slot(t)))
-    heavy = 2 * F.size(F.filter("w", _is_slot)) > F.col("size")
-    rows = rows.select("item_id", "size", "item_at", heavy.alias("heavy"), F.size(at).alias("n_worded"), F.struct(F.lit(False).alias("named"), "w", "r").alias("x"))
-    rest = lambda c, first: F.concat(F.array(first), F.slice(c, F.lit(2), F.col("size") - 1))
-    named = F.struct(F.lit(True).alias("named"), rest(F.col("x.w"), F.lit("<name>")).alias("w"), rest(F.col("x.r"), F.concat(F.lit(MARK), F.col("x.r")[0])).alias("r"))
-    begins = (F.col("item_at") == 0) & F.col("x.r")[0].rlike(r"^\p{Lu}\p{Ll}+$")
-    rows = rows.withColumn("x", F.explode(F.when(begins, F.array("x", named)).otherwise(F.array("x"))))
-    return rows.select("item_id", "size", "item_at", _hash(F.col("x.w"), F.col("x.r"), F.col("size")).alias("h"), F.col("x.r").alias("item_raw"), F.col("x.w").alias("item_tokens"), "heavy", "n_worded", F.col("x.named").alias("named"))
+    rows = rows.select("item_id", "named", "th", "vh", "size", F.explode(F.sequence(F.lit(0), F.size("th") - F.col("size"))).alias("item_at"))
+    slots = F.size(F.filter(F.slice("th", F.col("item_at") + 1, F.col("size")), _is_slot))
+    rows = rows.withColumn("slots", F.when(F.col("size") < shortest, 0).otherwise(slots))
+    rows = rows.select("item_id", "named", "size", "item_at", _any_size(F.col("item_at"), F.col("size"), sizes, shortest).alias("h"), (2 * F.col("slots") > F.col("size")).alias("heavy"), (F.col("slots") < F.col("size")).alias("worded"))
+    n = rows.groupBy("item_id", "named").agg(F.count_if("worded").alias("n_worded"))
+    return rows.join(n.select(F.col("item_id").alias("_i"), F.col("named").alias("_n"), "n_worded"), F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("named") == F.col("_n"))).drop("_i", "_n")
+
+
+def document_windows(docs: DataFrame, sizes: list[int], shortest: int) -> DataFrame:
+    """(doc_id, text_key, at, h) of every window of a document, of all sizes."""
+    rows = tokenised(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), raw_tokens(F.col("text")).alias("raw")))
+    n = F.size("th")
+    # The outer form keeps Spark from working out the tokens once more, for each of them, in a filter below.
+    places = F.explode_outer(F.when(n >= min(sizes), F.sequence(F.lit(0), n - min(sizes))))
+    rows = rows.select("doc_id", "text_key", "th", "vh", places.alias("at")).where("at is not null")
+    made = [F.when(F.col("at") + s <= n, window_hash(F.col("at"), s, shortest)) for s in sizes]
+    rows = rows.select("doc_id", "text_key", "at", (made[0] if len(made) == 1 else F.explode(F.array(*made))).alias("h"))
+    return rows.where("h is not null")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, least: int = 6, shortest: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, item_id, n_windows, n_hit, n_exact): pairs of documents and items that they hold, ``n_exact`` windows word by word."""
-    windows = written(_item_windows(items, size, shortest), "decontam-items")
+    known = written(_item_rows(items, size), "decontam-items")
+    sizes = sorted(r[0] for r in known.select("size").distinct().collect()) or [size]  # at most ``size`` numbers
+    windows = written(_item_windows(known, sizes, shortest), "decontam-windows")
     sized = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     hashes = sized(written(windows.select("h").distinct(), "decontam-hashes"))
-    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most ``size`` numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), raw_tokens(F.col("text")).alias("raw"))
-    rows = rows.select("doc_id", "text_key", "raw", template(F.col("raw")).alias("tokens"))
-    found = None
-    for n in sizes or [size]:
-        part = rows.select("doc_id", "text_key", F.posexplode(_windows(F.col("tokens"), F.col("raw"), n)).alias("at", "h")).join(hashes, "h", "left_semi")
-        found = part if found is None else found.union(part)
-    found = written(found, "decontam-hits")
+    found = written(document_windows(docs, sizes, shortest).join(hashes, "h", "left_semi"), "decontam-hits")
     ids = sized(written(found.select("doc_id", "text_key").distinct(), "decontam-ids"))
     raws = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"), F.col("text").alias("_text"))
     raws = raws.join(ids, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")), "left_semi").dropDuplicates(["_id", "_key"])
-    raws = raws.select("_id", "_key", raw_tokens(F.col("_text")).alias("raw"))
-    hits = found.join(sized(windows), "h").select("doc_id", "text_key", "at", "item_id", "item_at", "size", "item_raw", "item_tokens", "heavy", "n_worded", "named")
-    hits = raws.join(hits, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))).withColumn("doc_raw", F.slice("raw", F.col("at") + 1, F.col("size"))).drop("raw", "_id", "_key")
-    hits = hits.where(~F.col("named") | (F.lower(F.col("item_raw")[0]) == F.lower(F.col("doc_raw")[0])))
-    pairs = F.transform(F.arrays_zip("item_tokens", "item_raw", "doc_raw"), lambda z: F.struct(z["item_tokens"].alias("kind"), F.lower(z["item_raw"]).alias("item"), F.lower(z["doc_raw"]).alias("doc")))
-    hits = hits.withColumn("slots", F.filter(pairs, lambda p: p["kind"].startswith("<"))).withColumn("exact", F.forall(pairs, lambda p: p["item"] == p["doc"]))
-    by = ["doc_id", "text_key", "item_id", "run"]
-    places = F.filter(F.transform(pairs, lambda p, i: F.struct(p["kind"].alias("kind"), p["item"].alias("item"), p["doc"].alias("doc"), (F.col("item_at") + i).alias("place"))), lambda p: _is_slot(p["kind"]))
-    hits = hits.withColumn("run", F.col("at") - F.col("item_at")).withColumn("slots", places).withColumn("worded", F.exists("item_tokens", lambda t: ~_is_slot(t)))
-    hits = hits.select(*by, "item_at", "slots", "exact", "heavy", "worded", "n_worded").distinct()
+    raws = tokenised(raws.select("_id", "_key", raw_tokens(F.col("_text")).alias("raw"))).select("_id", "_key", F.col("words").alias("doc_words"))
+    texts = known.select(F.col("item_id").alias("_i"), F.col("named").alias("_n"), F.col("words").alias("item_words"), "th")
+    bytes_ = known.agg(F.coalesce(F.sum(F.size("raw") * 40), F.lit(0))).first()[0]
+    texts = F.broadcast(texts) if bytes_ <= 16 << 20 and broadcast_rows else texts
+    hits = found.join(sized(windows), "h").drop("h").join(texts, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("named") == F.col("_n"))).drop("_i", "_n")
+    hits = raws.join(hits, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
+    part = lambda c, at: F.slice(c, F.col(at) + 1, F.col("size"))
+    zipped = F.arrays_zip(part("item_words", "item_at").alias("item"), part("doc_words", "at").alias("doc"), part("th", "item_at").alias("th"))
+    places = F.filter(F.transform(zipped, lambda p, i: F.struct(p["th"].alias("kind"), p["item"].alias("item"), p["doc"].alias("doc"), (F.col("item_at") + i).alias("place"))), lambda p: _is_slot(p["kind"]))
+    by = ["doc_id", "text_key", "item_id", "named", "run"]
+    hits = hits.select("doc_id", "text_key", "item_id", "named", (F.col("at") - F.col("item_at")).alias("run"), "item_at", places.alias("slots"), F.forall(zipped, lambda p: p["item"] == p["doc"]).alias("exact"), "heavy", "worded", "n_worded").distinct()
     same = lambda x, y: reduce(lambda p, q: p & q, (x[c].eqNullSafe(y[c]) for c in by))
     slots = hits.select(*by, F.explode("slots").alias("p")).groupBy(*by, "p.kind", "p.item").agg(F.count_distinct("p.doc").alias("n"), F.count_distinct("p.place").alias("n_places"))
     slots = slots.groupBy(*by).agg(F.bool_or(F.col("n") > 1).alias("odd"), F.bool_or(F.col("n_places") > 1).alias("repeats"))
@@ -131,7 +155,6 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, least: int =
     several = (F.col("n_seen") > 1) & (F.coalesce("repeats", F.lit(False)) | (F.col("n_seen") == F.col("n_all")))
     runs = runs.join(slots, same(runs, slots), "left").select(*(runs[c].alias(f"_{c}") for c in by), (F.col("light") | several).alias("backed"), F.coalesce("odd", F.lit(False)).alias("odd"))
     held = hits.join(runs, reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))).where(F.col("exact") | (~F.col("odd") & (~F.col("heavy") | F.col("backed"))))
-    held = held.select(*by, "item_at", "exact", "odd")
     held = held.groupBy("doc_id", "item_id", "item_at").agg(F.max("exact").alias("exact"), F.min("odd").alias("odd"))
     held = held.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hit"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("odd")).alias("n_even"))
     totals = windows.select("item_id", "item_at").distinct().groupBy("item_id").agg(F.count("*").alias("n_windows"))
@@ -140,7 +163,12 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, least: int =
     return held.where((F.col("n_even") >= F.least(F.lit(least), half)) | (F.col("n_hit") >= half)).drop("n_even")
 
 
-def cleaned(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows with a null doc_id go if any of them does."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+def cleaned(docs: DataFrame, items: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """``docs`` without the documents that hold an item; rows with a null doc_id go if any of them does.
+
+    The ids to drop are broadcast if counted at no more than ``broadcast_rows``; beyond that texts are shuffled by id.
+    """
+    (bad,) = unused(docs, "_bad")
+    ids = written(contaminated(docs, items, broadcast_rows=broadcast_rows).select(F.col("doc_id").alias(bad)).distinct(), "decontam-found")
+    ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids[bad]), "left_anti")
