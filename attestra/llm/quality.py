@@ -2,11 +2,12 @@
 
 The method's verdict: zstandard ratios (compressed over plain bytes) of the whole text and of fixed chunks must lie in
 the band for the text's length. Repetitive text compresses too well, random text hardly at all. Short texts
-compress worse, so each length has its own limits. A text may have some chunks outside their band: ``max_odd_chunks``
-is the share that it takes to reject it.
+compress worse, so each length has its own limits. Texts of ``CHUNKS``' least sizes are cut into chunks of the size that goes with
+them; the last chunk ends with the text and overlaps the one before, so no byte goes unseen. ``max_odd_chunks`` is the
+share of chunks outside their band up to which a text is kept.
 
 Defined results: a null or empty text has no words and fails; rows are judged one by one, so repeats and ties don't
-matter; columns besides doc_id and text are not looked at.
+matter; columns besides the id and the text are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from ..session import ship
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
-CHUNK = 4096
 #: Bytes of a text below which a band holds, its least ratio, its largest.
 BANDS = ((512, 0.30, 0.95), (2048, 0.27, 0.85), (8192, 0.20, 0.75), (1 << 62, 0.10, 0.70))
-CHUNK_BAND = (0.15, 0.75)
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, odd_chunks double, band_ok boolean"
+#: Least bytes of a text, the size of its chunks, their least ratio, their largest.
+CHUNKS = ((8192, 4096, 0.15, 0.72), (1025, 1024, 0.22, 0.76))
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, odd_chunks double, kept boolean"
+NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 
 
 def repeat_words(words: list, size: int = 3) -> int:
@@ -60,15 +62,29 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def compression(raw: bytes, compress) -> tuple[float, float, bool]:
-    """Ratio of the whole, share of chunks outside their band, and whether both are in order; ``raw`` isn't empty."""
-    ratio = len(compress(raw)) / len(raw)
-    chunks = [raw[i : i + CHUNK] for i in range(0, len(raw) - CHUNK + 1, CHUNK)]
-    odd = sum(not CHUNK_BAND[0] <= len(compress(c)) / CHUNK <= CHUNK_BAND[1] for c in chunks) / len(chunks) if chunks else 0.0
-    low, high = next((a, b) for size, a, b in BANDS if len(raw) < size)
+    """Ratio of the whole, share of chunks outside their band, and whether the whole is in its band; ``raw`` isn't empty."""
+    n = len(raw)
+    ratio, odd = len(compress(raw)) / n, 0.0
+    for least, size, low, high in CHUNKS:
+        if n >= least:
+            starts = [*range(0, n - size, size), n - size]
+            odd = sum(not low <= len(compress(raw[i : i + size])) / size <= high for i in starts) / len(starts)
+            break
+    low, high = next((a, b) for size, a, b in BANDS if n < size)
     return ratio, odd, low <= ratio <= high
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_odd_chunks: float = 0.5) -> DataFrame:
+def judgement(text: str | None, compress, max_odd_chunks: float = 0.25) -> tuple:
+    """The five counts, base_failed, ratio, odd_chunks and kept of a text; no text has no ratio."""
+    text = text or ""
+    found = counts(text)
+    n, again = found[0], found[4]
+    failed = n < 50 or 100 * again > 50 * n
+    ratio, odd, ok = compression(text.encode(), compress) if text else (None, None, False)
+    return (*found, failed, ratio, odd, not failed and ok and odd <= max_odd_chunks)
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_odd_chunks: float = 0.25) -> DataFrame:
     """The counts, base_failed, ratio, odd_chunks and kept of every row."""
     ship(docs.sparkSession)
 
@@ -76,22 +92,17 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=3).compress
+        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
         for b in batches:
-            rows = []
-            for t in b.column(1).to_pylist():
-                t = t or ""
-                rows.append(counts(t) + (compression(t.encode(), compress) if t else (None, None, False)))
-            kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()]
-            cols = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "odd_chunks", "band_ok"])
+            rows = [judgement(t, compress, max_odd_chunks) for t in b.column(1).to_pylist()]
+            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=NAMES)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("band_ok") & (F.col("odd_chunks") <= max_odd_chunks))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with _kept, judged in place: each row is read once and no join is needed."""
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "_kept", max_odd_chunks: float = 0.25) -> DataFrame:
+    """``docs`` with the column ``mark``, judged in place: each row is read once and no join is needed."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("boolean")
@@ -99,13 +110,11 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=3).compress
-        return texts.map(lambda t: bool(t) and passes(t, compress))
+        return texts.map(lambda t: judgement(t, compress, max_odd_chunks)[-1])
 
-    return docs.withColumn("_kept", verdict(F.col(text_col).cast("string")))
+    return docs.withColumn(mark, verdict(F.col(text_col).cast("string")))
 
 
-def passes(text: str, compress, max_odd_chunks: float = 0.5) -> bool:
-    """Whether the rules keep a text that isn't empty."""
-    n, _, _, _, again = counts(text)
-    _, odd, ok = compression(text.encode(), compress)
-    return n >= 50 and 100 * again <= 50 * n and ok and odd <= max_odd_chunks
+def passes(text: str | None, compress, max_odd_chunks: float = 0.25) -> bool:
+    """Whether the rules keep a text."""
+    return judgement(text, compress, max_odd_chunks)[-1]
