@@ -3,12 +3,14 @@
 A record: the payload's length (unsigned 64-bit), the masked checksum of those eight bytes, the payload, its masked
 checksum; all little-endian. The checksum is CRC-32 (zlib), masked by rotating it right by 15 bits and adding 0xa282ead8,
 so that a checksum of data that holds checksums stays useful. The payload: doc_id (signed 64-bit), a byte that is 1 where
-the doc_id is null, the bytes of an id (1 byte: 2 or 4), then the ids. Each ``shard-N.rec`` has a ``shard-N.idx``: for each
+the doc_id is null, the bytes of an id (1 byte: 2 or 4), then the ids. Each shard's ``.rec`` has an ``.idx``: for each
 record its offset in the file and its number of ids, as unsigned 64-bit integers, so that any record can be read alone.
 
 Documents are range-partitioned and sorted by doc_id (nulls first; equal ids by a hash of their text), so shard after
-shard holds them in order, and a range of equal ids can be split. A task writes its shard under another name and then
-moves it, so a task that is run again leaves the same file. Files go to any store that pyarrow's file systems open by uri.
+shard holds them in order, and a range of equal ids can be split. A shard's files are named after its number and a token of the
+attempt that wrote them, and only names that a finished task returned are listed, in ``shards.json`` too; what a lost or
+doubled attempt leaves is in no list, so nothing is moved or overwritten. Files go to any store that pyarrow's file systems open
+by uri; ``s3a`` and ``s3n`` are read as ``s3``.
 
 Defined results: a null text counts as empty, and an empty one is its end id alone; repeated rows are records of their
 own; other columns are ignored; an empty table gives no records.
@@ -16,6 +18,7 @@ own; other columns are ignored; an empty table gives no records.
 
 from __future__ import annotations
 
+import json
 import random
 import struct
 import uuid
@@ -69,16 +72,22 @@ def parsed(data: memoryview) -> tuple[int | None, bytes]:
     return None if none else doc_id, np.frombuffer(ids, "<u2").astype("<u4").tobytes() if width == 2 else ids
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int, int]]:
-    """Writes the shards under ``folder``; (shard, records, ids) of each, in order, is all that the driver gets."""
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's uri, and its path there."""
+    scheme, found, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if found and scheme in ("s3a", "s3n") else folder)
+
+
+def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
+    """Writes the shards under ``folder``; (name, records, ids) of each, in order, is all that the driver gets."""
     ship(docs.sparkSession)
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, "byte")
         width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        store, root = fs.FileSystem.from_uri(folder)
-        shard, tmp = TaskContext.get().partitionId(), f"{root}/.tmp-{uuid.uuid4().hex}"
+        store, root = opened(folder)
+        name = f"shard-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex[:12]}"
         n = tokens = at = 0
         index: list[bytes] = []
         out = None
@@ -86,7 +95,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for i, j in parts(texts):
                 if out is None:
-                    out = store.open_output_stream(f"{tmp}.rec", compression=None)
+                    out = store.open_output_stream(f"{root}/{name}.rec", compression=None)
                 for d, e in zip(ids[i:j], enc.encode_batch(texts[i:j])):
                     index.append(struct.pack("<QQ", at, len(e) // 4 + 1))
                     out.write(record := frame(payload(d, e + end, width)))
@@ -96,25 +105,31 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         if out is None:
             return
         out.close()
-        with store.open_output_stream(f"{tmp}.idx", compression=None) as f:
+        with store.open_output_stream(f"{root}/{name}.idx", compression=None) as f:
             f.write(b"".join(index))
-        for kind in ("rec", "idx"):
-            store.move(f"{tmp}.{kind}", f"{root}/shard-{shard:08d}.{kind}")
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "records": [n], "ids": [tokens]})
+        yield pa.RecordBatch.from_pydict({"shard": [name], "records": [n], "ids": [tokens]})
 
-    fs_, root = fs.FileSystem.from_uri(folder)
-    fs_.create_dir(root)
+    store, root = opened(folder)
+    store.create_dir(root)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("key"))
     rows = rows.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").select("doc_id", "text")
-    return sorted(tuple(r) for r in rows.mapInArrow(run, "shard long, records long, ids long").collect())
+    shards = sorted(tuple(r) for r in rows.mapInArrow(run, "shard string, records long, ids long").collect())
+    with store.open_output_stream(f"{root}/shards.json", compression=None) as f:
+        f.write(json.dumps(shards).encode())
+    return shards
 
 
-def read_records(spark: SparkSession, folder: str, shards: list[tuple[int, int, int]], seed: int | None = None, block: int = 8 << 20) -> DataFrame:
+def read_records(spark: SparkSession, folder: str, shards: list[tuple[str, int, int]] | None = None, seed: int | None = None, block: int = 8 << 20) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every record, a task for each shard; ``start`` counts all ids before.
 
-    With ``seed``, the records of a shard are read one by one in a random order, by the offset index.
+    With ``seed``, the records of a shard are read one by one in a random order, by the offset index. Without ``shards``,
+    ``shards.json`` is read for them.
     """
     ship(spark)
+    if shards is None:
+        store, root = opened(folder)
+        with store.open_input_stream(f"{root}/shards.json", compression=None) as f:
+            shards = [tuple(x) for x in json.loads(f.read())]
     names = [s for s, _, _ in shards]
     starts = np.cumsum([0] + [t for _, _, t in shards]).tolist()
 
@@ -140,10 +155,10 @@ def read_records(spark: SparkSession, folder: str, shards: list[tuple[int, int,
             k = j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = opened(folder)
         for b in batches:
             for i in b.column(0).to_pylist():
-                path = f"{root}/shard-{names[i]:08d}"
+                path = f"{root}/{names[i]}"
                 with store.open_input_stream(f"{path}.idx", compression=None) as f:
                     index = np.frombuffer(f.read(), "<u8").reshape(-1, 2).astype(np.int64)
                 before = starts[i] + np.cumsum(index[:, 1]) - index[:, 1]

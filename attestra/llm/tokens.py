@@ -2,14 +2,17 @@
 
 A text is cut into pieces at places where the tokenizer's own pre-tokenizer always cuts, so that the ids of a text are
 those of its pieces in turn. Each distinct piece is encoded once by the library and then looked up. A text that could
-break this (it holds one of the tokenizer's special strings, or needs Unicode normalisation) is encoded whole.
+break this (it holds one of the tokenizer's special strings, a character that this Python's Unicode tables do not know while the
+library's may, or needs Unicode normalisation) is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
 import unicodedata
+from functools import cache
 
 import numpy as np
 
@@ -21,12 +24,29 @@ BYTE_PIECES = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[^\\W_]+| ?(?:[^{SPACE}\\w]|_)
 WORD_PIECES = re.compile(f"'(?:[sdmtSDMT]|[lL][lL]|[vV][eE]|[rR][eE])|[^\\W_]+|(?:[^{SPACE}\\w]|_)+")
 #: The capital whose lower case has two characters, one of them no letter.
 DOTTED_I = "İ"
+#: Longer pieces are not kept, which bounds the cache in bytes too.
+LONGEST_KEPT = 64
+
+
+@cache
+def unassigned() -> re.Pattern:
+    """A pattern for the characters that this Python's Unicode tables do not know."""
+    ranges, start = [], None
+    for c in range(sys.maxunicode + 2):
+        new = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if new and start is None:
+            start = c
+        elif not new and start is not None:
+            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile("[" + "".join(ranges) + "]")
 
 
 class PieceEncoder:
     """``encode_batch(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
-    ``kind`` is ``byte`` or ``word``. At most ``cache_size`` pieces are kept; a full cache is emptied.
+    ``kind`` is ``byte`` or ``word``. At most ``cache_size`` pieces of at most ``LONGEST_KEPT`` characters are kept; a full cache
+    is emptied.
     """
 
     def __init__(self, path: str, kind: str, cache_size: int = 700_000):
@@ -40,15 +60,17 @@ class PieceEncoder:
         self.cache_size = cache_size
 
     def _whole(self, text: str) -> bool:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or not text.isascii() and unassigned().search(text):
             return True
         return self.kind == "word" and (DOTTED_I in text or not unicodedata.is_normalized("NFC", text))
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> list[str]:
+        """Encodes pieces into the cache; those that are too long to stay there."""
         e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
         raw = np.asarray(e.ids, dtype="<u4").tobytes()
         cuts = (4 * np.searchsorted(np.asarray(e.word_ids, dtype=np.int64), np.arange(len(pieces) + 1))).tolist()
         self.cache.update((p, raw[i:j]) for p, i, j in zip(pieces, cuts, cuts[1:]))
+        return [p for p in pieces if len(p) > LONGEST_KEPT]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > self.cache_size:
@@ -56,13 +78,15 @@ class PieceEncoder:
         whole = [self._whole(t) for t in texts]
         pieces = [[] if w else self.pattern.findall(t) for t, w in zip(texts, whole)]
         new = list(set().union(*pieces).difference(self.cache))
-        if new:
-            self._learn(new)
+        long = self._learn(new) if new else []
         get = self.cache.__getitem__
-        return [
+        out = [
             np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if w else b"".join(map(get, p))
             for t, w, p in zip(texts, whole, pieces)
         ]
+        for p in long:
+            del self.cache[p]
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
