@@ -10,7 +10,8 @@
    until bitmaps are applied.
 
 Defined results: a null or empty text is one empty line; rows with the same doc_id and text count as one document for
-least_docs, and so do rows with one id; a null doc_id comes before all others; other columns pass unseen.
+least_docs, and so do rows with one id; a null doc_id comes before all others; other columns pass unseen, whatever their names;
+a key's lines in its last document all stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, written
+from .skew import unused
 from .text import text_key
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -147,8 +149,8 @@ def keep_bitmaps(docs: DataFrame, least_docs: int = 5, shortest: int = 40) -> Da
     return gone.groupBy("doc", "text_key").agg(F.collect_set("at").alias("ats")).select("doc", "text_key", bitmap("ats").alias("bitmap"))
 
 
-def applied(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the lines that stay as text, and _n_lines and _n_dropped."""
+def applied(docs: DataFrame, bitmaps: DataFrame, n_lines: str = "_n_lines", n_dropped: str = "_n_dropped") -> DataFrame:
+    """``docs`` with the lines that stay as text, and the columns ``n_lines`` and ``n_dropped`` (after columns of such names are dropped)."""
 
     @F.pandas_udf("kept string, n_lines long, n_dropped long")
     def kept(text, bitmap):
@@ -165,7 +167,9 @@ def applied(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
         return pd.DataFrame([one(t or "", b) for t, b in zip(text, bitmap)], columns=["kept", "n_lines", "n_dropped"])
 
-    marked = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text_key": text_key()})
-    marked = marked.join(bitmaps.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"), F.col("bitmap").alias("_bitmap")), ["_doc", "_text_key"], "left")
-    k = marked.withColumn("_k", kept(F.col("text").cast("string"), "_bitmap"))
-    return k.select(*(F.col("_k.kept").alias("text") if c == "text" else c for c in docs.columns), F.col("_k.n_lines").alias("_n_lines"), F.col("_k.n_dropped").alias("_n_dropped"))
+    rows = docs.drop(n_lines, n_dropped)
+    doc, key, bits, k = unused(rows, "_doc", "_text_key", "_bitmap", "_k")
+    marked = rows.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key: text_key()})
+    marked = marked.join(bitmaps.select(F.col("doc").alias(doc), F.col("text_key").alias(key), F.col("bitmap").alias(bits)), [doc, key], "left")
+    made = marked.withColumn(k, kept(F.col("text").cast("string"), bits))
+    return made.select(*(F.col(f"{k}.kept").alias("text") if c == "text" else c for c in rows.columns), F.col(f"{k}.n_lines").alias(n_lines), F.col(f"{k}.n_dropped").alias(n_dropped))
