@@ -1,19 +1,24 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
-Base kinds email, ip, card and phone follow fixed rules. The method adds spans of kind iban (mod-97), national
-identity numbers of the form 123-45-6789 and unmarked phone numbers of 10 digits; the last two only count if their
-score reaches ``least``. A score starts at the kind's own, gains where a context word of the kind stands within
-``CONTEXT`` characters before or after, and loses where a word that speaks against it does.
-
-Defined results: a null or empty text has no spans; rows are handled one by one; columns besides the id and the text
-are not looked at. Spans count code points, end exclusive. Long runs of digits or signs take time in proportion to their
+Base kinds email, ip, card and phone follow fixed rules. The method adds spans of kind iban (its country's length, then mod-97;
+for other countries the longest end that mod-97 confirms), national identity numbers of the form 123-45-6789, unmarked phone
+numbers of 10 digits, and secrets: what stands after a name like ``token`` or ``api_key`` and ``=`` or ``:``, if its signs
+are mixed enough (``ENTROPY`` bits a sign), and key blocks. Spans that the method adds only count if their score reaches ``least``;
+base spans always stay. A score starts at the kind's own, gains where a context word of the kind stands within
+``CONTEXT`` characters before or after, and loses where a word that speaks against it does. Context words are whole words.
+
+Defined results: a null or empty text has no spans; rows are handled one by one, so repeated rows have spans of their own; spans that
+begin together go by kind, in the order of ``KINDS``; columns besides the id and the text are not looked at; an empty table gives no
+rows. Spans count code points, end exclusive. Long runs of digits or signs take time in proportion to their
 length (patterns start at a run's first digit, and do not give back what they matched).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -23,26 +28,40 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "local_phone")
+KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "local_phone", "secret")
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+#: An IBAN's length by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24,
+    "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd|bearer)\b[\"']?\x20{0,4}[=:]\x20{0,4}[\"']?([A-Za-z0-9+/_.=-]{12,512})")
+KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
+ENTROPY = 3.0
 NATIONAL_ID = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9.-]*[0-9])")
 DIGIT = re.compile(r"[0-9]")
 CONTEXT = 40
+_words = lambda *ws: re.compile(r"(?i)(?<![a-z0-9])(?:" + "|".join(ws) + r")(?![a-z0-9])")
+_PHONE_WORDS, _NUMBER_WORDS = _words("phones?", "telephone", "calls?", "called", "tel", "mobile", "fax", "cell"), _words("orders?", "part", "serial", "isbn", "invoice")
 #: Score of a kind by itself, words that raise it, words that lower it.
 SCORES = {
-    "email": (0.9, re.compile(r"(?i)mail|contact|write"), re.compile(r"(?i)example")),
-    "ip": (0.6, re.compile(r"(?i)\bip\b|address|host|server"), re.compile(r"(?i)version|release|section")),
-    "card": (0.8, re.compile(r"(?i)card|visa|pay|credit"), re.compile(r"(?i)isbn|order|serial")),
-    "phone": (0.8, re.compile(r"(?i)phone|call|tel|mobile|fax"), re.compile(r"(?i)score|version")),
-    "iban": (0.9, re.compile(r"(?i)iban|bank|account"), re.compile(r"(?i)serial|part")),
-    "national_id": (0.5, re.compile(r"(?i)\bssn\b|social|security|identity"), re.compile(r"(?i)order|part|serial")),
-    "local_phone": (0.5, re.compile(r"(?i)phone|call|tel|mobile|fax"), re.compile(r"(?i)order|part|serial|isbn")),
+    "email": (0.9, _words("e?-?mails?", "contact", "write"), _words("example")),
+    "ip": (0.6, _words("ip", "address", "hosts?", "servers?"), _words("versions?", "release", "section")),
+    "card": (0.8, _words("cards?", "visa", "pay", "paid", "payment", "credit"), _words("isbn", "orders?", "serial")),
+    "phone": (0.8, _PHONE_WORDS, _words("scores?", "version")),
+    "iban": (0.9, _words("iban", "banks?", "accounts?"), _words("serial", "part")),
+    "national_id": (0.5, _words("ssn", "social", "security", "identity"), _NUMBER_WORDS),
+    "local_phone": (0.5, _PHONE_WORDS, _NUMBER_WORDS),
+    "secret": (0.8, _words("keys?", "tokens?", "secrets?", "passwords?", "login", "auth", "private"), _words("example", "placeholder", "dummy")),
 }
 
 
@@ -52,8 +71,30 @@ def luhn(digits: str) -> bool:
 
 
 def mod97(iban: str) -> bool:
-    s = iban.replace(" ", "")
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers by their country's length, or for other countries the longest end; what runs on in capitals or digits after a blank is none of it."""
+    at = 0
+    while m := IBAN.search(text, at):
+        at = m.start() + 2
+        ends = [i + 1 for i in range(m.start(), m.end()) if text[i] != " "]  # after each sign
+        for n in [IBAN_LENGTHS[m[0][:2]]] if m[0][:2] in IBAN_LENGTHS else range(min(34, len(ends)), 14, -1):
+            if n > len(ends):
+                continue
+            end = ends[n - 1]
+            if (end == len(text) or not text[end].isalnum()) and mod97(text[m.start() : end].replace(" ", "")):
+                yield m.start(), end
+                at = end
+                break
+
+
+def mixed(s: str) -> bool:
+    """Whether a text's signs are mixed enough to be a secret: bits a sign, and letters with digits or both cases."""
+    n = len(s)
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(s).values())
+    return bits >= ENTROPY and (any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s)) >= 2
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -91,10 +132,12 @@ def spans(text: str, least: float = 0.7) -> list[tuple[int, int, str, float]]:
         base = sorted((a, b) for a, b, _ in found)
         starts, ends = [a for a, _ in base], list(accumulate((b for _, b in base), max))
         free = lambda m: not (i := bisect_left(starts, m.end())) or ends[i - 1] <= m.start()
-        found += [(*m.span(), "iban") for m in IBAN.finditer(text) if mod97(m[0])]
+        found += [(a, b, "iban") for a, b in ibans(text)]
         found += [(*m.span(), k) for k, p in (("national_id", NATIONAL_ID), ("local_phone", LOCAL_PHONE)) for m in p.finditer(text) if free(m)]
+    found += [(*m.span(1), "secret") for m in SECRET.finditer(text) if mixed(m[1])]
+    found += [(*m.span(), "secret") for m in KEY_BLOCK.finditer(text)]
     scored = [(a, b, k, score(k, text, a, b)) for a, b, k in found]
-    return sorted((s for s in scored if s[2] in KINDS[:5] or s[3] >= least), key=lambda s: (s[0], KINDS.index(s[2])))
+    return sorted((s for s in scored if s[2] in KINDS[:4] or s[3] >= least), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def find(docs: DataFrame, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
