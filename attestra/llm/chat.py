@@ -9,8 +9,9 @@ Template of a turn: ``<|im_start|>role``, a newline, the text, ``<|im_end|>``, a
 reading back undoes it exactly.
 
 Defined results: a null text or role counts as empty; turns go by number (null first), ties by role, then text; rows
-that repeat are turns of their own; rows with a null conv_id are one conversation; other columns are ignored. Only
-built-in functions are used. A conversation's turns are gathered into one row, as its digests need them together.
+that repeat are turns of their own; rows with a null conv_id are one conversation; other columns are ignored; an empty table gives
+no examples. Only built-in functions are used. A conversation's turns are gathered into one row, as each example needs all turns
+before it: a conversation must fit a task's memory, and its examples take the square of its turns, which is the method's nature.
 """
 
 from __future__ import annotations
