@@ -42,6 +42,15 @@ def unassigned() -> re.Pattern:
     return re.compile("[" + "".join(ranges) + "]")
 
 
+def known(text: str) -> bool:
+    """Whether this Python knows all characters of a text; those of Latin-1 it does, and most texts hold no others."""
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not unassigned().search(text)
+
+
 class PieceEncoder:
     """``encode_batch(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
@@ -60,7 +69,7 @@ class PieceEncoder:
         self.cache_size = cache_size
 
     def _whole(self, text: str) -> bool:
-        if any(s in text for s in self.special) or not text.isascii() and unassigned().search(text):
+        if any(s in text for s in self.special) or not known(text):
             return True
         return self.kind == "word" and (DOTTED_I in text or not unicodedata.is_normalized("NFC", text))
 
