@@ -13,7 +13,13 @@ from pyspark.sql import types as T
 #: Signs that count as a hyphen, arrows and comparisons, each with its plain form.
 DASHES = "‐‑‒–—―−"
 SIGNS = (("→", "->"), ("←", "<-"), ("≤", "<="), ("≥", ">="), ("×", "x"), ("\\rightarrow", "->"), ("\\to", "->"), ("\\leftarrow", "<-"))
-NEGATORS = r"not|never|without|cannot|can't|no longer|(?:does|do|did|is|was|are|were)(?: not|n't)|lack(?:s|ed)?|missing|absent"
+#: Words that deny what follows.
+NEGATION_WORDS = (
+    "not", "never", "without", "cannot", "can't", "no longer", "does not", "doesn't", "do not", "don't", "did not", "didn't", "is not", "isn't",
+    "was not", "wasn't", "are not", "aren't", "were not", "weren't", "lack", "lacks", "lacked", "missing", "absent",
+)
+#: Longest first, so that the whole of a negator is taken.
+NEGATORS = "|".join(sorted(NEGATION_WORDS, key=len, reverse=True))
 #: Words for each state of a form field.
 FORM_STATES = {
     "checked": ("checked", "selected", "marked yes"),
@@ -21,7 +27,11 @@ FORM_STATES = {
     "disabled": ("disabled", "greyed out", "grayed out", "unavailable", "not enabled"),
     "crossed": ("crossed out", "crossed", "struck through", "struck", "strikethrough", "voided", "cancelled"),
 }
-HTML_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: Entities that have a name.
+HTML_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+ENTITY = "(?i)&(?:#x[0-9a-f]+|#[0-9]+|[a-z]+);"
+#: White space of any script, as a class that Java and RE2 both read.
+SPACES = "[ \\t\\n\\x0B\\f\\r\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+"
 
 
 @F.pandas_udf(T.StringType())
@@ -30,6 +40,29 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+def _compat_table() -> tuple[str, str]:
+    """Characters of the basic plane, beyond ASCII, whose compatibility form is one ASCII character; and those forms."""
+    pairs = [(c, unicodedata.normalize("NFKC", c)) for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) != "Cs"]
+    pairs = [(c, f) for c, f in pairs if len(f) == 1 and f.isascii()]
+    return "".join(c for c, _ in pairs), "".join(f for _, f in pairs)
+
+
+COMPAT = _compat_table()
+#: Ligatures and signs whose compatibility form has several characters.
+COMPAT_WIDE = tuple((c, unicodedata.normalize("NFKC", c)) for c in "ﬀﬁﬂﬃﬄ…™№℃")
+
+
+def compat(c: Column) -> Column:
+    """Wide digits and letters, raised and lowered digits, odd blanks and ligatures in plain form; ASCII texts are left alone.
+
+    This is the part of NFKC that evidence is written in, by built-in functions; ``nfkc`` is all of it.
+    """
+    out = F.translate(c, *COMPAT)
+    for sign, plain in COMPAT_WIDE:
+        out = F.replace(out, F.lit(sign), F.lit(plain))
+    return F.when(c.rlike("[^\\x00-\\x7F]"), out).otherwise(c)
+
+
 def _plain_signs(c: Column, dashes: str) -> Column:
     for sign, plain in SIGNS:
         c = F.replace(c, F.lit(sign), F.lit(plain))
@@ -37,12 +70,12 @@ def _plain_signs(c: Column, dashes: str) -> Column:
 
 
 def normalize_ascii(c: Column) -> Column:
-    """The scorer's normal form but for NFKC: lower case, plain signs, words and numbers apart, breaks as `` . ``."""
-    c = _plain_signs(F.lower(c), DASHES)
+    """The scorer's normal form, with ``compat`` for NFKC: lower case, plain signs, words and numbers apart, breaks as `` . ``."""
+    c = _plain_signs(F.lower(compat(c)), DASHES)
     c = F.replace(c, F.lit("°c"), F.lit(" c"))
     c = F.regexp_replace(F.regexp_replace(c, "([0-9])([a-z])", "$1 $2"), "([a-z])([0-9])", "$1 $2")
     c = F.regexp_replace(F.regexp_replace(c, r"[\n|]", " . "), "[*_`#]", "")
-    return F.trim(F.regexp_replace(c, r"[ \t\n\x0B\f\r]+", " "))
+    return F.trim(F.regexp_replace(c, SPACES, " "))
 
 
 def normalize_evidence(c: Column) -> Column:
@@ -89,12 +122,26 @@ def is_negated(before: Column) -> Column:
     return F.regexp_replace(clause, "not only", " ").rlike(rf"(?<![a-z0-9])(?:{NEGATORS})(?![a-z0-9])(?:[^a-z0-9]+[a-z0-9']+){{0,16}}[^a-z0-9]*$")
 
 
+def _entity(e: Column) -> Column:
+    """What an entity stands for: by name, by number if a character has it, else a blank."""
+    body = F.substr(e, F.lit(2), F.length(e) - 2)
+    digits = F.when(F.lower(body).startswith("#x"), F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(F.substr(body, F.lit(2)))
+    code = digits.try_cast("long")
+    good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(32)), 8, "0")), "UTF-32")
+    named = F.lit(None).cast("string")
+    for name, sign in HTML_ENTITIES.items():
+        named = F.when(F.lower(body) == name, sign).otherwise(named)
+    return F.coalesce(F.when(body.startswith("#"), F.when(good, char)).otherwise(named), F.lit(" "))
+
+
 def html_text(c: Column) -> Column:
-    """Text of an HTML fragment: breaks and tags as blanks, named entities decoded, others as blanks."""
-    c = F.regexp_replace(F.regexp_replace(c, r"(?i)<br[ ]*/?>", " "), "<[^>]*>", "")
-    for name, sign in HTML_ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "&[A-Za-z0-9#]+;", " "), r"[ \t\n\x0B\f\r]+", " "))
+    """Text of an HTML fragment: breaks and tags as blanks, entities decoded once, unknown ones as blanks, white space in one blank."""
+    c = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?\s*>", " "), "<[^>]*>", " ")
+    parts, found = F.split(c, ENTITY, -1), F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0))
+    decoded = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(_entity(F.get(found, i)), F.lit("")))), "")
+    c = F.when(c.contains("&"), F.when(F.size(found) > 0, decoded).otherwise(c)).otherwise(c)
+    return F.trim(F.regexp_replace(c, SPACES, " "))
 
 
 def form_text(c: Column) -> Column:

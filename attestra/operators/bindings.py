@@ -58,10 +58,10 @@ def header_matches(header: Column, wanted: Column) -> Column:
 
 
 def marked_grids(docs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Headings (keys, grid, header_ref, col, header) and cells (keys, grid, ref, col, cell) of Markdown and HTML tables, in normal form."""
+    """Headings (keys, grid, header_ref, col, header) and cells (keys, grid, row, ref, col, cell) of Markdown and HTML tables, in normal form."""
     c = table_cells(docs, keys).withColumn("grid", F.concat("kind", F.col("table_no").cast("string"), F.lit(":"), F.col("header_ref").cast("string")))
     heads = c.select(*keys, "grid", "header_ref", "col", normalize_ascii(F.col("header")).alias("header")).distinct()
-    return heads, c.select(*keys, "grid", "ref", "col", normalize_ascii(F.col("cell")).alias("cell"))
+    return heads, c.select(*keys, "grid", F.col("row_no").alias("row"), "ref", "col", normalize_ascii(F.col("cell")).alias("cell"))
 
 
 def plain_grids(docs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +70,7 @@ def plain_grids(docs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]
     w = Window.partitionBy(*keys).orderBy("ref")
     new = F.col("cells").isNull() | ~F.size("cells").eqNullSafe(F.size(F.lag("cells").over(w))) | F.lag("cells").over(w).isNull()
     rows = rows.withColumn("grid", F.concat(F.lit("plain"), F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("string"))).where("cells is not null")
-    cells = rows.select(*keys, "grid", "ref", F.posexplode("cells").alias("col", "cell")).withColumn("cell", normalize_ascii(F.col("cell")))
+    cells = rows.select(*keys, "grid", F.col("ref").alias("row"), "ref", F.posexplode("cells").alias("col", "cell")).withColumn("cell", normalize_ascii(F.col("cell")))
     return cells.select(*keys, "grid", F.col("ref").alias("header_ref"), "col", F.col("cell").alias("header")), cells
 
 
@@ -94,11 +94,11 @@ def grid_values(heads: DataFrame, cells: DataFrame, terms: DataFrame, keys: list
         met = heads.join(column.withColumnRenamed("alternative", "header"), [*keys, "header"])
     met = met.select(*keys, "leaf_id", "grid", "header_ref", "col").distinct()
     value = met.join(cells, [*keys, "grid", "col"]).where("ref > header_ref or grid not like 'plain%'").withColumnRenamed("cell", "value")
-    place = [*keys, "leaf_id", "grid", "ref"]
+    place = [*keys, "leaf_id", "grid", "row"]
     named = cells.withColumnRenamed("cell", "alternative").join(_role(terms, keys, "row"), [*keys, "alternative"]).select(*place, F.col("col").alias("_kc"))
     whole = value.join(named, place).where("_kc <> col").select(*value.columns)
-    units = cells.select(*keys, F.struct("grid", "ref", "col").alias("unit"), F.col("cell").alias("text"))
-    part = term_hits(units, _role(terms, keys, "rowParts"), keys).select(*keys, "leaf_id", "group_no", "unit.grid", "unit.ref", F.col("unit.col").alias("_kc"))
+    units = cells.select(*keys, F.struct("grid", "row", "col").alias("unit"), F.col("cell").alias("text"))
+    part = term_hits(units, _role(terms, keys, "rowParts"), keys).select(*keys, "leaf_id", "group_no", "unit.grid", "unit.row", F.col("unit.col").alias("_kc"))
     parts = _all_parts(value.join(part, place).where("_kc <> col"), terms, keys, value.columns)
     return whole.unionByName(parts).distinct().select(*keys, "leaf_id", F.array("header_ref", "ref").alias("refs"), "value")
 

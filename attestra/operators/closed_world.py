@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_ascii, same_member
 from .bindings import is_subsequence, words_of
-from .edges import holds
+from .evidence import holds
 from .lines import by, candidate_lines
 from .tables import table_cells
 
@@ -49,8 +49,8 @@ def invented_rows(docs: DataFrame, regions: DataFrame, keys: list[str]) -> DataF
     """
     grid, n = [*keys, "table_no", "header_ref"], normalize_ascii
     cells = table_cells(docs, keys).withColumn("_says", F.col("cell").rlike(r"[\p{L}\p{N}]"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "cell")).over(Window.partitionBy(*grid, "ref", "row_no"))), lambda x: x["cell"]), " | ")
-    rest = F.sum(F.col("_says").cast("int")).over(Window.partitionBy(*grid, "ref", "row_no")) - F.col("_says").cast("int")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "cell")).over(Window.partitionBy(*grid, "row_no"))), lambda x: x["cell"]), " | ")
+    rest = F.sum(F.col("_says").cast("int")).over(Window.partitionBy(*grid, "row_no")) - F.col("_says").cast("int")
     cells = cells.withColumns({"claim": whole, "_rest": rest}).where("_rest > 0").withColumn("_n", n(F.col("cell")))
     heads = cells.groupBy(*grid).agg(F.collect_set(n(F.col("header"))).alias("_heads"))
     heads = heads.join(scopes(docs, keys).withColumnRenamed("ref", "header_ref"), [*keys, "header_ref"]).withColumn("scope", n(F.col("scope")))

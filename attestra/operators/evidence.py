@@ -28,17 +28,71 @@ def phrase_pattern(phrase: Column) -> Column:
     return F.concat(left, F.lit("\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"), right)
 
 
+def holds(text: Column, alternatives: Column) -> Column:
+    """Whether a text has one of an array of phrases; null texts and arrays hold nothing."""
+    return F.coalesce(F.exists(alternatives, lambda a: F.regexp_instr(text, phrase_pattern(a)) > 0), F.lit(False))
+
+
+def whole_phrases(docs: DataFrame, phrases: DataFrame, doc: str, phrase: str, block: int = 8) -> DataFrame:
+    """(doc, phrase): ``phrases(phrase, phrase text)`` all of whose ASCII words a text of ``docs(doc, text)`` holds in turn.
+
+    Candidates meet by the hash of a phrase's first words, at most ``block`` of them (so of fewer for a shorter phrase), and then the
+    whole phrase is looked for. Words are hashed once for each text; a phrase without words is held by none.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    hashes = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    want = phrases.select(phrase, words(F.col("phrase")).alias("_p")).where("size(_p) > 0").withColumn("_n", F.least(F.lit(block), F.size("_p")))
+    want = want.withColumns({"_h": F.xxhash64("_n", F.slice(hashes(F.col("_p")), F.lit(1), F.col("_n"))), "_p": F.concat(F.lit(" "), F.array_join("_p", " "), F.lit(" "))})
+    sizes = F.broadcast(want.select("_n").distinct())  # at most ``block`` rows
+    said = docs.select(doc, words(F.col("text")).alias("_w")).withColumn("_hs", hashes(F.col("_w"))).join(sizes, F.size("_w") >= F.col("_n"))
+    said = said.select(doc, "_n", "_hs", F.explode(F.sequence(F.lit(1), F.size("_hs") - F.col("_n") + 1)).alias("_at"))
+    met = said.select(doc, F.xxhash64("_n", F.slice("_hs", F.col("_at"), F.col("_n"))).alias("_h")).join(want.select("_h", phrase, "_p"), "_h").select(doc, phrase, "_p").distinct()
+    texts = docs.select(doc, F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" ")).alias("_t"))
+    return met.join(texts, doc).where(F.contains("_t", "_p")).select(doc, phrase).distinct()
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def places(text: Column, alternatives: Column) -> Column:
+    """(start, end) of all occurrences of the alternatives."""
+
+    def of(a: Column) -> Column:
+        found = F.regexp_extract_all(text, phrase_pattern(a), F.lit(0))
+        return let(F.struct(F.split(text, phrase_pattern(a)).alias("parts"), F.size(found).alias("n")), lambda x: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), x["n"])),
+            lambda i: F.when(x["n"] > 0, let(F.aggregate(F.slice(x["parts"], F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p)) + (i - 1) * F.length(a), lambda at: F.struct(at.alias("start"), (at + F.length(a)).alias("end")))),
+        ))
+
+    return F.array_compact(F.flatten(F.transform(alternatives, of)))
+
+
 def units(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Lines, their clauses, and rows of tables with their headings."""
     rows = candidate_lines(docs, keys, text).where(F.trim("raw") != "")
     parts = F.filter(F.split("raw", CLAUSE), lambda p: F.trim(p) != "")
     rows = rows.select(*keys, "ref", F.explode(F.array_distinct(F.concat(F.array("raw"), parts))).alias("part"))
     prose = rows.select(*keys, F.array("ref").alias("refs"), normalize_ascii(F.col("part")).alias("text"))
+    return with_unit(prose.unionByName(_table_rows(docs, keys, text)), keys)
+
+
+def _table_rows(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     cells = table_cells(docs.select(*keys, text), keys, text)
     joined = lambda c: F.array_join(F.transform(F.col("cells"), lambda x: x[c]), " . ")
-    table = cells.groupBy(*keys, "table_no", "header_ref", "ref", "row_no").agg(F.array_sort(F.collect_list(F.struct("col", "header", "cell"))).alias("cells"))
-    table = table.select(*keys, F.array_distinct(F.array("header_ref", "ref")).alias("refs"), normalize_ascii(F.concat_ws("\n", joined("header"), joined("cell"))).alias("text"))
-    return prose.unionByName(table).withColumn("unit", F.sha1(F.concat_ws(",", F.transform("refs", lambda r: r.cast("string")), "text"))).dropDuplicates([*keys, "unit"])
+    table = cells.groupBy(*keys, "table_no", "header_ref", "row_no").agg(F.collect_set("ref").alias("refs"), F.array_sort(F.collect_list(F.struct("col", "header", "cell"))).alias("cells"))
+    return table.select(*keys, F.array_sort(F.array_distinct(F.concat(F.array("header_ref"), "refs"))).alias("refs"), normalize_ascii(F.concat_ws("\n", joined("header"), joined("cell"))).alias("text"))
+
+
+def with_unit(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows(keys, refs, text)``, each once, with ``unit``: a digest of lines and text."""
+    return rows.withColumn("unit", F.sha1(F.concat_ws(",", F.transform("refs", lambda r: r.cast("string")), "text"))).dropDuplicates([*keys, "unit"])
+
+
+def table_units(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Rows of tables with their headings, as units."""
+    return with_unit(_table_rows(docs, keys, text), keys)
 
 
 def blocking_word(phrase: Column) -> Column:
@@ -72,17 +126,23 @@ def _group_counts(terms: DataFrame, keys: list[str], *more: str) -> DataFrame:
     return terms.groupBy(*keys, "leaf_id", *more).agg(F.count_distinct("group_no").alias("_groups"))
 
 
-def lexical(unit_rows: DataFrame, terms: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, leaf_id, unit, refs): units that hold all groups of an obligation, each with the polarity that it needs.
+def free_groups(terms: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, leaf_id, group_no, _free): whether a group may stand negated.
 
-    A group may stand negated if an alternative has a negator itself, or if ``leaves(keys, leaf_id, expectation)`` names it
-    negated and never otherwise. This gate never contradicts.
+    It may if an alternative has a negator itself, or if ``leaves(keys, leaf_id, expectation)`` names it negated and never otherwise.
     """
-    normal = normal_terms(terms)
-    said = normal.join(leaves.select(*keys, "leaf_id", F.coalesce(normalize_ascii(F.col("expectation")), F.lit("")).alias("_e")), [*keys, "leaf_id"])
+    said = normal_terms(terms).join(leaves.select(*keys, "leaf_id", F.coalesce(normalize_ascii(F.col("expectation")), F.lit("")).alias("_e")), [*keys, "leaf_id"])
     said = said.withColumn("_p", polarity(F.col("_e"), F.col("alternative"))).withColumn("_own", F.col("alternative").rlike(rf"(?<![a-z0-9])(?:{NEGATORS})(?![a-z0-9])"))
     free = F.bool_or("_own") | (F.bool_or("_p.negated") & ~F.bool_or("_p.positive"))
-    groups = said.groupBy(*keys, "leaf_id", "group_no").agg(free.alias("_free"))
+    return said.groupBy(*keys, "leaf_id", "group_no").agg(free.alias("_free"))
+
+
+def lexical(unit_rows: DataFrame, terms: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, leaf_id, unit, refs): units that hold all groups of an obligation, each with the polarity that it needs.
+
+    Which groups may stand negated: see ``free_groups``. This gate never contradicts.
+    """
+    groups, normal = free_groups(terms, leaves, keys), normal_terms(terms)
     hits = term_hits(unit_rows, normal, keys).withColumn("_p", polarity(F.col("text"), F.col("alternative")))
     held = hits.join(groups, [*keys, "leaf_id", "group_no"]).where("_free or _p.positive")
     held = held.groupBy(*keys, "leaf_id", "unit").agg(F.count_distinct("group_no").alias("_n"), F.first("refs").alias("refs"))
@@ -126,18 +186,26 @@ def recovered_citations(lines: DataFrame, terms: DataFrame, keys: list[str], rea
 
 
 def ordered_tokens(docs: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, leaf_id, in_order): whether a text holds an obligation's groups one after the other, each at its earliest place in turn."""
+    """(keys, leaf_id, in_order, refs): whether a text holds an obligation's groups one after the other, each at its earliest place in turn, and on which lines."""
     groups = terms.withColumn("alternative", normalize_ascii(F.col("alternative"))).groupBy(*keys, "leaf_id", "group_no").agg(F.collect_set(F.when(F.col("alternative") != "", F.col("alternative"))).alias("alts"))
     groups = groups.groupBy(*keys, "leaf_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("group_no", "alts"))), lambda g: g["alts"]).alias("groups"))
-    rows = groups.join(docs.select(*keys, normalize_ascii(F.col("text")).alias("text")), keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    said = candidate_lines(docs, keys).select(*keys, F.struct("ref", normalize_ascii(F.col("raw")).alias("t")).alias("x")).where("x.t <> ''")
+    said = said.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    said = said.select(*keys, F.transform("x", lambda x: x["ref"]).alias("_refs"), F.array_join(F.transform("x", lambda x: x["t"]), "\n").alias("text"))
+    rows = groups.join(said, keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("hits"))
 
     def step(state: Column, alts: Column) -> Column:
-        rest = F.substr(F.col("text"), state)
+        rest = F.substr(F.col("text"), state["at"])
         ends = F.transform(alts, lambda a: F.struct(F.regexp_instr(rest, phrase_pattern(a)).alias("at"), (-F.length(a)).alias("n")))
         first = F.array_min(F.filter(ends, lambda e: e["at"] > 0))
-        return F.when(state.isNotNull() & first.isNotNull(), state + first["at"] - 1 - first["n"])
+        hit = state["at"] + first["at"] - 1
+        return F.when((state["at"] > 0) & first.isNotNull(), F.struct((hit - first["n"]).alias("at"), F.concat(state["hits"], F.array(hit)).alias("hits"))).otherwise(F.struct(F.lit(0).alias("at"), state["hits"].alias("hits")))
 
-    return rows.select(*keys, "leaf_id", F.aggregate("groups", F.lit(1), step).isNotNull().alias("in_order"))
+    rows = rows.withColumn("_f", F.aggregate("groups", start, step)).withColumn("in_order", F.col("_f.at") > 0)
+    before = lambda p: F.substr(F.col("text"), F.lit(1), p - 1)
+    line = lambda p: F.get("_refs", F.length(before(p)) - F.length(F.replace(before(p), F.lit("\n"), F.lit(""))))
+    return rows.select(*keys, "leaf_id", "in_order", F.when(F.col("in_order"), F.array_sort(F.array_distinct(F.transform("_f.hits", line)))).alias("refs"))
 
 
 #: Words that place something, each with those that say the same.
@@ -150,39 +218,64 @@ SPATIAL = {
     "middle": ("middle", "center", "centre"),
     "adjacent": ("adjacent", "beside", "nearby", "next"),
 }
-#: Cues of place, route and line that a visual statement has to give.
+#: Cues of place, route and line that a visual statement has to give, each with the endings that it may have.
 CUES = (
-    "west east north south left right upper lower top bottom above below between adjacent beside nearby inside outside middle center centre shared adjoin callout point key target "
-    "connect route run shift swing enter occupy mount locate location dimension overall footprint wall jamb side arrow path row column grid position dashed solid current archived superseded void"
-).split()
+    "west", "east", "north", "south", "left", "right", "upper", "lower", "top", "bottom", "above", "below", "between", "adjacent", "beside", "nearby", "inside", "outside",
+    "middle", "center", "centre", "shared", "adjoin(?:s|ing)?", "callout", "point(?:s|ing|ed)?", "key(?:s|ing|ed)?", "target(?:s|ing|ed)?", "connect(?:s|ing|ed)?",
+    "route(?:s|ing|ed)?", "run(?:s|ning)?", "shift(?:s|ing|ed)?", "swing(?:s|ing)?", "enter(?:s|ing|ed)?", "occup(?:y|ies|ied)", "mount(?:s|ing|ed)?", "locat(?:e|es|ed|ion)",
+    "dimension(?:s|ed)?", "overall", "footprint", "wall", "jamb", "side", "arrow", "path", "row", "column", "grid", "position", "dashed", "solid", "current", "archived", "superseded", "void",
+)
+#: A line that heads measures of a whole plan.
+MEASURES = r"(?i)\b(?:overall|plan)\s+(?:dimensions?|footprint)\s*:?\s*$"
 
 
 def has_cue(text: Column) -> Column:
-    """Whether a text has a cue, or an inflected form of one."""
-    stems = F.transform(ascii_words(text), lambda w: F.array(w, F.regexp_replace(w, "(?:s|ed|d|ing|ning)$", ""), F.regexp_replace(w, "ing$", "e"), F.regexp_replace(w, "(?:ies|ied)$", "y")))
-    return F.arrays_overlap(F.flatten(stems), F.array(*map(F.lit, CUES)))
+    """Whether a text has a cue, in a form that it may have."""
+    return text.rlike(r"\b(?:" + "|".join(CUES) + r")\b")
+
+
+def _ranges(text: Column) -> Column:
+    """``Name3-4`` as ``Name3 Name4``."""
+    return F.regexp_replace(text, r"\b([A-Za-z]+)(\d+)-(\d+)\b", "$1$2 $1$3")
+
+
+def _all_words(text_words: Column, phrase: Column) -> Column:
+    own = F.regexp_extract_all(phrase, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return (F.size(own) > 0) & (F.size(F.array_except(own, text_words)) == 0)
 
 
-def visual_citations(lines: DataFrame, cited: DataFrame, terms: DataFrame, leaves: DataFrame, keys: list[str], above: int = 7) -> DataFrame:
+def visual_citations(lines: DataFrame, cited: DataFrame, terms: DataFrame, leaves: DataFrame, keys: list[str], above: int = 7, bindings: DataFrame | None = None) -> DataFrame:
     """(keys, leaf_id, anchored): whether cited lines anchor a visual obligation; ``cited(keys, leaf_id, ref)``.
 
     Read with the nearest heading at most ``above`` lines before each, they must hold one group, one of the groups with a digit if
-    there are any, and a cue of place or route if ``leaves(keys, leaf_id, expectation)`` has one and no cited line is a
-    table row. An alternative is held as a phrase, by a word of place that says the same, or by all its words.
+    there are any, and a cue of place or route if ``leaves(keys, leaf_id, expectation)`` has one, unless a cited line is a
+    table row, a line at most two above heads measures of the whole, or the obligation has local bindings. An alternative is held as a
+    phrase, by a word of place that says the same, or by all its words. Each of the local ``bindings``, terms with ``binding_no``,
+    must have all its groups in one cited line or clause.
     """
     up = Window.partitionBy(*keys).orderBy("ref").rowsBetween(-above, -1)
+    near = Window.partitionBy(*keys).orderBy("ref").rowsBetween(-2, -1)
     head = F.last(F.when(F.col("raw").rlike(r"^\s*#{1,6}\s+\S"), F.col("raw")), ignorenulls=True).over(up)
-    rows = lines.withColumn("_head", head).join(cited.distinct(), [*keys, "ref"]).withColumn("_row", F.col("raw").rlike(r"(?i)^\s*\||</?(?:table|tr|td|th)\b"))
+    measured = F.coalesce(F.max(F.col("raw").rlike(MEASURES)).over(near), F.lit(False))
+    rows = lines.withColumns({"_head": head, "_measured": measured}).join(cited.distinct(), [*keys, "ref"]).withColumn("_row", F.col("raw").rlike(r"(?i)^\s*\||</?(?:table|tr|td|th)\b"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref", "raw"))), lambda r: r["raw"]), "\n")
-    read = rows.groupBy(*keys, "leaf_id").agg(text.alias("_cited"), F.concat_ws("\n", F.collect_set("_head"), text).alias("_all"), F.bool_or("_row").alias("_table"))
-    read = read.withColumns({"_cited": normalize_ascii(F.col("_cited")), "_all": normalize_ascii(F.col("_all"))})
-    want = normal_terms(terms)
+    read = rows.groupBy(*keys, "leaf_id").agg(text.alias("_cited"), F.concat_ws("\n", F.collect_set("_head"), text).alias("_all"), F.bool_or(F.col("_row") | F.col("_measured")).alias("_table"))
+    read = read.withColumns({"_cited": normalize_ascii(F.col("_cited")), "_all": normalize_ascii(_ranges(F.col("_all")))})
+    want = normal_terms(terms.withColumn("alternative", _ranges(F.col("alternative"))))
     same = F.create_map(*(x for k, v in SPATIAL.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     words = F.regexp_extract_all("_all", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    own = F.regexp_extract_all("alternative", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    met = (F.regexp_instr("_all", phrase_pattern(F.col("alternative"))) > 0) | F.coalesce(F.arrays_overlap(words, F.get(F.array(same[F.col("alternative")]), F.lit(0))), F.lit(False)) | ((F.size(own) > 0) & (F.size(F.array_except(own, words)) == 0))
+    met = (F.regexp_instr("_all", phrase_pattern(F.col("alternative"))) > 0) | F.coalesce(F.arrays_overlap(words, F.get(F.array(same[F.col("alternative")]), F.lit(0))), F.lit(False)) | _all_words(words, F.col("alternative"))
     groups = read.join(want, [*keys, "leaf_id"]).withColumn("_met", met).groupBy(*keys, "leaf_id", "group_no").agg(F.bool_or("_met").alias("met"), F.bool_or(F.col("alternative").rlike("[0-9]")).alias("digit"), F.first("_cited").alias("_cited"), F.first("_table").alias("_table"))
     found = groups.groupBy(*keys, "leaf_id").agg(F.bool_or("met").alias("any"), F.bool_or("digit").alias("ids"), F.bool_or(F.col("met") & F.col("digit")).alias("id_met"), F.first("_cited").alias("_cited"), F.first("_table").alias("_table"))
-    rows = leaves.select(*keys, "leaf_id", normalize_ascii(F.col("expectation")).alias("_e")).join(found, [*keys, "leaf_id"], "left")
-    cue = ~F.coalesce(has_cue(F.col("_e")), F.lit(False)) | has_cue(F.col("_cited")) | F.col("_table")
-    return rows.select(*keys, "leaf_id", F.coalesce(F.col("any") & (~F.col("ids") | F.col("id_met")) & cue, F.lit(False)).alias("anchored"))
+    found = leaves.select(*keys, "leaf_id", normalize_ascii(F.col("expectation")).alias("_e")).join(found, [*keys, "leaf_id"], "left").withColumns({"_bound": F.lit(True), "_local": F.lit(False)})
+    if bindings is not None:
+        unit = F.explode(F.array_distinct(F.concat(F.array("raw"), F.split("raw", CLAUSE))))
+        said = rows.select(*keys, "leaf_id", "ref", unit.alias("u")).select(*keys, "leaf_id", "ref", normalize_ascii(F.col("u")).alias("u")).where("u <> ''")
+        inside = (F.regexp_instr("u", phrase_pattern(F.col("alternative"))) > 0) | _all_words(F.regexp_extract_all("u", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.col("alternative"))
+        full = said.join(normal_terms(bindings), [*keys, "leaf_id"]).where(inside).groupBy(*keys, "leaf_id", "binding_no", "ref", "u").agg(F.count_distinct("group_no").alias("_n"))
+        full = full.join(_group_counts(bindings, keys, "binding_no"), [*keys, "leaf_id", "binding_no"]).where("_n = _groups").groupBy(*keys, "leaf_id").agg(F.count_distinct("binding_no").alias("_met"))
+        total = bindings.groupBy(*keys, "leaf_id").agg(F.count_distinct("binding_no").alias("_bindings"))
+        found = found.join(total, [*keys, "leaf_id"], "left").join(full, [*keys, "leaf_id"], "left")
+        found = found.withColumns({"_local": F.col("_bindings").isNotNull(), "_bound": F.col("_bindings").isNull() | (F.coalesce("_met", F.lit(0)) == F.col("_bindings"))})
+    cue = ~F.coalesce(has_cue(F.col("_e")), F.lit(False)) | has_cue(F.col("_cited")) | F.col("_table") | F.col("_local")
+    return found.select(*keys, "leaf_id", F.coalesce(F.col("any") & (~F.col("ids") | F.col("id_met")) & cue & F.col("_bound"), F.lit(False)).alias("anchored"))

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FORM_STATES, evidence_rank, form_text, normalize_ascii
+from ..functions.text import FORM_STATES, evidence_rank, form_text, normalize_ascii, pipe_cells
+from .evidence import CLAUSE, ascii_words, blocking_word, let, places
+from .tables import table_cells
 
 
 def _best(hits: DataFrame, leaf: list[str]) -> DataFrame:
@@ -24,11 +26,11 @@ def table_binding(cells: DataFrame, leaves: DataFrame, keys: list[str], leaf: st
     differs is a conflict, which beats a match elsewhere; one that only begins the expected value is partial, hence missing.
     """
     n = lambda c: normalize_ascii(F.col(c))
-    c = cells.select(*keys, "table_no", "ref", "col", "header_ref", n("header").alias("_h"), n("cell").alias("_v"))
+    c = cells.select(*keys, "table_no", "row_no", "ref", "col", "header_ref", n("header").alias("_h"), n("cell").alias("_v"))
     want = leaves.select(*keys, leaf, n("row_key").alias("_row"), n("column").alias("_h"), n("value").alias("_want"))
     value = want.join(c, [*keys, "_h"])
-    row = c.select(*keys, "table_no", "ref", F.col("col").alias("_kc"), F.col("_v").alias("_row"))
-    hits = value.join(row, [*keys, "table_no", "ref", "_row"]).where("_kc <> col")
+    row = c.select(*keys, "table_no", "row_no", F.col("col").alias("_kc"), F.col("_v").alias("_row"))
+    hits = value.join(row, [*keys, "table_no", "row_no", "_row"]).where("_kc <> col")
     short = (F.length("_v") > 0) & F.startswith(F.col("_want"), F.concat("_v", F.lit(" ")))
     kind = F.when(F.col("_v") == F.col("_want"), "positive").when(short, "partial").when(F.length("_v") > 0, "conflict")
     hits = hits.select(*keys, leaf, kind.alias("class"), F.array("header_ref", "ref").alias("refs"))
@@ -37,24 +39,67 @@ def table_binding(cells: DataFrame, leaves: DataFrame, keys: list[str], leaf: st
     return leaves.join(found, [*keys, leaf], "left").select(*keys, leaf, status.alias("status"), F.when(F.col("is_conflict"), F.col("conflict_refs")).otherwise(F.col("positive_refs")).alias("refs"))
 
 
-def _hits(text: Column, word: str) -> Column:
-    return F.regexp_instr(text, F.lit(f"(?<![a-z0-9]){word}(?![a-z0-9])"))
+#: A form's box or sign before a field.
+FORM_MARK = r"(?i)(\[\s*crossed box\s*:[^\]]+\]|\[(?:\s*[xX✓/]\s*|\s+)\]|☑|✅|☐|⬜)"
 
 
-def form_state(lines: DataFrame, leaves: DataFrame, keys: list[str], leaf: str = "leaf_id") -> DataFrame:
-    """States of form labels, ``leaves(keys, leaf, label, state)``: the state nearest to the label in its line; ties all count."""
-    words = [(s, w) for s, ws in FORM_STATES.items() for w in ws]
-    rows = lines.withColumn("_t", form_text(F.col("raw")))
-    states = F.filter(F.array(*(F.struct(F.lit(s).alias("state"), _hits(F.col("_t"), w).alias("pos"), F.lit(len(w)).alias("len")) for s, w in words)), lambda x: x["pos"] > 0)
-    rows = rows.select(*keys, "ref", "_t", F.explode(states).alias("s"))
-    want = leaves.withColumn("_label", normalize_ascii(F.col("label")))
-    hits = rows.join(want, keys).withColumn("_at", F.instr(F.col("_t"), F.col("_label"))).where("_at > 0")
-    gap = F.greatest(F.lit(0), F.when(F.col("s.pos") < F.col("_at"), F.col("_at") - F.col("s.pos") - F.col("s.len")).otherwise(F.col("s.pos") - F.col("_at") - F.length("_label")))
-    near = hits.withColumn("_gap", gap).withColumn("_rank", F.rank().over(Window.partitionBy(*keys, leaf, "ref").orderBy("_gap"))).where("_rank = 1")
-    near = near.select(*keys, leaf, F.when(F.col("s.state") == F.col("state"), "positive").otherwise("conflict").alias("class"), F.array("ref").alias("refs"))
-    found = _best(near, [*keys, leaf])
+def form_segments(lines: DataFrame, keys: list[str], docs: DataFrame | None = None) -> DataFrame:
+    """(keys, refs, text, before, after): pieces of a form in normal form, in which a label and its state stand together.
+
+    A line with several boxes is cut before each of them, another into clauses; cells of piped lines stand alone, with their
+    neighbours as ``before`` and ``after``; a row of an HTML table of ``docs(keys, text)``, if given, is one piece.
+    """
+    lines = lines.withColumn("cells", pipe_cells(F.col("raw")))
+    boxed = F.split(F.regexp_replace("raw", FORM_MARK, "\x01$1"), "\x01")
+    parts = F.when(F.size(boxed) > 2, boxed).otherwise(F.split("raw", CLAUSE))
+    none = F.lit(None).cast("string")
+    plain = lines.where("cells is null").select(*keys, F.array("ref").alias("refs"), F.explode(parts).alias("text"), none.alias("before"), none.alias("after"))
+    cell = F.transform("cells", lambda c, i: F.struct(c.alias("text"), F.when(i > 0, F.get("cells", i - 1)).alias("before"), F.get("cells", i + 1).alias("after")))
+    piped = lines.where("cells is not null").select(*keys, F.array("ref").alias("refs"), F.inline(cell))
+    made = plain.where(F.trim("text") != "").unionByName(piped)
+    if docs is not None:
+        html = table_cells(docs.where(F.lower("text").contains("<table")).select(*keys, "text"), keys).where("kind = 'html'")
+        html = html.groupBy(*keys, "table_no", "row_no").agg(F.array_sort(F.collect_set("ref")).alias("refs"), F.array_sort(F.collect_list(F.struct("col", "cell"))).alias("c"))
+        made = made.unionByName(html.select(*keys, "refs", F.array_join(F.transform("c", lambda x: x["cell"]), " | ").alias("text"), none.alias("before"), none.alias("after")))
+    return made.select(*keys, "refs", *(form_text(F.col(c)).alias(c) for c in ("text", "before", "after")))
+
+
+def _state_places(text: Column) -> Column:
+    """Every place of a word for a state."""
+    of = lambda s, ws: F.transform(places(text, F.array(*map(F.lit, ws))), lambda p: F.struct(F.lit(s).alias("state"), p["start"].alias("start"), p["end"].alias("end")))
+    return F.concat(*(of(s, ws) for s, ws in FORM_STATES.items()))
+
+
+def form_state(lines: DataFrame, leaves: DataFrame, keys: list[str], leaf: str = "leaf_id", docs: DataFrame | None = None) -> DataFrame:
+    """(keys, leaf, status, refs): states of form labels, ``leaves(keys, leaf, label, state)``, ``label`` a text or an array of them.
+
+    In a piece of a form each place of a label takes the state that stands nearest to it and does not overlap it; ties all count.
+    A cell with a label but no state takes that of the cell after it, else of the one before. A state other than the wanted
+    one beats a match. Pieces and labels meet by the label's longest word, and only pieces with a state, or beside one, take part.
+    """
+    labels = F.col("label") if "array" in dict(leaves.dtypes)["label"] else F.array("label")
+    want = leaves.select(*keys, leaf, "state", F.filter(F.transform(labels, normalize_ascii), lambda x: x != "").alias("_labels"))
+    want = want.withColumn("_w", F.explode(F.array_distinct(F.transform("_labels", blocking_word))))
+    any_state = r"(?<![a-z0-9])(?:" + "|".join(w for ws in FORM_STATES.values() for w in ws) + r")(?![a-z0-9])"
+    rows = form_segments(lines, keys, docs).where(F.concat_ws(" . ", "text", "before", "after").rlike(any_state))
+    rows = rows.withColumns({"_at": _state_places(F.col("text")), "_after": _state_places(F.coalesce("after", F.lit(""))), "_before": _state_places(F.coalesce("before", F.lit("")))})
+    rows = rows.withColumn("_w", F.explode(F.array_distinct(F.concat(ascii_words("text"), F.array(F.lit(""))))))
+    hits = rows.join(want, [*keys, "_w"]).drop("_w").withColumn("_here", places(F.col("text"), F.col("_labels"))).where("size(_here) > 0")
+    gap = lambda x, s: F.greatest(F.lit(0), s["start"] - x["end"], x["start"] - s["end"])
+
+    def nearest(x: Column) -> Column:
+        free = F.filter("_at", lambda s: (s["end"] <= x["start"]) | (s["start"] >= x["end"]))
+        return let(free, lambda f: F.filter(f, lambda s: gap(x, s) == F.array_min(F.transform(f, lambda y: gap(x, y)))))
+
+    names = lambda c: F.transform(c, lambda s: s["state"])
+    hits = hits.withColumn("_found", names(F.flatten(F.transform("_here", nearest))))
+    beside = F.when(F.size("_after") > 0, names(F.col("_after"))).otherwise(names(F.col("_before")))
+    hits = hits.withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")).otherwise(beside))
+    kinds = F.array_compact(F.array(F.when(F.array_contains("_found", F.col("state")), "positive"), F.when(F.exists("_found", lambda s: s != F.col("state")), "conflict")))
+    found = _best(hits.select(*keys, leaf, F.explode(kinds).alias("class"), "refs"), [*keys, leaf])
     status = F.when(F.col("is_conflict"), "incorrect").when(F.col("is_positive"), "correct").otherwise("missing")
-    return leaves.join(found, [*keys, leaf], "left").select(*keys, leaf, status.alias("status"))
+    refs = F.when(F.col("is_conflict"), F.col("conflict_refs")).otherwise(F.col("positive_refs"))
+    return leaves.select(*keys, leaf).join(found, [*keys, leaf], "left").select(*keys, leaf, status.alias("status"), refs.alias("refs"))
 
 
 def edges(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -88,9 +88,16 @@ def page_map(lines: DataFrame, keys: list[str], pages: str = "n_pages") -> DataF
     return rows.withColumn("page", page.cast("int")).select(*lines.columns, "page")
 
 
-def page_scoped(lines: DataFrame, allowed: str) -> DataFrame:
-    """Lines off the pages of the array column ``allowed`` made blank; numbers stay, and no map means no scope."""
-    return lines.withColumn("raw", F.when(F.col("page").isNull() | F.array_contains(F.col(allowed), F.col("page")), F.col("raw")).otherwise(""))
+def page_scoped(lines: DataFrame, allowed: str, keys: list[str] | None = None) -> DataFrame:
+    """Lines off the pages of the array column ``allowed`` made blank; numbers stay, and no map means no scope.
+
+    With ``keys``, a document that has a page anywhere loses its lines of no page too; without, they stay.
+    """
+    on = F.array_contains(F.col(allowed), F.col("page"))
+    if keys is None:
+        return lines.withColumn("raw", F.when(F.col("page").isNull() | on, F.col("raw")).otherwise(""))
+    mapped = F.max("page").over(Window.partitionBy(*keys)).isNotNull()
+    return lines.withColumn("raw", F.when(~mapped | F.coalesce(on, F.lit(False)), F.col("raw")).otherwise(""))
 
 
 def numbered(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import markdown_row
+from ..functions.text import HTML_ENTITIES, markdown_row
 
 _FIELDS = (("table_no", T.IntegerType()), ("kind", T.StringType()), ("header_ref", T.IntegerType()), ("header", T.StringType()), ("col", T.IntegerType()), ("ref", T.IntegerType()), ("row_no", T.IntegerType()), ("cell", T.StringType()))
 KIND = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in _FIELDS]))
@@ -45,19 +44,31 @@ def _markdown(text: str) -> list[dict]:
     return out
 
 
+_ENTITY = re.compile(r"(?i)&(#x[0-9a-f]+|#[0-9]+|[a-z]+);")
+
+
+def _decoded(m: re.Match) -> str:
+    """An entity by number or name; unknown ones are blanks."""
+    body = m[1].lower()
+    if body[0] != "#":
+        return HTML_ENTITIES.get(body, " ")
+    code = int(body[2:], 16) if body[1] == "x" else int(body[1:])
+    return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else " "
+
+
 def _html(text: str, number: int) -> list[dict]:
-    """A part for each row of headings, with the rows below that have its width."""
+    """A part for each row of headings, with the rows below that have its width; each cell has the line that it begins on."""
     out = []
-    clean = lambda x: " ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split())
+    clean = lambda x: " ".join(_ENTITY.sub(_decoded, re.sub(r"<[^>]*>", " ", x)).split())
     for t in _TABLE.finditer(text):
         head, head_ref, row_no = None, 0, 0
         for r in _ROW.finditer(t[1]):
-            ref = text.count("\n", 0, t.start(1) + r.start()) + 1
-            cells = [(k.lower(), clean(v)) for k, v in _CELL.findall(r[1])]
-            if cells and all(k == "th" for k, _ in cells):
-                head, head_ref, row_no, number = [v for _, v in cells], ref, 0, number + 1
-            elif head and len(cells) == len(head):
-                out += [{"table_no": number - 1, "kind": "html", "header_ref": head_ref, "header": h, "col": c, "ref": ref, "row_no": row_no, "cell": v} for c, (h, (_, v)) in enumerate(zip(head, cells))]
+            start = t.start(1) + r.start(1)
+            found = [(m[1].lower(), clean(m[2]), text.count("\n", 0, start + m.start()) + 1) for m in _CELL.finditer(r[1])]
+            if found and all(k == "th" for k, _, _ in found):
+                head, head_ref, row_no, number = [v for _, v, _ in found], found[0][2], 0, number + 1
+            elif head and len(found) == len(head):
+                out += [{"table_no": number - 1, "kind": "html", "header_ref": head_ref, "header": h, "col": c, "ref": ref, "row_no": row_no, "cell": v} for c, (h, (_, v, ref)) in enumerate(zip(head, found))]
                 row_no += 1
     return out
 
@@ -91,6 +102,6 @@ def column_sets(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def table_leaves(cells: DataFrame, keys: list[str], key_col: int = 0) -> DataFrame:
     """Obligations that a table makes: for each cell but the key's, its row's key, column and value."""
-    at = Window.partitionBy(*keys, "table_no", "ref")
+    at = Window.partitionBy(*keys, "table_no", "row_no")
     rows = cells.withColumn("row_key", F.max(F.when(F.col("col") == key_col, F.col("cell"))).over(at))
     return rows.where(F.col("col") != key_col).select(*keys, "table_no", "row_no", "row_key", F.col("header").alias("column"), F.col("cell").alias("value"))

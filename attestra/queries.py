@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .functions import signals as sig
 from .functions import text as tx
-from .operators import bindings, closed_world, constraints, edges, evidence, gates, lines, members, scoring, tables
-from .plans import fidelity
+from .operators import bindings, closed_world, constraints, contracts, edges, evidence, gates, lexical, lines, members, order, reports, scoring, tables
+from .plans import evaluate, fidelity
 from .session import ship, table
 from .streaming import incremental
 
@@ -51,19 +51,23 @@ def normalize_text(t):
 
 
 @query(r"""WITH w AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS s FROM documents),
- i AS (SELECT item_id, list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 8) AS p FROM benchmark)
- SELECT doc_id, item_id FROM w, i WHERE len(p) = 8 AND contains(s, ' ' || array_to_string(p, ' ') || ' ')""")
+ i AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS p FROM benchmark)
+ SELECT doc_id, item_id FROM w, i WHERE p <> '' AND contains(s, ' ' || p || ' ')""")
 def phrase_containment(t):
-    """Items whose first eight words a document holds: an equality join of word windows, no text against text."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    items = t("benchmark").select("item_id", F.slice(words(F.col("text")), 1, 8).alias("p")).where(F.size("p") == 8).select("item_id", F.xxhash64("p").alias("h"), "p")
-    docs = t("documents").select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= 8)
-    docs = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.slice("w", i, F.lit(8)))).alias("p"))
-    return docs.withColumn("h", F.xxhash64("p")).join(items, ["h", "p"]).select("doc_id", "item_id").distinct()
+    """Items all of whose words a document holds, in turn: candidates share the hash of an item's first words, then the whole phrase is looked for."""
+    return evidence.whole_phrases(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", F.col("text").alias("phrase")), "doc_id", "item_id")
 
 
-@query(r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<br[ ]*/?>', ' ', 'g'), '<[^>]*>', '', 'g'),
- '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '&[A-Za-z0-9#]+;', ' ', 'g'), '[ \t\n\v\f\r]+', ' ', 'g'))) AS text_sha256 FROM pages""")
+_ENTITY = "&(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z]+);"
+_CODE = "CASE WHEN lower(e) LIKE '#x%' THEN TRY_CAST('0x' || e[3:] AS BIGINT) WHEN e LIKE '#%' THEN TRY_CAST(e[2:] AS BIGINT) END"
+
+
+@query(rf"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<br\s*/?\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS s FROM pages),
+ p AS (SELECT page_id, string_split_regex(s, '{_ENTITY}') AS parts, regexp_extract_all(s, '{_ENTITY}', 1) AS es FROM h),
+ x AS (SELECT page_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part, unnest([es[i] FOR i IN range(1, len(parts) + 1)]) AS e FROM p),
+ d AS (SELECT page_id, string_agg(part || CASE WHEN e IS NULL THEN '' WHEN e LIKE '#%' THEN CASE WHEN {_CODE} BETWEEN 1 AND 1114111 THEN chr(CAST({_CODE} AS INTEGER)) ELSE ' ' END
+  ELSE coalesce(map {{'amp': '&', 'lt': '<', 'gt': '>', 'quot': '"', 'apos': chr(39), 'nbsp': ' '}}[lower(e)], ' ') END, '' ORDER BY i) AS t FROM x GROUP BY page_id)
+ SELECT page_id, sha256(trim(regexp_replace(t, '{tx.SPACES}', ' ', 'g'))) AS text_sha256 FROM d""")
 def html_text(t):
     return t("pages").select("page_id", F.sha2(tx.html_text(F.col("html")), 256).alias("text_sha256"))
 
@@ -198,12 +202,23 @@ def key_column(t):
     return members.key_column(tables.table_cells(docs, ["doc"]), rows.select("doc", F.col("c_name").alias("member")), ["doc"]).select("doc", "col")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'missing' WHEN o_orderstatus = 'F' THEN 'correct' ELSE 'incorrect' END AS status FROM orders")
+@query("""WITH p AS (SELECT o_orderkey AS k, o_orderkey % 11 = 0 AS gone, o_orderstatus AS s, o_orderkey % 4 AS kind FROM orders),
+ l AS (SELECT k, gone, kind, s, unnest([0, 1, 2]) AS leaf_id FROM p)
+ SELECT k AS o_orderkey, leaf_id, CASE WHEN gone THEN 'missing' WHEN leaf_id = 2 THEN CASE WHEN kind = 3 THEN 'missing' ELSE 'correct' END
+  WHEN (leaf_id = 0) = (s = 'F') THEN 'correct' ELSE 'incorrect' END AS status FROM l""")
 def form_state(t):
-    box = F.when(F.col("o_orderstatus") == "F", "[x]").when(F.col("o_orderstatus") == "O", "[ ]").otherwise("[/]")
-    rows = t("orders").where("o_orderkey % 11 <> 0").select("o_orderkey", F.lit(1).alias("ref"), F.concat(F.lit("- "), box, F.lit(" Order final; other: nothing marked here at all")).alias("raw"))
-    leaves = t("orders").select("o_orderkey", F.lit(0).alias("leaf_id"), F.lit("Order final").alias("label"), F.lit("checked").alias("state"))
-    return gates.form_state(rows, leaves, ["o_orderkey"]).select("o_orderkey", "status")
+    """An order's final and draft boxes, one of them checked, in four layouts: boxes on one line, clauses, cells, and lines of their own; labels that begin another word."""
+    o, done = t("orders"), F.col("o_orderstatus") == "F"
+    box, word = lambda c: F.when(c, "[x]").otherwise("[ ]"), lambda c: F.when(c, "checked").otherwise("unchecked")
+    layouts = (
+        F.concat(box(done), F.lit(" Final "), box(~done), F.lit(" Draft [x] Finality ☐ Paid")),
+        F.concat(F.lit("Final: "), word(done), F.lit("; Draft: "), word(~done), F.lit("; Finality: checked; Paid: unchecked")),
+        F.concat(F.lit("| Final | "), box(done), F.lit(" | Draft | "), box(~done), F.lit(" |\n| Paid | ⬜ |")),
+        F.concat(F.lit("- "), box(done), F.lit(" Final\n- "), box(~done), F.lit(" Draft\n- [x] Finality of drafts")),
+    )
+    docs = o.where("o_orderkey % 11 <> 0").select("o_orderkey", F.element_at(F.array(*layouts), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("text"))
+    wanted = F.array(*(F.struct(F.lit(i).alias("leaf_id"), F.lit(label).alias("label"), F.lit(state).alias("state")) for i, (label, state) in enumerate((("Final", "checked"), ("Draft", "checked"), ("Paid", "unchecked")))))
+    return gates.form_state(lines.candidate_lines(docs, ["o_orderkey"]), o.select("o_orderkey", F.inline(wanted)), ["o_orderkey"], docs=docs).select("o_orderkey", "leaf_id", "status")
 
 
 @query("SELECT s_suppkey AS leaf_id, CASE WHEN s_suppkey % 5 = 0 THEN 'missing' WHEN s_suppkey % 4 = 0 THEN 'incorrect' ELSE 'correct' END AS status FROM supplier")
@@ -334,6 +349,194 @@ def closed_world_rows(t):
     return closed_world.invented_rows(docs, regions, ["doc"]).select("doc", "key")
 
 
+# Whole gates, order and evaluation
+
+_FRAGMENTS = rf"""l AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS ref, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+ f AS (SELECT doc_id, ref, unnest(string_split(regexp_replace(raw, '([.!?])[ \t\n\v\f\r]+', '\1' || chr(1), 'g'), chr(1))) AS raw FROM l WHERE trim(raw) <> ''),
+ n AS (SELECT doc_id, ref, {_NORM.format('raw')} AS s FROM f WHERE trim(raw) <> ''),
+ m AS (SELECT doc_id, ref, CAST(regexp_matches(s, '(^|[^a-z0-9])the($|[^a-z0-9])') AS INTEGER) + 2 * CAST(regexp_matches(s, '(^|[^a-z0-9])and($|[^a-z0-9])') AS INTEGER)
+  + 4 * CAST(regexp_matches(s, '(^|[^a-z0-9])(with|for)($|[^a-z0-9])') AS INTEGER) AS mask FROM n)"""
+
+
+def _common_words(t):
+    """One obligation of three groups for each document, whose expectation denies them, so that any place will do."""
+    d = t("documents").select("doc_id", F.lit(1).alias("leaf_id"))
+    groups = F.array(*(F.struct(F.lit(g).alias("group_no"), F.lit(a).alias("alternative")) for g, a in ((0, "the"), (1, "and"), (2, "with"), (2, "for"))))
+    return d.select("doc_id", "leaf_id", F.inline(groups)), d.withColumn("expectation", F.lit("Never the. Never and. Never with. Never for."))
+
+
+@query(f"""WITH {_FRAGMENTS}, b AS (SELECT l.doc_id, l.ref, coalesce(max(x.mask), 0) AS mask FROM l LEFT JOIN (SELECT doc_id, ref, bit_or(mask) AS mask FROM m GROUP BY ALL) x ON l.doc_id = x.doc_id AND l.ref = x.ref WHERE trim(l.raw) <> '' GROUP BY ALL),
+ w AS (SELECT a.doc_id, z.ref - a.ref AS span, count(*) AS n, string_agg(CAST(c.ref AS VARCHAR), ',' ORDER BY c.ref) AS refs FROM b a JOIN b z ON a.doc_id = z.doc_id AND z.ref BETWEEN a.ref AND a.ref + 3
+  JOIN b c ON c.doc_id = a.doc_id AND c.ref BETWEEN a.ref AND z.ref GROUP BY a.doc_id, a.ref, z.ref HAVING bit_or(c.mask) = 7),
+ p AS (SELECT x.doc_id, y.ref - x.ref AS span, 2 AS n, x.ref || ',' || y.ref AS refs FROM m x JOIN m y ON x.doc_id = y.doc_id AND y.ref BETWEEN x.ref + 1 AND x.ref + 3 WHERE (x.mask | y.mask) = 7),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY span, n, refs) AS rn FROM (SELECT * FROM w UNION ALL SELECT * FROM p))
+ SELECT d.doc_id, r.refs IS NOT NULL AS satisfied, r.refs FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND rn = 1""")
+def lexical_resolution(t):
+    terms, leaves = _common_words(t)
+    rows = lexical.lexical_resolution(t("documents").select("doc_id", "text"), terms, leaves, ["doc_id"])
+    return rows.select("doc_id", "satisfied", F.array_join(F.transform("refs", lambda r: r.cast("string")), ",").alias("refs"))
+
+
+@query(f"""WITH {_FRAGMENTS}, b AS (SELECT doc_id, ref, bit_or(mask) AS mask FROM m GROUP BY ALL),
+ e AS (SELECT doc_id, ref, max(CASE WHEN mask & 1 > 0 THEN ref END) OVER u AS x, max(CASE WHEN mask & 2 > 0 THEN ref END) OVER u AS y, max(CASE WHEN mask & 4 > 0 THEN ref END) OVER u AS z FROM b WINDOW u AS (PARTITION BY doc_id ORDER BY ref)),
+ r AS (SELECT doc_id, min(ref - least(x, y, z)) AS span FROM e WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL GROUP BY doc_id)
+ SELECT d.doc_id, r.span IS NOT NULL AS satisfied, r.span FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id""")
+def strict_lexical(t):
+    """The span of the fewest lines that give all groups, anywhere in a document."""
+    terms, leaves = _common_words(t)
+    rows = lexical.strict_lexical(t("documents").select("doc_id", "text"), terms, leaves, ["doc_id"])
+    return rows.select("doc_id", "satisfied", (F.array_max("refs") - F.array_min("refs")).cast("long").alias("span"))
+
+
+@query("""WITH n AS (SELECT n_regionkey AS doc, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation)
+ SELECT doc * 10 + kind AS leaf_id, CASE WHEN kind < 3 THEN 'satisfied' WHEN kind < 6 THEN 'contradiction' ELSE 'missing' END AS result FROM (SELECT DISTINCT doc FROM n), (SELECT unnest(range(0, 7)) AS kind)""")
+def ordered_records(t):
+    """A region's first three nations as a table's column, a list and headings, each in order and turned round; and with a nation that is not there."""
+    n = t("nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
+    n = n.select(F.col("n_regionkey").alias("doc"), F.transform(F.slice("x", 1, 3), lambda x: x["n_name"]).alias("v"), F.reverse(F.transform(F.slice("x", 1, 3), lambda x: x["n_name"])).alias("r"))
+    table = lambda c: F.concat(F.lit("| Nation | Note |\n| --- | --- |\n"), F.array_join(F.transform(c, lambda v: F.concat(F.lit("| "), v, F.lit(" | kept |"))), "\n"))
+    listed = lambda c: F.array_join(F.transform(c, lambda v: F.concat(F.lit("- "), v)), "\n")
+    titled = lambda c: F.concat(F.lit("# All\n"), F.array_join(F.transform(c, lambda v: F.concat(F.lit("## "), v)), "\n\ntext\n\n"))
+    texts = F.array(*(f(F.col(c)) for c in ("v", "r") for f in (table, listed, titled)), table(F.col("v")))
+    docs = n.select("doc", "v", F.posexplode(texts).alias("kind", "text")).withColumn("leaf_id", F.col("doc") * 10 + F.col("kind"))
+    wanted = F.when(F.col("kind") == 6, F.array(F.col("v")[0], F.lit("Atlantis"))).otherwise(F.col("v"))
+    terms = docs.select("leaf_id", F.lit(0).alias("x"), F.posexplode(wanted).alias("group_no", "alternative")).withColumn("doc", F.col("leaf_id"))
+    rows = order.ordered_gate(docs.select(F.col("leaf_id").alias("doc"), "text"), terms, ["doc"], records=True)
+    return rows.select(F.col("leaf_id").cast("long").alias("leaf_id"), F.when(F.col("satisfied"), "satisfied").when(F.col("contradiction"), "contradiction").otherwise("missing").alias("result"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'satisfied' WHEN 1 THEN 'contradiction' ELSE 'missing' END AS result FROM supplier")
+def ordered_fields(t):
+    """Headings in order, turned round, or one of them missing; one is a short form."""
+    s = t("supplier").select("s_suppkey")
+    head = F.element_at(F.array(*map(F.lit, ("Name  |  Qty  |  Value", "Columns: value, quantity, name", "| Name | Value |\n| --- | --- |\n| a | b |"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    terms = s.select("s_suppkey", F.lit(1).alias("leaf_id"), F.posexplode(F.array(*map(F.lit, ("name", "quantity", "value")))).alias("group_no", "alternative"))
+    rows = order.ordered_gate(s.withColumn("text", head), terms, ["s_suppkey"], records=False)
+    return rows.select("s_suppkey", F.when(F.col("satisfied"), "satisfied").when(F.col("contradiction"), "contradiction").otherwise("missing").alias("result"))
+
+
+_EVALUATED = """k AS (SELECT c_custkey AS k, CAST(c_custkey // 40 AS BIGINT) AS case_id, c_custkey % 5 = 0 AS gone, c_custkey % 7 = 0 AS odd, c_custkey % 4 AS kind, ['correct', 'incorrect', 'missing'][1 + c_custkey % 3] AS j, 1 + c_custkey % 2 AS harm FROM customer),
+ s AS (SELECT *, CASE WHEN kind = 0 THEN 1 ELSE 2 END AS region_id, CASE WHEN kind <> 1 AND NOT gone AND NOT odd THEN 'correct' WHEN kind = 0 THEN CASE WHEN gone THEN 'missing' ELSE j END
+  WHEN kind = 1 THEN CASE WHEN j = 'incorrect' AND NOT gone AND NOT odd THEN 'correct' ELSE j END WHEN kind = 2 THEN CASE WHEN NOT gone THEN 'incorrect' WHEN j = 'correct' THEN 'missing' ELSE j END ELSE j END AS status,
+  kind <> 1 AND NOT gone AND NOT odd AS credited FROM k)"""
+
+
+def _evaluation(t):
+    """Forty customers a case: a table on page 1; statements, arrows and boxes on page 2; every fifth left out, every seventh told otherwise."""
+    k = F.col("c_custkey")
+    c = t("customer").select("c_custkey", "c_name", F.floor(k / 40).cast("long").alias("case_id"), (k % 4).alias("n"), (k % 7 == 0).alias("odd"), F.col("c_mktsegment").alias("seg"))
+    code = F.concat(F.lit("K"), k.cast("string"), F.lit("x"))
+    arrow = F.when(F.col("odd"), F.concat(code, F.lit(" -> "), "c_name")).otherwise(F.concat("c_name", F.lit(" -> "), code))
+    said = F.when(F.col("n") == 1, F.concat("c_name", F.lit(" belongs to "), F.when(F.col("odd"), F.lit("nobody")).otherwise(code), F.lit("."))).when(F.col("n") == 2, arrow).when(F.col("n") == 3, F.concat(F.when(F.col("odd"), "[ ] ").otherwise("[x] "), "c_name"))
+    row = F.concat(F.lit("| "), "c_name", F.lit(" | "), F.when(F.col("odd"), "OTHER").otherwise(F.col("seg")), F.lit(" |"))
+    shown = c.where("c_custkey % 5 <> 0").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.when(F.col("n") == 0, row).alias("row"), said.alias("said")))).alias("x"))
+    part = lambda f: F.array_join(F.filter(F.transform("x", lambda x: x[f]), lambda x: x.isNotNull()), "\n")
+    candidates = shown.select("case_id", F.concat(F.lit("PAGE 1\n| Customer | Segment |\n| --- | --- |\n"), part("row"), F.lit("\nPAGE 2\n"), part("said")).alias("text"))
+    cases = c.select("case_id").distinct()
+    regions = cases.select("case_id", F.inline(F.array(*(F.struct(F.lit(i).alias("region_id"), F.array(F.lit(i)).alias("pages"), F.lit(True).alias("unique_evidence"), F.lit(3 - i).alias("budget")) for i in (1, 2)))))
+    kinds = F.array(*map(F.lit, ("table_binding", "lexical", "directed_edge", "form_state")))
+    leaves = c.select("case_id", F.when(F.col("n") == 0, 1).otherwise(2).alias("region_id"), k.alias("leaf_id"), F.get(kinds, F.col("n").cast("int")).alias("kind"), F.lit(False).alias("strict"), F.concat("c_name", F.lit(" belongs to "), code).alias("expectation"), F.lit("checked").alias("state"), (1 + k % 2).alias("harm"))
+    leaves = leaves.withColumn("claim", F.when(F.col("kind") == "lexical", "value").otherwise(F.col("kind")))
+    term = lambda r, g, a: F.struct(F.lit(r).alias("role"), F.lit(0).alias("binding_no"), F.lit(g).alias("group_no"), a.alias("alternative"))
+    name = F.col("c_name")
+    terms = F.when(F.col("n") == 0, F.array(term("row", 0, name), term("column", 0, F.lit("Segment")), term("value", 0, F.col("seg")))).when(F.col("n") == 1, F.array(term("allOf", 0, name), term("allOf", 1, code))).when(F.col("n") == 2, F.array(term("source", 0, name), term("destination", 0, code))).otherwise(F.array(term("label", 0, name)))
+    terms = c.select("case_id", k.alias("leaf_id"), F.inline(terms))
+    status = F.element_at(F.array(*map(F.lit, ("correct", "incorrect", "missing"))), (k % 3 + 1).cast("int"))
+    judged = c.select("case_id", k.alias("leaf_id"), F.lit(0).alias("at"), status.alias("status"), F.sequence(F.lit(1), F.lit(90)).alias("refs"))
+    return candidates, regions, leaves, terms, judged, cases.where("case_id % 2 = 1").select("case_id", F.lit(2).alias("region_id"), F.lit("x").alias("key"))
+
+
+@query(f"WITH {_EVALUATED} SELECT case_id, k AS leaf_id, status, credited FROM s")
+def leaf_statuses(t):
+    candidates, regions, leaves, terms, judged, _ = _evaluation(t)
+    return evaluate.leaf_statuses(candidates, regions, leaves, terms, judged, ["case_id"]).select("case_id", "leaf_id", "status", "credited")
+
+
+@query(f"""WITH {_EVALUATED}, r AS (SELECT case_id, region_id, 3 - region_id AS budget, sum(harm) AS possible, sum(CASE status WHEN 'correct' THEN 1.0 WHEN 'incorrect' THEN -0.5 ELSE 0 END * harm) AS earned,
+ CASE WHEN case_id % 2 = 1 AND region_id = 2 THEN max(harm) ELSE 0 END AS penalty FROM s GROUP BY case_id, region_id),
+ c AS (SELECT case_id, count(*) AS regions, CAST(sum(budget) AS BIGINT) AS total_budget, sum(CAST(earned - penalty AS DOUBLE) / possible * budget) / sum(budget) AS x FROM r GROUP BY case_id)
+ SELECT case_id, regions, total_budget, round(100 * x, 4) AS raw_score, round(100 * greatest(0.0, least(1.0, x)), 4) AS score FROM c""")
+def evaluate_prediction(t):
+    """From texts to scores: pages, gates of four kinds, guarded judgements, precredits and claims."""
+    rows = evaluate.evaluate(*_evaluation(t), ["case_id"])
+    return rows.withColumns({"raw_score": F.round("raw_score", 4), "score": F.round("score", 4)})
+
+
+@query("SELECT s_suppkey AS leaf_id FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey > 0")
+def locator_overlaps(t):
+    """Suppliers' rows; every even one has a double whose key begins the same."""
+    s = t("supplier").select(F.lit(1).alias("case_id"), "s_suppkey", "s_name")
+    leaf = s.select("case_id", F.col("s_suppkey").alias("leaf_id"), F.col("s_name").alias("name")).unionByName(s.where("s_suppkey % 2 = 0").select("case_id", (-F.col("s_suppkey")).alias("leaf_id"), F.concat("s_name", F.lit(" total")).alias("name")))
+    roles = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(0).alias("group_no"), a.alias("alternative")) for r, a in (("row", F.col("name")), ("column", F.lit("Nation")))))
+    found = evaluate.locator_overlaps(leaf.withColumn("kind", F.lit("table_binding")), leaf.select("case_id", "leaf_id", F.inline(roles)))
+    return found.where("leaf_id > 0").select("leaf_id")
+
+
+@query("""WITH a AS (SELECT o_custkey, o_orderkey, 1 + o_orderkey % 200 AS m, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders),
+ f AS (SELECT o_custkey, list(m ORDER BY pos) AS ms, list(o_orderkey ORDER BY pos) AS ks FROM a GROUP BY o_custkey),
+ r AS (WITH RECURSIVE g AS (SELECT o_custkey, ms, ks, 1 AS i, 0 AS b, 1 AS n, ms[1] AS s FROM f UNION ALL
+  SELECT o_custkey, ms, ks, i + 1, CASE WHEN n >= 24 OR s + ms[i + 1] > 256 THEN b + 1 ELSE b END, CASE WHEN n >= 24 OR s + ms[i + 1] > 256 THEN 1 ELSE n + 1 END, CASE WHEN n >= 24 OR s + ms[i + 1] > 256 THEN ms[i + 1] ELSE s + ms[i + 1] END FROM g WHERE i < len(ks))
+  SELECT o_custkey, ks[i] AS region_id, CAST(b AS BIGINT) AS batch FROM g)
+ SELECT * FROM r""")
+def audit_batches(t):
+    rows = t("orders").select("o_custkey", F.col("o_orderkey").alias("region_id"), F.col("o_orderkey").alias("pos"), (1 + F.col("o_orderkey") % 200).alias("members"))
+    return scoring.audit_batches(rows, ["o_custkey"])
+
+
+@query("""SELECT c_custkey AS at, CASE WHEN c_custkey % 6 = 0 THEN 'declared in another region' WHEN c_custkey % 6 IN (1, 2, 3) THEN 'not grounded' ELSE 'accepted' END AS verdict FROM customer
+ UNION ALL SELECT -c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'declared in another region' WHEN c_custkey % 6 IN (1, 2, 3) THEN 'not grounded' ELSE 'duplicate' END FROM customer""")
+def audited_claims(t):
+    """Claims on customers: members of another region or their own, not in the claim's text, not in the cited line, or new; and each once more."""
+    k, n = F.col("c_custkey"), F.col("c_custkey") % 6
+    c = t("customer").select("c_custkey", "c_name", k.alias("case_id"), F.lit(1).alias("d"))
+    claim = lambda at: c.select("d", "case_id", at.alias("at"), F.lit(1).alias("region_id"), F.col("c_name").alias("key"), F.when(n == 2, "Something is listed").otherwise(F.concat("c_name", F.lit(" is listed"))).alias("claim"), F.array(F.when(n == 3, 2).otherwise(1)).alias("refs"))
+    shown = c.select("d", "case_id", F.explode(F.array(F.struct(F.lit(1).alias("ref"), F.concat(F.lit("- "), "c_name").alias("raw")), F.struct(F.lit(2).alias("ref"), F.lit("- nobody").alias("raw")))).alias("x")).select("d", "case_id", "x.*")
+    members = c.select("case_id", F.when(n == 0, 2).otherwise(1).alias("region_id"), F.when(n < 2, F.col("c_name")).otherwise("Known member").alias("member"))
+    # The second of each pair comes later, so it is the duplicate.
+    twice = claim(F.lit(0)).unionByName(claim(F.lit(1)))
+    rows = contracts.audited_claims(twice, shown, members, ["d", "case_id"])
+    return rows.select(F.when(F.col("at") == 0, F.col("case_id")).otherwise(-F.col("case_id")).alias("at"), "verdict")
+
+
+@query("SELECT o_orderkey, o_orderkey % 2 = 0 AND o_orderkey % 5 > 0 AS inference, o_orderkey % 2 = 0 AND o_orderkey % 5 > 0 AND o_orderkey % 3 = 0 AS score FROM orders")
+def reused_results(t):
+    k = F.col("o_orderkey")
+    wanted = t("orders").select("o_orderkey", sig.cache_key(k, F.lit("i")).alias("inference_key"), sig.cache_key(k, F.lit("s")).alias("score_key"))
+    have = wanted.where(k % 2 == 0).select("o_orderkey", "inference_key", F.when(k % 3 == 0, F.col("score_key")).otherwise("old").alias("score_key"), (k % 5 > 0).alias("telemetry_ok"))
+    return contracts.reused(wanted, have, ["o_orderkey"])
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, max(l_linestatus) AS s, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)
+ SELECT l_orderkey, last(s = 'O' ORDER BY l_linenumber) AS ok, count(*) AS attempts, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS errors, CAST(sum(q) AS BIGINT) AS input FROM p GROUP BY l_orderkey""")
+def resumed_parts(t):
+    parts = t("lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("at")).agg((F.max("l_linestatus") == "O").alias("ok"), F.lit(1).alias("attempts"), F.sum("l_quantity").cast("long").alias("input"))
+    parts = parts.withColumn("errors", F.array(F.col("at").cast("string")))
+    return contracts.resumed(parts, ["l_orderkey"]).withColumn("errors", F.array_join("errors", ","))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS leaf_id, ['correct', 'incorrect', 'missing'][1 + o_orderkey % 3] AS s, o_orderkey % 2 = 0 AS lines, o_orderkey % 5 = 0 AS found, o_orderkey % 7 = 0 AS noted FROM orders),
+ t AS (SELECT *, lines OR (s = 'correct' AND found) AS has FROM r), u AS (SELECT leaf_id, CASE WHEN has THEN s ELSE 'missing' END AS s, has, noted OR (s <> 'missing' AND NOT has) AS noted FROM t)
+ SELECT leaf_id, unnest(list_filter([CASE WHEN s = 'correct' AND noted THEN 'correct with a note' END, CASE WHEN s <> 'correct' AND NOT noted THEN 'no note' END, CASE WHEN s = 'missing' AND has THEN 'missing with lines' END], lambda x: x IS NOT NULL)) AS rule FROM u""")
+def batch_contract(t):
+    """Judged rows, settled first (lines recovered, missing where there are none), and those that break the contract then."""
+    k = F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, ("correct", "incorrect", "missing"))), (k % 3 + 1).cast("int"))
+    rows = t("orders").select(F.lit(1).alias("c"), k.alias("leaf_id"), status.alias("status"), F.when(k % 2 == 0, F.array(F.lit(3))).otherwise(F.array().cast("array<int>")).alias("refs"), F.when(k % 7 == 0, "note").alias("note"))
+    recovered = t("orders").where(k % 5 == 0).select(F.lit(1).alias("c"), k.alias("leaf_id"), F.array(F.lit(4)).alias("refs"))
+    return contracts.row_violations(contracts.settled(rows, recovered, ["c"]), ["c"]).select("leaf_id", "rule")
+
+
+@query("SELECT event_id, CASE WHEN value * 100 - floor(value * 100) >= 0.5 THEN floor(value * 100) + 1 ELSE floor(value * 100) END / 100 AS rounded, CASE WHEN value > 1 THEN 1.0 WHEN value < 0 THEN 0.0 ELSE value END AS clamped FROM events")
+def rounding(t):
+    return t("events").select("event_id", tx.round_half_up(F.col("value"), 2).alias("rounded"), tx.clamp01(F.col("value")).alias("clamped"))
+
+
+@query(r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(replace(translate(replace(replace(replace(replace(lower(nfc_normalize(text)), '→', '->'), '←', '<-'), '≤', '<='), '≥', '>='), '‐‑‒–—―−', '-------'), '×', 'x'), '|', ' '),
+ '(\p{N})(\p{L})', '\1 \2', 'g'), '(\p{L})(\p{N})', '\1 \2', 'g'), '[*_`#]', '', 'g'), '\s+', ' ', 'g'))) AS audit_sha256 FROM documents""")
+def audit_form(t):
+    return t("documents").select("doc_id", F.sha2(tx.normalize_audit(F.col("text")), 256).alias("audit_sha256"))
+
+
 # Members and constraints
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b USING (p_brand, p_type, p_size) WHERE a.p_partkey < b.p_partkey")
@@ -474,11 +677,88 @@ def model_summary(t):
     return rows.select("model_id", "draws", *(F.round(c, 6).alias(c) for c in ("mean", "least", "most", "sd", "mean_cost", "total_cost")))
 
 
-@query("""WITH c AS (SELECT o_orderkey, l_suppkey AS model_id, l_linenumber AS draw, l_orderkey % 3 AS case_id, l_discount AS score, l_tax AS cost FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
- SELECT model_id, draw, round(avg(score), 6) AS score, round(sum(cost), 6) AS cost FROM c GROUP BY model_id, draw HAVING count(DISTINCT case_id) = 3""")
-def complete_draws(t):
+_EXACT = """n AS (SELECT l_suppkey AS model_id, l_linenumber AS draw, l_orderkey % 3 AS case_id, CAST(round(l_discount * 1e9) AS BIGINT) AS s, CAST(round(l_tax * 1e9) AS BIGINT) AS c FROM lineitem),
+ k AS (SELECT model_id, draw, case_id, CAST((2 * sum(s) + count(*)) // (2 * count(*)) AS BIGINT) AS s, CAST(sum(c) AS BIGINT) AS c FROM n GROUP BY ALL),
+ e AS (SELECT model_id, draw, CAST((2 * sum(s) + count(*)) // (2 * count(*)) AS BIGINT) AS score_nano, CAST(sum(c) AS BIGINT) AS cost_nano FROM k GROUP BY model_id, draw HAVING count(*) = 3)"""
+
+
+def _exact(t):
     rows = t("lineitem").select(F.col("l_suppkey").alias("model_id"), F.col("l_linenumber").alias("draw"), (F.col("l_orderkey") % 3).alias("case_id"), F.col("l_discount").alias("score"), F.col("l_tax").alias("cost"))
-    return scoring.complete_draws(rows, 3, ["model_id"]).select("model_id", "draw", F.round("score", 6).alias("score"), F.round("cost", 6).alias("cost"))
+    return reports.exact_draws(rows, 3, ["model_id"])
+
+
+@query(f"WITH {_EXACT} SELECT * FROM e")
+def complete_draws(t):
+    return _exact(t)
+
+
+@query(f"""WITH {_EXACT}, g AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY draw) AS rn FROM e WHERE draw BETWEEN 1 AND 20)
+ SELECT model_id, count(*) AS draws, CAST((2 * sum(score_nano) + count(*)) // (2 * count(*)) AS BIGINT) AS mean_nano, min(score_nano) AS least_nano, max(score_nano) AS most_nano,
+ round(stddev_samp(score_nano) / 1e9, 6) AS sd FROM g WHERE draw = rn GROUP BY model_id""")
+def model_spread(t):
+    return reports.spread(reports.usable_draws(_exact(t), ["model_id"]), ["model_id"]).withColumn("sd", F.round("sd", 6))
+
+
+@query("""WITH n AS (SELECT l_suppkey AS model_id, l_orderkey % 3 AS case_id, CAST(round(l_discount * 1e9) AS BIGINT) AS s FROM lineitem)
+ SELECT model_id, case_id, count(*) AS draws, CAST((2 * sum(s) + count(*)) // (2 * count(*)) AS BIGINT) AS mean_nano, min(s) AS least_nano, max(s) AS most_nano FROM n GROUP BY ALL""")
+def case_across_draws(t):
+    rows = t("lineitem").select(F.col("l_suppkey").alias("model_id"), (F.col("l_orderkey") % 3).alias("case_id"), reports.nano(F.col("l_discount")).alias("score_nano"))
+    return reports.spread(rows, ["model_id", "case_id"]).drop("sd")
+
+
+@query(f"WITH {_EXACT} SELECT model_id, draw, score_nano, row_number() OVER (PARTITION BY draw ORDER BY score_nano DESC, model_id) AS place FROM e")
+def ranked_models(t):
+    return reports.ranked(_exact(t), ["model_id"], ["draw"]).select("model_id", "draw", "score_nano", F.col("place").cast("long").alias("place"))
+
+
+@query("""SELECT l_suppkey, CAST(sum(l_quantity) AS BIGINT) AS input, CAST(sum(l_linenumber) AS BIGINT) AS output, CAST(sum(l_quantity + l_linenumber) AS BIGINT) AS total,
+ CAST(sum(CASE WHEN l_returnflag = 'A' THEN 0 ELSE least(l_quantity, 5) END) AS BIGINT) AS cached,
+ CAST(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity - CASE WHEN l_returnflag = 'A' THEN 0 ELSE least(l_quantity, 5) END ELSE 0 END) AS BIGINT) AS written FROM lineitem GROUP BY l_suppkey""")
+def combined_usage(t):
+    q = F.col("l_quantity")
+    rows = t("lineitem").select("l_suppkey", q.alias("input"), F.col("l_linenumber").alias("output"), (q + F.col("l_linenumber")).alias("total"), F.when(F.col("l_returnflag") != "A", F.least(q, F.lit(5.0))).alias("cached"), F.lit(None).cast("double").alias("written"), F.when(F.col("l_linestatus") == "O", 1.0).alias("write_price"))
+    return reports.combined_usage(reports.with_written(rows), ["l_suppkey"])
+
+
+@query("""WITH c AS (SELECT CAST(round(o_totalprice * 1e9) AS HUGEINT) AS i, CAST(0 AS HUGEINT) AS e FROM orders WHERE o_orderstatus <> 'P'
+ UNION ALL SELECT CAST(round(o_totalprice * 1e9) AS HUGEINT), CAST(1000000000 AS HUGEINT) FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 2 = 0)
+ SELECT CAST(sum(i) AS BIGINT) AS inference, CAST(sum(e) AS BIGINT) AS evaluator, CAST(sum(i) + sum(e) AS BIGINT) AS total FROM c""")
+def run_spend(t):
+    o = t("orders").select("o_orderstatus", "o_orderkey", F.col("o_totalprice").alias("inference"))
+    failed = o.where("o_orderstatus = 'P'").select(F.when(F.col("o_orderkey") % 2 == 0, "case").otherwise("setup").alias("kind"), "inference", F.lit(1.0).alias("evaluator"))
+    return reports.spend(o.where("o_orderstatus <> 'P'").withColumn("evaluator", F.lit(None).cast("double")), failed)
+
+
+@query("SELECT user_id, min(epoch_us(ts)) AS started, max(CASE WHEN event_id % 3 > 0 THEN epoch_us(ts) + 5 END) AS finished FROM events GROUP BY user_id")
+def measurement_window(t):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return reports.measured(t("events").select("user_id", us.alias("started_at"), F.when(F.col("event_id") % 3 > 0, us + 5).alias("finished_at")), ["user_id"])
+
+
+@query(f"""WITH {_EXACT}, i AS (SELECT l_suppkey AS model_id, count(DISTINCT l_returnflag) AS n, string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS ns FROM lineitem WHERE l_suppkey % 4 > 0 OR l_returnflag = 'A' GROUP BY 1),
+ m AS (SELECT s_suppkey AS model_id FROM supplier UNION SELECT s_suppkey + 1000000 FROM supplier WHERE s_suppkey % 5 = 0)
+ SELECT m.model_id, CASE WHEN e.model_id IS NULL THEN 'no complete draw' ELSE 'drift: model=' || ns || '; evaluator=E' END AS reason
+ FROM m LEFT JOIN (SELECT DISTINCT model_id FROM e) e USING (model_id) LEFT JOIN i USING (model_id) WHERE e.model_id IS NULL OR n <> 1""")
+def excluded_models(t):
+    s = t("supplier")
+    registered = contracts.union_of(s.select(F.col("s_suppkey").alias("model_id")), s.where("s_suppkey % 5 = 0").select((F.col("s_suppkey") + 1000000).alias("model_id")))
+    seen = t("lineitem").where("l_suppkey % 4 > 0 or l_returnflag = 'A'").select(F.col("l_suppkey").alias("model_id"), F.col("l_returnflag").alias("model"), F.lit("E").alias("evaluator"))
+    return reports.excluded(registered, _exact(t), seen)
+
+
+@query("""SELECT o_custkey, count(*) AS "count", count(*) FILTER (WHERE o_orderkey % 2 = 0) AS reported, CAST(sum(1 + o_orderkey % 2) AS DOUBLE) AS penalty FROM orders GROUP BY o_custkey""")
+def unsupported_counts(t):
+    o = t("orders").select("o_custkey", F.col("o_orderkey").alias("region_id"), F.when(F.col("o_orderkey") % 2 == 0, "reported").otherwise("discovered").alias("source"))
+    return reports.unsupported_counts(o, t("orders").select(F.col("o_orderkey").alias("region_id"), (1 + F.col("o_orderkey") % 2).alias("harm")), ["o_custkey"])
+
+
+@query("""WITH r AS (SELECT l_orderkey AS k, l_linenumber AS id FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 2), x AS (SELECT o_orderkey AS k, unnest([1, 2, 3]) AS id FROM orders)
+ SELECT k AS l_orderkey, 'duplicate' AS rule, CAST(id AS VARCHAR) AS id FROM r GROUP BY k, r.id HAVING count(*) > 1
+ UNION ALL SELECT DISTINCT k, 'unknown', CAST(id AS VARCHAR) FROM r ANTI JOIN x USING (k, id) UNION ALL SELECT k, 'missing', CAST(id AS VARCHAR) FROM x ANTI JOIN r USING (k, id)""")
+def id_contract(t):
+    rows = t("lineitem").select("l_orderkey", F.col("l_linenumber").alias("leaf_id"))
+    asked = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("leaf_id"))
+    return contracts.id_violations(rows.unionAll(rows.where("leaf_id = 2")), asked, ["l_orderkey"])
 
 
 _USAGE = "u AS (SELECT l_suppkey, l_quantity * 1000 AS i, least(l_linenumber * 9000.0, l_quantity * 1000) AS c, CASE WHEN l_linenumber % 2 = 0 THEN 500.0 ELSE 0 END AS w0, l_extendedprice AS o FROM lineitem), p AS (SELECT *, least(w0, i - c) AS w FROM u)"
