@@ -37,7 +37,7 @@ DROP_HOSTS = (
 ).split()
 DROP_PATHS = "login cart popup jackpot bonus redirect checkout signup banner download.exe click affiliate promo freespins register tracking adframe logout payout refer".split()
 ENDINGS = ("com", "org", "net", "example.com", "info")
-UNROLLED = 200
+UNROLLED = 50
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
