@@ -195,10 +195,12 @@ def column_sets(t):
     return sets.select("doc", F.size("members").cast("long").alias("n"), F.array_join("members", ",").alias("members"))
 
 
-@query("SELECT DISTINCT c_custkey // 40 AS doc, 0 AS col FROM customer")
+@query("SELECT DISTINCT c_custkey // 40 AS doc, (c_custkey // 40) % 2 AS col FROM customer")
 def key_column(t):
+    """Customers' tables with the names in the first column or, in every second document, in the second."""
     rows = t("customer").withColumn("doc", F.floor(F.col("c_custkey") / 40))
-    docs = tables.rendered(rows, ["doc"], {"c_name": "Customer", "c_mktsegment": "Segment"}, "c_custkey")
+    names, segments = {"c_name": "Customer"}, {"c_mktsegment": "Segment"}
+    docs = tables.rendered(rows.where("doc % 2 = 0"), ["doc"], names | segments, "c_custkey").unionByName(tables.rendered(rows.where("doc % 2 = 1"), ["doc"], segments | names, "c_custkey"))
     return members.key_column(tables.table_cells(docs, ["doc"]), rows.select("doc", F.col("c_name").alias("member")), ["doc"]).select("doc", "col")
 
 
@@ -556,9 +558,9 @@ def same_member(t):
     return members.member_pairs(t("part"), t("part"), "p_type", [])
 
 
-@query("SELECT n_regionkey, min(n_name) AS n_name FROM nation GROUP BY n_regionkey HAVING count(DISTINCT n_name) = 1")
+@query("SELECT p_brand, p_size, min(p_type) AS p_type FROM part GROUP BY p_brand, p_size HAVING count(DISTINCT p_type) = 1")
 def unique_mapping(t):
-    return members.only_in_one(t("nation"), ["n_regionkey"], "n_name")
+    return members.only_in_one(t("part"), ["p_brand", "p_size"], "p_type")
 
 
 @query("SELECT l_orderkey, l_suppkey, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -598,10 +600,12 @@ def signals(t):
     return t("documents").select("doc_id", *(F.size(sig.signals(F.col("text"), k)).cast("long").alias(f"n_{k}") for k in sig.PATTERNS))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || '|' || strftime(o_orderdate, '%d/%m/%Y') || '|' || lower(strftime(o_orderdate, '%-d %B %Y')) AS forms FROM orders")
+_DATES = ("%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "%m/%d/%Y", "%-d %B %Y", "%-d %b %Y", "%B %-d, %Y", "%b %-d, %Y", "%d.%m.%Y", "%-d %B", "%B %-d")
+
+
+@query("SELECT o_orderkey, lower(concat_ws('|', " + ", ".join(f"strftime(o_orderdate, '{f}')" for f in _DATES) + ")) AS forms FROM orders")
 def date_aliases(t):
-    forms = sig.date_alternatives(F.col("o_orderdate"))
-    return t("orders").select("o_orderkey", F.concat_ws("|", forms[0], forms[2], forms[4]).alias("forms"))
+    return t("orders").select("o_orderkey", F.array_join(sig.date_alternatives(F.col("o_orderdate")), "|").alias("forms"))
 
 
 @query("""SELECT o_orderkey, sha256('{"p0":' || o_orderkey || ',"p1":"' || o_orderstatus || '","p2":"' || o_orderpriority || '"}') AS key FROM orders""")

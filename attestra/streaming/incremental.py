@@ -19,15 +19,25 @@ def keyed_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_new(rows: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Scores what has a new key, batch by batch, and appends it to ``out``; a batch that is run again is not scored twice."""
+    """Scores what has a new key, batch by batch, and appends it to ``out``; a batch that is run again is not scored twice.
+
+    Keys alone are kept in ``out``-keys, in 256 parts by how they begin, and a batch reads the parts that its own keys are in, so
+    its cost does not grow with what has been scored but for those keys. Results come first: a batch that ends in between is
+    scored again and takes the place of its own results.
+    """
+    known_at = out.rstrip("/") + "-keys"
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        fresh = df.dropDuplicates(["key"])
-        root = spark._jvm.org.apache.hadoop.fs.Path(out)
+        fresh = df.dropDuplicates(["key"]).withColumn("_part", F.substring("key", 1, 2))
+        root = spark._jvm.org.apache.hadoop.fs.Path(known_at)
         if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-            fresh = fresh.join(spark.read.parquet(out).where(F.col("batch") != number).select("key").distinct(), "key", "left_anti")
-        score(fresh).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+            parts = [r[0] for r in fresh.select("_part").distinct().collect()]  # 256 at most
+            known = spark.read.parquet(known_at).where(F.col("_part").isin(parts) & (F.col("batch") != number)).select("key")
+            fresh = fresh.join(known, "key", "left_anti")
+        save = lambda x: x.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        save(score(fresh.drop("_part")).withColumn("batch", F.lit(number))).partitionBy("batch").parquet(out)
+        save(fresh.select("key", "_part", F.lit(number).alias("batch"))).partitionBy("_part", "batch").parquet(known_at)
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
