@@ -15,6 +15,7 @@ from .functions import text as tx
 from .operators import bindings, closed_world, constraints, contracts, edges, evidence, gates, lexical, lines, members, order, reports, scoring, tables
 from .plans import evaluate, fidelity
 from .session import ship, table
+from .sources import artifacts
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -613,6 +614,57 @@ def cache_keys(t):
     return t("orders").select("o_orderkey", sig.cache_key(F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("key"))
 
 
+# Artifacts
+
+@query(r"SELECT p_partkey, lower(array_to_string(regexp_extract_all(p_name || ' / ' || p_type, '[A-Za-z0-9]+'), '-')) AS slug FROM part")
+def slugs(t):
+    return t("part").select("p_partkey", artifacts.slug(F.concat("p_name", F.lit(" / "), "p_type")).alias("slug"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS title, CASE WHEN c_custkey % 3 = 0 THEN 'a|b' ELSE 't' END AS tags, CASE c_custkey % 4 WHEN 0 THEN 'S' WHEN 1 THEN 'P' ELSE 'Faithful reconstruction of ' || c_name END AS purpose FROM customer")
+def case_metadata(t):
+    """Specs that tell a title, tags, a summary or a purpose; what they leave out comes from the manifest."""
+    k = F.col("c_custkey")
+    c = t("customer").select(k.alias("id"), F.col("c_name").alias("title"), F.lit("f").alias("family"), F.array(F.lit("t")).alias("tags"), F.lit(1).alias("pages"), "c_mktsegment")
+    i = F.col("id")
+    text = F.concat_ws("\n", F.lit("# Spec"), F.when(i % 2 == 0, F.concat(F.lit("report title: `"), "c_mktsegment", F.lit("`"))), F.when(i % 3 == 0, "Report capabilities: a, ,b"), F.when(i % 4 == 0, "Report summary : S"), F.when(i % 4 < 2, "Purpose: P"))
+    rows = artifacts.case_metadata(c, c.select("id", text.alias("text")))
+    return rows.select("id", "title", F.array_join("tags", "|").alias("tags"), "purpose")
+
+
+@query("SELECT o_custkey AS case_id, CAST(max(CASE WHEN o_orderkey % 3 = 0 THEN 500 + o_orderkey % 7 ELSE o_orderkey % 90 END) AS BIGINT) AS pages FROM orders GROUP BY o_custkey")
+def output_pages(t):
+    k = F.col("o_orderkey")
+    return artifacts.output_pages(t("orders").select(F.col("o_custkey").alias("case_id"), (k % 90).alias("page"), F.when(k % 3 == 0, 500 + k % 7).alias("document_page")))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE s_suppkey % 4 WHEN 0 THEN 'leaves the root' ELSE 'is missing' END AS rule, CASE s_suppkey % 4 WHEN 0 THEN 'gold' ELSE 'a/../b' || s_suppkey END AS subject FROM supplier WHERE s_suppkey % 4 < 2
+ UNION ALL SELECT 'twice', 'id repeats', CAST(count(*) AS VARCHAR) FROM supplier WHERE s_suppkey % 4 = 3 HAVING count(*) > 1""")
+def manifest_violations(t):
+    """Cases whose gold file leaves the root, is not there, or is; and an id that many have."""
+    k = F.col("s_suppkey")
+    path = F.when(k % 4 == 0, F.concat(F.lit("a/../../b"), k.cast("string"))).otherwise(F.concat(F.lit("a/../b"), k.cast("string")))
+    cases = t("supplier").select(F.when(k % 4 == 3, "twice").otherwise(k.cast("string")).alias("id"), F.lit("x").alias("title"), *(F.lit("ok").alias(c) for c in ("pdf", "spec", "facts")), path.alias("gold"))
+    files = t("supplier").where(k % 4 > 1).select(F.concat(F.lit("a/../b"), k.cast("string")).alias("path")).unionByName(t("region").select(F.lit("ok").alias("path")))
+    return artifacts.manifest_violations(cases, files)
+
+
+@query("""WITH g AS (SELECT o_custkey AS case_id, count(*) AS n FROM orders GROUP BY 1)
+ SELECT case_id, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS native_text_pages, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS image_pages, count(*) FILTER (WHERE o_orderkey % 6 = 0) AS full_page_raster_pages,
+ CAST(sum(CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tiny, CAST(sum(CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS outside FROM orders JOIN g ON o_custkey = case_id GROUP BY case_id""")
+def page_layout(t):
+    """A page for each order: glyphs on even ones, an image on every third, whole pages on every sixth."""
+    k = F.col("o_orderkey")
+    pages = t("orders").select(F.col("o_custkey").alias("case_id"), k.alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    p = F.col("page")
+    glyphs = pages.where(p % 2 == 0).select("case_id", "page", F.lit("x").alias("text"), F.when(p % 5 == 0, 5.0).otherwise(9.0).alias("size"), *(F.lit(v).alias(n) for n, v in (("x0", 1.0), ("x1", 9.0), ("top", 1.0), ("bottom", 9.0))))
+    wide = F.when(p % 6 == 0, 600.0).otherwise(100.0)
+    images = pages.where(p % 3 == 0).select("case_id", "page", F.when(p % 7 == 0, -2.0).otherwise(0.0).alias("x0"), wide.alias("x1"), F.lit(0.0).alias("y0"), F.when(p % 6 == 0, 800.0).otherwise(50.0).alias("y1"), F.lit(2000.0).alias("px"), F.lit(2000.0).alias("py"))
+    rows = artifacts.page_layout(pages, glyphs, images)
+    extra = rows.groupBy("case_id").agg(F.sum("tiny").cast("long").alias("tiny"), F.sum("outside").cast("long").alias("outside"))
+    return artifacts.layout_tallies(rows).join(extra, "case_id")
+
+
 # Scores
 
 _LEAVES = """leaves AS (SELECT o_custkey AS case_id, l_orderkey AS region_id, CASE l_returnflag WHEN 'A' THEN 'correct' WHEN 'N' THEN 'missing' ELSE 'incorrect' END AS status,
