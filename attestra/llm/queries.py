@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path, table
-from . import chat, compaction, decontam, line_dedup, packing, pii, quality, records, simhash, url_filter
+from . import chat, compaction, decontam, line_dedup, packing, pii, quality, records, resampling, simhash, toxicity, url_filter
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -92,7 +92,19 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_compaction, op4_packing, op5_decontamination, op6_line_dedup, op7_pii, op8_chat, op9_quality, op10_records)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rest = table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(rest != 2)
+    scores = toxicity.scored(docs, toxicity.fit(docs, labels))
+    return scores.select("doc_id", (rest == 2).alias("held_out"), "score", "predicted")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_compaction, op4_packing, op5_decontamination, op6_line_dedup, op7_pii, op8_chat, op9_quality, op10_records, op11_toxicity, op13_resampling)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_compaction": """
