@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path, table
-from . import chat, compaction, decontam, line_dedup, packing, pii, quality, records, resampling, simhash, toxicity, url_filter
+from . import chat, compaction, decontam, divergence, line_dedup, packing, pii, quality, records, resampling, simhash, toxicity, url_filter
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -99,12 +99,16 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (rest == 2).alias("held_out"), "score", "predicted")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_compaction, op4_packing, op5_decontamination, op6_line_dedup, op7_pii, op8_chat, op9_quality, op10_records, op11_toxicity, op13_resampling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_compaction, op4_packing, op5_decontamination, op6_line_dedup, op7_pii, op8_chat, op9_quality, op10_records, op11_toxicity, op12_divergence, op13_resampling)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_compaction": """
@@ -137,4 +141,23 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(upto) FILTER (WHERE role = 'assistant' OR pos = n) AS BIGINT) AS formatted_chars
         FROM summed GROUP BY conv_id""",
+    "op12_divergence": r"""
+        WITH docs AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        words AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        kept AS (SELECT lang, term, count(*) AS whole_n FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+        sources AS (SELECT DISTINCT lang, source FROM docs),
+        cells AS (SELECT s.lang, s.source, k.term, k.whole_n, coalesce(n, 0) AS n
+            FROM sources s JOIN kept k ON s.lang = k.lang LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL) w
+            ON s.lang = w.lang AND s.source = w.source AND k.term = w.term),
+        totals AS (SELECT *, sum(n) OVER g AS total, sum(whole_n) OVER g AS whole_total, count(*) OVER g AS v FROM cells WINDOW g AS (PARTITION BY lang, source)),
+        shares AS (SELECT lang, source, term, n, CAST(1 + CAST(1000000000 * CAST(n + 5 AS HUGEINT) AS HUGEINT) // CAST(total + 5 * v AS HUGEINT) AS BIGINT) AS p,
+            CAST(1 + CAST(1000000000 * CAST(whole_n + 5 AS HUGEINT) AS HUGEINT) // CAST(whole_total + 5 * v AS HUGEINT) AS BIGINT) AS q FROM totals),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(sum(abs(x.p - y.p)), 0) AS BIGINT) AS value
+            FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+            LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+        terms AS (SELECT lang, source, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q),
+        ranked AS (SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+            UNION ALL SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) FROM terms)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50""",
 }

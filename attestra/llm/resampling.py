@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,11 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import forget, ship, written
-from .text import LOWER, UPPER
 
 BUCKETS, LONGEST = 10_000, 3
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
+#: Bytes of UTF-8 texts: A to Z in lower case; digits, a to z and all beyond ASCII as they are; the rest as blanks.
+BYTES = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256)).lower()
 #: Features of a block; words of at most so many bytes go through tables, of which there is one a length.
 BLOCK, SHORT = 1 << 20, 48
 KEPT_WORDS = 500_000
@@ -57,15 +55,12 @@ class Hasher:
         self._empty()
 
     def _empty(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[bytes, int] = {}
         self.known = np.zeros((0, 3), dtype=np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Keeps the CRC of a word, that of a blank and the word, and the bytes of both (0: too long for the tables)."""
-        rows = []
-        for w in words:
-            raw = w.encode()
-            rows.append((zlib.crc32(raw), zlib.crc32(b" " + raw), len(raw) + 1 if len(raw) <= SHORT else 0))
+        rows = [(zlib.crc32(w), zlib.crc32(b" " + w), len(w) + 1 if len(w) <= SHORT else 0) for w in words]
         n, more = len(self.at), len(words)
         if n + more > len(self.known):
             grown = np.zeros((2 * (n + more), 3), dtype=np.uint32)
@@ -74,7 +69,7 @@ class Hasher:
         self.known[n : n + more] = np.array(rows, dtype=np.uint32)
         self.at.update(zip(words, range(n, n + more)))
 
-    def crcs(self, words: list[str]) -> list[np.ndarray]:
+    def crcs(self, words: list[bytes]) -> list[np.ndarray]:
         """CRCs of the runs of each length."""
         if len(self.at) >= KEPT_WORDS:
             self._empty()
@@ -88,18 +83,18 @@ class Hasher:
             t = self.tables
             c = t[base + (c & 255)] ^ t[base + 256 + (c >> 8 & 255)] ^ t[base + 512 + (c >> 16 & 255)] ^ t[base + 768 + (c >> 24)] ^ after[k:]
             for i in np.flatnonzero(size[k:] == 0).tolist():
-                c[i] = zlib.crc32(b" " + words[i + k].encode(), int(out[-1][i]))
+                c[i] = zlib.crc32(b" " + words[i + k], int(out[-1][i]))
             out.append(c)
         return out
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0, dtype=np.uint16)
         return (np.concatenate(self.crcs(words)) % np.uint32(self.buckets)).astype(np.uint16)
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(ASCII_LOWER)) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(BYTES).split()
 
 
 def runs(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
