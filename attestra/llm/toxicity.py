@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,30 +52,32 @@ WORD_X, FIRST_X, SECOND_X, LEFT_X, RIGHT_X, LAST_X = (_odd(i) for i in range(6))
 STEM_X = [[_odd(10 + 8 * k + i) for i, _ in enumerate(OFTEN)] for k, _ in enumerate(STEMS)]
 
 
-class _Words:
-    """Hashes of words and of their stems, worked out once for each word; a short word has no stem."""
+class _Words(dict):
+    """Numbers of words, whose hashes and stems' hashes are worked out once each; a short word has no stem."""
 
     def __init__(self):
-        self.at: dict[str, int] = {}
-        self.hashes = np.zeros((0, 1 + len(STEMS)), dtype=np.uint64)
+        self.hashes, self.new = np.zeros((0, 1 + len(STEMS)), dtype=np.uint64), []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        at = self[word] = len(self)
+        return at
 
     def of(self, words: list[str]) -> np.ndarray:
         import xxhash
 
         digest = xxhash.xxh64_intdigest
-        if len(self.at) >= KEPT_WORDS:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
             self.__init__()
-        new = [w for w in dict.fromkeys(words) if w not in self.at]
-        if new:
-            rows = [(digest(w), *(digest(w[:k]) if len(w) > k else 0 for k in STEMS)) for w in new]
-            n = len(self.at)
-            if n + len(new) > len(self.hashes):
-                grown = np.zeros((2 * (n + len(new)), 1 + len(STEMS)), dtype=np.uint64)
-                grown[:n] = self.hashes[:n]
-                self.hashes = grown
-            self.hashes[n : n + len(new)] = np.array(rows, dtype=np.uint64)
-            self.at.update(zip(new, range(n, n + len(new))))
-        return self.hashes[np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))]
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.new:
+            rows = [(digest(w), *(digest(w[:k]) if len(w) > k else 0 for k in STEMS)) for w in self.new]
+            if len(self) > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros((len(self), 1 + len(STEMS)), dtype=np.uint64)])
+            self.hashes[len(self) - len(rows) : len(self)] = np.array(rows, dtype=np.uint64)
+            self.new = []
+        return self.hashes[at]
 
 
 _WORDS = _Words()
@@ -102,6 +105,15 @@ def features(text: str | None, bits: int = BITS, weights: np.ndarray | None = No
     return np.unique(np.concatenate(parts))
 
 
+def packed(coords: np.ndarray) -> bytes:
+    """Ascending coordinates as steps, compressed."""
+    return zlib.compress(np.diff(coords, prepend=np.int32(0)).astype("<i4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), dtype="<i4"))
+
+
 @dataclass
 class Ftrl:
     """FTRL-proximal's state: ``z`` and the sums ``n`` of squared gradients by coordinate; the last coordinate is the intercept, which has no L1."""
@@ -155,40 +167,37 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_label
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            coords = [features(t, bits).tobytes() for t in b.column(2).to_pylist()]
+            coords = [packed(features(t, bits)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(coords, pa.binary())], names=["at", "label", "coords"])
 
     return rows.select("at", "label", "text").mapInArrow(run, "at long, label int, coords binary")
 
 
 def _epoch(rows: DataFrame, state, rates: dict[str, float]) -> DataFrame:
-    """(coord, z, n, gain) of every coordinate that a shard has met, going on from the common state; ``rows`` are together and in order by shard."""
+    """(shard, z, n): what each shard makes of the common state; ``rows`` are together and in order by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before_z, before_n = state.value
         shard, model = None, None
-
-        def out() -> pa.RecordBatch:
-            at = np.flatnonzero(model.n > before_n)
-            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(model.z[at]), pa.array(model.n[at]), pa.array(model.n[at] - before_n[at])], names=["coord", "z", "n", "gain"])
-
+        out = lambda: pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "z": [model.z.tobytes()], "n": [model.n.tobytes()]})
         for b in batches:
             for s, y, c in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if s != shard:
                     if model:
                         yield out()
                     shard, model = s, Ftrl(before_z.copy(), before_n.copy(), **rates)
-                model.learn(np.frombuffer(c, dtype=np.int32), y)
+                model.learn(unpacked(c), y)
         if model:
             yield out()
 
-    return rows.select("shard", "label", "coords").mapInArrow(run, "coord long, z double, n double, gain double")
+    return rows.select("shard", "label", "coords").mapInArrow(run, "shard int, z binary, n binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED, shard_rows: int = SHARD_ROWS, epochs: int = EPOCHS, bits: int = BITS, **rates: float) -> Model:
     """The model of ``labels(doc_id, label)``; ``rates`` are FTRL's alpha, beta, l1 and l2.
 
-    What reaches the driver is a state: at most ``1 << bits`` coordinates, however many rows there are.
+    What reaches the driver is a state of ``1 << bits`` coordinates for each shard, of which there are at most
+    ``max_labelled / shard_rows``, however many rows there are.
     """
     spark = docs.sparkSession
     shared_dir(spark)
@@ -197,13 +206,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     rows = labelled(docs, labels, label, max_labelled, bits).withColumn("shard", F.pmod("at", F.lit(shards)).cast("int"))
     # A checkpoint keeps its partitions and their order, so every epoch reads each shard in one task without a shuffle.
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "at", "label", "coords").checkpoint()
-    z, n, total = np.zeros(size), np.zeros(size), F.sum("gain")
+    z, n = np.zeros(size), np.zeros(size)
     for _ in range(epochs):
         state = spark.sparkContext.broadcast((z, n))
-        share = lambda c: (F.sum(F.col(c) * F.col("gain")) / total).alias(c)
-        mixed = _epoch(rows, state, rates).groupBy("coord").agg(share("z"), share("n")).toArrow()
-        z, n, at = z.copy(), n.copy(), mixed.column("coord").to_numpy()
-        z[at], n[at] = mixed.column("z").to_numpy(), mixed.column("n").to_numpy()
+        z_sum, n_sum, gains = np.zeros(size), np.zeros(size), np.zeros(size)
+        for row in sorted(_epoch(rows, state, rates).collect(), key=lambda r: r.shard):
+            z_new, n_new = np.frombuffer(row.z), np.frombuffer(row.n)
+            gain = n_new - n
+            z_sum, n_sum, gains = z_sum + gain * z_new, n_sum + gain * n_new, gains + gain
+        met = gains > 0
+        z, n = z.copy(), n.copy()
+        z[met], n[met] = z_sum[met] / gains[met], n_sum[met] / gains[met]
         state.unpersist()
     weights = Ftrl(z, n, **rates).weights(np.arange(size))
     at = np.flatnonzero(weights[:-1])
