@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship
 
-BITS, SHARD_ROWS, EPOCHS, MAX_LABELLED = 20, 5_000, 8, 20_000
+BITS, SHARD_ROWS, EPOCHS, MAX_LABELLED = 19, 5_000, 6, 20_000
 #: Words in any script, digits among them.
 WORD = re.compile(r"[^\W_]+")
 #: Letters of a stem, and how often it has to stand in a text for each of its features.
@@ -179,13 +179,13 @@ def _epoch(rows: DataFrame, state, rates: dict[str, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before_z, before_n = state.value
         shard, model = None, None
-        out = lambda: pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "z": [model.z.tobytes()], "n": [model.n.tobytes()]})
+        out = lambda: pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "z": [model.z.astype("<f4").tobytes()], "n": [model.n.astype("<f4").tobytes()]})
         for b in batches:
             for s, y, c in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if s != shard:
                     if model:
                         yield out()
-                    shard, model = s, Ftrl(before_z.copy(), before_n.copy(), **rates)
+                    shard, model = s, Ftrl(before_z.astype(float), before_n.astype(float), **rates)
                 model.learn(unpacked(c), y)
         if model:
             yield out()
@@ -206,19 +206,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     rows = labelled(docs, labels, label, max_labelled, bits).withColumn("shard", F.pmod("at", F.lit(shards)).cast("int"))
     # A checkpoint keeps its partitions and their order, so every epoch reads each shard in one task without a shuffle.
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "at", "label", "coords").checkpoint()
-    z, n = np.zeros(size), np.zeros(size)
+    z, n = np.zeros(size, dtype="<f4"), np.zeros(size, dtype="<f4")
     for _ in range(epochs):
         state = spark.sparkContext.broadcast((z, n))
-        z_sum, n_sum, gains = np.zeros(size), np.zeros(size), np.zeros(size)
+        z_sum, n_sum, gains = (np.zeros(size) for _ in range(3))
         for row in sorted(_epoch(rows, state, rates).collect(), key=lambda r: r.shard):
-            z_new, n_new = np.frombuffer(row.z), np.frombuffer(row.n)
-            gain = n_new - n
-            z_sum, n_sum, gains = z_sum + gain * z_new, n_sum + gain * n_new, gains + gain
+            z_new, n_new = np.frombuffer(row.z, "<f4"), np.frombuffer(row.n, "<f4")
+            gain = np.maximum(n_new - n, 0)
+            z_sum += gain * z_new
+            n_sum += gain * n_new
+            gains += gain
         met = gains > 0
-        z, n = z.copy(), n.copy()
         z[met], n[met] = z_sum[met] / gains[met], n_sum[met] / gains[met]
-        state.unpersist()
-    weights = Ftrl(z, n, **rates).weights(np.arange(size))
+        state.destroy()
+    weights = Ftrl(z.astype(float), n.astype(float), **rates).weights(np.arange(size))
     at = np.flatnonzero(weights[:-1])
     return Model(at, weights[at], float(weights[-1]), bits)
 
