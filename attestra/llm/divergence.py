@@ -34,6 +34,8 @@ from ..session import ship, written
 SCALE = 1_000_000_000
 #: Bytes of UTF-8 texts: A to Z in lower case; a to z and all beyond ASCII as they are; the rest as blanks.
 BYTES = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256)).lower()
+#: Parts into which a language's terms are cut for a join by language.
+SALTS = 64
 #: Terms that a task's tables hold before they are given out.
 KEPT_TERMS = 500_000
 
@@ -176,7 +178,9 @@ def divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, slice_terms
 
     # A slice's terms are a bounded number, so a task may number them.
     cut = F.pmod(F.xxhash64("term"), F.col("slices")).cast("int")
-    numbered = words.join(langs.select("lang", "slices"), "lang").select("lang", "term", "lang_n", cut.alias("slice"))
+    # One language may have nearly all terms, so these meet its number of slices in several tasks.
+    salted = langs.select("lang", "slices", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    numbered = words.withColumn("salt", F.pmod(F.hash("term"), F.lit(SALTS))).join(salted, ["lang", "salt"]).select("lang", "term", "lang_n", cut.alias("slice"))
     numbered = written(numbered.withColumn("at", F.row_number().over(Window.partitionBy("lang", "slice").orderBy("term")) - 1), "terms")
     sizes = numbered.groupBy("lang", "slice").agg(F.count("*").cast("int").alias("size"))
 
