@@ -31,7 +31,20 @@ FORM_STATES = {
 HTML_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 ENTITY = "(?i)&(?:#x[0-9a-f]+|#[0-9]+|[a-z]+);"
 #: White space of any script, as a class that Java and RE2 both read.
-SPACES = "[ \\t\\n\\x0B\\f\\r\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+"
+SPACE = "[ \\t\\n\\x0B\\f\\r\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+SPACES = SPACE + "+"
+#: Edges of words of ASCII letters, digits and low lines.
+EDGE, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: Marks of a form and the words that they stand for, in the order in which they are read.
+FORM_MARKS = (
+    (rf"(?i)\[{SPACE}*crossed box{SPACE}*:{SPACE}*([^\]]+)\]", " crossed out $1 "),
+    (rf"\[{SPACE}*/{SPACE}*\]", " disabled "),
+    (rf"\[{SPACE}*[xX✓]{SPACE}*\]|☑|✅", " checked "),
+    (rf"\[{SPACE}*\]|☐|⬜", " unchecked "),
+    (r"~~([^~]+)~~", " crossed out $1 "),
+    (rf"(?i){EDGE}not{SPACE}+checked{END}", " unchecked "),
+    (rf"(?i){EDGE}not{SPACE}+selected{END}", " unselected "),
+)
 
 
 @F.pandas_udf(T.StringType())
@@ -116,10 +129,16 @@ def has_alternative(text: Column, alternatives: Sequence[str]) -> Column:
     return found
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_negated(before: Column) -> Column:
-    """Whether what stands before a hit negates it: a negator within 16 words in its clause, ``not only`` aside."""
-    clause = F.element_at(F.split(F.right(before, F.lit(128)), r"[.;!?]|\b(?:but|however|instead)\b"), -1)
-    return F.regexp_replace(clause, "not only", " ").rlike(rf"(?<![a-z0-9])(?:{NEGATORS})(?![a-z0-9])(?:[^a-z0-9]+[a-z0-9']+){{0,16}}[^a-z0-9]*$")
+    """Whether what stands before a hit negates it: its clause's last negator stands at most 16 words before; ``not only`` frees a clause."""
+    clause = F.element_at(F.split(F.right(before, F.lit(128)), rf"[.;!?]|{EDGE}(?:but|however|instead){END}"), -1)
+    tail = lambda c: F.filter(F.split(F.regexp_extract(c, rf"(?s)^.*{EDGE}(?:{NEGATORS}){END}(.*)$", 1), SPACES), lambda w: w != "")
+    return let(clause, lambda c: ~c.rlike(rf"{EDGE}not{SPACES}only{END}") & c.rlike(rf"{EDGE}(?:{NEGATORS}){END}") & (F.size(tail(c)) <= 16))
 
 
 def _entity(e: Column) -> Column:
@@ -136,17 +155,19 @@ def _entity(e: Column) -> Column:
 
 
 def html_text(c: Column) -> Column:
-    """Text of an HTML fragment: breaks and tags as blanks, entities decoded once, unknown ones as blanks, white space in one blank."""
-    c = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?\s*>", " "), "<[^>]*>", " ")
-    parts, found = F.split(c, ENTITY, -1), F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0))
-    decoded = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(_entity(F.get(found, i)), F.lit("")))), "")
-    c = F.when(c.contains("&"), F.when(F.size(found) > 0, decoded).otherwise(c)).otherwise(c)
-    return F.trim(F.regexp_replace(c, SPACES, " "))
+    """Text of an HTML fragment: breaks and tags as blanks, entities decoded once, unknown ones as blanks, white space in one blank.
+
+    A text is cut once into entities and what lies between, so the work grows with its length.
+    """
+    plain = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?\s*>", " "), "<[^>]*>", " ")
+    token = lambda x: F.when(x.startswith("&") & (F.length(x) > 1), _entity(x)).otherwise(x)
+    decoded = lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit(f"[^&]+|{ENTITY}|&"), F.lit(0)), token), "")
+    return let(plain, lambda x: F.trim(F.regexp_replace(F.when(x.contains("&"), decoded(x)).otherwise(x), SPACES, " ")))
 
 
 def form_text(c: Column) -> Column:
     """A form's marks as words, then the scorer's normal form."""
-    for pattern, word in ((r"(?i)\[crossed box:[^\]]*\]", " crossed out "), (r"\[/\]", " disabled "), (r"\[[xX✓]\]|☑|✅", " checked "), (r"\[ \]|☐|⬜", " unchecked "), (r"~~([^~]+)~~", " $1 crossed out "), (r"(?i)not checked", " unchecked "), (r"(?i)not selected", " unselected ")):
+    for pattern, word in FORM_MARKS:
         c = F.regexp_replace(c, pattern, word)
     return normalize_ascii(c)
 

@@ -6,33 +6,16 @@ that they may have, and headings of which one at least must be there.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_ascii, same_member
-from .bindings import is_subsequence, words_of
+from ..functions.text import normalize_ascii
+from .alias_join import alias_pairs, is_alias  # noqa: F401
 from .evidence import holds
 from .lines import by, candidate_lines
 from .tables import table_cells
 
 
-def is_alias(a: Column, b: Column) -> Column:
-    """Whether two names in normal form may mean one member.
-
-    They are alike, or one begins the other, or (numbers being equal where both have any) they share two numbers and a word, or
-    the two or more words of one stand in the other in order.
-    """
-    x, y = words_of(a), words_of(b)
-    numbers = lambda ws: F.filter(ws, lambda w: w.rlike(r"^\p{N}+$"))
-    others = lambda ws: F.filter(ws, lambda w: ~w.rlike(r"^\p{N}+$"))
-    begins = lambda p, q: (F.size(p) > 0) & (F.slice(q, F.lit(1), F.greatest(F.lit(1), F.size(p))) == p)
-    n, m, v, w = numbers(x), numbers(y), others(x), others(y)
-    agree = (F.size(n) == 0) | (F.size(m) == 0) | (n == m)
-    shared = (F.size(n) >= 2) & (n == m) & F.arrays_overlap(v, w)
-    inside = ((F.size(v) >= 2) & is_subsequence(v, w)) | ((F.size(w) >= 2) & is_subsequence(w, v))
-    return same_member(a, b) | begins(x, y) | begins(y, x) | (agree & (shared | inside))
-
-
 def scopes(docs: DataFrame, keys: list[str], before: int = 12, without: int = 4) -> DataFrame:
     """(keys, ref, scope): for every line what stands before it: from the nearest heading in ``before`` lines, else ``without`` lines."""
     rows = candidate_lines(docs, keys).withColumn("_b", F.collect_list("raw").over(by(keys).rowsBetween(-before, -1)))
@@ -58,7 +41,12 @@ def invented_rows(docs: DataFrame, regions: DataFrame, keys: list[str]) -> DataF
     r = regions.select(*keys, "region_id", *(norm(c).alias(f"_{c}") for c in ("labels", "members", "columns")))
     owned = heads.join(r, keys).where(holds(F.col("scope"), F.col("_labels")) & F.arrays_overlap("_heads", "_columns")).select(*grid, "region_id", "_members")
     own = [*grid, "region_id"]
-    met = cells.join(owned, grid).withColumn("_alias", F.filter("_members", lambda m: is_alias(F.col("_n"), m)))
+    met = cells.join(owned, grid)
+    # Each name of a region's tables meets the members that it may mean, and no others.
+    named = met.select(*keys, "region_id", F.col("_n").alias("name")).distinct()
+    member = r.select(*keys, "region_id", F.explode("_members").alias("name"))
+    alike = alias_pairs(named, member, [*keys, "region_id"]).groupBy(*keys, "region_id", F.col("left").alias("_n")).agg(F.collect_set("right").alias("_alias"))
+    met = met.join(alike, [*keys, "region_id", "_n"], "left").withColumn("_alias", F.coalesce("_alias", F.array().cast("array<string>")))
     found = met.where("size(_alias) = 1").groupBy(*own, "col").agg(F.count_distinct(F.col("_alias")[0]).alias("_found"), F.first("_members").alias("_m"))
     found = found.where(F.col("_found") >= F.least(F.lit(2), F.size("_m")))
     w = Window.partitionBy(*own)
@@ -72,13 +60,15 @@ def invented_rows(docs: DataFrame, regions: DataFrame, keys: list[str]) -> DataF
 
 
 def applied_claims(reported: DataFrame, discovered: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, region_id, key): reported claims and those discovered that are neither reported nor known in another region.
+    """(keys, region_id, key): reported claims and those discovered that are neither reported nor may mean a member of another region.
 
-    ``members(keys, region_id, member)``; keys are compared in normal form.
+    ``members(keys, region_id, member)``; keys are compared in normal form, with members as ``is_alias`` does.
     """
     n = lambda df, c: df.withColumn("_n", normalize_ascii(F.col(c)))
     own = n(discovered.select(*keys, "region_id", "key"), "key")
     fresh = own.join(n(reported, "key").select(*keys, "region_id", "_n").distinct(), [*keys, "region_id", "_n"], "left_anti")
-    other = n(members, "member").select(*keys, F.col("region_id").alias("_other"), "_n").distinct()
-    elsewhere = fresh.join(other, [*keys, "_n"]).where("_other <> region_id").select(*keys, "region_id", "_n").distinct()
+    held = members.select(*keys, F.col("region_id").alias("_other"), normalize_ascii(F.col("member")).alias("name"))
+    alike = alias_pairs(fresh.select(*keys, F.col("_n").alias("name")), held, keys)
+    elsewhere = fresh.join(alike.withColumnRenamed("left", "_n"), [*keys, "_n"]).join(held.withColumnRenamed("name", "right"), [*keys, "right"]).where("_other <> region_id")
+    elsewhere = elsewhere.select(*keys, "region_id", "_n").distinct()
     return reported.select(*keys, "region_id", "key").unionByName(fresh.join(elsewhere, [*keys, "region_id", "_n"], "left_anti").select(*keys, "region_id", "key"))

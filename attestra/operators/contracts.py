@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_ascii
-from .closed_world import is_alias
+from .alias_join import known_in
 from .evidence import phrase_pattern
 
 
@@ -55,9 +55,8 @@ def audited_claims(claims: DataFrame, lines: DataFrame, members: DataFrame, keys
     """
     n = normalize_ascii
     rows = claims.withColumns({"_k": n(F.col("key")), "_c": n(F.col("claim"))})
-    known = members.withColumn("_m", n(F.col("member"))).groupBy("case_id", "region_id").agg(F.collect_set("_m").alias("_ms"))
-    near = rows.select("case_id", "_k").distinct().join(known, "case_id").where(F.exists("_ms", lambda m: is_alias(F.col("_k"), m) | (F.replace(m, F.lit(" "), F.lit("")) == F.replace("_k", F.lit(" "), F.lit("")))))
-    near = near.groupBy("case_id", "_k").agg(F.collect_set("region_id").alias("_in"))
+    known = members.select("case_id", "region_id", n(F.col("member")).alias("_m"))
+    near = known_in(rows.select("case_id", "_k"), known, ["case_id"], "_k", "_m", "region_id").groupBy("case_id", "_k").agg(F.collect_set("region_id").alias("_in"))
     rows = rows.join(near, ["case_id", "_k"], "left").withColumn("_in", F.coalesce("_in", F.array().cast(near.schema["_in"].dataType)))
     cited = rows.select(*keys, "at", "_k", F.explode("refs").alias("ref")).join(lines.select(*keys, "ref", n(F.col("raw")).alias("_t")), [*keys, "ref"])
     cited = cited.where(F.regexp_instr("_t", phrase_pattern(F.col("_k"))) > 0).groupBy(*keys, "at").agg(F.array_sort(F.collect_set(F.col("ref").cast("int"))).alias("_r"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NEGATORS, evidence_rank, is_negated, normalize_ascii
+from ..functions.text import EDGE, END, NEGATORS, evidence_rank, is_negated, let, normalize_ascii
 from .lines import candidate_lines
 from .tables import table_cells
 
@@ -51,11 +51,6 @@ def whole_phrases(docs: DataFrame, phrases: DataFrame, doc: str, phrase: str, bl
     return met.join(texts, doc).where(F.contains("_t", "_p")).select(doc, phrase).distinct()
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)``, with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def places(text: Column, alternatives: Column) -> Column:
     """(start, end) of all occurrences of the alternatives."""
 
@@ -101,6 +96,14 @@ def blocking_word(phrase: Column) -> Column:
     return F.coalesce(F.array_max(words)["w"], F.lit(""))
 
 
+def sharing_word(rows: DataFrame, words: Column, wanted: DataFrame, wanted_words: Column, keys: list[str]) -> DataFrame:
+    """``rows`` joined by ``keys`` with those of ``wanted`` that have a word in common with them, each pair once; an empty word is in all rows."""
+    some = F.array_distinct(F.concat(words, F.array(F.lit(""))))
+    left = rows.withColumn("_have", some).withColumn("_w", F.explode_outer("_have"))
+    right = wanted.withColumn("_need", F.array_distinct(wanted_words)).withColumn("_w", F.explode_outer("_need"))
+    return left.join(right, [*keys, "_w"]).where(F.get(F.array_intersect("_need", "_have"), F.lit(0)) == F.col("_w")).drop("_w", "_have", "_need")
+
+
 def normal_terms(terms: DataFrame) -> DataFrame:
     """Terms with their alternatives in normal form, each once. The normal form of a normal form may be another, so it is taken once."""
     return terms.withColumn("alternative", normalize_ascii(F.col("alternative"))).where("alternative <> ''").distinct()
@@ -132,7 +135,7 @@ def free_groups(terms: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFra
     It may if an alternative has a negator itself, or if ``leaves(keys, leaf_id, expectation)`` names it negated and never otherwise.
     """
     said = normal_terms(terms).join(leaves.select(*keys, "leaf_id", F.coalesce(normalize_ascii(F.col("expectation")), F.lit("")).alias("_e")), [*keys, "leaf_id"])
-    said = said.withColumn("_p", polarity(F.col("_e"), F.col("alternative"))).withColumn("_own", F.col("alternative").rlike(rf"(?<![a-z0-9])(?:{NEGATORS})(?![a-z0-9])"))
+    said = said.withColumn("_p", polarity(F.col("_e"), F.col("alternative"))).withColumn("_own", F.col("alternative").rlike(rf"{EDGE}(?:{NEGATORS}){END}"))
     free = F.bool_or("_own") | (F.bool_or("_p.negated") & ~F.bool_or("_p.positive"))
     return said.groupBy(*keys, "leaf_id", "group_no").agg(free.alias("_free"))
 

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FORM_STATES, evidence_rank, form_text, normalize_ascii, pipe_cells
-from .evidence import CLAUSE, ascii_words, blocking_word, let, places
+from ..functions.text import FORM_STATES, evidence_rank, form_text, let, normalize_ascii, pipe_cells
+from .evidence import CLAUSE, ascii_words, blocking_word, holds, places
 from .tables import table_cells
 
 
@@ -39,7 +39,7 @@ def table_binding(cells: DataFrame, leaves: DataFrame, keys: list[str], leaf: st
     return leaves.join(found, [*keys, leaf], "left").select(*keys, leaf, status.alias("status"), F.when(F.col("is_conflict"), F.col("conflict_refs")).otherwise(F.col("positive_refs")).alias("refs"))
 
 
-#: A form's box or sign before a field.
+#: A form's box or sign before a field.
 FORM_MARK = r"(?i)(\[\s*crossed box\s*:[^\]]+\]|\[(?:\s*[xX✓/]\s*|\s+)\]|☑|✅|☐|⬜)"
 
 
@@ -64,10 +64,24 @@ def form_segments(lines: DataFrame, keys: list[str], docs: DataFrame | None = No
     return made.select(*keys, "refs", *(form_text(F.col(c)).alias(c) for c in ("text", "before", "after")))
 
 
+#: A state's word, the longest first, with no ASCII letter or digit running on.
+STATE_WORD = r"(?<![a-z0-9])(?:" + "|".join(sorted((w for ws in FORM_STATES.values() for w in ws), key=len, reverse=True)) + r")(?![a-z0-9])"
+STATE_OF = {w: s for s, ws in FORM_STATES.items() for w in ws}
+
+
+def _states(text: Column) -> Column:
+    """The states that a text names, in turn."""
+    names = F.create_map(*(F.lit(x) for pair in STATE_OF.items() for x in pair))
+    return F.transform(F.regexp_extract_all(text, F.lit(STATE_WORD), F.lit(0)), lambda w: F.element_at(names, w))
+
+
 def _state_places(text: Column) -> Column:
-    """Every place of a word for a state."""
-    of = lambda s, ws: F.transform(places(text, F.array(*map(F.lit, ws))), lambda p: F.struct(F.lit(s).alias("state"), p["start"].alias("start"), p["end"].alias("end")))
-    return F.concat(*(of(s, ws) for s, ws in FORM_STATES.items()))
+    """(state, start, end) of every word for a state: a text is searched once, and places are sums of what lies before."""
+    names = F.create_map(*(F.lit(x) for pair in STATE_OF.items() for x in pair))
+    sizes = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, p: s + F.length(p))
+    word = lambda x, w, i: let(sizes(x["parts"], i + 1) + sizes(x["words"], i), lambda at: F.struct(F.element_at(names, w).alias("state"), at.alias("start"), (at + F.length(w)).alias("end")))
+    cut = F.struct(F.split(text, STATE_WORD).alias("parts"), F.regexp_extract_all(text, F.lit(STATE_WORD), F.lit(0)).alias("words"))
+    return let(cut, lambda x: F.transform(x["words"], lambda w, i: word(x, w, i)))
 
 
 def form_state(lines: DataFrame, leaves: DataFrame, keys: list[str], leaf: str = "leaf_id", docs: DataFrame | None = None) -> DataFrame:
@@ -75,28 +89,26 @@ def form_state(lines: DataFrame, leaves: DataFrame, keys: list[str], leaf: str =
 
     In a piece of a form each place of a label takes the state that stands nearest to it and does not overlap it; ties all count.
     A cell with a label but no state takes that of the cell after it, else of the one before. A state other than the wanted
-    one beats a match. Pieces and labels meet by the label's longest word, and only pieces with a state, or beside one, take part.
+    one beats a match. Pieces and labels meet by the label's longest word, and states are looked for only where they have met.
     """
     labels = F.col("label") if "array" in dict(leaves.dtypes)["label"] else F.array("label")
     want = leaves.select(*keys, leaf, "state", F.filter(F.transform(labels, normalize_ascii), lambda x: x != "").alias("_labels"))
     want = want.withColumn("_w", F.explode(F.array_distinct(F.transform("_labels", blocking_word))))
-    any_state = r"(?<![a-z0-9])(?:" + "|".join(w for ws in FORM_STATES.values() for w in ws) + r")(?![a-z0-9])"
-    rows = form_segments(lines, keys, docs).where(F.concat_ws(" . ", "text", "before", "after").rlike(any_state))
-    rows = rows.withColumns({"_at": _state_places(F.col("text")), "_after": _state_places(F.coalesce("after", F.lit(""))), "_before": _state_places(F.coalesce("before", F.lit("")))})
-    rows = rows.withColumn("_w", F.explode(F.array_distinct(F.concat(ascii_words("text"), F.array(F.lit(""))))))
-    hits = rows.join(want, [*keys, "_w"]).drop("_w").withColumn("_here", places(F.col("text"), F.col("_labels"))).where("size(_here) > 0")
+    # explode_outer, as explode would push a test of its array below the normal form and have that taken twice.
+    rows = form_segments(lines, keys, docs).withColumn("_w", F.explode_outer(F.array_distinct(F.concat(ascii_words("text"), F.array(F.lit(""))))))
+    hits = rows.join(want, [*keys, "_w"]).drop("_w").where(holds(F.col("text"), F.col("_labels")))
+    hits = hits.withColumns({"_here": places(F.col("text"), F.col("_labels")), "_at": _state_places(F.col("text"))})
     gap = lambda x, s: F.greatest(F.lit(0), s["start"] - x["end"], x["start"] - s["end"])
 
     def nearest(x: Column) -> Column:
         free = F.filter("_at", lambda s: (s["end"] <= x["start"]) | (s["start"] >= x["end"]))
-        return let(free, lambda f: F.filter(f, lambda s: gap(x, s) == F.array_min(F.transform(f, lambda y: gap(x, y)))))
+        return let(free, lambda f: let(F.array_min(F.transform(f, lambda y: gap(x, y))), lambda n: F.filter(f, lambda s: gap(x, s) == n)))
 
-    names = lambda c: F.transform(c, lambda s: s["state"])
-    hits = hits.withColumn("_found", names(F.flatten(F.transform("_here", nearest))))
-    beside = F.when(F.size("_after") > 0, names(F.col("_after"))).otherwise(names(F.col("_before")))
-    hits = hits.withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")).otherwise(beside))
+    hits = hits.withColumn("_near", F.transform(F.flatten(F.transform("_here", nearest)), lambda s: s["state"]))
+    beside = let(_states(F.col("after")), lambda a: F.when(F.size(a) > 0, a).otherwise(F.coalesce(_states(F.col("before")), F.array().cast("array<string>"))))
+    hits = hits.withColumn("_found", F.when(F.size("_near") > 0, F.col("_near")).otherwise(beside))
     kinds = F.array_compact(F.array(F.when(F.array_contains("_found", F.col("state")), "positive"), F.when(F.exists("_found", lambda s: s != F.col("state")), "conflict")))
-    found = _best(hits.select(*keys, leaf, F.explode(kinds).alias("class"), "refs"), [*keys, leaf])
+    found = _best(hits.select(*keys, leaf, F.explode_outer(kinds).alias("class"), "refs").where("class is not null"), [*keys, leaf])
     status = F.when(F.col("is_conflict"), "incorrect").when(F.col("is_positive"), "correct").otherwise("missing")
     refs = F.when(F.col("is_conflict"), F.col("conflict_refs")).otherwise(F.col("positive_refs"))
     return leaves.select(*keys, leaf).join(found, [*keys, leaf], "left").select(*keys, leaf, status.alias("status"), refs.alias("refs"))

@@ -21,6 +21,7 @@ from .tables import table_cells
 #: Words that tell a sequence in a line, and that announce a list of fields.
 SEQUENCE_CUE = r"->|<-|(?<![a-z0-9_])(?:then|followed by|sequence|order|ordered|row order|reading order|progression)(?![a-z0-9_])"
 SCHEMA_CUE = r"(?i)\b(?:columns?|fields?|headers?|schema)\b"
+#: An item of a list, a key with its value, and a field with its value.
 LIST_ITEM = r"^\s*(?:[-+*]|\d+[.)])\s+(.+)$"
 KEY_VALUE = r"^\s*([^:]{1,160})\s*:\s*\S.*$"
 FIELD_VALUE = r"^(.{1,80}?)\s*[:=]\s*\S"
@@ -51,7 +52,7 @@ def record_sequences(docs: DataFrame, keys: list[str], text: str = "text") -> Da
     heads = cells.select(*keys, "table_no", "header_ref").distinct()
     rows = cells.withColumn("pos", F.col("col"))
     columns = _sequences(rows, keys, _named("column", F.col("table_no"), F.col("col")))
-    flat = _sequences(rows.withColumn("pos", F.col("row_no") * 1000 + F.col("col")), keys, _named("cells", F.col("table_no")))
+    flat = _sequences(rows.withColumn("pos", F.struct("row_no", "col")), keys, _named("cells", F.col("table_no")))
     joined = rows.groupBy(*keys, "table_no", "row_no").agg(F.min("ref").alias("ref"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda c: c["value"]), " ").alias("value"))
     whole = _sequences(joined.withColumn("pos", F.col("row_no")), keys, _named("rows", F.col("table_no")))
     tables = columns.unionByName(flat).unionByName(whole).withColumn("_no", F.split("seq", ":")[1].cast("int"))
@@ -86,18 +87,24 @@ def _assignable(chances: pd.Series) -> pd.Series:
     """Whether each group can have a value of its own; ``chances``: for each group the numbers of the values that fit it."""
 
     def one(groups) -> bool:
-        taken: dict[int, int] = {}
-
-        def place(g: int, seen: set[int]) -> bool:
-            for v in map(int, groups[g]):
-                if v not in seen:
-                    seen.add(v)
-                    if v not in taken or place(taken[v], seen):
-                        taken[v] = g
-                        return True
-            return False
-
-        return all(place(g, set()) for g in range(len(groups)))
+        taken, held = {}, {}  # value -> group, group -> value
+        for g in range(len(groups)):
+            came, free, waiting = {}, None, [g]  # value -> the group that looked at it
+            while waiting and free is None:
+                h = waiting.pop()
+                for v in map(int, groups[h]):
+                    if v not in came:
+                        came[v] = h
+                        if v not in taken:
+                            free = v
+                            break
+                        waiting.append(taken[v])
+            if free is None:
+                return False
+            while free is not None:  # every group on the way moves on by one value
+                h = came[free]
+                taken[free], held[h], free = h, free, held.get(h)
+        return True
 
     return chances.map(one)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bindings, closed_world, edges, evidence, gates, lexical, lines, order, scoring
+from ..operators import alias_join, bindings, edges, evidence, gates, lexical, lines, order, scoring
 from ..session import written
 
 GRID_ROLES, EDGE_ROLES = ("row", "rowParts", "column", "value"), ("source", "destination", "relation", "identifier")
@@ -77,31 +77,48 @@ def resolved(texts: DataFrame, leaves: DataFrame, terms: DataFrame, keys: list[s
     return out
 
 
+#: The roles by which obligations of a kind are found; a form has one.
+LOCATORS = {"table_binding": ("row", "column"), "form_state": ("label", None), "directed_edge": ("source", "destination")}
+
+
 def locator_overlaps(leaves: DataFrame, terms: DataFrame) -> DataFrame:
     """(case_id, leaf_id): obligations of a case that a gate could take for another one of their kind.
 
     Alternatives overlap if they may mean one member. Tables overlap in row (each part in one of the other's) and column, forms in
-    label, edges in both ends. Answer keys alone are compared, once for all candidates.
+    label, edges in both ends. Answer keys alone are compared, once for all candidates. Obligations with the same locators overlap
+    and stand for each other; others meet only where an alternative of either locator has an alias there.
     """
+    kinds = F.col("kind").isin(*LOCATORS)
     norm = terms.withColumn("role", F.when(F.col("role") == "rowParts", "row").otherwise(F.col("role")))
-    norm = norm.withColumn("group_no", F.when(F.col("role").isin("column", "label", "source", "destination", "value"), 0).otherwise(F.col("group_no")))
-    need = {"table_binding": ("row", "column"), "form_state": ("label",), "directed_edge": ("source", "destination")}
-    wide = evidence.normal_terms(norm).groupBy("case_id", "leaf_id", "role", "group_no").agg(F.collect_set("alternative").alias("alts"))
-    wide = wide.groupBy("case_id", "leaf_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("#", "role", F.col("group_no").cast("string")).alias("k"), "alts"))).alias("m"))
-    rows = leaves.where(F.col("kind").isin(*need)).select("case_id", "leaf_id", "kind").join(wide, ["case_id", "leaf_id"])
-    a, b = rows.select("case_id", "kind", F.col("leaf_id").alias("a"), F.col("m").alias("ma")), rows.select("case_id", "kind", F.col("leaf_id").alias("b"), F.col("m").alias("mb"))
-    groups = lambda m, role: F.map_values(F.map_filter(m, lambda k, v: k.startswith(role + "#")))
-    meet = lambda x, y: F.exists(x, lambda p: F.exists(y, lambda q: closed_world.is_alias(p, q)))
+    norm = norm.withColumn("group_no", F.when(F.col("role") == "row", F.col("group_no")).otherwise(0))
+    sided = leaves.where(kinds).select("case_id", "leaf_id", "kind").join(evidence.normal_terms(norm), ["case_id", "leaf_id"])
+    side = F.lit(None).cast("int")
+    for kind, (first, second) in LOCATORS.items():
+        here = F.col("kind") == kind
+        side = F.when(here & (F.col("role") == first), 0).when(here & (F.col("role") == (second or "")), 1).otherwise(side)
+    sided = sided.withColumn("side", side).where("side is not null")
+    groups = sided.groupBy("case_id", "kind", "leaf_id", "side", "group_no").agg(F.array_sort(F.collect_set("alternative")).alias("alts"))
+    both = lambda s: F.array_sort(F.collect_set(F.when(F.col("side") == s, F.col("alts"))))
+    locators = groups.groupBy("case_id", "kind", "leaf_id").agg(both(0).alias("x"), both(1).alias("y"))
+    # One obligation stands for all with the same locators.
+    classes = written(locators.groupBy("case_id", "kind", "x", "y").agg(F.count("*").alias("n"), F.min("leaf_id").alias("one")), "evaluate-locators")
+    by = ["case_id", "kind"]
+    names = lambda c, as_: F.explode(F.when(F.size(c) > 0, F.array_distinct(F.flatten(c))).otherwise(F.array(F.lit("")))).alias(as_)
+    placed = classes.select(*by, "one", names("x", "px"), "y").select(*by, "one", "px", names("y", "py"))
+    alike = lambda c: alias_join.alias_pairs(placed.withColumnRenamed(c, "name"), placed.withColumnRenamed(c, "name"), by)
+    other = placed.select(*by, F.col("one").alias("other"), F.col("px").alias("qx"), F.col("py").alias("qy"))
+    # Names of both sides go from one to the other before obligations meet, so a column that all rows share makes no pairs by itself.
+    spread = placed.join(alike("px").withColumnRenamed("left", "px").withColumnRenamed("right", "qx"), [*by, "px"]).join(alike("py").withColumnRenamed("left", "py").withColumnRenamed("right", "qy"), [*by, "py"])
+    met = spread.join(other, [*by, "qx", "qy"]).where("one < other").select(*by, "one", "other").distinct()
+    full = lambda a: classes.select(*by, F.col("one").alias(a), F.col("x").alias(f"{a}_x"), F.col("y").alias(f"{a}_y"))
+    met = met.join(full("one"), [*by, "one"]).join(full("other"), [*by, "other"])
+    meet = lambda x, y: F.exists(x, lambda p: F.exists(y, lambda q: alias_join.is_alias(p, q)))
     each = lambda x, y: F.forall(x, lambda g: F.exists(y, lambda h: meet(g, h)))
-    alike = F.lit(False)
-    for kind, roles in need.items():
-        same = F.col("kind") == kind
-        for r in roles:
-            x, y = groups(F.col("ma"), r), groups(F.col("mb"), r)
-            same = same & each(x, y) & each(y, x)
-        alike = alike | same
-    pairs = a.join(b, ["case_id", "kind"]).where((F.col("a") < F.col("b")) & alike)
-    return pairs.select("case_id", F.explode(F.array("a", "b")).alias("leaf_id")).distinct()
+    same = lambda c: each(F.col(f"one_{c}"), F.col(f"other_{c}")) & each(F.col(f"other_{c}"), F.col(f"one_{c}"))
+    pairs = met.where(same("x") & same("y")).select("case_id", "kind", F.explode(F.array("one", "other")).alias("one"))
+    marked = pairs.unionByName(classes.where("n > 1").select("case_id", "kind", "one")).distinct()
+    found = marked.join(classes.select("case_id", "kind", "one", "x", "y"), [*by, "one"])
+    return locators.join(found, ["case_id", "kind", "x", "y"], "left_semi").select("case_id", "leaf_id").distinct()
 
 
 def cited_lines(judged: DataFrame, paged: DataFrame, own: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFrame:
