@@ -97,24 +97,38 @@ def normalize_evidence(c: Column) -> Column:
 
 
 def normalize_audit(c: Column) -> Column:
-    """The audit's normal form: edges between any letters and digits, pipes as blanks, breaks kept as blanks."""
-    c = F.translate(_plain_signs(F.lower(nfkc(c)), DASHES), "|", " ")
+    """The audit's normal form: edges between any letters and digits; pipes, marks and breaks as blanks."""
+    c = F.regexp_replace(F.lower(nfkc(c)), rf"\\\\(?:longrightarrow|rightarrow|to){END}", "->")
+    c = F.regexp_replace(c, rf"\\\\(?:longleftarrow|leftarrow){END}", "<-")
+    for sign, plain in SIGNS[:5]:
+        c = F.replace(c, F.lit(sign), F.lit(plain))
+    c = F.translate(c, "‐‑‒–—−", "------")
     c = F.regexp_replace(F.regexp_replace(c, r"(\p{N})(\p{L})", "$1 $2"), r"(\p{L})(\p{N})", "$1 $2")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "[*_`#]", ""), r"(?U)\s+", " "))
-
-
-@F.pandas_udf(T.StringType())
-def _casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "[|*_`#]", " "), r"(?U)\s+", " "))
 
 
 def normalize_authoring(c: Column) -> Column:
-    """The authoring side's normal form: case folding, three dashes only."""
-    c = F.translate(_casefold(c), "–—−", "---")
+    """The authoring side's normal form, with ``compat`` for NFKC: case folding, plain signs, three dashes only."""
+    c = F.replace(F.lower(compat(c)), F.lit("ß"), F.lit("ss"))
+    c = F.translate(c, "ς–—−", "σ---")
+    for sign, plain in SIGNS[:5]:
+        c = F.replace(c, F.lit(sign), F.lit(plain))
     c = F.regexp_replace(F.regexp_replace(c, r"(\p{N})(\p{L})", "$1 $2"), r"(\p{L})(\p{N})", "$1 $2")
     return F.trim(F.regexp_replace(F.regexp_replace(c, "[*_`#|]", " "), r"(?U)\s+", " "))
 
 
+def letter_phrase(phrase: Column, inner: str = r"\p{L}\p{N}") -> Column:
+    """A pattern for a phrase, with no letter or digit of any script (or what ``inner`` names) running on where the phrase ends in one."""
+    left = F.when(phrase.rlike(r"^[\p{L}\p{N}]"), f"(?<![{inner}])").otherwise("")
+    right = F.when(phrase.rlike(r"[\p{L}\p{N}]$"), f"(?![{inner}])").otherwise("")
+    return F.concat(left, F.lit("\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"), right)
+
+
+def has_whole_phrase(text: Column, phrase: Column, inner: str = r"\p{L}\p{N}") -> Column:
+    """Whether a text holds a phrase that isn't empty, both in one normal form."""
+    return F.coalesce((phrase != "") & F.rlike(text, letter_phrase(phrase, inner)), F.lit(False))
+
+
 def has_phrase(text: Column, phrase: str) -> Column:
     """Whether a normalised text holds a phrase, with no ASCII letter or digit running on where the phrase ends in one."""
     left = "(?<![a-z0-9])" if phrase[:1].isascii() and phrase[:1].isalnum() else ""

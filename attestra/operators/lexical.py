@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import evidence_rank, normalize_ascii
-from .evidence import free_groups, normal_terms, polarity, table_units, term_hits
+from ..functions.text import evidence_rank, is_negated, let, normalize_ascii
+from .evidence import free_groups, normal_terms, places, polarity, table_units, term_hits
 from .lines import candidate_lines
 
 FRAGMENT = r"(?<=[.!?])\s+"
@@ -99,3 +99,32 @@ def strict_lexical(docs: DataFrame, terms: DataFrame, leaves: DataFrame, keys: l
     total = terms.groupBy(*keys, "leaf_id").agg(F.collect_set("group_no").alias("groups"))
     found = covering_lines(hits, total, [*keys, "leaf_id"])
     return total.select(*keys, "leaf_id").join(found, [*keys, "leaf_id"], "left").select(*keys, "leaf_id", F.col("refs").isNotNull().alias("satisfied"), "refs")
+
+
+def compact_cover(unit_rows: DataFrame, terms: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, leaf_id, unit, start, end): the shortest part of a text that holds all groups of an obligation, the first of equals.
+
+    Only places of the polarity that a group needs count (see ``evidence.free_groups``). Places are swept in order: the shortest cover that
+    ends with a place begins at the earliest of the groups' last places up to there, and reaches as far as any place in between.
+    """
+    by = [*keys, "leaf_id"]
+    groups = free_groups(terms, leaves, keys)
+    hits = term_hits(unit_rows, normal_terms(terms), keys).join(groups, [*by, "group_no"])
+    places_ = F.filter(places(F.col("text"), F.array("alternative")), lambda p: F.col("_free") | ~F.coalesce(is_negated(F.substr(F.col("text"), F.lit(1), p["start"])), F.lit(False)))
+    event = hits.select(*by, "unit", F.explode(F.transform(places_, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.col("group_no").cast("int").alias("g")))).alias("e"))
+    total = terms.groupBy(*by).agg(F.count_distinct("group_no").cast("int").alias("_groups"))
+    rows = event.groupBy(*by, "unit").agg(F.array_sort(F.collect_set("e")).alias("e")).join(total, by)
+    # After each place: the number of the last place of every group met so far.
+    none = F.struct(F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>")).alias("last"), F.array().cast("array<struct<first:int,last:int>>").alias("covers"))
+
+    def step(s: Column, i: Column) -> Column:
+        g = F.get(F.col("e"), i)["g"]
+        last = F.map_concat(F.map_filter(s["last"], lambda k, v: k != g), F.map_from_arrays(F.array(g), F.array(i)))
+        cover = F.when(F.size(last) == F.col("_groups"), F.array(F.struct(F.array_min(F.map_values(last)).alias("first"), i.alias("last")))).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
+        return F.struct(last.alias("last"), F.concat(s["covers"], cover).alias("covers"))
+
+    rows = rows.withColumn("_c", F.aggregate(F.sequence(F.lit(0), F.size("e") - 1), none, step)["covers"])
+    reach = lambda c: F.array_max(F.transform(F.slice("e", c["first"] + 1, c["last"] - c["first"] + 1), lambda x: x["end"]))
+    span = lambda c: let(F.struct(F.get(F.col("e"), c["first"])["start"].alias("start"), reach(c).alias("end")), lambda x: F.struct((x["end"] - x["start"]).alias("n"), x["start"].alias("start"), x["end"].alias("end")))
+    rows = rows.withColumn("_b", F.array_min(F.transform("_c", span))).where("_b is not null")
+    return rows.select(*by, "unit", "_b.start", "_b.end")

@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import literals
 from .functions import signals as sig
 from .functions import text as tx
-from .operators import bindings, closed_world, constraints, contracts, edges, evidence, gates, lexical, lines, members, order, reports, scoring, tables
+from .operators import authoring, bindings, closed_world, constraints, contracts, edges, evidence, gates, gold_audit, lexical, lines, members, order, reports, scoring, tables
 from .plans import evaluate, fidelity
 from .session import ship, table
 from .sources import artifacts
@@ -535,7 +536,7 @@ def rounding(t):
 
 
 @query(r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(replace(translate(replace(replace(replace(replace(lower(nfc_normalize(text)), '→', '->'), '←', '<-'), '≤', '<='), '≥', '>='), '‐‑‒–—―−', '-------'), '×', 'x'), '|', ' '),
- '(\p{N})(\p{L})', '\1 \2', 'g'), '(\p{L})(\p{N})', '\1 \2', 'g'), '[*_`#]', '', 'g'), '\s+', ' ', 'g'))) AS audit_sha256 FROM documents""")
+ '(\p{N})(\p{L})', '\1 \2', 'g'), '(\p{L})(\p{N})', '\1 \2', 'g'), '[|*_`#]', ' ', 'g'), '\s+', ' ', 'g'))) AS audit_sha256 FROM documents""")
 def audit_form(t):
     return t("documents").select("doc_id", F.sha2(tx.normalize_audit(F.col("text")), 256).alias("audit_sha256"))
 
@@ -876,3 +877,125 @@ def pacing(t):
 def windowed_counts(t):
     rows = incremental.windowed_counts(t("events").withColumn("ts", F.col("ts").cast("timestamp")))
     return rows.select(F.col("start").cast("date").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# Statements as they are written
+
+_STATEMENT = """s AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d, CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS VARCHAR) AS p, 'XB' || o_orderkey || '-7' AS i, o_orderkey % 4 AS m, strftime(o_orderdate, '%-d %B %Y') AS w FROM orders)"""
+
+
+def _statements(t):
+    """Statements on orders: a date in figures or words, an identifier, a sum with a unit, a time, and a qualifier."""
+    o = t("orders").select(F.col("o_orderkey").alias("k"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.date_format("o_orderdate", "d MMMM yyyy").alias("w"), F.col("o_totalprice").cast("decimal(12,2)").cast("string").alias("p"))
+    o = o.withColumns({"i": F.concat(F.lit("XB"), F.col("k").cast("string"), F.lit("-7")), "m": F.col("k") % 4})
+    date = F.when(F.col("m") % 2 == 0, F.col("d")).otherwise(F.col("w"))
+    tail = F.when(F.col("m") < 2, F.concat(F.lit(" weighs "), "p", F.lit(" kg, final."))).otherwise(F.concat(F.lit(" at 09:30 UTC > "), "p", F.lit(" within days.")))
+    return o.withColumn("expectation", F.concat("i", F.lit(" of "), date, tail))
+
+
+@query(f"""WITH {_STATEMENT}, x AS (SELECT *, CASE WHEN m % 2 = 0 THEN d ELSE w END AS date, length(i) + 4 AS s0 FROM s), y AS (SELECT *, s0 + length(date) AS b FROM x)
+ SELECT k, 'date' AS kind, s0 AS start, b AS "end", date AS value FROM y UNION ALL SELECT k, 'identifier', 0, length(i), i FROM y
+ UNION ALL SELECT k, 'scalar', b + 8, b + 8 + length(p), p FROM y WHERE m < 2 UNION ALL SELECT k, 'unit', b + 9 + length(p), b + 11 + length(p), 'kg' FROM y WHERE m < 2
+ UNION ALL SELECT k, 'qualifier', b + 13 + length(p), b + 18 + length(p), 'final' FROM y WHERE m < 2 UNION ALL SELECT k, 'time', b + 4, b + 13, '09:30 UTC' FROM y WHERE m >= 2
+ UNION ALL SELECT k, 'scalar', b + 14, b + 16 + length(p), '> ' || p FROM y WHERE m >= 2
+ UNION ALL SELECT k, 'qualifier', b + 17 + length(p), b + 23 + length(p), 'within' FROM y WHERE m >= 2 UNION ALL SELECT k, 'unit', b + 24 + length(p), b + 28 + length(p), 'days' FROM y WHERE m >= 2""")
+def signal_spans(t):
+    """Literals and their places: a date's or a time's parts are no numbers, nor is a time's zone an identifier."""
+    spans = _statements(t).select("k", F.inline(literals.signal_spans(F.col("expectation"))))
+    return spans.select("k", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "value")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, 'A' || o_orderkey || '-' || o_custkey || '-B' || CASE WHEN o_orderkey % 2 = 0 THEN '-9' ELSE '' END AS v FROM orders), p AS (SELECT k, v, string_split(v, '-') AS ps FROM o),
+ f AS (SELECT k, array_to_string([ps[1]] || [CASE WHEN (mask >> (i - 2)) & 1 = 1 THEN ' ' ELSE '-' END || ps[i] FOR i IN range(2, len(ps) + 1)], '') AS form FROM p, (SELECT unnest(range(0, 8)) AS mask) WHERE mask < 1 << (len(ps) - 1)),
+ d AS (SELECT o_orderkey AS k, o_orderdate AS d FROM orders)
+ SELECT k, 'identifier' AS kind, form FROM f UNION SELECT k, 'date', unnest([strftime(d, '%Y-%m-%d'), strftime(d, '%-d %b %Y'), strftime(d, '%d %b %Y'), strftime(d, '%-d %B %Y'), strftime(d, '%b %-d %Y'), strftime(d, '%B %-d %Y'), strftime(d, '%-d %b'), strftime(d, '%d %b'), strftime(d, '%-d %B'), strftime(d, '%b %-d'), strftime(d, '%B %-d')]) FROM d
+ UNION SELECT o_orderkey, 'scalar', unnest(['>= ' || x, '>=' || x, '≥' || x, '≥ ' || x, '>=' || y, '>= ' || y]) FROM (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS VARCHAR) AS x, regexp_replace(regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS VARCHAR), '0+$', ''), '[.]$', '') AS y FROM orders)""")
+def literal_forms(t):
+    """All forms of identifiers with two or three hyphens, of dates, and of sums with a bound."""
+    o, key = t("orders"), F.col("o_orderkey").cast("string")
+    code = F.concat(F.lit("A"), key, F.lit("-"), F.col("o_custkey").cast("string"), F.lit("-B"), F.when(F.col("o_orderkey") % 2 == 0, "-9").otherwise(""))
+    total = F.concat(F.lit(">= "), F.col("o_totalprice").cast("decimal(12,2)").cast("string"))
+    values = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("identifier", code), ("date", F.date_format("o_orderdate", "yyyy-MM-dd")), ("scalar", total))))
+    rows = o.select(F.col("o_orderkey").alias("k"), F.inline(values))
+    return rows.select("k", "kind", F.explode(literals.signal_forms(F.col("kind"), F.col("value"))).alias("form"))
+
+
+@query(f"""WITH {_STATEMENT}, v AS (SELECT *, k % 5 AS n, CAST(strftime(CAST(d AS DATE), '%-d') AS INTEGER) AS day FROM s WHERE m = 0)
+ SELECT k, 'date' AS signal, d AS value, 'absent from every group' AS reason FROM v WHERE n = 2 AND day < 10 UNION ALL SELECT k, 'scalar', p, 'optional: one alternative of a group has it, another has not' FROM v WHERE n = 3
+ UNION ALL SELECT k, 'qualifier', 'final', 'absent from every group' FROM v WHERE n = 4""")
+def policy_violations(t):
+    """Policies of statements: whole; with a date also given without its year; with that alone; with a second sum; without the qualifier."""
+    s, n = _statements(t).where("m = 0"), F.col("k") % 5
+    yearless = F.date_format(F.col("d").cast("date"), "MMMM dd")
+    dates = F.when(n == 1, F.array("d", yearless)).when(n == 2, F.array(yearless)).otherwise(F.array("d"))
+    sums = F.when(n == 3, F.array(F.concat("p", F.lit(" kg")), F.lit("0.01 kg"))).otherwise(F.array(F.concat("p", F.lit(" kg"))))
+    groups = F.array(F.array("i"), dates, sums, F.when(n != 4, F.array(F.lit("finalized"), F.lit("final"))).otherwise(F.array().cast("array<string>")))
+    leaves = s.select("k", F.lit(1).alias("leaf_id"), F.lit("lexical").alias("kind"), "expectation")
+    terms = s.select("k", F.lit(1).alias("leaf_id"), F.lit("allOf").alias("role"), F.posexplode(groups).alias("group_no", "g")).select("k", "leaf_id", "role", "group_no", F.explode("g").alias("alternative"))
+    return authoring.policy_violations(leaves, terms, ["k"]).select("k", "signal", "value", "reason")
+
+
+@query(f"""WITH {_STATEMENT}, g AS (SELECT k, k % 3 AS n, p, i FROM s WHERE m = 0)
+ SELECT k, 'failed' AS part, 'the gold section lacks the scalar ' || p AS value FROM g WHERE n = 1
+ UNION ALL SELECT k, 'group', unnest(CASE WHEN n = 2 THEN ['date', i, 'final', 'kg', 'sum'] ELSE ['date', i, 'final', 'kg', 'sum', 'weighs'] END) FROM g WHERE n <> 1""")
+def refined_groups(t):
+    """Groups inferred from statements; gold sections lack a sum (refused), a plain word (let go) or nothing."""
+    s = _statements(t).where("m = 0").withColumns({"n": F.col("k") % 3, "section": F.lit("Orders"), "leaf_id": F.lit(1)})
+    gold = s.select("k", "section", F.concat("i", F.lit(" | "), "w", F.when(F.col("n") == 2, " | ").otherwise(" weighs "), F.when(F.col("n") == 1, "nothing").otherwise(F.col("p")), F.lit(" kg | finalized")).alias("body"))
+    kept, failed = authoring.refined_groups(s.select("k", "leaf_id", "section", "expectation"), gold, ["k"])
+    name = F.when(F.exists("alternatives", lambda a: a.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), "date").when(F.exists("alternatives", lambda a: a.rlike("^[0-9]+[.][0-9]+$")), "sum").otherwise(F.get("alternatives", F.lit(0)))
+    return failed.select("k", F.lit("failed").alias("part"), F.col("reason").alias("value")).unionByName(kept.select("k", F.lit("group").alias("part"), name.alias("value")))
+
+
+def _gold_tables(t):
+    """Customers' tables as gold sections, a case of forty each; and the members that regions declare, by the case's number."""
+    c = t("customer").withColumn("doc", F.floor(F.col("c_custkey") / 40).cast("long"))
+    bodies = tables.rendered(c, ["doc"], {"c_name": "Customer", "c_mktsegment": "Segment", "c_nationkey": "Nation"}, "c_custkey")
+    twice = F.when(F.col("doc") % 5 == 4, F.concat("text", F.lit("\n\nagain\n\n"), "text")).otherwise(F.col("text"))
+    return c, bodies.select("doc", F.lit("Customers").alias("section"), twice.alias("body"))
+
+
+@query("""WITH c AS (SELECT c_custkey // 40 AS doc, c_custkey % 40 AS pos, c_name, count(*) OVER (PARTITION BY c_custkey // 40) AS size FROM customer), d AS (SELECT DISTINCT doc, size FROM c)
+ SELECT doc, 'member is absent from gold' AS rule, 'Nobody' AS subject FROM d WHERE doc % 5 = 1 UNION ALL SELECT doc, 'members are not one column', '0' FROM d WHERE doc % 5 = 1
+ UNION ALL SELECT doc, 'member is an id', c_name FROM c WHERE doc % 5 = 2 AND pos = 7 UNION ALL SELECT doc, 'members are not one column', '0' FROM d WHERE doc % 5 = 3 AND size > 20
+ UNION ALL SELECT doc, 'members are not one column', '2' FROM d WHERE doc % 5 = 4 UNION ALL SELECT doc, 'no gold section', 'Elsewhere' FROM d WHERE doc % 10 = 0""")
+def gold_columns(t):
+    """Closed worlds whose members are a table's column; that add a member; name an id; lack the later half; fit two tables; or have no section."""
+    c, sections = _gold_tables(t)
+    pos, k = F.col("c_custkey") % 40, F.col("doc") % 5
+    names = c.groupBy("doc").agg(F.array_sort(F.collect_list(F.when((k != 3) | (pos < 20), F.col("c_name")))).alias("members"))
+    regions = names.select("doc", F.lit(1).alias("region_id"), F.lit("Customers").alias("section"), F.lit("table_rows").alias("scope"), F.when(k == 1, F.concat("members", F.array(F.lit("Nobody")))).otherwise(F.col("members")).alias("members"))
+    regions = regions.unionByName(names.where("doc % 10 = 0").select("doc", F.lit(2).alias("region_id"), F.lit("Elsewhere").alias("section"), F.lit("mention").alias("scope"), "members"))
+    leaves = c.where((k == 2) & (pos == 7)).select("doc", F.lit(1).alias("region_id"), F.upper("c_name").alias("leaf_id"), F.lit("claim").alias("claim_id"))
+    return gold_audit.closed_world_violations(regions, leaves, sections, ["doc"]).select("doc", "rule", "subject")
+
+
+@query("""WITH c AS (SELECT c_custkey // 40 AS doc, c_custkey % 40 AS pos, c_name FROM customer), n AS (SELECT doc, count(*) AS size, count(*) FILTER (WHERE pos < 3) AS small FROM c GROUP BY doc)
+ SELECT doc, 'members' AS part, CASE WHEN doc % 5 IN (1, 2) OR small < 2 THEN small ELSE size END AS n FROM n WHERE NOT (doc % 5 = 4 AND small >= 2) UNION ALL SELECT doc, 'refused', 2 FROM n WHERE doc % 5 = 4 AND small >= 2""")
+def expanded_keys(t):
+    """Three customers a case are declared; bindings name two of the table's headings, but in some cases only one, or one that it has not; some cases have the table twice."""
+    c, sections = _gold_tables(t)
+    cells = tables.table_cells(sections, ["doc", "section"], "body")
+    few = c.where("c_custkey % 40 < 3").groupBy("doc").agg(F.array_sort(F.collect_list("c_name")).alias("members"))
+    regions = c.select("doc").distinct().join(few, "doc", "left").select("doc", F.lit(1).alias("region_id"), F.lit("Customers").alias("section"), F.coalesce("members", F.array().cast("array<string>")).alias("members"))
+    second = F.when(F.col("doc") % 5 == 1, "Country").otherwise("NATION")
+    columns = regions.select("doc", "region_id", F.inline(F.array(F.struct(F.lit(1).alias("leaf_id"), F.lit("segment").alias("alternative")), F.struct(F.lit(2).alias("leaf_id"), second.alias("alternative"))))).where("not (doc % 5 = 2 and leaf_id = 2)")
+    rows, refused = authoring.expanded_keys(regions, columns, cells, ["doc"])
+    return rows.select("doc", F.lit("members").alias("part"), F.size("members").cast("long").alias("n")).unionByName(refused.select("doc", F.lit("refused").alias("part"), F.col("matches").cast("long").alias("n")))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 AS m, 5 * (o_orderkey % 7) + length('item ') AS s0, length('k ' || o_orderkey) AS n FROM orders)
+ SELECT k, CASE m WHEN 0 THEN s0 + n + length(' is not open. item ') WHEN 1 THEN s0 ELSE s0 + n + length(' is not only here, never gone, and ') END AS start,
+  CASE m WHEN 0 THEN s0 + n + length(' is not open. item ') + n + length(' is late but now open') WHEN 1 THEN s0 + n + length(' is open') ELSE s0 + n + length(' is not only here, never gone, and open. item ') + n END AS "end" FROM o""")
+def lexical_cover(t):
+    """The shortest part that names an order and says "open" of it: a denied place does not count, but one after "not only" does."""
+    k, m = F.col("o_orderkey"), F.col("o_orderkey") % 3
+    code = F.concat(F.lit("K"), k.cast("string"))
+    first = F.when(m == 0, " is not open").when(m == 1, " is open").otherwise(" is not only here, never gone, and open")
+    said = F.concat(F.repeat(F.lit("well "), (k % 7).cast("int")), F.lit("item "), code, first, F.lit(". Item "), code, F.lit(" is late but now open."))
+    docs = t("orders").select("o_orderkey", F.lit(1).alias("leaf_id"), said.alias("text"))
+    units = evidence.with_unit(docs.select("o_orderkey", F.array(F.lit(1)).alias("refs"), tx.normalize_ascii(F.col("text")).alias("text")), ["o_orderkey"])
+    terms = docs.select("o_orderkey", "leaf_id", F.posexplode(F.array(F.concat(F.lit("K"), k.cast("string")), F.lit("open"))).alias("group_no", "alternative"))
+    leaves = docs.select("o_orderkey", "leaf_id", F.lit("The item can be bought").alias("expectation"))
+    rows = lexical.compact_cover(units, terms, leaves, ["o_orderkey"])
+    return rows.select(k.alias("k"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
