@@ -44,6 +44,7 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     keep = groups.groupBy("root").agg(F.min(at).alias("k")).select("k.doc_id", "k.text_key")
     a, b = unused(docs, "_id", "_key")
     place = lambda i, k: {a: F.coalesce(i, F.lit(0)), b: F.when(i.isNull(), F.xxhash64(k)).otherwise(k)}
-    keep = keep.select(*(c.alias(n) for n, c in place(F.col("doc_id"), F.col("text_key")).items()))
+    # One row of each group grows with the corpus, so it is never broadcast.
+    keep = keep.select(*(c.alias(n) for n, c in place(F.col("doc_id"), F.col("text_key")).items())).hint("merge")
     kept = docs.withColumns(place(F.col("doc_id").cast("long"), text_key())).join(keep, [a, b], "left_semi")
     return kept.dropDuplicates([a, b]).select(*docs.columns)
