@@ -54,11 +54,11 @@ def known(text: str) -> bool:
 class PieceEncoder:
     """``encode_batch(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
-    ``kind`` is ``byte`` or ``word``. At most ``cache_size`` pieces of at most ``LONGEST_KEPT`` characters are kept; a full cache
-    is emptied.
+    ``kind`` is ``byte`` or ``word``. At most ``cache_size`` pieces of at most ``LONGEST_KEPT`` characters are kept, about 200 bytes
+    each; a full cache is emptied.
     """
 
-    def __init__(self, path: str, kind: str, cache_size: int = 700_000):
+    def __init__(self, path: str, kind: str, cache_size: int = 1_400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
