@@ -3,7 +3,7 @@
 Base kinds email, ip, card and phone follow fixed rules. The method adds spans of kind iban (its country's length, then mod-97;
 for other countries the longest end that mod-97 confirms), national identity numbers of the form 123-45-6789, unmarked phone
 numbers of 10 digits, and secrets: what stands after a name like ``token`` or ``api_key`` and ``=`` or ``:``, if its signs
-are mixed enough (``ENTROPY`` bits a sign), and key blocks. Spans that the method adds only count if their score reaches ``least``;
+are mixed enough (``ENTROPY`` bits a sign), and key blocks, both at any length. Spans that the method adds only count if their score reaches ``least``;
 base spans always stay. A score starts at the kind's own, gains where a context word of the kind stands within
 ``CONTEXT`` characters before or after, and loses where a word that speaks against it does. Context words are whole words.
 
@@ -43,8 +43,9 @@ IBAN_LENGTHS = {
     "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
     "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
 }
-SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd|bearer)\b[\"']?\x20{0,4}[=:]\x20{0,4}[\"']?([A-Za-z0-9+/_.=-]{12,512})")
-KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
+SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd|bearer)\b[\"']?\x20{0,4}[=:]\x20{0,4}[\"']?([A-Za-z0-9+/_.=-]{12,}+)")
+KEY_BEGIN, KEY_END = (re.compile(rf"-----{edge} [A-Z ]{{0,30}}PRIVATE KEY-----") for edge in ("BEGIN", "END"))
+KEY_BODY = re.compile(r"[A-Za-z0-9+/=\s]*+")
 ENTROPY = 3.0
 NATIONAL_ID = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9.-]*[0-9])")
@@ -97,6 +98,19 @@ def mixed(s: str) -> bool:
     return bits >= ENTROPY and (any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s)) >= 2
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Key blocks up to their last line; where that is missing before the next block begins, what looks like a key's body."""
+    begins = list(KEY_BEGIN.finditer(text)) if "-----BEGIN " in text else []
+    ends = [m.span() for m in KEY_END.finditer(text)] if begins else []
+    starts = [a for a, _ in ends]
+    for m, following in zip(begins, [*(b.start() for b in begins[1:]), len(text)]):
+        i = bisect_left(starts, m.end())
+        if i < len(ends) and starts[i] < following:
+            yield m.start(), ends[i][1]
+        else:
+            yield m.start(), KEY_BODY.match(text, m.end()).end()
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost addresses: the signs before an @ back to the last match, if a domain follows."""
     end, at = 0, text.find("@")
@@ -135,7 +149,7 @@ def spans(text: str, least: float = 0.7) -> list[tuple[int, int, str, float]]:
         found += [(a, b, "iban") for a, b in ibans(text)]
         found += [(*m.span(), k) for k, p in (("national_id", NATIONAL_ID), ("local_phone", LOCAL_PHONE)) for m in p.finditer(text) if free(m)]
     found += [(*m.span(1), "secret") for m in SECRET.finditer(text) if mixed(m[1])]
-    found += [(*m.span(), "secret") for m in KEY_BLOCK.finditer(text)]
+    found += [(a, b, "secret") for a, b in key_blocks(text)]
     scored = [(a, b, k, score(k, text, a, b)) for a, b, k in found]
     return sorted((s for s in scored if s[2] in KINDS[:4] or s[3] >= least), key=lambda s: (s[0], KINDS.index(s[2])))
 
