@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import alias_join, bindings, edges, evidence, gates, lexical, lines, order, scoring
+from ..operators import alias_join, bindings, closed_world, edges, evidence, gates, lexical, lines, order, scoring
 from ..session import written
+from ..sources import facts as fact_files
 
 GRID_ROLES, EDGE_ROLES = ("row", "rowParts", "column", "value"), ("source", "destination", "relation", "identifier")
 
@@ -198,3 +199,35 @@ def evaluate(candidates: DataFrame, regions: DataFrame, leaves: DataFrame, terms
     counted = claims.groupBy(*keys, "region_id").agg(F.count("*").alias("n_claims"))
     scored = scoring.region_scores(statuses, counted, [*keys, "region_id"]).join(regions.select("case_id", "region_id", "budget"), ["case_id", "region_id"])
     return scoring.case_scores(scored, keys)
+
+
+def tables_of(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Regions, obligations and terms of ``sources.facts.read_facts`` as ``evaluate`` takes them; the closed regions that tables are held
+    against, (case_id, region_id, labels, members, columns); and (case_id, region_id, member) of all regions."""
+    r = fact_files.regions(facts).withColumnRenamed("id", "region_id")
+    le = fact_files.leaves(fact_files.regions(facts))
+    page = lambda a: F.coalesce(a["documentPage"], a["page"])
+    regions = r.select("case_id", "region_id", F.transform("sourceAnchors", page).alias("pages"), F.coalesce("uniqueEvidence", F.lit(False)).alias("unique_evidence"), "budget")
+    policy = lambda c: F.col(f"evidencePolicy.{c}")
+    leaves = le.select("case_id", "region_id", F.col("id").alias("leaf_id"), F.col("claimType").alias("claim"), policy("type").alias("kind"), F.coalesce(policy("strict"), F.lit(False)).alias("strict"), "expectation", policy("state").alias("state"), "harm")
+    terms = fact_files.leaf_terms(le)
+    own = terms.join(leaves.select("case_id", "region_id", "leaf_id", "kind"), ["case_id", "leaf_id"])
+    named = own.where("(kind = 'form_state' and role = 'label') or (kind = 'table_binding' and role = 'row')").select("case_id", "region_id", F.col("alternative").alias("member"))
+    declared = r.select("case_id", "region_id", F.explode("closedWorld.keys").alias("member"))
+    members = declared.unionByName(named).distinct()
+    columns = own.where("kind = 'table_binding' and role = 'column'").groupBy("case_id", "region_id").agg(F.collect_set("alternative").alias("columns"))
+    every = members.groupBy("case_id", "region_id").agg(F.collect_set("member").alias("members"))
+    ends = F.transform(F.filter("sourceAnchors", lambda a: F.size(a["sectionPath"]) > 0), lambda a: F.element_at(a["sectionPath"], -1))
+    labels = F.array_distinct(F.array_compact(F.concat(F.array("label", "goldSection"), F.coalesce(ends, F.array().cast("array<string>")))))
+    closed = r.where("closedWorld.scope = 'table_rows'").select("case_id", "region_id", labels.alias("labels"))
+    closed = closed.join(every, ["case_id", "region_id"]).join(columns, ["case_id", "region_id"])
+    return regions, leaves, terms, closed, members
+
+
+def evaluate_facts(facts: DataFrame, candidates: DataFrame, judged: DataFrame, reported: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, regions, total_budget, raw_score, score) from facts as they are read, with ``reported(keys, region_id, key)`` claims and those that tables show."""
+    regions, leaves, terms, closed, members = tables_of(facts)
+    cases = candidates.select(*keys).distinct()
+    discovered = written(closed_world.invented_rows(candidates, cases.join(closed, "case_id"), keys).select(*keys, "region_id", "key"), "evaluate-discovered")
+    claims = closed_world.applied_claims(reported.select(*keys, "region_id", "key"), discovered, cases.join(members, "case_id"), keys)
+    return evaluate(candidates, regions, leaves, terms, judged, claims, keys)

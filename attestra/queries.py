@@ -16,7 +16,7 @@ from .functions import text as tx
 from .operators import authoring, bindings, closed_world, constraints, contracts, edges, evidence, gates, gold_audit, lexical, lines, members, order, reports, scoring, tables
 from .plans import evaluate, fidelity
 from .session import ship, table
-from .sources import artifacts
+from .sources import artifacts, facts
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -343,6 +343,36 @@ def edge_records(t):
     return edges.edge(docs, rows.select("doc", F.col("s_suppkey").alias("leaf_id"), F.inline(roles)), ["doc"]).select("leaf_id", "status")
 
 
+@query("""SELECT s_suppkey AS leaf_id, CASE s_suppkey % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'missing' WHEN 2 THEN 'missing' ELSE 'correct' END AS status FROM supplier""")
+def edge_continuations(t):
+    """Supplies told in two sentences that share two words: the second goes on to the nation in a word that counts, or in one that doesn't
+    (flowing), or four lines on; or one sentence says it all by its identifier."""
+    rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    k, code = F.col("s_suppkey") % 4, F.concat(F.lit("E "), F.col("s_suppkey").cast("string"), F.lit("x"))
+    enters = F.concat(F.lit("The outlet of "), "s_name", F.lit(" under "), code, F.lit(" enters the northern culvert channel."))
+    told = (
+        F.concat(enters, F.lit("\nThe northern culvert runs past "), "n_name", F.lit(".")),
+        F.concat(enters, F.lit("\nThe northern culvert flowing past "), "n_name", F.lit(".")),
+        F.concat(enters, F.lit("\n\n\n\nThe northern culvert runs past "), "n_name", F.lit(".")),
+        F.concat("s_name", F.lit(" -> "), "n_name", F.lit(", "), code),
+    )
+    text = F.concat(code, F.lit(": feeds\n\n"), F.element_at(F.array(*told), (k + 1).cast("int")))
+    docs = rows.select("s_suppkey", text.alias("text"))
+    roles = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(0).alias("group_no"), c.alias("alternative")) for r, c in (("source", F.col("s_name")), ("destination", F.col("n_name")), ("relation", F.lit("feeds")), ("identifier", code))))
+    terms = rows.select("s_suppkey", F.col("s_suppkey").alias("leaf_id"), F.inline(roles))
+    return edges.edge(docs, terms, ["s_suppkey"], semantic=True).select("leaf_id", "status")
+
+
+@query("SELECT o_orderkey, o_orderkey % 9 AS mark, CASE WHEN o_orderkey % 9 IN (0, 1) THEN 'correct' ELSE 'incorrect' END AS status FROM orders")
+def form_marks(t):
+    """Every mark of a form before one label whose box should be checked: crossed boxes and struck labels keep the label, denied words count with any blanks."""
+    marks = ("[ x ] Paid", "✅ Paid", "[] Paid", "[ / ] Paid", "[crossed box: Paid]", "~~Paid~~", "Paid: not  checked", "⬜ Paid", "Paid: not selected")
+    docs = t("orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, marks)), (F.col("o_orderkey") % 9 + 1).cast("int")).alias("text"))
+    leaves = docs.select("o_orderkey", F.lit(1).alias("leaf_id"), F.lit("Paid").alias("label"), F.lit("checked").alias("state"))
+    rows = gates.form_state(lines.candidate_lines(docs, ["o_orderkey"]), leaves, ["o_orderkey"])
+    return rows.select("o_orderkey", (F.col("o_orderkey") % 9).alias("mark"), "status")
+
+
 @query("SELECT s_suppkey // 20 AS doc, s_name AS key FROM supplier WHERE s_suppkey % 10 = 0")
 def closed_world_rows(t):
     """Suppliers' tables under their heading, in which every tenth supplier is not a known member."""
@@ -466,6 +496,32 @@ def evaluate_prediction(t):
     return rows.withColumns({"raw_score": F.round("raw_score", 4), "score": F.round("score", 4)})
 
 
+@query(f"""WITH {_EVALUATED}, r AS (SELECT case_id, region_id, 3 - region_id AS budget, sum(harm) AS possible, sum(CASE status WHEN 'correct' THEN 1.0 WHEN 'incorrect' THEN -0.5 ELSE 0 END * harm) AS earned,
+ CASE WHEN case_id % 2 = 1 AND region_id = 1 THEN max(harm) ELSE 0 END AS penalty FROM s GROUP BY case_id, region_id),
+ c AS (SELECT case_id, count(*) AS regions, CAST(sum(budget) AS BIGINT) AS total_budget, sum(CAST(earned - penalty AS DOUBLE) / possible * budget) / sum(budget) AS x FROM r GROUP BY case_id)
+ SELECT case_id, regions, total_budget, round(100 * x, 4) AS raw_score, round(100 * greatest(0.0, least(1.0, x)), 4) AS score FROM c""")
+def evaluate_facts(t):
+    """From facts as files hold them to scores; the tables of every second case have a row that no declared member may mean."""
+    candidates, regions, leaves, terms, judged, _ = _evaluation(t)
+    row = lambda case: F.when(case % 2 == 1, "| Nobody New | X |\nPAGE 2").otherwise("PAGE 2")
+    text = F.replace(F.replace("text", F.lit("PAGE 1\n"), F.lit("PAGE 1\n## Register\n")), F.lit("PAGE 2"), row(F.col("case_id")))
+    some = lambda r, grouped: F.collect_list(F.when(F.col("role") == r, F.array("alternative") if grouped else F.col("alternative"))).alias(r)
+    policy = terms.groupBy("case_id", "leaf_id").agg(some("allOf", True), *(some(r, False) for r in ("row", "column", "value", "label", "source", "destination")))
+    filled = lambda r: F.when(F.size(r) > 0, F.col(r)).alias(r)
+    owed = leaves.join(policy, ["case_id", "leaf_id"])
+    policy = F.struct(F.col("kind").alias("type"), "state", "strict", *(filled(r) for r in ("allOf", "row", "column", "value", "label", "source", "destination")))
+    leaf = F.struct(F.col("leaf_id").cast("string").alias("id"), F.col("claim").alias("claimType"), "expectation", "harm", policy.alias("evidencePolicy"))
+    held = owed.groupBy("case_id", "region_id").agg(F.collect_list(leaf).alias("leaves"), F.collect_list(F.when(F.col("kind") == "table_binding", F.get("row", F.lit(0)))).alias("members"))
+    closed = F.when(F.col("region_id") == 1, F.struct(F.lit("table_rows").alias("scope"), F.col("members").alias("keys")))
+    region = F.struct(F.col("region_id").cast("string").alias("id"), F.when(F.col("region_id") == 1, "Register").otherwise("Statements").alias("label"), F.transform("pages", lambda p: F.struct(p.alias("page"))).alias("sourceAnchors"), F.col("unique_evidence").alias("uniqueEvidence"), "budget", closed.alias("closedWorld"), "leaves")
+    made = held.join(regions, ["case_id", "region_id"]).groupBy("case_id").agg(F.collect_list(region).alias("regions"))
+    read = made.select(F.from_json(F.to_json(F.struct(F.col("case_id").cast("string").alias("id"), "regions")), facts.FACTS).alias("f")).select("f.*")
+    as_text = lambda df, *cs: df.withColumns({c: F.col(c).cast("string") for c in cs})
+    none = candidates.limit(0).select(F.col("case_id").cast("string").alias("case_id"), F.lit("").alias("region_id"), F.lit("").alias("key"))
+    rows = evaluate.evaluate_facts(read, as_text(candidates.withColumn("text", text), "case_id"), as_text(judged, "case_id", "leaf_id"), none, ["case_id"])
+    return rows.withColumns({"case_id": F.col("case_id").cast("long"), "raw_score": F.round("raw_score", 4), "score": F.round("score", 4)})
+
+
 @query("SELECT s_suppkey AS leaf_id FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey > 0")
 def locator_overlaps(t):
     """Suppliers' rows; every even one has a double whose key begins the same."""

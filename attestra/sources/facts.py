@@ -40,13 +40,16 @@ def leaves(region_rows: DataFrame) -> DataFrame:
 
 
 def leaf_terms(leaf_rows: DataFrame) -> DataFrame:
-    """(case_id, leaf_id, role, group_no, alternative): the alternatives of every policy, each once."""
+    """(case_id, leaf_id, role, binding_no, group_no, alternative): the alternatives of every policy, each once; ``binding_no`` is 0 but for bindings."""
     p = "evidencePolicy"
-    flat = [F.struct(F.lit(r).alias("role"), F.array(F.col(f"{p}.{r}")).alias("groups")) for r in ("row", "column", "value", "label", "source", "destination", "relation", "identifier")]
-    grouped = [F.struct(F.lit(r).alias("role"), F.col(f"{p}.{r}").alias("groups")) for r in ("allOf", "rowParts", "tokens", "requiredTerms")]
-    rows = leaf_rows.select("case_id", F.col("id").alias("leaf_id"), F.explode(F.array(*flat, *grouped)).alias("t"))
-    rows = rows.select("case_id", "leaf_id", "t.role", F.posexplode("t.groups").alias("group_no", "g"))
-    return rows.select("case_id", "leaf_id", "role", "group_no", F.explode("g").alias("alternative")).distinct()
+    one = lambda groups: F.array(F.coalesce(groups, F.array().cast("array<array<string>>")))
+    flat = [(r, one(F.array(F.col(f"{p}.{r}")))) for r in ("row", "column", "value", "label", "source", "destination", "relation", "identifier")]
+    grouped = [(r, one(F.col(f"{p}.{r}"))) for r in ("allOf", "rowParts", "tokens", "requiredTerms")]
+    bound = [(r, F.coalesce(F.col(f"{p}.{r}"), F.array().cast("array<array<array<string>>>"))) for r in ("requiredBindings", "localBindings")]
+    rows = leaf_rows.select("case_id", F.col("id").alias("leaf_id"), F.explode(F.array(*(F.struct(F.lit(r).alias("role"), g.alias("bindings")) for r, g in (*flat, *grouped, *bound)))).alias("t"))
+    rows = rows.select("case_id", "leaf_id", "t.role", F.posexplode("t.bindings").alias("binding_no", "groups"))
+    rows = rows.select("case_id", "leaf_id", "role", "binding_no", F.posexplode("groups").alias("group_no", "g"))
+    return rows.select("case_id", "leaf_id", "role", "binding_no", "group_no", F.explode("g").alias("alternative")).distinct()
 
 
 def violations(facts: DataFrame) -> DataFrame:
@@ -74,12 +77,6 @@ def violations(facts: DataFrame) -> DataFrame:
     return result
 
 
-def spec_field(text, name: str):
-    """The value of a ``Name: value`` line, or null."""
-    value = F.regexp_extract(text, rf"(?im)^{name}:[ ]*(.+?)[ ]*$", 1)
-    return F.when(value != "", value)
-
-
 def write_report(summary: DataFrame, path: str) -> None:
     """One JSON file; a summary has a row for each model."""
     summary.coalesce(1).write.mode("overwrite").json(path)
