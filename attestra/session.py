@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,18 +52,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._attestra_path = path
-    _WRITTEN.add(path)
+    _WRITTEN[path] = spark.sparkContext.applicationId
     return out
 
 
-#: Paths of this process's written tables that are still there.
-_WRITTEN: set[str] = set()
+#: Written tables that are still there, with the application that wrote them.
+_WRITTEN: dict[str, str] = {}
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _WRITTEN.discard(path)
+    _WRITTEN.pop(path, None)
 
 
 def forget(*tables: DataFrame) -> None:
@@ -73,10 +75,21 @@ def forget(*tables: DataFrame) -> None:
 
 def forget_all(spark: SparkSession) -> None:
     """Delete all written tables of this session, once their results have been saved."""
-    for path in list(_WRITTEN):
+    for path in [p for p, app in _WRITTEN.items() if app == spark.sparkContext.applicationId]:
         _delete(spark, path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were written within; results must be saved before."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in set(_WRITTEN) - before:
+            _delete(spark, path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, as ``spark-submit --py-files`` would, once for each context."""
     context = spark.sparkContext
