@@ -107,6 +107,25 @@ def packed(rows: DataFrame, keys: list[str], order: list[str], stable: int = 64,
     return rows.withColumn("request", F.floor(n / request))
 
 
+def semantic_batches(leaves: DataFrame, keys: list[str], settled: DataFrame | None = None, stable: int = 64, request: int = 32) -> DataFrame:
+    """(keys, batch, request, regions, leaf_ids): what a judge is asked, of ``leaves(keys, region_no, leaf_no, region_id, leaf_id)``; ids are unique.
+
+    Obligations fill batches of ``stable`` in the order of regions, so a region may go on in the next batch; ``regions`` has for each
+    piece of a region in the batch its id, its first obligation's place in the region and how many there are, whatever is settled, so that
+    batches are alike from try to try. ``settled(keys, leaf_id)`` are not asked again; the others make requests of ``request``, and
+    a batch without any makes none.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("region_no", "leaf_no")) - 1
+    rows = leaves.withColumn("batch", F.floor(place / stable).cast("long")).withColumn("_at", place)
+    cut = rows.groupBy(*keys, "batch", "region_no", "region_id").agg(F.min("leaf_no").cast("long").alias("first"), F.count("*").alias("n"))
+    pieces = cut.groupBy(*keys, "batch").agg(F.array_sort(F.collect_list(F.struct("region_no", "region_id", "first", "n"))).alias("x"))
+    pieces = pieces.select(*keys, "batch", F.transform("x", lambda x: F.struct(x["region_id"].alias("region_id"), x["first"].alias("first"), x["n"].alias("n"))).alias("regions"))
+    open_ = rows if settled is None else rows.join(settled.select(*keys, "leaf_id").distinct(), [*keys, "leaf_id"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy(*keys, "batch").orderBy("_at")) - 1
+    asked = open_.withColumn("request", F.floor(nth / request).cast("long")).groupBy(*keys, "batch", "request").agg(F.array_sort(F.collect_list(F.struct("_at", "leaf_id"))).alias("x"))
+    return asked.select(*keys, "batch", "request", F.transform("x", lambda x: x["leaf_id"]).alias("leaf_ids")).join(pieces, [*keys, "batch"])
+
+
 def audit_batches(regions: DataFrame, keys: list[str], most_regions: int = 24, most_members: int = 256) -> DataFrame:
     """(keys, region_id, batch): regions of ``regions(keys, region_id, pos, members)`` in their order, a new batch where one more would be too many.
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from .functions import literals
 from .functions import signals as sig
 from .functions import text as tx
-from .operators import authoring, bindings, closed_world, constraints, contracts, edges, evidence, gates, gold_audit, lexical, lines, members, order, reports, scoring, tables
+from .operators import authoring, bindings, builders, closed_world, constraints, contracts, edges, evidence, gates, gold_audit, lexical, lines, members, order, reports, scoring, tables
 from .plans import evaluate, fidelity
 from .session import ship, table
-from .sources import artifacts, facts
+from .sources import artifacts, draws, facts, facts_rules
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1055,3 +1055,130 @@ def lexical_cover(t):
     leaves = docs.select("o_orderkey", "leaf_id", F.lit("The item can be bought").alias("expectation"))
     rows = lexical.compact_cover(units, terms, leaves, ["o_orderkey"])
     return rows.select(k.alias("k"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query("""WITH c AS (SELECT CAST(c_custkey // 40 AS BIGINT) AS case_id, lower(replace(c_name, '#', '-')) AS s FROM customer), n AS (SELECT case_id, count(*) AS size FROM c GROUP BY 1)
+ SELECT case_id, '1.' || s || '.' || h AS leaf_id, 'correct' AS status FROM c, (SELECT unnest(['segment', 'nation']) AS h) UNION ALL SELECT case_id, '1.schema', CASE WHEN case_id % 3 = 2 THEN 'incorrect' ELSE 'correct' END FROM n
+ UNION ALL SELECT case_id, '1.row-order', CASE WHEN case_id % 3 = 1 AND size > 1 THEN 'incorrect' ELSE 'correct' END FROM n""")
+def table_obligations(t):
+    """Obligations of customers' tables, held against the same tables: as they are, with rows turned round, or with two columns swapped; the judge finds all of it right."""
+    c = t("customer").withColumn("case_id", F.floor(F.col("c_custkey") / 40).cast("long")).withColumn("_back", -F.col("c_custkey"))
+    heads, m = {"c_name": "Customer", "c_mktsegment": "Segment", "c_nationkey": "Nation"}, F.col("case_id") % 3
+    gold = tables.table_cells(tables.rendered(c, ["case_id"], heads, "c_custkey"), ["case_id"]).withColumn("region_id", F.lit(1))
+    shown = tables.rendered(c.where(m == 0), ["case_id"], heads, "c_custkey").unionByName(tables.rendered(c.where(m == 1), ["case_id"], heads, "_back"))
+    shown = shown.unionByName(tables.rendered(c.where(m == 2), ["case_id"], {k: heads[k] for k in ("c_name", "c_nationkey", "c_mktsegment")}, "c_custkey"))
+    leaves, terms, _ = builders.table_obligations(gold, ["case_id"])
+    regions = c.select("case_id").distinct().select("case_id", F.lit(1).alias("region_id"), F.array(F.lit(1)).alias("pages"), F.lit(True).alias("unique_evidence"), F.lit(1).alias("budget"))
+    judged = leaves.select("case_id", "leaf_id", F.lit(0).alias("at"), F.lit("correct").alias("status"), F.sequence(F.lit(1), F.lit(60)).alias("refs"))
+    return evaluate.leaf_statuses(shown, regions, leaves, terms, judged, ["case_id"]).select("case_id", "leaf_id", "status")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, CAST(3 + c_custkey % 5 AS BIGINT) AS n, c_custkey % 4 AS m FROM customer),
+ r AS (SELECT k, CASE WHEN m = 3 THEN 0 ELSE 1 END AS a, CASE WHEN m = 2 THEN 3 ELSE 2 END AS b FROM c UNION ALL SELECT k, CASE m WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 3 END, CASE WHEN m = 3 THEN n + 2 ELSE n END FROM c),
+ p AS (SELECT k, n, unnest(range(-1, n + 4)) AS page FROM c), q AS (SELECT p.k, page, CASE WHEN page BETWEEN 1 AND n THEN CASE count(r.k) WHEN 0 THEN 'missing' WHEN 1 THEN NULL ELSE 'given twice' END WHEN count(r.k) > 0 THEN 'outside' END AS problem
+  FROM p LEFT JOIN r ON p.k = r.k AND page BETWEEN a AND b GROUP BY p.k, page, n), i AS (SELECT *, page - row_number() OVER (PARTITION BY k, problem ORDER BY page) AS g FROM q WHERE problem IS NOT NULL)
+ SELECT k, min(page) AS first, max(page) AS last, problem FROM i GROUP BY k, problem, g""")
+def page_cover(t):
+    """Modalities of pages that cover a case, leave a page out, overlap, or go beyond its ends."""
+    k, m = F.col("c_custkey"), F.col("c_custkey") % 4
+    c = t("customer").select(k.alias("k"), (3 + k % 5).cast("int").alias("n_pages"), m.alias("m"))
+    part = lambda name, a, b: F.struct(F.lit(name).alias("modality"), a.cast("int").alias("first"), b.cast("int").alias("last"))
+    m = F.col("m")
+    native = part("native_text", F.when(m == 3, 0).otherwise(1), F.when(m == 2, 3).otherwise(2))
+    raster = part("raster", F.when(m == 1, 4).when(m == 2, 2).otherwise(3), F.col("n_pages") + F.when(m == 3, 2).otherwise(0))
+    return constraints.page_cover(c.select("k", F.inline(F.array(native, raster))), c, ["k"])
+
+
+@query("""WITH k AS (SELECT c_custkey AS k, CAST(c_custkey // 40 AS BIGINT) AS case_id, c_custkey % 40 + 1 AS page, c_custkey % 11 AS m, c_name AS id FROM customer), d AS (SELECT DISTINCT case_id FROM k)
+ SELECT case_id, ['kind', 'page is out of range', 'box', 'harm', 'strict groups share an alternative', 'policy of another claim', 'policy lacks its terms', 'expectation', '', 'label', 'gold section has no heading'][1 + m] AS rule, id AS subject FROM k WHERE m <> 8
+ UNION ALL SELECT case_id, 'policy does not keep a identifier', id FROM k WHERE m = 6 UNION ALL SELECT case_id, 'document pages decrease', CAST(page AS VARCHAR) FROM k WHERE m = 8 AND page > 2
+ UNION ALL SELECT case_id, 'title differs', '' FROM d WHERE case_id % 2 = 1
+ UNION ALL SELECT case_id, 'page is not anchored', CAST(p AS VARCHAR) FROM (SELECT case_id, unnest(range(1, 42)) AS p FROM d) x WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.case_id = x.case_id AND page = p AND m <> 1)""")
+def facts_violations(t):
+    """Facts with a region for each customer, all but one in eleven with a fault of one kind."""
+    k = F.col("c_custkey")
+    c = t("customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("seg"), F.floor(k / 40).cast("long").alias("case_id"), (k % 40 + 1).cast("int").alias("page"), (k % 11).cast("int").alias("m"))
+    m, none = F.col("m"), F.lit(None)
+    at = F.when(m == 1, 99).otherwise(F.col("page"))
+    box = F.when(m == 2, F.array(*map(F.lit, (0.5, 0.1, 0.2, 0.9)))).otherwise(F.array(*map(F.lit, (0.1, 0.1, 0.9, 0.9))))
+    anchor = F.struct(at.alias("page"), F.when((m == 8) & (F.col("page") > 2), F.col("page") - 2).alias("documentPage"), F.lit("native_text").alias("layer"), F.array(F.lit("Register")).alias("sectionPath"), box.alias("bbox"))
+    words = m == 4
+    policy = F.struct(
+        F.when(words, "lexical").otherwise("table_binding").alias("type"), words.alias("strict"), F.when(words, F.array(F.array("c_name", "seg"), F.array("seg", "c_name"))).alias("allOf"),
+        F.when(~words, F.array("c_name")).alias("row"), F.when(~words, F.array(F.lit("Segment"))).alias("column"), F.when(~words & (m != 6), F.array("seg")).alias("value"),
+    )
+    claim = F.when(words, "scalar").when(m == 5, "form_state").otherwise("table_binding")
+    expectation = F.when(words, "All of it").when(m == 7, "abc").otherwise(F.concat(F.lit("Its group is "), "seg"))
+    leaf = F.struct(F.col("c_name").alias("id"), F.col("c_name").alias("canonicalClaimId"), claim.alias("claimType"), expectation.alias("expectation"), F.when(m == 3, 3).otherwise(1).alias("harm"), policy.alias("evidencePolicy"))
+    region = F.struct(
+        F.col("c_name").alias("id"), F.when(m == 9, " ").otherwise("Register").alias("label"), F.array(anchor).alias("sourceAnchors"), F.when(m == 10, "Nowhere").otherwise("Register").alias("goldSection"),
+        F.when(m == 0, "poem").otherwise("table").alias("kind"), F.lit("native_text").alias("modality"), F.lit(True).alias("uniqueEvidence"), F.lit("precise_recall").alias("primaryAxis"),
+        F.array(F.lit("form_state")).alias("secondaryAxes"), F.lit(False).alias("textOnlyRecoverable"), F.lit(1).alias("budget"), F.array(leaf).alias("leaves"),
+    )
+    made = c.groupBy("case_id").agg(F.collect_list(region).alias("regions"))
+    title = F.when(F.col("case_id") % 2 == 1, "B").otherwise("A")
+    whole = F.struct(F.lit(3).alias("schemaVersion"), F.col("case_id").cast("string").alias("id"), title.alias("title"), F.lit("F").alias("family"), F.array(F.lit("x")).alias("tags"), "regions")
+    read = made.select(F.from_json(F.to_json(whole), facts.FACTS).alias("f")).select("f.*")
+    cases = c.select(F.col("case_id").cast("string").alias("case_id")).distinct()
+    known = cases.select("case_id", F.lit("A").alias("title"), F.lit("F").alias("family"), F.array(F.lit("x")).alias("tags"), F.lit(41).alias("pages"))
+    rows = facts_rules.all_violations(read, known, cases.withColumn("section", F.lit("Register")))
+    return rows.withColumn("case_id", F.col("case_id").cast("long"))
+
+
+@query("""WITH l AS (SELECT l_suppkey, l_orderkey, l_linenumber, bool_or(l_returnflag = 'A') AS settled FROM lineitem GROUP BY ALL), a AS (SELECT *, (row_number() OVER w - 1) // 64 AS batch FROM l WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber)),
+ p AS (SELECT l_suppkey, batch, string_agg(l_orderkey || ':' || f || ':' || n, ',' ORDER BY l_orderkey) AS regions FROM (SELECT l_suppkey, batch, l_orderkey, min(l_linenumber) AS f, count(*) AS n FROM a GROUP BY ALL) GROUP BY ALL),
+ r AS (SELECT *, (row_number() OVER (PARTITION BY l_suppkey, batch ORDER BY l_orderkey, l_linenumber) - 1) // 32 AS request FROM a WHERE NOT settled)
+ SELECT r.l_suppkey, r.batch, request, string_agg(l_orderkey || '-' || l_linenumber, ',' ORDER BY l_orderkey, l_linenumber) AS leaf_ids, any_value(regions) AS regions FROM r JOIN p ON r.l_suppkey = p.l_suppkey AND r.batch = p.batch GROUP BY ALL""")
+def semantic_batches(t):
+    """Lines, each key once, as obligations of orders, batched by supplier; an order may go on in the next batch."""
+    once = t("lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.bool_or(F.col("l_returnflag") == "A").alias("settled"))
+    l = once.select("l_suppkey", "settled", F.col("l_orderkey").alias("region_no"), F.col("l_orderkey").alias("region_id"), F.col("l_linenumber").alias("leaf_no"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("leaf_id"))  # noqa: E741
+    rows = scoring.semantic_batches(l, ["l_suppkey"], l.where("settled"))
+    told = F.array_join(F.transform("regions", lambda r: F.concat_ws(":", r["region_id"].cast("string"), r["first"].cast("string"), r["n"].cast("string"))), ",")
+    return rows.select("l_suppkey", "batch", "request", F.array_join("leaf_ids", ",").alias("leaf_ids"), told.alias("regions"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, sha256(o_orderpriority) AS h, CASE WHEN o_orderkey % 2 = 0 THEN '"low"' ELSE 'null' END AS r, CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 60000 END AS n FROM orders),
+ i AS (SELECT *, sha256('{"protocolVersion":2,"ingestionMode":"direct","pdf":"' || h || '","prompt":"' || sha256(s) || '","model":{"id":"m' || s || '","modelName":"' || s || '","provider":"x","reasoning":' || r || ',"location":null,"maxOutputTokens":' || n || '}}') AS inference FROM o)
+ SELECT k, inference, 'cache-' || inference[1:48] AS prompt, sha256('{"prediction":"' || h || '","facts":"' || sha256(s) || '","case":{"id":"' || k || '","title":"' || s || '"},"evaluator":"e"}') AS score,
+ sha256('{"evaluator":"e","testCase":{"id":"' || k || '","title":"' || s || '","pages":null},"facts":"' || sha256(s) || '","prediction":"' || h || '","kind":"semantic","part":{"index":' || k % 4 || ',"leafIds":["' || p || '","' || s || '"]}}') AS checkpoint FROM i""")
+def content_keys(t):
+    """The keys of inferences, prompts, scores and checkpoints of orders."""
+    k, s, p = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    model = sig.configured_model(F.concat(F.lit("m"), s), s, F.lit("x"), F.when(k % 2 == 0, "low"), F.lit(None).cast("string"), F.when(k % 3 == 0, 100))
+    key = sig.inference_key(F.lit(2), F.lit("direct"), F.sha2(p, 256), s, model)
+    case, ident = (k.cast("string"), s), k.cast("string")
+    part = F.struct((k % 4).alias("index"), F.array(p, s).alias("leafIds"))
+    whole = F.struct(ident.alias("id"), s.alias("title"), F.lit(None).cast("int").alias("pages"))
+    rows = t("orders").withColumn("inference", key)
+    return rows.select(
+        k.alias("k"), "inference", sig.prompt_key(F.col("inference"), "cache").alias("prompt"), sig.score_key(p, F.sha2(s, 256), *case, F.lit("e")).alias("score"),
+        sig.checkpoint_key(F.lit("e"), whole, F.sha2(s, 256), p, F.lit("semantic"), part).alias("checkpoint"),
+    )
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, 'm' || o_orderkey % 3 AS model_id, 'c' || o_custkey AS case_id, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey) AS draw, o_orderpriority AS p FROM orders)
+ SELECT model_id, case_id, draw, model_id || '/' || case_id || CASE WHEN draw = 1 THEN '' ELSE '/draws/' || lpad(CAST(draw AS VARCHAR), 3, '0') END AS folder, p AS prediction, CASE WHEN k % 5 <> 0 THEN 'k' || k END AS inference_key, CASE WHEN k % 5 <> 0 THEN k END AS input,
+ CASE WHEN k % 7 <> 0 THEN 's' || k END AS score_key FROM o""")
+def cached_draws(t):
+    """Files of draws, found by their folders: every fifth inference is cut short, every seventh score is absent; notes beside them are not read."""
+    w = Window.partitionBy("o_custkey", F.col("o_orderkey") % 3).orderBy("o_orderkey")
+    k = F.col("k")
+    o = t("orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("m"), (F.col("o_orderkey") % 3).cast("string")).alias("model_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("case_id"), F.row_number().over(w).alias("draw"), "o_orderpriority")
+    at = F.concat(F.lit("file:/cache/run/"), draws.draw_folder(F.col("model_id"), F.col("case_id"), F.col("draw")), F.lit("/"))
+    whole = F.to_json(F.struct(F.concat(F.lit("k"), k.cast("string")).alias("cacheKey"), F.struct(k.alias("inputTokens")).alias("usage")))
+    scored = F.when(k % 7 != 0, F.to_json(F.struct(F.concat(F.lit("s"), k.cast("string")).alias("cacheKey"))))
+    made = F.array(*(F.struct(F.concat(at, F.lit(n)).alias("path"), c.alias("content")) for n, c in zip((*draws.FILES, "notes.md"), (F.col("o_orderpriority"), F.when(k % 5 == 0, F.substring(whole, 1, 12)).otherwise(whole), scored, F.lit("x")))))
+    rows = draws.draws(o.select(F.inline(made)).where("content is not null"))
+    return rows.select("model_id", "case_id", F.col("draw").cast("long").alias("draw"), draws.draw_folder(F.col("model_id"), F.col("case_id"), F.col("draw")).alias("folder"), "prediction", F.col("inference.cacheKey").alias("inference_key"), F.col("inference.usage.inputTokens").alias("input"), F.col("score.cacheKey").alias("score_key"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS case_id, CASE WHEN o_orderkey % 4 = 0 THEN 'no draw' WHEN o_orderkey % 3 = 0 THEN 'no text' END AS fault FROM orders), g AS (SELECT DISTINCT case_id, k % 2 AS m FROM o WHERE fault IS NULL)
+ SELECT case_id, 'm' || k % 2 AS model_id, string_agg(DISTINCT fault, ',' ORDER BY fault) AS faults, count(*) AS tries FROM o WHERE fault IS NOT NULL AND NOT EXISTS (SELECT 1 FROM g WHERE g.case_id = o.case_id AND m = k % 2) GROUP BY 1, 2""")
+def still_failed(t):
+    """Cases whose tries all had a fault, by model; what one try scored has not failed."""
+    k = F.col("o_orderkey")
+    o = t("orders").select(F.concat(F.lit("m"), (k % 2).cast("string")).alias("model_id"), F.col("o_custkey").cast("string").alias("case_id"), (k % 4).cast("int").alias("draw"), F.when(k % 3 == 0, " ").otherwise(F.col("o_orderpriority")).alias("prediction"))
+    o = o.withColumn("fault", incremental.candidate_fault())
+    rows = incremental.still_failed(o.where("fault is not null"), o.where("fault is null"), ["model_id", "case_id"])
+    return rows.select(F.col("case_id").cast("long").alias("case_id"), "model_id", F.array_join("faults", ",").alias("faults"), "tries")

@@ -69,8 +69,8 @@ def violations(facts: DataFrame) -> DataFrame:
         bad(r, F.size(F.array_distinct(F.transform("closedWorld.keys", lambda k: F.lower(k)))) < F.size("closedWorld.keys"), "closed world keys repeat", "id"),
         bad(r, "textOnlyRecoverable and (modality = 'raster' or primaryAxis = 'native_layer_recovery')", "text-only recoverable", "id"),
     ]
-    pages = r.select("case_id", F.inline("sourceAnchors")).where("documentPage is not null")
-    both = pages.groupBy("case_id", "page").agg(F.count_distinct("documentPage").alias("n")).where("n > 1").select("case_id", F.lit("page has two document pages").alias("rule"), F.col("page").cast("string").alias("subject"))
+    pages = r.select("case_id", F.inline("sourceAnchors")).where("page is not null").withColumn("_to", F.coalesce("documentPage", "page"))
+    both = pages.groupBy("case_id", "page").agg(F.count_distinct("_to").alias("n")).where("n > 1").select("case_id", F.lit("page has two document pages").alias("rule"), F.col("page").cast("string").alias("subject"))
     result = both
     for x in out:
         result = result.unionByName(x)
