@@ -28,7 +28,10 @@ def placed(files: DataFrame) -> DataFrame:
 
 
 def draws(files: DataFrame, inference: str = INFERENCE, score: str = SCORE) -> DataFrame:
-    """(model_id, case_id, draw, prediction, inference, score): a row for each draw; what is absent or does not parse is null."""
+    """(model_id, case_id, draw, prediction, inference, score): a row for each draw; what is absent or does not parse is null.
+
+    Spark's reader passes over files without a byte, so an empty file counts as absent.
+    """
     of = lambda f: F.max(F.when(F.col("file") == f, F.col("content")))
     rows = placed(files).groupBy("model_id", "case_id", "draw").agg(*(of(f).alias(f"_{i}") for i, f in enumerate(FILES)))
     return rows.select("model_id", "case_id", "draw", F.col("_0").alias("prediction"), json_or_null(F.col("_1"), inference).alias("inference"), json_or_null(F.col("_2"), score).alias("score"))
