@@ -24,9 +24,9 @@ from ..session import ship
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bytes of a text below which a band holds, its least ratio, its largest.
-BANDS = ((512, 0.30, 0.95), (2048, 0.27, 0.85), (8192, 0.20, 0.75), (1 << 62, 0.10, 0.70))
+BANDS = ((512, 0.30, 0.84), (2048, 0.27, 0.78), (8192, 0.20, 0.68), (1 << 62, 0.10, 0.60))
 #: Least bytes of a text, the size of its chunks, their least ratio, their largest.
-CHUNKS = ((8192, 4096, 0.15, 0.72), (1025, 1024, 0.22, 0.76))
+CHUNKS = ((8192, 4096, 0.15, 0.64), (1025, 1024, 0.22, 0.72))
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, odd_chunks double, kept boolean"
 NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 
