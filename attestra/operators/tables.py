@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import HTML_ENTITIES, markdown_row
+from ..session import ship
 
 _FIELDS = (("table_no", T.IntegerType()), ("kind", T.StringType()), ("header_ref", T.IntegerType()), ("header", T.StringType()), ("col", T.IntegerType()), ("ref", T.IntegerType()), ("row_no", T.IntegerType()), ("cell", T.StringType()))
-KIND = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in _FIELDS]))
 _TABLE, _ROW, _CELL = re.compile(r"(?is)<table[^>]*>(.*?)</table>"), re.compile(r"(?is)<tr[^>]*>(.*?)</tr>"), re.compile(r"(?is)<(t[hd])[^>]*>(.*?)</t[hd]>")
 
 
@@ -73,19 +74,32 @@ def _html(text: str, number: int) -> list[dict]:
     return out
 
 
-@F.pandas_udf(KIND)
-def _parsed(texts: pd.Series) -> pd.Series:
-    def one(text):
-        md = _markdown(text or "")
-        return md + _html(text or "", 1 + max((x["table_no"] for x in md), default=-1))
-
-    return texts.map(one)
+#: So many documents are parsed before their cells are handed on, so that a task holds few of them at a time.
+AT_ONCE = 64
 
 
 def table_cells(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """A row for each cell of every Markdown and HTML table; each document is parsed once, and one without a table not at all."""
-    some = docs.where(F.col(text).contains("|") | F.lower(F.col(text)).contains("<table"))
-    return some.select(*keys, F.inline(_parsed(F.col(text))))
+    ship(docs.sparkSession)
+    some = docs.where(F.col(text).contains("|") | F.lower(F.col(text)).contains("<table")).select(*keys, F.col(text).alias("_text"))
+    kinds = [(n, pa.int32() if isinstance(k, T.IntegerType) else pa.string()) for n, k in _FIELDS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(start, AT_ONCE)
+                at, cells = [], []
+                for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                    md = _markdown(t)
+                    found = md + _html(t, 1 + max((x["table_no"] for x in md), default=-1))
+                    at += [i] * len(found)
+                    cells += found
+                if cells:
+                    own = [b.column(i).take(pa.array(at, pa.int32())) for i in range(b.num_columns - 1)]
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array([c[n] for c in cells], k) for n, k in kinds)], names=[*b.schema.names[:-1], *(n for n, _ in kinds)])
+
+    schema = T.StructType([*some.schema.fields[:-1], *(T.StructField(n, k) for n, k in _FIELDS)])
+    return some.mapInArrow(run, schema)
 
 
 def rendered(rows: DataFrame, keys: list[str], columns: dict[str, str], order: str) -> DataFrame:
