@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FORM_STATES, evidence_rank, form_text, let, normalize_ascii, pipe_cells
-from .evidence import CLAUSE, ascii_words, blocking_word, holds, places
+from .evidence import CLAUSE, blocking_word, holds, places, shared_words
 from .tables import table_cells
 
 
@@ -28,15 +28,16 @@ def table_binding(cells: DataFrame, leaves: DataFrame, keys: list[str], leaf: st
     n = lambda c: normalize_ascii(F.col(c))
     c = cells.select(*keys, "table_no", "row_no", "ref", "col", "header_ref", n("header").alias("_h"), n("cell").alias("_v"))
     want = leaves.select(*keys, leaf, n("row_key").alias("_row"), n("column").alias("_h"), n("value").alias("_want"))
-    value = want.join(c, [*keys, "_h"])
     row = c.select(*keys, "table_no", "row_no", F.col("col").alias("_kc"), F.col("_v").alias("_row"))
-    hits = value.join(row, [*keys, "table_no", "row_no", "_row"]).where("_kc <> col")
+    # The row is met first, so that no obligation meets all cells of its column.
+    named = want.join(row.hint("merge"), [*keys, "_row"])
+    hits = named.join(c.hint("merge"), [*keys, "table_no", "row_no", "_h"]).where("_kc <> col")
     short = (F.length("_v") > 0) & F.startswith(F.col("_want"), F.concat("_v", F.lit(" ")))
     kind = F.when(F.col("_v") == F.col("_want"), "positive").when(short, "partial").when(F.length("_v") > 0, "conflict")
     hits = hits.select(*keys, leaf, kind.alias("class"), F.array("header_ref", "ref").alias("refs"))
     found = _best(hits, [*keys, leaf])
     status = F.when(F.col("is_conflict"), "incorrect").when(F.col("is_positive"), "correct").otherwise("missing")
-    return leaves.join(found, [*keys, leaf], "left").select(*keys, leaf, status.alias("status"), F.when(F.col("is_conflict"), F.col("conflict_refs")).otherwise(F.col("positive_refs")).alias("refs"))
+    return leaves.join(found.hint("merge"), [*keys, leaf], "left").select(*keys, leaf, status.alias("status"), F.when(F.col("is_conflict"), F.col("conflict_refs")).otherwise(F.col("positive_refs")).alias("refs"))
 
 
 #: A form's box or sign before a field.
@@ -93,10 +94,13 @@ def form_state(lines: DataFrame, leaves: DataFrame, keys: list[str], leaf: str =
     """
     labels = F.col("label") if "array" in dict(leaves.dtypes)["label"] else F.array("label")
     want = leaves.select(*keys, leaf, "state", F.filter(F.transform(labels, normalize_ascii), lambda x: x != "").alias("_labels"))
-    want = want.withColumn("_w", F.explode(F.array_distinct(F.transform("_labels", blocking_word))))
-    # explode_outer, as explode would push a test of its array below the normal form and have that taken twice.
-    rows = form_segments(lines, keys, docs).withColumn("_w", F.explode_outer(F.array_distinct(F.concat(ascii_words("text"), F.array(F.lit(""))))))
-    hits = rows.join(want, [*keys, "_w"]).drop("_w").where(holds(F.col("text"), F.col("_labels")))
+    want = want.select(*keys, F.struct(leaf, "state", "_labels", F.array_distinct(F.transform("_labels", blocking_word)).alias("_ws")).alias("_x")).groupBy(*keys).agg(F.collect_list("_x").alias("_all"))
+    # A document's labels are one row, so that a piece is shuffled once, not once for each of its words.
+    rows = form_segments(lines, keys, docs)
+    some = let(shared_words(F.flatten(F.transform("_all", lambda x: x["_ws"]))), lambda have: F.filter("_all", lambda x: F.arrays_overlap(have, x["_ws"])))
+    # explode_outer, as explode would push a test of its array below and have the words cut twice.
+    hits = rows.join(want.hint("merge"), keys).select(*rows.columns, F.explode_outer(some).alias("_x")).where("_x is not null")
+    hits = hits.select(*rows.columns, *(F.col(f"_x.{c}").alias(c) for c in (leaf, "state", "_labels"))).where(holds(F.col("text"), F.col("_labels")))
     hits = hits.withColumns({"_here": places(F.col("text"), F.col("_labels")), "_at": _state_places(F.col("text"))})
     gap = lambda x, s: F.greatest(F.lit(0), s["start"] - x["end"], x["start"] - s["end"])
 
@@ -111,7 +115,7 @@ def form_state(lines: DataFrame, leaves: DataFrame, keys: list[str], leaf: str =
     found = _best(hits.select(*keys, leaf, F.explode_outer(kinds).alias("class"), "refs").where("class is not null"), [*keys, leaf])
     status = F.when(F.col("is_conflict"), "incorrect").when(F.col("is_positive"), "correct").otherwise("missing")
     refs = F.when(F.col("is_conflict"), F.col("conflict_refs")).otherwise(F.col("positive_refs"))
-    return leaves.select(*keys, leaf).join(found, [*keys, leaf], "left").select(*keys, leaf, status.alias("status"), refs.alias("refs"))
+    return leaves.select(*keys, leaf).join(found.hint("merge"), [*keys, leaf], "left").select(*keys, leaf, status.alias("status"), refs.alias("refs"))
 
 
 def edges(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,11 +132,11 @@ def directed_edge(lines: DataFrame, leaves: DataFrame, keys: list[str], leaf: st
     """Edges of ``leaves(keys, leaf, source, destination)``: a reversed one beats one in order."""
     want = leaves.select(*keys, leaf, normalize_ascii(F.col("source")).alias("_s"), normalize_ascii(F.col("destination")).alias("_d"))
     e = edges(lines, keys)
-    forward = want.join(e.select(*keys, F.col("source").alias("_s"), F.col("destination").alias("_d"), "ref"), [*keys, "_s", "_d"]).select(*keys, leaf, F.lit("positive").alias("class"), F.array("ref").alias("refs"))
-    back = want.join(e.select(*keys, F.col("destination").alias("_s"), F.col("source").alias("_d"), "ref"), [*keys, "_s", "_d"]).select(*keys, leaf, F.lit("conflict").alias("class"), F.array("ref").alias("refs"))
+    forward = want.join(e.select(*keys, F.col("source").alias("_s"), F.col("destination").alias("_d"), "ref").hint("merge"), [*keys, "_s", "_d"]).select(*keys, leaf, F.lit("positive").alias("class"), F.array("ref").alias("refs"))
+    back = want.join(e.select(*keys, F.col("destination").alias("_s"), F.col("source").alias("_d"), "ref").hint("merge"), [*keys, "_s", "_d"]).select(*keys, leaf, F.lit("conflict").alias("class"), F.array("ref").alias("refs"))
     found = _best(forward.union(back), [*keys, leaf])
     status = F.when(F.col("is_conflict"), "incorrect").when(F.col("is_positive"), "correct").otherwise("missing")
-    return leaves.join(found, [*keys, leaf], "left").select(*keys, leaf, status.alias("status"))
+    return leaves.join(found.hint("merge"), [*keys, leaf], "left").select(*keys, leaf, status.alias("status"))
 
 
 def ordered_record(values: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,7 +145,7 @@ def ordered_record(values: DataFrame, wanted: DataFrame, keys: list[str]) -> Dat
     In order: correct; all there but in another order: incorrect; else missing. The earliest hit in turn is enough for order.
     """
     seq = lambda df, name: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda r: r["value"]).alias(name))
-    rows = seq(wanted, "want").join(seq(values, "have"), keys, "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
+    rows = seq(wanted, "want").join(seq(values, "have").hint("merge"), keys, "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
     fold = F.aggregate("have", F.lit(0), lambda i, v: F.when(F.get("want", i) == v, i + 1).otherwise(i))
     tally = lambda a, v: F.size(F.filter(a, lambda x: x == v))
     all_there = F.forall("want", lambda v: tally(F.col("have"), v) >= tally(F.col("want"), v))
