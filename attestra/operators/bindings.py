@@ -81,7 +81,7 @@ def _role(terms: DataFrame, keys: list[str], role: str) -> DataFrame:
 def _all_parts(hits: DataFrame, terms: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Rows of ``hits`` by ``by`` that have every group of ``rowParts``."""
     total = terms.where("role = 'rowParts'").groupBy(*keys, "leaf_id").agg(F.count_distinct("group_no").alias("_groups"))
-    return hits.groupBy(*by).agg(F.count_distinct("group_no").alias("_n")).join(total, [*keys, "leaf_id"]).where("_n = _groups").select(*by)
+    return hits.groupBy(*by).agg(F.count_distinct("group_no").alias("_n")).join(total.hint("merge"), [*keys, "leaf_id"]).where("_n = _groups").select(*by)
 
 
 def grid_values(heads: DataFrame, cells: DataFrame, terms: DataFrame, keys: list[str], fuzzy: bool = False) -> DataFrame:
@@ -89,17 +89,22 @@ def grid_values(heads: DataFrame, cells: DataFrame, terms: DataFrame, keys: list
     column = _role(terms, keys, "column")
     if fuzzy:
         split = lambda df, c: df.withColumn("_w", F.explode(F.array_distinct(header_words(F.col(c)))))
-        met = split(heads, "header").join(split(column, "alternative"), [*keys, "_w"]).drop("_w").where(header_matches(F.col("header"), F.col("alternative")))
+        met = split(heads, "header").join(split(column, "alternative").hint("merge"), [*keys, "_w"]).drop("_w").where(header_matches(F.col("header"), F.col("alternative")))
     else:
-        met = heads.join(column.withColumnRenamed("alternative", "header"), [*keys, "header"])
+        met = heads.join(column.withColumnRenamed("alternative", "header").hint("merge"), [*keys, "header"])
     met = met.select(*keys, "leaf_id", "grid", "header_ref", "col").distinct()
-    value = met.join(cells, [*keys, "grid", "col"]).where("ref > header_ref or grid not like 'plain%'").withColumnRenamed("cell", "value")
-    place = [*keys, "leaf_id", "grid", "row"]
-    named = cells.withColumnRenamed("cell", "alternative").join(_role(terms, keys, "row"), [*keys, "alternative"]).select(*place, F.col("col").alias("_kc"))
-    whole = value.join(named, place).where("_kc <> col").select(*value.columns)
+    # A named row is met before the column's cells, so that no obligation meets all rows of a table.
+    at = [*keys, "leaf_id", "grid", "row", "col", "header_ref", "ref", "value"]
+
+    def under(rows: DataFrame) -> DataFrame:
+        placed = rows.join(met.hint("merge"), [*keys, "leaf_id", "grid"]).where("_kc <> col").join(cells.hint("merge"), [*keys, "grid", "row", "col"])
+        return placed.where("ref > header_ref or grid not like 'plain%'").withColumnRenamed("cell", "value")
+
+    named = cells.withColumnRenamed("cell", "alternative").join(_role(terms, keys, "row").hint("merge"), [*keys, "alternative"]).select(*keys, "leaf_id", "grid", "row", F.col("col").alias("_kc"))
+    whole = under(named).select(*at)
     units = cells.select(*keys, F.struct("grid", "row", "col").alias("unit"), F.col("cell").alias("text"))
     part = term_hits(units, _role(terms, keys, "rowParts"), keys).select(*keys, "leaf_id", "group_no", "unit.grid", "unit.row", F.col("unit.col").alias("_kc"))
-    parts = _all_parts(value.join(part, place).where("_kc <> col"), terms, keys, value.columns)
+    parts = _all_parts(under(part), terms, keys, at)
     return whole.unionByName(parts).distinct().select(*keys, "leaf_id", F.array("header_ref", "ref").alias("refs"), "value")
 
 
@@ -119,7 +124,7 @@ def _clauses(docs: DataFrame, keys: list[str], whole: bool) -> DataFrame:
 
 def _said(units: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, leaf_id, ref, rest): what stands after a wanted column in clauses that name the row."""
-    hits = term_hits(_rows_named(units, terms, keys).withColumnRenamed("leaf_id", "_leaf"), _role(terms, keys, "column"), keys).where("_leaf = leaf_id")
+    hits = term_hits(_rows_named(units, terms, keys), _role(terms, keys, "column"), [*keys, "leaf_id"])
     rest = F.substr(F.col("text"), F.col("at") + F.length("alternative"))
     return hits.select(*keys, "leaf_id", "ref", rest.alias("rest")).where(F.col("rest").rlike(CONNECTOR + r"\S"))
 
@@ -141,24 +146,24 @@ def binding(docs: DataFrame, terms: DataFrame, keys: list[str], above: int = 6)
     A conflict in a table beats a match anywhere. A conflict in prose counts only where nothing matches. A value that is but a
     part of the expected one is partial, hence missing. A ``key: value`` line under lines that name the column can only match.
     """
-    wanted = terms.select(*keys, "leaf_id").distinct().join(_values(terms, keys), [*keys, "leaf_id"], "left")
-    found = grid_values(*marked_grids(docs, keys), terms, keys).unionByName(grid_values(*plain_grids(docs, keys), terms, keys)).join(wanted, [*keys, "leaf_id"])
+    wanted = terms.select(*keys, "leaf_id").distinct().join(_values(terms, keys).hint("merge"), [*keys, "leaf_id"], "left")
+    found = grid_values(*marked_grids(docs, keys), terms, keys).unionByName(grid_values(*plain_grids(docs, keys), terms, keys)).join(wanted.hint("merge"), [*keys, "leaf_id"])
     same, part = F.array_contains("values", F.col("value")), F.exists("values", lambda v: is_incomplete(F.col("value"), v))
     kind = F.when(same, "positive").when(part, "partial").when(F.col("value") != "", "conflict")
     found = found.select(*keys, "leaf_id", kind.alias("class"), "refs").where("class is not null")
-    said = _said(_clauses(docs, keys, False), terms, keys).join(wanted, [*keys, "leaf_id"])
+    said = _said(_clauses(docs, keys, False), terms, keys).join(wanted.hint("merge"), [*keys, "leaf_id"])
     exact = F.exists("values", lambda v: F.regexp_instr("rest", F.concat(F.lit(CONNECTOR), phrase_pattern(v))) > 0)
     any_ = F.exists("values", lambda v: F.regexp_instr("rest", phrase_pattern(v)) > 0)
     said = said.select(*keys, "leaf_id", F.when(exact, "positive").when(~any_, "prose").alias("class"), F.array("ref").alias("refs")).where("class is not null")
     listed = _rows_named(_keyed(docs, keys), terms, keys)
     plain = candidate_lines(docs, keys).select(*keys, F.col("ref").alias("_at"), normalize_ascii(F.col("raw")).alias("text"))
     headed = term_hits(plain, _role(terms, keys, "column"), keys).select(*keys, "leaf_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(above)), lambda i: F.col("_at") + i)).alias("ref")).distinct()
-    listed = listed.join(headed, [*keys, "leaf_id", "ref"]).join(wanted, [*keys, "leaf_id"]).where(F.exists("values", lambda v: F.regexp_instr("listed", phrase_pattern(v)) > 0))
+    listed = listed.join(headed.hint("merge"), [*keys, "leaf_id", "ref"]).join(wanted.hint("merge"), [*keys, "leaf_id"]).where(F.exists("values", lambda v: F.regexp_instr("listed", phrase_pattern(v)) > 0))
     everything = found.unionByName(said).unionByName(listed.select(*keys, "leaf_id", F.lit("positive").alias("class"), F.array("ref").alias("refs")))
     best = lambda *cs: F.min_by("refs", F.when(F.col("class").isin(*cs), evidence_rank(F.col("refs"))))
     got = everything.groupBy(*keys, "leaf_id").agg(best("positive").alias("_p"), best("conflict").alias("_c"), best("conflict", "prose").alias("_any"), best("partial").alias("_part"))
     conflict = F.when(F.col("_p").isNotNull(), F.col("_c")).otherwise(F.col("_any"))
-    rows = wanted.select(*keys, "leaf_id").join(got, [*keys, "leaf_id"], "left").withColumn("_x", conflict)
+    rows = wanted.select(*keys, "leaf_id").join(got.hint("merge"), [*keys, "leaf_id"], "left").withColumn("_x", conflict)
     status = F.when(F.col("_x").isNotNull(), "incorrect").when(F.col("_p").isNotNull(), "correct").otherwise("missing")
     return rows.select(*keys, "leaf_id", status.alias("status"), ((status == "missing") & F.col("_part").isNotNull()).alias("partial"), F.coalesce("_x", "_p", "_part").alias("refs"))
 
@@ -176,6 +181,6 @@ def near_binding(docs: DataFrame, terms: DataFrame, keys: list[str], above: int
     named = _rows_named(heads.select(*keys, F.col("ref").alias("_head"), "_until", normalize_ascii(F.col("_h")).alias("text")), terms, keys)
     named = named.select(*keys, "leaf_id", "_head", F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.lit(above)), lambda i: F.col("_head") + i), lambda r: r < F.col("_until"))).alias("ref"))
     keyed = term_hits(_keyed(docs, keys), _role(terms, keys, "column"), keys).select(*keys, "leaf_id", "ref").distinct()
-    under = named.join(keyed, [*keys, "leaf_id", "ref"]).select(*keys, "leaf_id", F.array("_head", "ref").alias("refs"))
+    under = named.join(keyed.hint("merge"), [*keys, "leaf_id", "ref"]).select(*keys, "leaf_id", F.array("_head", "ref").alias("refs"))
     every = table.unionByName(prose).unionByName(under)
     return every.groupBy(*keys, "leaf_id").agg(F.min_by("refs", evidence_rank(F.col("refs"))).alias("refs"))
