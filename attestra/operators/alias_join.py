@@ -77,7 +77,7 @@ def _keys(name: Column, left: bool) -> Column:
 def alias_pairs(left: DataFrame, right: DataFrame, on: list[str], name: str = "name") -> DataFrame:
     """(on, left, right): distinct names in normal form of ``left(on, name)`` and ``right(on, name)`` that may mean one member."""
     side = lambda df, as_: df.select(*on, F.col(name).alias(as_)).where(F.col(as_).isNotNull()).distinct().withColumn("_key", F.explode_outer(_keys(F.col(as_), as_ == "left")))
-    met = side(left, "left").join(side(right, "right"), [*on, "_key"]).select(*on, "left", "right").distinct()
+    met = side(left, "left").join(side(right, "right").hint("merge"), [*on, "_key"]).select(*on, "left", "right").distinct()
     return met.where(is_alias(F.col("left"), F.col("right")))
 
 
@@ -90,5 +90,5 @@ def known_in(names: DataFrame, members: DataFrame, on: list[str], name: str, mem
     own = names.select(*on, F.col(name).alias("name")).distinct()
     held = members.select(*on, F.col(member).alias("member"), where).distinct()
     alike = alias_pairs(own, held.withColumnRenamed("member", "name"), on).select(*on, F.col("left").alias("name"), F.col("right").alias("member"))
-    same = own.withColumn("_s", squeezed(F.col("name"))).join(held.select(*on, "member").distinct().withColumn("_s", squeezed(F.col("member"))), [*on, "_s"]).select(*on, "name", "member")
-    return alike.unionByName(same).distinct().join(held, [*on, "member"]).select(*on, F.col("name").alias(name), where).distinct()
+    same = own.withColumn("_s", squeezed(F.col("name"))).join(held.select(*on, "member").distinct().withColumn("_s", squeezed(F.col("member"))).hint("merge"), [*on, "_s"]).select(*on, "name", "member")
+    return alike.unionByName(same).distinct().join(held.hint("merge"), [*on, "member"]).select(*on, F.col("name").alias(name), where).distinct()

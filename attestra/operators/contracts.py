@@ -18,7 +18,7 @@ def id_violations(returned: DataFrame, expected: DataFrame, keys: list[str], col
     n = returned.groupBy(*by).agg(F.count("*").alias("n"))
     told = lambda df, rule: df.select(*keys, F.lit(rule).alias("rule"), F.col(column).cast("string").alias("id"))
     asked = expected.select(*by).distinct()
-    return told(n.where("n > 1"), "duplicate").unionByName(told(n.join(asked, by, "left_anti"), "unknown")).unionByName(told(asked.join(n, by, "left_anti"), "missing"))
+    return told(n.where("n > 1"), "duplicate").unionByName(told(n.join(asked.hint("merge"), by, "left_anti"), "unknown")).unionByName(told(asked.join(n.hint("merge"), by, "left_anti"), "missing"))
 
 
 def settled(returned: DataFrame, recovered: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def settled(returned: DataFrame, recovered: DataFrame, keys: list[str]) -> DataF
 
     ``refs`` are those left after blank lines and other pages; ``recovered(keys, leaf_id, refs)``: see ``evidence.recovered_citations``.
     """
-    rows = returned.join(recovered.select(*keys, "leaf_id", F.col("refs").alias("_more")), [*keys, "leaf_id"], "left")
+    rows = returned.join(recovered.select(*keys, "leaf_id", F.col("refs").alias("_more")).hint("merge"), [*keys, "leaf_id"], "left")
     none = F.array().cast("array<int>")
     refs = F.when((F.col("status") == "correct") & (F.size("refs") == 0), F.coalesce(F.col("_more").cast("array<int>"), none)).otherwise(F.col("refs"))
     rows = rows.withColumn("refs", F.array_sort(F.array_distinct(refs)))
@@ -57,15 +57,15 @@ def audited_claims(claims: DataFrame, lines: DataFrame, members: DataFrame, keys
     rows = claims.withColumns({"_k": n(F.col("key")), "_c": n(F.col("claim"))})
     known = members.select("case_id", "region_id", n(F.col("member")).alias("_m"))
     near = known_in(rows.select("case_id", "_k"), known, ["case_id"], "_k", "_m", "region_id").groupBy("case_id", "_k").agg(F.collect_set("region_id").alias("_in"))
-    rows = rows.join(near, ["case_id", "_k"], "left").withColumn("_in", F.coalesce("_in", F.array().cast(near.schema["_in"].dataType)))
-    cited = rows.select(*keys, "at", "_k", F.explode("refs").alias("ref")).join(lines.select(*keys, "ref", n(F.col("raw")).alias("_t")), [*keys, "ref"])
+    rows = rows.join(near.hint("merge"), ["case_id", "_k"], "left").withColumn("_in", F.coalesce("_in", F.array().cast(near.schema["_in"].dataType)))
+    cited = rows.select(*keys, "at", "_k", F.explode("refs").alias("ref")).join(lines.select(*keys, "ref", n(F.col("raw")).alias("_t")).hint("merge"), [*keys, "ref"])
     cited = cited.where(F.regexp_instr("_t", phrase_pattern(F.col("_k"))) > 0).groupBy(*keys, "at").agg(F.array_sort(F.collect_set(F.col("ref").cast("int"))).alias("_r"))
-    rows = rows.join(cited, [*keys, "at"], "left").withColumn("_r", F.coalesce("_r", F.array().cast("array<int>")))
+    rows = rows.join(cited.hint("merge"), [*keys, "at"], "left").withColumn("_r", F.coalesce("_r", F.array().cast("array<int>")))
     elsewhere = F.size(F.array_remove("_in", F.col("region_id"))) > 0
     grounded = (F.col("_k") != "") & ~F.array_contains("_in", F.col("region_id")) & (F.regexp_instr("_c", phrase_pattern(F.col("_k"))) > 0) & F.size("_r").between(1, most)
     rows = rows.withColumn("verdict", F.when(elsewhere, "declared in another region").when(~grounded, "not grounded").otherwise("accepted"))
     first = rows.where("verdict = 'accepted'").groupBy(*keys, "region_id", "_k").agg(F.min("at").alias("_first"))
-    rows = rows.join(first, [*keys, "region_id", "_k"], "left").withColumn("verdict", F.when((F.col("verdict") == "accepted") & (F.col("at") > F.col("_first")), "duplicate").otherwise(F.col("verdict")))
+    rows = rows.join(first.hint("merge"), [*keys, "region_id", "_k"], "left").withColumn("verdict", F.when((F.col("verdict") == "accepted") & (F.col("at") > F.col("_first")), "duplicate").otherwise(F.col("verdict")))
     return rows.select(*keys, "at", "region_id", "key", "verdict", F.when(F.col("verdict") == "accepted", F.col("_r")).alias("refs"))
 
 
@@ -75,7 +75,7 @@ def reused(wanted: DataFrame, cached: DataFrame, keys: list[str]) -> DataFrame:
     ``wanted(keys, inference_key, score_key)``, ``cached(keys, inference_key, score_key, telemetry_ok)``.
     """
     have = cached.select(*keys, F.col("inference_key").alias("_i"), F.col("score_key").alias("_s"), "telemetry_ok")
-    rows = wanted.join(have, keys, "left")
+    rows = wanted.join(have.hint("merge"), keys, "left")
     inference = F.coalesce((F.col("_i") == F.col("inference_key")) & F.col("telemetry_ok"), F.lit(False))
     return rows.select(*keys, inference.alias("inference"), (inference & F.coalesce(F.col("_s") == F.col("score_key"), F.lit(False))).alias("score"))
 
