@@ -44,12 +44,12 @@ def table_obligations(
     told = lambda rows, first, mark: F.concat(F.lit(first), F.array_join("values", mark), F.lit("."))
     schemas = _leaf(schema, own, F.lit("schema"), "structure", "ordered_tokens", told(schema, "The region keeps these fields in order: ", ", "))
     orders = _leaf(order, own, F.lit("row-order"), "ordered_record", "ordered_tokens", told(order, "The rows come in this order: ", " -> "))
-    bound = cells.where(F.col("col") != key_col).join(at_key, [*own, "row_no"])
+    bound = cells.where(F.col("col") != key_col).join(at_key.hint("merge"), [*own, "row_no"])
     if skipped is not None:
-        bound = bound.join(skipped.select(*own, "header").distinct(), [*own, "header"], "left_anti")
+        bound = bound.join(skipped.select(*own, "header").distinct().hint("merge"), [*own, "header"], "left_anti")
     harm = F.lit(1)
     if consequential is not None:
-        bound = bound.join(consequential.select(*own, "row_key", "header", F.lit(2).alias("_harm")).distinct(), [*own, "row_key", "header"], "left")
+        bound = bound.join(consequential.select(*own, "row_key", "header", F.lit(2).alias("_harm")).distinct().hint("merge"), [*own, "row_key", "header"], "left")
         harm = F.coalesce("_harm", F.lit(1))
     name = F.concat(slug(F.col("row_key")), F.lit("."), slug(F.col("header")))
     bound = bound.withColumn("leaf_id", F.concat(F.col("region_id").cast("string"), F.lit("."), name))
@@ -59,7 +59,7 @@ def table_obligations(
     tokens = [_tokens(schema, own, "schema", "header", column_aliases), _tokens(order, own, "row-order", "row_key", row_aliases)]
     roles = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(0).alias("group_no"), F.col(c).alias("raw")) for r, c in (("row", "row_key"), ("column", "header"), ("value", "cell"))))
     raw = [bound.select(*own, "leaf_id", F.inline(roles))]
-    more = lambda rows, by, role, no=F.lit(0): bound.select(*own, "row_key", "header", "leaf_id").join(rows, [*own, *by]).select(*own, "leaf_id", F.lit(role).alias("role"), no.alias("group_no"), F.col("alias").alias("raw"))
+    more = lambda rows, by, role, no=F.lit(0): bound.select(*own, "row_key", "header", "leaf_id").join(rows.hint("merge"), [*own, *by]).select(*own, "leaf_id", F.lit(role).alias("role"), no.alias("group_no"), F.col("alias").alias("raw"))
     if column_aliases is not None:
         raw.append(more(column_aliases, ["header"], "column"))
     if value_aliases is not None:
@@ -79,7 +79,7 @@ def _tokens(listed: DataFrame, own: list[str], name: str, by: str, aliases: Data
     """The groups of an ordered obligation: each value with its aliases."""
     rows = listed.select(*own, F.posexplode("values").alias("group_no", by))
     if aliases is not None:
-        rows = rows.join(aliases.groupBy(*own, by).agg(F.collect_set("alias").alias("_a")), [*own, by], "left")
+        rows = rows.join(aliases.groupBy(*own, by).agg(F.collect_set("alias").alias("_a")).hint("merge"), [*own, by], "left")
     alts = F.array(by) if aliases is None else F.concat(F.array(by), F.coalesce("_a", F.array().cast("array<string>")))
     leaf_id = F.concat(F.col("region_id").cast("string"), F.lit(f".{name}"))
     return rows.select(*own, leaf_id.alias("leaf_id"), F.lit("tokens").alias("role"), "group_no", F.explode(alts).alias("alternative"))
@@ -87,7 +87,7 @@ def _tokens(listed: DataFrame, own: list[str], name: str, by: str, aliases: Data
 
 def _refused_parts(parts: DataFrame, at_key: DataFrame, own: list[str]) -> DataFrame:
     plain = F.trim(F.regexp_replace(F.lower("alias"), r"(?U)\s+", " "))
-    unknown = parts.select(*own, "row_key").distinct().join(at_key, [*own, "row_key"], "left_anti")
+    unknown = parts.select(*own, "row_key").distinct().join(at_key.hint("merge"), [*own, "row_key"], "left_anti")
     groups = parts.groupBy(*own, "row_key", "part_no").agg(F.array_sort(F.collect_set(plain)).alias("alts"))
     whole = groups.groupBy(*own, "row_key").agg(F.array_sort(F.collect_list(F.struct("part_no", "alts"))).alias("x")).withColumn("x", F.transform("x", lambda x: x["alts"]))
     shared = whole.groupBy(*own, "x").agg(F.array_sort(F.collect_set("row_key")).alias("owners")).where("size(owners) > 1")

@@ -36,26 +36,26 @@ def invented_rows(docs: DataFrame, regions: DataFrame, keys: list[str]) -> DataF
     rest = F.sum(F.col("_says").cast("int")).over(Window.partitionBy(*grid, "row_no")) - F.col("_says").cast("int")
     cells = cells.withColumns({"claim": whole, "_rest": rest}).where("_rest > 0").withColumn("_n", n(F.col("cell")))
     heads = cells.groupBy(*grid).agg(F.collect_set(n(F.col("header"))).alias("_heads"))
-    heads = heads.join(scopes(docs, keys).withColumnRenamed("ref", "header_ref"), [*keys, "header_ref"]).withColumn("scope", n(F.col("scope")))
+    heads = heads.join(scopes(docs, keys).withColumnRenamed("ref", "header_ref").hint("merge"), [*keys, "header_ref"]).withColumn("scope", n(F.col("scope")))
     norm = lambda c: F.filter(F.transform(c, n), lambda x: x != "")
     r = regions.select(*keys, "region_id", *(norm(c).alias(f"_{c}") for c in ("labels", "members", "columns")))
-    owned = heads.join(r, keys).where(holds(F.col("scope"), F.col("_labels")) & F.arrays_overlap("_heads", "_columns")).select(*grid, "region_id", "_members")
+    owned = heads.join(r.hint("merge"), keys).where(holds(F.col("scope"), F.col("_labels")) & F.arrays_overlap("_heads", "_columns")).select(*grid, "region_id", "_members")
     own = [*grid, "region_id"]
-    met = cells.join(owned, grid)
+    met = cells.join(owned.hint("merge"), grid)
     # Each name of a region's tables meets the members that it may mean, and no others.
     named = met.select(*keys, "region_id", F.col("_n").alias("name")).distinct()
     member = r.select(*keys, "region_id", F.explode("_members").alias("name"))
     alike = alias_pairs(named, member, [*keys, "region_id"]).groupBy(*keys, "region_id", F.col("left").alias("_n")).agg(F.collect_set("right").alias("_alias"))
-    met = met.join(alike, [*keys, "region_id", "_n"], "left").withColumn("_alias", F.coalesce("_alias", F.array().cast("array<string>")))
+    met = met.join(alike.hint("merge"), [*keys, "region_id", "_n"], "left").withColumn("_alias", F.coalesce("_alias", F.array().cast("array<string>")))
     found = met.where("size(_alias) = 1").groupBy(*own, "col").agg(F.count_distinct(F.col("_alias")[0]).alias("_found"), F.first("_members").alias("_m"))
     found = found.where(F.col("_found") >= F.least(F.lit(2), F.size("_m")))
     w = Window.partitionBy(*own)
     column = found.withColumn("_top", F.max("_found").over(w)).where("_found = _top").withColumn("_tied", F.count("*").over(w)).where("_tied = 1").select(*own, "col")
     squeezed = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     known = F.array_contains(F.transform("_members", squeezed), squeezed(F.col("_n")))
-    novel = met.where("_n <> '' and size(_alias) = 0").where(~known).join(column, [*own, "col"])
+    novel = met.where("_n <> '' and size(_alias) = 0").where(~known).join(column.hint("merge"), [*own, "col"])
     single = novel.groupBy(*grid).agg(F.count_distinct("region_id").alias("_regions")).where("_regions = 1").select(*grid)
-    novel = novel.join(single, grid).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "region_id", "_n").orderBy("ref", "table_no")))
+    novel = novel.join(single.hint("merge"), grid).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "region_id", "_n").orderBy("ref", "table_no")))
     return novel.where("_rn = 1").select(*keys, "region_id", F.col("cell").alias("key"), "claim", "ref")
 
 
@@ -66,9 +66,9 @@ def applied_claims(reported: DataFrame, discovered: DataFrame, members: DataFram
     """
     n = lambda df, c: df.withColumn("_n", normalize_ascii(F.col(c)))
     own = n(discovered.select(*keys, "region_id", "key"), "key")
-    fresh = own.join(n(reported, "key").select(*keys, "region_id", "_n").distinct(), [*keys, "region_id", "_n"], "left_anti")
+    fresh = own.join(n(reported, "key").select(*keys, "region_id", "_n").distinct().hint("merge"), [*keys, "region_id", "_n"], "left_anti")
     held = members.select(*keys, F.col("region_id").alias("_other"), normalize_ascii(F.col("member")).alias("name"))
     alike = alias_pairs(fresh.select(*keys, F.col("_n").alias("name")), held, keys)
-    elsewhere = fresh.join(alike.withColumnRenamed("left", "_n"), [*keys, "_n"]).join(held.withColumnRenamed("name", "right"), [*keys, "right"]).where("_other <> region_id")
+    elsewhere = fresh.join(alike.withColumnRenamed("left", "_n").hint("merge"), [*keys, "_n"]).join(held.withColumnRenamed("name", "right").hint("merge"), [*keys, "right"]).where("_other <> region_id")
     elsewhere = elsewhere.select(*keys, "region_id", "_n").distinct()
-    return reported.select(*keys, "region_id", "key").unionByName(fresh.join(elsewhere, [*keys, "region_id", "_n"], "left_anti").select(*keys, "region_id", "key"))
+    return reported.select(*keys, "region_id", "key").unionByName(fresh.join(elsewhere.hint("merge"), [*keys, "region_id", "_n"], "left_anti").select(*keys, "region_id", "key"))

@@ -15,14 +15,14 @@ def unequal_sets(left: DataFrame, right: DataFrame, keys: list[str], column: str
     """Keys whose distinct members differ between two tables, with how many each side has alone."""
     a = left.select(*keys, column).distinct().withColumn("l", F.lit(1))
     b = right.select(*keys, column).distinct().withColumn("r", F.lit(1))
-    both = a.join(b, [*keys, column], "full").groupBy(*keys).agg(F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"))
+    both = a.join(b.hint("merge"), [*keys, column], "full").groupBy(*keys).agg(F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"))
     return both.where("only_left > 0 or only_right > 0")
 
 
 def missing_numbers(rows: DataFrame, keys: list[str], number: str, upto: str) -> DataFrame:
     """(keys, number): numbers from 1 to ``upto`` that a key has no row for."""
     want = rows.groupBy(*keys).agg(F.max(upto).alias("_n")).select(*keys, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias(number))
-    return want.join(rows.select(*keys, F.col(number).cast("int").alias(number)).distinct(), [*keys, number], "left_anti")
+    return want.join(rows.select(*keys, F.col(number).cast("int").alias(number)).distinct().hint("merge"), [*keys, number], "left_anti")
 
 
 def decreasing(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -42,7 +42,7 @@ def page_cover(ranges: DataFrame, cases: DataFrame, keys: list[str]) -> DataFram
     Problems are ``missing``, ``given twice`` and ``outside``, the last for pages before 1 or after the case's last one, and for a case that
     is not there. A sweep over the ends of ranges: pages are not counted out one by one. A range without a page is left out.
     """
-    real = ranges.where(F.col("first") <= F.col("last")).join(cases.select(*keys, "n_pages"), keys, "left").withColumn("_n", F.coalesce("n_pages", F.lit(0)))
+    real = ranges.where(F.col("first") <= F.col("last")).join(cases.select(*keys, "n_pages").hint("merge"), keys, "left").withColumn("_n", F.coalesce("n_pages", F.lit(0)))
     early, late = F.col("first") < 1, F.col("last") > F.col("_n")
     part = lambda when, a, b: F.when(when, F.struct(a.cast("long").alias("first"), b.cast("long").alias("last")))
     before, after = part(early, F.col("first"), F.least("last", F.lit(0))), part(late, F.greatest("first", F.greatest(F.lit(1), F.col("_n") + 1)), F.col("last"))

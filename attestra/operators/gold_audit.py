@@ -27,19 +27,19 @@ def closed_world_violations(regions: DataFrame, leaves: DataFrame, sections: Dat
     closed = regions.where("members is not null")
     told = lambda df, rule, subject: df.select(*own, F.lit(rule).alias("rule"), subject.cast("string").alias("subject"))
     present = sections.select(*keys, "section").distinct()
-    absent = told(regions.join(present, [*keys, "section"], "left_anti"), "no gold section", F.col("section"))
-    found = closed.join(present, [*keys, "section"], "left_semi")
+    absent = told(regions.join(present.hint("merge"), [*keys, "section"], "left_anti"), "no gold section", F.col("section"))
+    found = closed.join(present.hint("merge"), [*keys, "section"], "left_semi")
     each = found.select(*own, "section", F.explode("members").alias("member")).withColumn("_m", n(F.col("member")))
     ids = leaves.select(*own, F.explode(F.array("leaf_id", "claim_id")).alias("_id")).select(*own, n(F.col("_id")).alias("_m")).distinct()
-    leaked = told(each.join(ids, [*own, "_m"], "left_semi"), "member is an id", F.col("member"))
+    leaked = told(each.join(ids.hint("merge"), [*own, "_m"], "left_semi"), "member is an id", F.col("member"))
     # A section's text meets its region's members in one row, not in one for each member.
     asked = each.groupBy(*own, "section").agg(F.collect_list(F.struct("member", "_m")).alias("_asked"))
-    held = asked.join(sections.select(*keys, "section", n(F.col("body")).alias("_gold")), [*keys, "section"])
+    held = asked.join(sections.select(*keys, "section", n(F.col("body")).alias("_gold")).hint("merge"), [*keys, "section"])
     missing = F.filter("_asked", lambda x: ~has_whole_phrase(F.col("_gold"), x["_m"]))
     ungrounded = told(held.select(*own, F.explode(missing).alias("x")), "member is absent from gold", F.col("x.member"))
     tables = found.where("scope = 'table_rows'")
-    declared = each.join(tables.select(*own), own).groupBy(*own, "section").agg(F.array_sort(F.collect_set("_m")).alias("members"))
+    declared = each.join(tables.select(*own).hint("merge"), own).groupBy(*own, "section").agg(F.array_sort(F.collect_set("_m")).alias("members"))
     sets = column_member_sets(sections, keys).groupBy(*keys, "section", "members").agg(F.count("*").alias("_n"))
-    matched = tables.select(*own).join(declared, own, "left").join(sets, [*keys, "section", "members"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    matched = tables.select(*own).join(declared.hint("merge"), own, "left").join(sets.hint("merge"), [*keys, "section", "members"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     unmatched = told(matched.where("_n <> 1"), "members are not one column", F.col("_n"))
     return absent.unionByName(leaked).unionByName(ungrounded).unionByName(unmatched)

@@ -56,7 +56,7 @@ def page_map(lines: DataFrame, keys: list[str], pages: str = "n_pages") -> DataF
     rows = lines.withColumns({"_n": F.when(good, n), "_m": F.when(good, m), "_rule": F.col("raw").rlike(r"^\s*(?:-{3,}|\*{3,})\s*$").cast("int")})
     totals = rows.where("_n is not null").groupBy(*keys, "_m").agg(F.count_distinct("_n").alias("_d"), F.count("*").alias("_c"), F.min("ref").alias("_f")).where("_d >= 2")
     trusted = totals.groupBy(*keys).agg(F.max_by("_m", F.struct("_d", "_c", -F.col("_f"))).alias("_total"))
-    rows = rows.join(trusted, keys, "left").withColumn("_total", F.coalesce("_total", F.col(pages)))
+    rows = rows.join(trusted.hint("merge"), keys, "left").withColumn("_total", F.coalesce("_total", F.col(pages)))
     named = F.regexp_extract("raw", r"(?i)^\s*(?:<!--\s*)?(?:#{1,6}\s*)?page\s*:?\s*([0-9]{1,9})\b", 1).try_cast("int")
     rows = rows.withColumn("_count", F.when(F.col("_m") == F.col("_total"), F.col("_n"))).withColumn("_mark", F.coalesce(named, "_count"))
     rows = rows.withColumn("_mark", F.when((F.col("_mark") >= 1) & F.coalesce(F.col("_mark") <= F.col("_total"), F.lit(True)), F.col("_mark")))
@@ -113,5 +113,5 @@ def bridges(lines: DataFrame, keys: list[str], within: int = 3, shared: int = 2,
     size = within + 1
     banded = words.withColumn("band", F.floor(F.col("ref") / size))
     offered = words.select(*keys, F.col("ref").alias("other"), "word", F.explode(F.array(F.floor(F.col("ref") / size), F.floor(F.col("ref") / size) - 1)).alias("band"))
-    pairs = banded.join(offered, [*keys, "word", "band"]).where((F.col("other") > F.col("ref")) & (F.col("other") - F.col("ref") <= within))
+    pairs = banded.join(offered.hint("merge"), [*keys, "word", "band"]).where((F.col("other") > F.col("ref")) & (F.col("other") - F.col("ref") <= within))
     return pairs.groupBy(*keys, "ref", "other").agg(F.count("*").alias("n")).where(F.col("n") >= shared)

@@ -19,22 +19,22 @@ def member_pairs(left: DataFrame, right: DataFrame, column: str, on: list[str])
     band = F.floor(F.log(F.greatest(F.col("_len"), F.lit(1)).cast("double")) / F.log(F.lit(1 / 0.86)))
     a = prep(left, "left").withColumn("_band", band)
     b = prep(right, "right").withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
-    return a.join(b.drop("_len"), [*on, "_digits", "_band"]).where(same_member(F.col("left"), F.col("right"))).select(*on, "left", "right").distinct()
+    return a.join(b.drop("_len").hint("merge"), [*on, "_digits", "_band"]).where(same_member(F.col("left"), F.col("right"))).select(*on, "left", "right").distinct()
 
 
 def invented(rows: DataFrame, known: DataFrame, scope: list[str], column: str = "member") -> DataFrame:
     """Members in ``rows(scope, column)`` that no known member equals in normal form, nor is alike to."""
     norm = lambda df: df.withColumn("_m", normalize_ascii(F.col(column)))
-    novel = norm(rows).join(norm(known).select(*scope, "_m").distinct(), [*scope, "_m"], "left_anti")
+    novel = norm(rows).join(norm(known).select(*scope, "_m").distinct().hint("merge"), [*scope, "_m"], "left_anti")
     alike = member_pairs(novel.select(*scope, "_m"), norm(known).select(*scope, "_m"), "_m", scope).select(*scope, F.col("left").alias("_m")).distinct()
-    return novel.join(alike, [*scope, "_m"], "left_anti").drop("_m")
+    return novel.join(alike.hint("merge"), [*scope, "_m"], "left_anti").drop("_m")
 
 
 def key_column(cells: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, table_no, col): the one column of a table that holds most of the known members, two at least (all if fewer)."""
     n = known.groupBy(*keys).agg(F.least(F.lit(2), F.count_distinct("member")).alias("need"))
-    hits = cells.withColumn("_m", normalize_ascii(F.col("cell"))).join(known.select(*keys, normalize_ascii(F.col("member")).alias("_m")).distinct(), [*keys, "_m"])
-    found = hits.groupBy(*keys, "table_no", "col").agg(F.count_distinct("_m").alias("found")).join(n, keys).where("found >= need")
+    hits = cells.withColumn("_m", normalize_ascii(F.col("cell"))).join(known.select(*keys, normalize_ascii(F.col("member")).alias("_m")).distinct().hint("merge"), [*keys, "_m"])
+    found = hits.groupBy(*keys, "table_no", "col").agg(F.count_distinct("_m").alias("found")).join(n.hint("merge"), keys).where("found >= need")
     w = Window.partitionBy(*keys, "table_no")
     best = found.withColumn("top", F.max("found").over(w)).where("found = top").withColumn("tied", F.count("*").over(w)).where("tied = 1")
     return best.select(*keys, "table_no", "col")
@@ -43,7 +43,7 @@ def key_column(cells: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame
 def collisions(rows: DataFrame, id_col: str, by: list[str]) -> DataFrame:
     """(a, b): pairs of obligations with one locator, ``a < b``; the locator's columns are the join's keys."""
     a, b = rows.select(F.col(id_col).alias("a"), *by), rows.select(F.col(id_col).alias("b"), *by)
-    return a.join(b, by).where("a < b").select("a", "b")
+    return a.join(b.hint("merge"), by).where("a < b").select("a", "b")
 
 
 def only_in_one(pairs: DataFrame, key: list[str], value: str) -> DataFrame:

@@ -56,7 +56,7 @@ def record_sequences(docs: DataFrame, keys: list[str], text: str = "text") -> Da
     joined = rows.groupBy(*keys, "table_no", "row_no").agg(F.min("ref").alias("ref"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda c: c["value"]), " ").alias("value"))
     whole = _sequences(joined.withColumn("pos", F.col("row_no")), keys, _named("rows", F.col("table_no")))
     tables = columns.unionByName(flat).unionByName(whole).withColumn("_no", F.split("seq", ":")[1].cast("int"))
-    tables = tables.join(heads.withColumnRenamed("table_no", "_no"), [*keys, "_no"]).select(*keys, "seq", F.array_sort(F.array_distinct(F.concat(F.array("header_ref"), "refs"))).alias("refs"), "values")
+    tables = tables.join(heads.withColumnRenamed("table_no", "_no").hint("merge"), [*keys, "_no"]).select(*keys, "seq", F.array_sort(F.array_distinct(F.concat(F.array("header_ref"), "refs"))).alias("refs"), "values")
     mark = r"^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
     titled = lines.withColumn("level", F.length(F.regexp_extract("raw", mark, 1))).where("level > 0")
     title = F.trim(F.regexp_replace(F.regexp_extract("raw", mark, 2), r"^\d+[.)]\s+", ""))
@@ -116,7 +116,7 @@ _can_assign = _assignable.asNondeterministic()
 def _cued(docs: DataFrame, groups: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, leaf_id, refs, in_order) of lines that tell a sequence and hold all groups: whether their first places rise."""
     lines = candidate_lines(docs, keys, text).select(*keys, "ref", normalize_ascii(F.col("raw")).alias("t")).where(F.col("t").rlike(SEQUENCE_CUE))
-    met = lines.withColumn("_w", F.explode(F.array_distinct(words_of(F.col("t"))))).join(groups, [*keys, "_w"]).drop("_w").distinct()
+    met = lines.withColumn("_w", F.explode(F.array_distinct(words_of(F.col("t"))))).join(groups.hint("merge"), [*keys, "_w"]).drop("_w").distinct()
     first = lambda alts: F.array_min(F.filter(F.transform(alts, lambda a: F.regexp_instr("t", phrase_pattern(a))), lambda p: p > 0))
     met = met.withColumn("_at", F.transform("groups", first)).where(F.forall("_at", lambda p: p.isNotNull()))
     rising = F.forall(F.sequence(F.lit(0), F.size("_at") - 1), lambda i: (i == 0) | (F.get("_at", i) > F.get("_at", i - 1)))
@@ -135,7 +135,7 @@ def ordered_gate(docs: DataFrame, terms: DataFrame, keys: list[str], records: bo
     keyed = wide.withColumn("_w", F.explode(F.array_distinct(F.flatten(F.transform(F.col("groups")[0], header_words)))))
     seqs = (record_sequences if records else field_sequences)(docs, keys, text)
     seqs = seqs.withColumn("values", F.transform("values", normalize_ascii)).where("size(values) > 0")
-    met = seqs.withColumn("_w", F.explode(F.array_distinct(F.flatten(F.transform("values", header_words))))).join(keyed, [*keys, "_w"]).drop("_w").distinct()
+    met = seqs.withColumn("_w", F.explode(F.array_distinct(F.flatten(F.transform("values", header_words))))).join(keyed.hint("merge"), [*keys, "_w"]).drop("_w").distinct()
     inside = lambda v, a: (F.size(words_of(a)) >= 2) & is_subsequence(words_of(a), words_of(v))
     fits = lambda v, alts: holds(v, alts) | F.exists(alts, lambda a: inside(v, a) if records else header_matches(v, a))
     chances = F.transform("groups", lambda alts: F.array_compact(F.transform("values", lambda v, i: F.when((v != "") & fits(v, alts), i))))
@@ -146,5 +146,5 @@ def ordered_gate(docs: DataFrame, terms: DataFrame, keys: list[str], records: bo
         met = met.unionByName(_cued(docs, keyed, keys, text))
     best = lambda ok: F.min_by("refs", F.when(F.col("in_order") == ok, evidence_rank(F.col("refs"))))
     got = met.groupBy(*keys, "leaf_id").agg(best(True).alias("_y"), best(False).alias("_n"))
-    rows = wide.select(*keys, "leaf_id").join(got, [*keys, "leaf_id"], "left")
+    rows = wide.select(*keys, "leaf_id").join(got.hint("merge"), [*keys, "leaf_id"], "left")
     return rows.select(*keys, "leaf_id", F.col("_y").isNotNull().alias("satisfied"), (F.col("_y").isNull() & F.col("_n").isNotNull()).alias("contradiction"), F.coalesce("_y", "_n").alias("refs"))

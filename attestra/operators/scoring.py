@@ -25,7 +25,7 @@ def region_scores(leaves: DataFrame, claims: DataFrame | None, keys: list[str])
     A claim's harm is 2 where a region has a leaf of harm 2, else 1. The ratio is signed and not clamped; it is 0 where nothing can be earned.
     """
     rows = leaves.groupBy(*keys).agg(F.sum("harm").alias("possible"), F.sum(credit(F.col("status")) * F.col("harm")).alias("earned"), F.max("harm").alias("_harm"))
-    rows = rows.join(claims, keys, "left") if claims is not None else rows.withColumn("n_claims", F.lit(0))
+    rows = rows.join(claims.hint("merge"), keys, "left") if claims is not None else rows.withColumn("n_claims", F.lit(0))
     rows = rows.withColumn("penalty", -UNSUPPORTED * F.coalesce("n_claims", F.lit(0)) * F.col("_harm"))
     return rows.select(*keys, F.col("possible").cast("long").alias("possible"), "earned", "penalty", F.coalesce(F.try_divide(F.col("earned") - F.col("penalty"), F.col("possible")), F.lit(0.0)).alias("ratio"))
 
@@ -120,10 +120,10 @@ def semantic_batches(leaves: DataFrame, keys: list[str], settled: DataFrame | No
     cut = rows.groupBy(*keys, "batch", "region_no", "region_id").agg(F.min("leaf_no").cast("long").alias("first"), F.count("*").alias("n"))
     pieces = cut.groupBy(*keys, "batch").agg(F.array_sort(F.collect_list(F.struct("region_no", "region_id", "first", "n"))).alias("x"))
     pieces = pieces.select(*keys, "batch", F.transform("x", lambda x: F.struct(x["region_id"].alias("region_id"), x["first"].alias("first"), x["n"].alias("n"))).alias("regions"))
-    open_ = rows if settled is None else rows.join(settled.select(*keys, "leaf_id").distinct(), [*keys, "leaf_id"], "left_anti")
+    open_ = rows if settled is None else rows.join(settled.select(*keys, "leaf_id").distinct().hint("merge"), [*keys, "leaf_id"], "left_anti")
     nth = F.row_number().over(Window.partitionBy(*keys, "batch").orderBy("_at")) - 1
     asked = open_.withColumn("request", F.floor(nth / request).cast("long")).groupBy(*keys, "batch", "request").agg(F.array_sort(F.collect_list(F.struct("_at", "leaf_id"))).alias("x"))
-    return asked.select(*keys, "batch", "request", F.transform("x", lambda x: x["leaf_id"]).alias("leaf_ids")).join(pieces, [*keys, "batch"])
+    return asked.select(*keys, "batch", "request", F.transform("x", lambda x: x["leaf_id"]).alias("leaf_ids")).join(pieces.hint("merge"), [*keys, "batch"])
 
 
 def audit_batches(regions: DataFrame, keys: list[str], most_regions: int = 24, most_members: int = 256) -> DataFrame:
@@ -155,8 +155,8 @@ def precredits(leaves: DataFrame, gates: DataFrame, collisions: DataFrame, keys:
     """
     kind = F.col("kind").isin(*CREDITED_KINDS) | ((F.col("kind") == "ordered_tokens") & (F.col("claim") == "structure"))
     alike = collisions.select(*keys, F.explode(F.array("a", "b")).alias("leaf_id")).distinct()
-    sure = leaves.where(kind & F.col("unique_evidence")).join(alike, [*keys, "leaf_id"], "left_anti")
-    return sure.join(gates.where("status = 'correct' and on_page and size(refs) > 0"), [*keys, "leaf_id"]).select(*keys, "leaf_id", "refs")
+    sure = leaves.where(kind & F.col("unique_evidence")).join(alike.hint("merge"), [*keys, "leaf_id"], "left_anti")
+    return sure.join(gates.where("status = 'correct' and on_page and size(refs) > 0").hint("merge"), [*keys, "leaf_id"]).select(*keys, "leaf_id", "refs")
 
 
 def merged_status(leaves: DataFrame, judged: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
@@ -168,7 +168,7 @@ def merged_status(leaves: DataFrame, judged: DataFrame, evidence: DataFrame, key
     result once more changes nothing.
     """
     first = judged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))).where("_rn = 1").select(*keys, F.col("status").alias("_s"), "n_refs")
-    rows = leaves.join(first, keys, "left").join(evidence, keys, "left")
+    rows = leaves.join(first.hint("merge"), keys, "left").join(evidence.hint("merge"), keys, "left")
     s, kind = F.coalesce("_s", F.lit("missing")), F.col("kind")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     guarded = (

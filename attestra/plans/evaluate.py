@@ -24,7 +24,7 @@ GRID_ROLES, EDGE_ROLES = ("row", "rowParts", "column", "value"), ("source", "des
 def paged_lines(candidates: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ref, raw, page): lines with their pages; a case has as many pages as its regions name."""
     n = regions.groupBy("case_id").agg(F.max(F.array_max("pages")).alias("n_pages"))
-    rows = lines.candidate_lines(candidates.join(n, "case_id", "left").select(*keys, "n_pages", "text"), [*keys, "n_pages"])
+    rows = lines.candidate_lines(candidates.join(n.hint("merge"), "case_id", "left").select(*keys, "n_pages", "text"), [*keys, "n_pages"])
     return lines.page_map(rows, [*keys, "n_pages"]).drop("n_pages")
 
 
@@ -34,11 +34,11 @@ def scoped(paged: DataFrame, regions: DataFrame, keys: list[str]) -> tuple[DataF
     Regions of the same pages share a text, so a candidate is laid out once for each set of pages, not for each region.
     """
     mapped = paged.groupBy(*keys).agg(F.bool_or(F.col("page").isNotNull()).alias("_mapped"))
-    own = mapped.join(regions.select("case_id", "region_id", F.array_sort(F.array_distinct("pages")).alias("pages")), "case_id")
+    own = mapped.join(regions.select("case_id", "region_id", F.array_sort(F.array_distinct("pages")).alias("pages")).hint("merge"), "case_id")
     own = own.withColumn("scope", F.when(F.col("_mapped"), F.array_join(F.transform("pages", lambda p: p.cast("string")), ",")).otherwise("all"))
     scopes = own.select(*keys, "scope", "_mapped", "pages").dropDuplicates([*keys, "scope"])
     seen = ~F.col("_mapped") | F.array_contains("pages", F.col("page"))
-    shown = paged.join(scopes, keys).select(*keys, "scope", F.struct("ref", F.when(F.coalesce(seen, F.lit(False)), F.col("raw")).otherwise("").alias("raw")).alias("x"))
+    shown = paged.join(scopes.hint("merge"), keys).select(*keys, "scope", F.struct("ref", F.when(F.coalesce(seen, F.lit(False)), F.col("raw")).otherwise("").alias("raw")).alias("x"))
     texts = shown.groupBy(*keys, "scope").agg(F.array_sort(F.collect_list("x")).alias("x"))
     return texts.select(*keys, "scope", F.array_join(F.transform("x", lambda x: x["raw"]), "\n").alias("text")), own.select(*keys, "region_id", "scope", "pages")
 
@@ -53,13 +53,13 @@ def resolved(texts: DataFrame, leaves: DataFrame, terms: DataFrame, keys: list[s
     ``texts(keys, text)``, ``leaves`` and ``terms`` with ``keys``; obligations of quality alone have no gate.
     """
     of = lambda where: leaves.where(where).select(*keys, "leaf_id")
-    said = lambda some, *roles: terms.where(F.col("role").isin(*roles)).join(some, [*keys, "leaf_id"], "left_semi")
+    said = lambda some, *roles: terms.where(F.col("role").isin(*roles)).join(some.hint("merge"), [*keys, "leaf_id"], "left_semi")
     plain = lambda some, *roles: said(some, *roles).select(*keys, "leaf_id", "role", "group_no", "alternative")
     right, wrong = F.col("status") == "correct", F.col("status") == "incorrect"
     table = bindings.binding(texts, plain(of("kind = 'table_binding'"), *GRID_ROLES), keys)
     edge = edges.edge(texts, plain(of("kind = 'directed_edge'"), *EDGE_ROLES), keys)
     labels = terms.where("role = 'label'").groupBy(*keys, "leaf_id").agg(F.collect_set("alternative").alias("label"))
-    form = gates.form_state(lines.candidate_lines(texts, keys), leaves.where("kind = 'form_state'").select(*keys, "leaf_id", "state").join(labels, [*keys, "leaf_id"]), keys, docs=texts)
+    form = gates.form_state(lines.candidate_lines(texts, keys), leaves.where("kind = 'form_state'").select(*keys, "leaf_id", "state").join(labels.hint("merge"), [*keys, "leaf_id"]), keys, docs=texts)
     lexicals = leaves.where("kind = 'lexical'")
     near = lexical.lexical_resolution(texts, said(of("kind = 'lexical' and not strict"), "allOf"), lexicals, keys)
     strict = lexical.strict_lexical(texts, said(of("kind = 'lexical' and strict"), "allOf"), lexicals, keys)
@@ -92,7 +92,7 @@ def locator_overlaps(leaves: DataFrame, terms: DataFrame) -> DataFrame:
     kinds = F.col("kind").isin(*LOCATORS)
     norm = terms.withColumn("role", F.when(F.col("role") == "rowParts", "row").otherwise(F.col("role")))
     norm = norm.withColumn("group_no", F.when(F.col("role") == "row", F.col("group_no")).otherwise(0))
-    sided = leaves.where(kinds).select("case_id", "leaf_id", "kind").join(evidence.normal_terms(norm), ["case_id", "leaf_id"])
+    sided = leaves.where(kinds).select("case_id", "leaf_id", "kind").join(evidence.normal_terms(norm).hint("merge"), ["case_id", "leaf_id"])
     side = F.lit(None).cast("int")
     for kind, (first, second) in LOCATORS.items():
         here = F.col("kind") == kind
@@ -109,26 +109,26 @@ def locator_overlaps(leaves: DataFrame, terms: DataFrame) -> DataFrame:
     alike = lambda c: alias_join.alias_pairs(placed.withColumnRenamed(c, "name"), placed.withColumnRenamed(c, "name"), by)
     other = placed.select(*by, F.col("one").alias("other"), F.col("px").alias("qx"), F.col("py").alias("qy"))
     # Names of both sides go from one to the other before obligations meet, so a column that all rows share makes no pairs by itself.
-    spread = placed.join(alike("px").withColumnRenamed("left", "px").withColumnRenamed("right", "qx"), [*by, "px"]).join(alike("py").withColumnRenamed("left", "py").withColumnRenamed("right", "qy"), [*by, "py"])
-    met = spread.join(other, [*by, "qx", "qy"]).where("one < other").select(*by, "one", "other").distinct()
+    spread = placed.join(alike("px").withColumnRenamed("left", "px").withColumnRenamed("right", "qx").hint("merge"), [*by, "px"]).join(alike("py").withColumnRenamed("left", "py").withColumnRenamed("right", "qy").hint("merge"), [*by, "py"])
+    met = spread.join(other.hint("merge"), [*by, "qx", "qy"]).where("one < other").select(*by, "one", "other").distinct()
     full = lambda a: classes.select(*by, F.col("one").alias(a), F.col("x").alias(f"{a}_x"), F.col("y").alias(f"{a}_y"))
-    met = met.join(full("one"), [*by, "one"]).join(full("other"), [*by, "other"])
+    met = met.join(full("one").hint("merge"), [*by, "one"]).join(full("other").hint("merge"), [*by, "other"])
     meet = lambda x, y: F.exists(x, lambda p: F.exists(y, lambda q: alias_join.is_alias(p, q)))
     each = lambda x, y: F.forall(x, lambda g: F.exists(y, lambda h: meet(g, h)))
     same = lambda c: each(F.col(f"one_{c}"), F.col(f"other_{c}")) & each(F.col(f"other_{c}"), F.col(f"one_{c}"))
     pairs = met.where(same("x") & same("y")).select("case_id", "kind", F.explode(F.array("one", "other")).alias("one"))
     marked = pairs.unionByName(classes.where("n > 1").select("case_id", "kind", "one")).distinct()
-    found = marked.join(classes.select("case_id", "kind", "one", "x", "y"), [*by, "one"])
-    return locators.join(found, ["case_id", "kind", "x", "y"], "left_semi").select("case_id", "leaf_id").distinct()
+    found = marked.join(classes.select("case_id", "kind", "one", "x", "y").hint("merge"), [*by, "one"])
+    return locators.join(found.hint("merge"), ["case_id", "kind", "x", "y"], "left_semi").select("case_id", "leaf_id").distinct()
 
 
 def cited_lines(judged: DataFrame, paged: DataFrame, own: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, leaf_id, status, refs): the first judgement of each obligation, with the cited lines that exist, say something and are on its pages."""
-    first = judged.join(leaves.select(*keys, "leaf_id", "region_id"), [*keys, "leaf_id"]).groupBy(*keys, "leaf_id", "region_id").agg(F.min_by(F.struct("status", "refs"), "at").alias("j"))
-    good = first.select(*keys, "leaf_id", "region_id", F.explode(F.array_distinct("j.refs")).alias("ref")).join(own.select(*keys, "region_id", "scope", "pages"), [*keys, "region_id"])
-    good = good.join(paged.where(F.trim("raw") != ""), [*keys, "ref"]).where((F.col("scope") == "all") | F.array_contains("pages", F.col("page")))
+    first = judged.join(leaves.select(*keys, "leaf_id", "region_id").hint("merge"), [*keys, "leaf_id"]).groupBy(*keys, "leaf_id", "region_id").agg(F.min_by(F.struct("status", "refs"), "at").alias("j"))
+    good = first.select(*keys, "leaf_id", "region_id", F.explode(F.array_distinct("j.refs")).alias("ref")).join(own.select(*keys, "region_id", "scope", "pages").hint("merge"), [*keys, "region_id"])
+    good = good.join(paged.where(F.trim("raw") != "").hint("merge"), [*keys, "ref"]).where((F.col("scope") == "all") | F.array_contains("pages", F.col("page")))
     good = good.groupBy(*keys, "leaf_id").agg(F.array_sort(F.collect_set(F.col("ref").cast("int"))).alias("refs"))
-    return first.select(*keys, "leaf_id", F.col("j.status").alias("status")).join(good, [*keys, "leaf_id"], "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<int>")))
+    return first.select(*keys, "leaf_id", F.col("j.status").alias("status")).join(good.hint("merge"), [*keys, "leaf_id"], "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<int>")))
 
 
 def guarded(rows: DataFrame) -> DataFrame:
@@ -169,26 +169,26 @@ def leaf_statuses(candidates: DataFrame, regions: DataFrame, leaves: DataFrame,
     paged = written(paged_lines(candidates, regions, keys), "evaluate-lines")
     texts, own = scoped(paged, regions, keys)
     texts, k = written(texts, "evaluate-texts"), [*keys, "scope"]
-    owed = written(own.join(leaves, ["case_id", "region_id"]), "evaluate-leaves")
-    said = written(owed.select(*k, "leaf_id").join(terms, ["case_id", "leaf_id"]), "evaluate-terms")
+    owed = written(own.join(leaves.hint("merge"), ["case_id", "region_id"]), "evaluate-leaves")
+    said = written(owed.select(*k, "leaf_id").join(terms.hint("merge"), ["case_id", "leaf_id"]), "evaluate-terms")
     gate = resolved(texts, owed, said, k).withColumnRenamed("refs", "found_refs")
     roles = lambda *r: said.where(F.col("role").isin(*r)).select(*k, "leaf_id", "role", "group_no", "alternative")
     near = bindings.near_binding(texts, roles(*GRID_ROLES), k).select(*k, "leaf_id").unionByName(edges.edge(texts, roles(*EDGE_ROLES), k, semantic=True).where("status = 'correct'").select(*k, "leaf_id"))
     near = written(near.distinct(), "evaluate-near")
     need = said.where("role = 'requiredBindings'")
-    bound = need.select(*k, "leaf_id").distinct().join(evidence.required_bindings(evidence.units(texts, k), need, k).withColumnRenamed("refs", "bound_refs"), [*k, "leaf_id"], "left")
+    bound = need.select(*k, "leaf_id").distinct().join(evidence.required_bindings(evidence.units(texts, k), need, k).withColumnRenamed("refs", "bound_refs").hint("merge"), [*k, "leaf_id"], "left")
     bound = written(bound.select(*k, "leaf_id", F.col("bound_refs").isNotNull().alias("bound"), F.col("bound_refs").cast("array<int>").alias("bound_refs")), "evaluate-bound")
     cited = written(cited_lines(judged, paged, own, owed, keys), "evaluate-cited")
     seen = owed.where("claim = 'visual_description' and kind = 'qualitative'").select(*k, "leaf_id", "expectation")
-    looked = seen.join(cited, [*keys, "leaf_id"]).select(*k, "leaf_id", F.explode("refs").alias("ref"))
+    looked = seen.join(cited.hint("merge"), [*keys, "leaf_id"]).select(*k, "leaf_id", F.explode("refs").alias("ref"))
     anchored = evidence.visual_citations(lines.candidate_lines(texts, k), looked, said.where("role = 'requiredTerms'"), seen, k, bindings=said.where("role = 'localBindings'"))
     anchored = written(anchored, "evaluate-anchored")
-    rows = owed.join(cited, [*keys, "leaf_id"], "left").join(gate, [*k, "leaf_id"], "left").join(near.withColumn("near", F.lit(True)), [*k, "leaf_id"], "left")
-    rows = guarded(rows.join(bound, [*k, "leaf_id"], "left").join(anchored, [*k, "leaf_id"], "left"))
+    rows = owed.join(cited.hint("merge"), [*keys, "leaf_id"], "left").join(gate.hint("merge"), [*k, "leaf_id"], "left").join(near.withColumn("near", F.lit(True)).hint("merge"), [*k, "leaf_id"], "left")
+    rows = guarded(rows.join(bound.hint("merge"), [*k, "leaf_id"], "left").join(anchored.hint("merge"), [*k, "leaf_id"], "left"))
     eligible = F.col("kind").isin(*scoring.CREDITED_KINDS) | ((F.col("kind") == "ordered_tokens") & (F.col("claim") == "structure"))
     unique = regions.select("case_id", "region_id", "unique_evidence")
     alike = locator_overlaps(leaves, terms).withColumn("_alike", F.lit(True))
-    rows = rows.join(unique, ["case_id", "region_id"]).join(alike, ["case_id", "leaf_id"], "left")
+    rows = rows.join(unique.hint("merge"), ["case_id", "region_id"]).join(alike.hint("merge"), ["case_id", "leaf_id"], "left")
     sure = eligible & F.col("unique_evidence") & F.col("_alike").isNull() & F.coalesce(F.col("satisfied") & ~F.col("contradiction") & (F.size("found_refs") > 0), F.lit(False))
     return rows.select(*keys, "region_id", "leaf_id", "harm", F.when(sure, "correct").otherwise(F.col("status")).alias("status"), F.when(sure, F.col("found_refs")).otherwise(F.col("refs")).alias("refs"), sure.alias("credited"))
 
@@ -197,7 +197,7 @@ def evaluate(candidates: DataFrame, regions: DataFrame, leaves: DataFrame, terms
     """(keys, regions, total_budget, raw_score, score) of every candidate."""
     statuses = leaf_statuses(candidates, regions, leaves, terms, judged, keys)
     counted = claims.groupBy(*keys, "region_id").agg(F.count("*").alias("n_claims"))
-    scored = scoring.region_scores(statuses, counted, [*keys, "region_id"]).join(regions.select("case_id", "region_id", "budget"), ["case_id", "region_id"])
+    scored = scoring.region_scores(statuses, counted, [*keys, "region_id"]).join(regions.select("case_id", "region_id", "budget").hint("merge"), ["case_id", "region_id"])
     return scoring.case_scores(scored, keys)
 
 
@@ -211,7 +211,7 @@ def tables_of(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
     policy = lambda c: F.col(f"evidencePolicy.{c}")
     leaves = le.select("case_id", "region_id", F.col("id").alias("leaf_id"), F.col("claimType").alias("claim"), policy("type").alias("kind"), F.coalesce(policy("strict"), F.lit(False)).alias("strict"), "expectation", policy("state").alias("state"), "harm")
     terms = fact_files.leaf_terms(le)
-    own = terms.join(leaves.select("case_id", "region_id", "leaf_id", "kind"), ["case_id", "leaf_id"])
+    own = terms.join(leaves.select("case_id", "region_id", "leaf_id", "kind").hint("merge"), ["case_id", "leaf_id"])
     named = own.where("(kind = 'form_state' and role = 'label') or (kind = 'table_binding' and role = 'row')").select("case_id", "region_id", F.col("alternative").alias("member"))
     declared = r.select("case_id", "region_id", F.explode("closedWorld.keys").alias("member"))
     members = declared.unionByName(named).distinct()
@@ -220,7 +220,7 @@ def tables_of(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
     ends = F.transform(F.filter("sourceAnchors", lambda a: F.size(a["sectionPath"]) > 0), lambda a: F.element_at(a["sectionPath"], -1))
     labels = F.array_distinct(F.array_compact(F.concat(F.array("label", "goldSection"), F.coalesce(ends, F.array().cast("array<string>")))))
     closed = r.where("closedWorld.scope = 'table_rows'").select("case_id", "region_id", labels.alias("labels"))
-    closed = closed.join(every, ["case_id", "region_id"]).join(columns, ["case_id", "region_id"])
+    closed = closed.join(every.hint("merge"), ["case_id", "region_id"]).join(columns.hint("merge"), ["case_id", "region_id"])
     return regions, leaves, terms, closed, members
 
 
@@ -228,6 +228,6 @@ def evaluate_facts(facts: DataFrame, candidates: DataFrame, judged: DataFrame, r
     """(keys, regions, total_budget, raw_score, score) from facts as they are read, with ``reported(keys, region_id, key)`` claims and those that tables show."""
     regions, leaves, terms, closed, members = tables_of(facts)
     cases = candidates.select(*keys).distinct()
-    discovered = written(closed_world.invented_rows(candidates, cases.join(closed, "case_id"), keys).select(*keys, "region_id", "key"), "evaluate-discovered")
-    claims = closed_world.applied_claims(reported.select(*keys, "region_id", "key"), discovered, cases.join(members, "case_id"), keys)
+    discovered = written(closed_world.invented_rows(candidates, cases.join(closed.hint("merge"), "case_id"), keys).select(*keys, "region_id", "key"), "evaluate-discovered")
+    claims = closed_world.applied_claims(reported.select(*keys, "region_id", "key"), discovered, cases.join(members.hint("merge"), "case_id"), keys)
     return evaluate(candidates, regions, leaves, terms, judged, claims, keys)

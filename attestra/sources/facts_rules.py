@@ -43,7 +43,7 @@ def _broken(rows: DataFrame, subject: Column, rules: dict[str, Column]) -> DataF
 
 def anchor_rules(regions: DataFrame, cases: DataFrame) -> DataFrame:
     """What is wrong with anchors, and with the pages that they map to; ``cases(case_id, pages)``."""
-    a = regions.select("case_id", F.col("id").alias("region_id"), F.inline("sourceAnchors")).join(cases.select("case_id", "pages"), "case_id", "left")
+    a = regions.select("case_id", F.col("id").alias("region_id"), F.inline("sourceAnchors")).join(cases.select("case_id", "pages").hint("merge"), "case_id", "left")
     box, path = F.col("bbox"), F.col("sectionPath")
     at = lambda i: F.get(box, F.lit(i))
     normal = (F.size(box) == 4) & F.forall(box, lambda v: v.between(0, 1)) & (at(0) < at(2)) & (at(1) < at(3))
@@ -103,7 +103,7 @@ def leaf_rules(leaves: DataFrame) -> DataFrame:
 def case_rules(facts: DataFrame, regions: DataFrame, cases: DataFrame, sections: DataFrame) -> DataFrame:
     """How facts go with ``cases(case_id, title, family, tags, pages)`` and ``sections(case_id, section)``; a page that no region is anchored to is told too."""
     f = facts.select(F.col("id").alias("case_id"), F.col("title").alias("_t"), F.col("family").alias("_f"), F.col("tags").alias("_g"), F.col("regions").alias("_r"), F.lit(True).alias("_facts"))
-    both = f.join(cases.withColumn("_case", F.lit(True)), "case_id", "full")
+    both = f.join(cases.withColumn("_case", F.lit(True)).hint("merge"), "case_id", "full")
     known = F.col("_facts") & F.col("_case")
     out = _broken(both, F.lit(""), {
         "facts of no case": F.col("_case").isNull(),
@@ -114,10 +114,10 @@ def case_rules(facts: DataFrame, regions: DataFrame, cases: DataFrame, sections:
         "no regions": F.col("_facts") & _no(F.size("_r") > 0),
     })
     named = regions.where(F.trim("goldSection") != "").select("case_id", F.col("goldSection").alias("section"), F.col("id").alias("subject"))
-    lost = named.join(sections.select("case_id", "section").distinct(), ["case_id", "section"], "left_anti").select("case_id", F.lit("gold section has no heading").alias("rule"), F.coalesce("subject", F.lit("")).alias("subject"))
+    lost = named.join(sections.select("case_id", "section").distinct().hint("merge"), ["case_id", "section"], "left_anti").select("case_id", F.lit("gold section has no heading").alias("rule"), F.coalesce("subject", F.lit("")).alias("subject"))
     pages = cases.where("pages > 0").select("case_id", F.explode(F.sequence(F.lit(1), F.col("pages"))).alias("page"))
     anchored = regions.select("case_id", F.explode("sourceAnchors.page").alias("page")).distinct()
-    unseen = pages.join(anchored, ["case_id", "page"], "left_anti").select("case_id", F.lit("page is not anchored").alias("rule"), F.col("page").cast("string").alias("subject"))
+    unseen = pages.join(anchored.hint("merge"), ["case_id", "page"], "left_anti").select("case_id", F.lit("page is not anchored").alias("rule"), F.col("page").cast("string").alias("subject"))
     return out.unionByName(lost).unionByName(unseen)
 
 
