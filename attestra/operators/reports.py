@@ -57,10 +57,13 @@ def with_written(usages: DataFrame) -> DataFrame:
 
 
 def spend(cases: DataFrame, failures: DataFrame) -> DataFrame:
-    """(inference, evaluator, total) in whole billionths: what this run paid, failed cases included; ``failures(kind, inference, evaluator)`` that are no case cost nothing."""
+    """(inference, evaluator, total) in whole billionths: what this run paid, failed cases included; ``failures(kind, inference, evaluator)`` that are no case cost nothing.
+
+    Sums are decimal(38,0), as a large run's billionths go beyond a long.
+    """
     part = lambda df: df.select(nano(F.coalesce("inference", F.lit(0.0))).alias("inference"), nano(F.coalesce("evaluator", F.lit(0.0))).alias("evaluator"))
-    rows = part(cases).unionByName(part(failures.where("kind = 'case'"))).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("inference", "evaluator")))
-    return rows.withColumn("total", F.col("inference") + F.col("evaluator"))
+    rows = part(cases).unionByName(part(failures.where("kind = 'case'"))).agg(*(F.coalesce(F.sum(F.col(c).cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)").alias(c) for c in ("inference", "evaluator")))
+    return rows.withColumn("total", (F.col("inference") + F.col("evaluator")).cast("decimal(38,0)"))
 
 
 def measured(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.operators import evidence, gates, tables
+from attestra.operators import evidence, gates, reports, tables
 from attestra.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -50,3 +50,9 @@ def test_rows_are_met_before_columns(spark):
     plan = _plan(rows, "optimizedPlan")
     assert "_row" in [line for line in plan.split("\n") if "Join Inner" in line][-1]
     assert {r.status for r in rows.collect()} == {"correct"}
+
+
+def test_spend_beyond_a_long(spark):
+    cases = spark.range(10).select(F.lit(5e9).alias("inference"), F.lit(None).cast("double").alias("evaluator"))
+    failed = spark.createDataFrame([("case", 1.0, 1.0), ("setup", 1.0, 1.0)], "kind string, inference double, evaluator double")
+    assert [int(x) for x in reports.spend(cases, failed).first()] == [50 * 10**18 + 10**9, 10**9, 50 * 10**18 + 2 * 10**9]
