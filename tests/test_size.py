@@ -56,3 +56,12 @@ def test_spend_beyond_a_long(spark):
     cases = spark.range(10).select(F.lit(5e9).alias("inference"), F.lit(None).cast("double").alias("evaluator"))
     failed = spark.createDataFrame([("case", 1.0, 1.0), ("setup", 1.0, 1.0)], "kind string, inference double, evaluator double")
     assert [int(x) for x in reports.spend(cases, failed).first()] == [50 * 10**18 + 10**9, 10**9, 50 * 10**18 + 2 * 10**9]
+
+
+def test_fingerprints_join_groups_of_near_copies(spark):
+    """Texts with few shingles in common go by their SimHash fingerprints too, as the stage is named."""
+    import corpus_pipeline
+
+    near = spark.createDataFrame([(1, 11, 5), (2, 12, 6), (3, 13, 7), (4, 14, 7), (5, 11, 5)], "doc_id long, text_key long, root long")
+    alike = spark.createDataFrame([(1, 11, 90), (2, 12, 90), (3, 13, 91), (4, 14, 92), (5, 11, 90)], "doc_id long, text_key long, root long")
+    assert {tuple(r) for r in corpus_pipeline.united(near, alike).collect()} == {(1, 11, 5), (2, 12, 5), (5, 11, 5), (3, 13, 7), (4, 14, 7)}
