@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .tokens import encoder, parts
+from .tokens import CACHED_PIECES, encoder, parts
 
 TIERS = (256, 512, 1024, 2048)
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window long, step_group long"
@@ -109,16 +109,17 @@ def step_groups(sizes: list[int], step_tokens: int) -> list[int]:
     return groups
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, batch_tokens: int = 1 << 20, step_tokens: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, batch_tokens: int = 1 << 20, step_tokens: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", cached_pieces: int = CACHED_PIECES) -> DataFrame:
     """A row for each piece: its document, place there and ids (little-endian unsigned 32-bit), and its sequence and offset.
 
     ``tokenizer``: a word-level vocabulary file of the tokenizers library. ``window`` is the sequence's padded length.
+    ``cached_pieces``: how many pieces a worker keeps, of about 200 bytes each; ids do not depend on it.
     """
     ship(docs.sparkSession)
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer, rows, held = encoder(tokenizer, "word"), Packer(tiers), {}, 0
+        enc, packer, rows, held = encoder(tokenizer, "word", cached_pieces), Packer(tiers), {}, 0
         first = TaskContext.get().partitionId() << 33
         row = sequence = group = 0
 

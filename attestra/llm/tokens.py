@@ -100,14 +100,17 @@ class PieceEncoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
+#: Pieces that a worker keeps where nothing else is asked for: up to 280 MB.
+CACHED_PIECES = 1_400_000
+_ENCODERS: dict[tuple[str, str, int], PieceEncoder] = {}
 
 
-def encoder(path: str, kind: str) -> PieceEncoder:
+def encoder(path: str, kind: str, cache_size: int = CACHED_PIECES) -> PieceEncoder:
     """This worker's encoder for a vocabulary file; a reused worker keeps its cache."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = PieceEncoder(path, kind)
-    return _ENCODERS[path, kind]
+    key = path, kind, cache_size
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(path, kind, cache_size)
+    return _ENCODERS[key]
 
 
 def parts(texts: list[str], rows: int = 256, chars: int = 2_000_000):

@@ -65,3 +65,18 @@ def test_fingerprints_join_groups_of_near_copies(spark):
     near = spark.createDataFrame([(1, 11, 5), (2, 12, 6), (3, 13, 7), (4, 14, 7), (5, 11, 5)], "doc_id long, text_key long, root long")
     alike = spark.createDataFrame([(1, 11, 90), (2, 12, 90), (3, 13, 91), (4, 14, 92), (5, 11, 90)], "doc_id long, text_key long, root long")
     assert {tuple(r) for r in corpus_pipeline.united(near, alike).collect()} == {(1, 11, 5), (2, 12, 5), (5, 11, 5), (3, 13, 7), (4, 14, 7)}
+
+
+def test_pipeline_workers_keep_few_pieces(spark, monkeypatch):
+    """Workers go from stage to stage with what they keep, so the pipeline keeps fewer pieces; ids do not depend on it."""
+    import corpus_pipeline
+    from attestra.llm import packing, tokens
+
+    kept = {}
+    monkeypatch.setattr(packing, "pack", lambda docs, vocabulary, **more: kept.update(more))
+    corpus_pipeline.pack(spark, None, DATA)
+    assert 200 * kept["cached_pieces"] <= 64_000_000
+    path, texts = corpus_pipeline.vocabulary("word_bpe_49k.json"), [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(20)]
+    few = tokens.encoder(path, "word", 100)
+    assert [few.encode_batch([t])[0] for t in texts] == tokens.encoder(path, "word").encode_batch(texts)
+    assert len(few.cache) < 200 and few is not tokens.encoder(path, "word")
