@@ -107,23 +107,36 @@ def packed(rows: DataFrame, keys: list[str], order: list[str], stable: int = 64,
     return rows.withColumn("request", F.floor(n / request))
 
 
-def semantic_batches(leaves: DataFrame, keys: list[str], settled: DataFrame | None = None, stable: int = 64, request: int = 32) -> DataFrame:
+def semantic_batches(leaves: DataFrame, keys: list[str], settled: DataFrame | str | None = None, stable: int = 64, request: int = 32) -> DataFrame:
     """(keys, batch, request, regions, leaf_ids): what a judge is asked, of ``leaves(keys, region_no, leaf_no, region_id, leaf_id)``; ids are unique.
 
     Obligations fill batches of ``stable`` in the order of regions, so a region may go on in the next batch; ``regions`` has for each
     piece of a region in the batch its id, its first obligation's place in the region and how many there are, whatever is settled, so that
-    batches are alike from try to try. ``settled(keys, leaf_id)`` are not asked again; the others make requests of ``request``, and
-    a batch without any makes none.
+    batches are alike from try to try. ``settled(keys, leaf_id)``, or leaves whose column of that name is true, are not asked again; the
+    others make requests of ``request``, and a batch without any makes none.
+
+    Keys are sorted once; a batch is then one row of at most ``stable`` obligations, from which pieces and requests are cut.
     """
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("region_no", "leaf_no")) - 1
-    rows = leaves.withColumn("batch", F.floor(place / stable).cast("long")).withColumn("_at", place)
-    cut = rows.groupBy(*keys, "batch", "region_no", "region_id").agg(F.min("leaf_no").cast("long").alias("first"), F.count("*").alias("n"))
-    pieces = cut.groupBy(*keys, "batch").agg(F.array_sort(F.collect_list(F.struct("region_no", "region_id", "first", "n"))).alias("x"))
-    pieces = pieces.select(*keys, "batch", F.transform("x", lambda x: F.struct(x["region_id"].alias("region_id"), x["first"].alias("first"), x["n"].alias("n"))).alias("regions"))
-    open_ = rows if settled is None else rows.join(settled.select(*keys, "leaf_id").distinct().hint("merge"), [*keys, "leaf_id"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy(*keys, "batch").orderBy("_at")) - 1
-    asked = open_.withColumn("request", F.floor(nth / request).cast("long")).groupBy(*keys, "batch", "request").agg(F.array_sort(F.collect_list(F.struct("_at", "leaf_id"))).alias("x"))
-    return asked.select(*keys, "batch", "request", F.transform("x", lambda x: x["leaf_id"]).alias("leaf_ids")).join(pieces.hint("merge"), [*keys, "batch"])
+    if isinstance(settled, str):
+        rows = leaves.withColumn("_settled", F.coalesce(F.col(settled), F.lit(False)))
+    elif settled is None:
+        rows = leaves.withColumn("_settled", F.lit(False))
+    else:
+        done = settled.select(*keys, "leaf_id").distinct().withColumn("_done", F.lit(True)).hint("merge")
+        rows = leaves.join(done, [*keys, "leaf_id"], "left").withColumn("_settled", F.col("_done").isNotNull())
+    at = (F.row_number().over(Window.partitionBy(*keys).orderBy("region_no", "leaf_no")) - 1).cast("long")
+    rows = rows.select(*keys, F.floor(at / stable).cast("long").alias("batch"), at.alias("_at"), "region_no", "region_id", "leaf_no", "leaf_id", "_settled")
+    piece = F.struct("region_no", "region_id", F.col("leaf_no").isNull().alias("none"), F.col("leaf_no").cast("long").alias("leaf_no"))
+    made = rows.groupBy(*keys, "batch").agg(F.sort_array(F.collect_list(piece)).alias("x"), F.sort_array(F.collect_list(F.when(~F.col("_settled"), F.struct("_at", "leaf_id")))).alias("open")).where(F.size("open") > 0)
+    # Sorted by region, each region is one run: its first row has its least leaf_no, and the next run's place tells how many there are.
+    begins = lambda e, i: (i == 0) | ~(e["region_no"].eqNullSafe(F.get("x", i - 1)["region_no"]) & e["region_id"].eqNullSafe(F.get("x", i - 1)["region_id"]))
+    starts = F.filter(F.transform("x", lambda e, i: F.when(begins(e, i), F.struct(e["region_id"].alias("region_id"), e["leaf_no"].alias("first"), i.alias("at")))), lambda e: e.isNotNull())
+    made = made.withColumn("runs", starts)
+    until = lambda i: F.coalesce(F.get("runs", i + 1)["at"], F.size("x"))
+    regions = F.transform("runs", lambda e, i: F.struct(e["region_id"].alias("region_id"), e["first"].alias("first"), (until(i) - e["at"]).cast("long").alias("n")))
+    made = made.select(*keys, "batch", regions.alias("regions"), F.transform("open", lambda x: x["leaf_id"]).alias("open"))
+    asked = made.select(*keys, "batch", "regions", "open", F.explode(F.sequence(F.lit(0), F.floor((F.size("open") - 1) / request).cast("int"))).alias("request"))
+    return asked.select(*keys, "batch", F.col("request").cast("long").alias("request"), F.slice("open", F.col("request") * request + 1, F.lit(request)).alias("leaf_ids"), "regions")
 
 
 def audit_batches(regions: DataFrame, keys: list[str], most_regions: int = 24, most_members: int = 256) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.operators import evidence, gates, reports, tables
+from attestra.operators import evidence, gates, reports, scoring, tables
 from attestra.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -80,3 +80,29 @@ def test_pipeline_workers_keep_few_pieces(spark, monkeypatch):
     few = tokens.encoder(path, "word", 100)
     assert [few.encode_batch([t])[0] for t in texts] == tokens.encoder(path, "word").encode_batch(texts)
     assert len(few.cache) < 200 and few is not tokens.encoder(path, "word")
+
+
+def test_suppliers_are_dealt_once(spark, monkeypatch):
+    """Batches come of one shuffle, with a task for each so many lines, not of joins of lines with themselves."""
+    from attestra import queries
+
+    monkeypatch.setattr(queries, "BATCHED_ROWS", 500)
+    rows = QUERIES["semantic_batches"](spark, DATA)
+    assert "Join" not in _plan(rows) and _plan(rows).count("Exchange") == 1
+    assert rows.rdd.getNumPartitions() == 1 + spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500
+
+
+def test_batches_of_a_column_and_of_odd_regions(spark):
+    """A column marks what is settled as a table does; two regions of one number are told apart, and a leaf without a number comes first."""
+    rows = [("c", i // 9, None if i == 20 else i % 9, "rs"[i % 2], f"a{i}", i % 3 == 0) for i in range(40)] + [("d", 0, 0, "r", "b", True)]
+    leaves = spark.createDataFrame(rows, "c string, region_no int, leaf_no int, region_id string, leaf_id string, done boolean")
+    tell = lambda df: sorted((x.c, x.batch, x.request, x.leaf_ids, [tuple(r) for r in x.regions]) for x in df.collect())
+    by_column = tell(scoring.semantic_batches(leaves, ["c"], "done", 16, 8))
+    assert by_column == tell(scoring.semantic_batches(leaves, ["c"], leaves.where("done"), 16, 8))
+    want = []
+    for b in range(3):
+        batch = sorted(rows[:40], key=lambda r: (r[1], -1 if r[2] is None else r[2]))[16 * b : 16 * b + 16]
+        pieces = [(i, min(r[2] for r in batch if (r[1], r[3]) == (n, i) and r[2] is not None), sum((r[1], r[3]) == (n, i) for r in batch)) for n, i in sorted({(r[1], r[3]) for r in batch})]
+        asked = [r[4] for r in batch if not r[5]]
+        want += [("c", b, k, asked[8 * k : 8 * k + 8], pieces) for k in range(-(-len(asked) // 8))]
+    assert by_column == want
