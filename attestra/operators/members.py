@@ -40,10 +40,20 @@ def key_column(cells: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame
     return best.select(*keys, "table_no", "col")
 
 
-def collisions(rows: DataFrame, id_col: str, by: list[str]) -> DataFrame:
-    """(a, b): pairs of obligations with one locator, ``a < b``; the locator's columns are the join's keys."""
-    a, b = rows.select(F.col(id_col).alias("a"), *by), rows.select(F.col(id_col).alias("b"), *by)
-    return a.join(b.hint("merge"), by).where("a < b").select("a", "b")
+def collisions(rows: DataFrame, id_col: str, by: list[str], block: int = 1000) -> DataFrame:
+    """(a, b): pairs of obligations with one locator, ``a < b``; the locator's columns are the join's keys.
+
+    Pairs grow with the square of a locator's rows, so these are cut into blocks of about ``block`` by a hash of the id: the one side is
+    dealt by block and the other is sent to each of the locator's blocks. Tasks are as many as shuffle partitions, as the few bytes of
+    the rows do not tell how many pairs they make.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = rows.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    met = rows.select(F.col(id_col).alias("_id"), *by).join(shared.hint("merge"), by)
+    a = met.select(*by, F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int").alias("_block"), F.col("_id").alias("a"))
+    b = met.select(*by, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.col("_id").alias("b"))
+    on = [*by, "_block"]
+    return a.repartition(tasks, *on).join(b.repartition(tasks, *on).hint("merge"), on).where("a < b").select("a", "b")
 
 
 def only_in_one(pairs: DataFrame, key: list[str], value: str) -> DataFrame:

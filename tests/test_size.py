@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.operators import evidence, gates, reports, scoring, tables
+from attestra.operators import evidence, gates, members, reports, scoring, tables
 from attestra.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -106,3 +106,12 @@ def test_batches_of_a_column_and_of_odd_regions(spark):
         asked = [r[4] for r in batch if not r[5]]
         want += [("c", b, k, asked[8 * k : 8 * k + 8], pieces) for k in range(-(-len(asked) // 8))]
     assert by_column == want
+
+
+def test_pairs_of_a_locator_are_spread(spark):
+    """Rows of one locator make pairs in several tasks, each pair once."""
+    rows = spark.createDataFrame([(i, "x" if i < 60 else "y" if i < 62 else None) for i in range(64)] + [(99, "z")], "id long, p string")
+    pairs = members.collisions(rows, "id", ["p"], block=8)
+    assert sorted(map(tuple, pairs.collect())) == [(a, b) for a in range(60) for b in range(a + 1, 60)] + [(60, 61)]
+    assert pairs.rdd.getNumPartitions() == 4
+    assert pairs.where("a < 60").groupBy(F.spark_partition_id()).count().count() > 1
