@@ -49,28 +49,29 @@ def page_map(lines: DataFrame, keys: list[str], pages: str = "n_pages") -> DataF
     """
     w, everything = by(keys), Window.partitionBy(*keys)
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    onward, after = w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(1, Window.unboundedFollowing)
     counter = F.regexp_extract(F.trim(F.regexp_replace("raw", r"[*_`]", "")), r"(?:^|[^0-9+])([0-9]{1,3}\s*/\s*[0-9]{1,3})\s*>?\s*$", 1)
-    n, m = F.trim(F.split(counter, "/")[0]).try_cast("int"), F.trim(F.get(F.split(counter, "/"), F.lit(1))).try_cast("int")
+    # Few lines have a slash, and only these are searched for counters. A cast that fails is dear, so nothing empty is cast.
+    rows = lines.withColumn("_c", F.when(F.contains(F.col("raw"), F.lit("/")), F.split(F.nullif(counter, F.lit("")), "/")))
+    n, m = F.trim(F.get("_c", F.lit(0))).try_cast("int"), F.trim(F.get("_c", F.lit(1))).try_cast("int")
     good = (n >= 1) & (n <= m) & (m >= 2)
-    rows = lines.withColumns({"_n": F.when(good, n), "_m": F.when(good, m), "_rule": F.col("raw").rlike(r"^\s*(?:-{3,}|\*{3,})\s*$").cast("int")})
+    named = F.nullif(F.regexp_extract("raw", r"(?i)^\s*(?:<!--\s*)?(?:#{1,6}\s*)?page\s*:?\s*([0-9]{1,9})\b", 1), F.lit("")).try_cast("int")
+    rows = rows.withColumns({"_n": F.when(good, n), "_m": F.when(good, m), "_named": named, "_rule": F.col("raw").rlike(r"^\s*(?:-{3,}|\*{3,})\s*$").cast("int"), "_filled": (F.trim("raw") != "").cast("int")}).drop("_c")
     totals = rows.where("_n is not null").groupBy(*keys, "_m").agg(F.count_distinct("_n").alias("_d"), F.count("*").alias("_c"), F.min("ref").alias("_f")).where("_d >= 2")
     trusted = totals.groupBy(*keys).agg(F.max_by("_m", F.struct("_d", "_c", -F.col("_f"))).alias("_total"))
     rows = rows.join(trusted.hint("merge"), keys, "left").withColumn("_total", F.coalesce("_total", F.col(pages)))
-    named = F.regexp_extract("raw", r"(?i)^\s*(?:<!--\s*)?(?:#{1,6}\s*)?page\s*:?\s*([0-9]{1,9})\b", 1).try_cast("int")
-    rows = rows.withColumn("_count", F.when(F.col("_m") == F.col("_total"), F.col("_n"))).withColumn("_mark", F.coalesce(named, "_count"))
+    rows = rows.withColumn("_count", F.when(F.col("_m") == F.col("_total"), F.col("_n"))).withColumn("_mark", F.coalesce("_named", "_count"))
     rows = rows.withColumn("_mark", F.when((F.col("_mark") >= 1) & F.coalesce(F.col("_mark") <= F.col("_total"), F.lit(True)), F.col("_mark")))
     last = F.last("_mark", ignorenulls=True).over(before)
-    rows = rows.withColumns({"_down": F.coalesce(F.col("_mark") < last, F.lit(False)), "_anchor": F.when(last.isNull() | (F.col("_mark") != last), F.col("_mark")), "_block": 1 + F.coalesce(F.sum("_rule").over(before), F.lit(0))})
-    full = F.sum((F.trim("raw") != "").cast("int")).over(Window.partitionBy(*keys, "_block").orderBy("ref").rowsBetween(Window.unboundedPreceding, -1))
-    foot = (F.col("_count") == F.col("_anchor")) & (F.coalesce(full, F.lit(0)) > 6) & ((F.col("_anchor") == F.col("_total")) | (F.max("_rule").over(w.rowsBetween(1, 2)) == 1))
+    rows = rows.withColumns({"_down": F.coalesce(F.col("_mark") < last, F.lit(False)), "_anchor": F.when(last.isNull() | (F.col("_mark") != last), F.col("_mark")), "_block": 1 + F.coalesce(F.sum("_rule").over(before), F.lit(0)), "_above": F.coalesce(F.sum("_filled").over(before), F.lit(0)), "_after": F.coalesce(F.lag("_rule").over(w), F.lit(1)) == 1})
+    # Lines of the block so far: those of the text so far without those above the block. A run is a mark's lines up to the next one.
+    full = F.col("_above") - F.last(F.when(F.col("_after"), F.col("_above")), ignorenulls=True).over(upto)
+    foot = (F.col("_count") == F.col("_anchor")) & (full > 6) & ((F.col("_anchor") == F.col("_total")) | (F.max("_rule").over(w.rowsBetween(1, 2)) == 1))
     rows = rows.withColumns({
         "_foot": F.when(F.col("_anchor").isNotNull(), F.coalesce(foot, F.lit(False))),
         "_odd": F.col("_anchor") != F.col("_block"),
         "_page": F.last("_anchor", ignorenulls=True).over(upto),
         "_prior": F.last("_anchor", ignorenulls=True).over(before),
-        "_next": F.first("_anchor", ignorenulls=True).over(after),
-        "_ends": F.first("_anchor", ignorenulls=True).over(onward),
+        "_run": F.count("_anchor").over(upto),
     })
     whole = lambda f: f.over(everything)
     rows = rows.withColumns({
@@ -79,7 +80,10 @@ def page_map(lines: DataFrame, keys: list[str], pages: str = "n_pages") -> DataF
         "_blocks": whole(F.max("_block")) == F.col("_total"),
         "_mixed": F.coalesce(whole(F.bool_or("_odd")), F.lit(False)),
     })
-    span = Window.partitionBy(*keys, "_page")
+    # A frame up to the end would be gone through again for each line, so the next mark is looked up by its run. Runs are pages, if none goes down.
+    rows = rows.withColumn("_next", F.first("_anchor", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_run").rangeBetween(1, 1)))
+    rows = rows.withColumn("_ends", F.coalesce("_anchor", "_next"))
+    span = Window.partitionBy(*keys, "_run")
     cut = (F.max("_block").over(span) > F.min("_block").over(span)) & (F.col("_block") == F.min("_block").over(span))
     to_next = (F.col("_next") == F.col("_page") + 1) | (F.col("_next").isNull() & (F.col("_total").isNull() | (F.col("_page") == F.col("_total"))))
     marks = F.when(F.coalesce(to_next, F.lit(False)) | cut | F.col("_anchor").isNotNull(), F.col("_page"))

@@ -1,9 +1,11 @@
 """Plans that keep their shape at size: no broadcasts of computed tables, and no text copied once for each of its words."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.operators import evidence, gates, members, reports, scoring, tables
+from attestra.operators import evidence, gates, lines, members, reports, scoring, tables
 from attestra.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -115,3 +117,18 @@ def test_pairs_of_a_locator_are_spread(spark):
     assert sorted(map(tuple, pairs.collect())) == [(a, b) for a in range(60) for b in range(a + 1, 60)] + [(60, 61)]
     assert pairs.rdd.getNumPartitions() == 4
     assert pairs.where("a < 60").groupBy(F.spark_partition_id()).count().count() > 1
+
+
+@pytest.mark.parametrize("name", ["page_map", "page_scope"])
+def test_lines_are_not_gone_through_again_for_each_line(spark, name):
+    plan = _plan(QUERIES[name](spark, DATA))
+    assert "unboundedfollowing" in plan and not re.search(r"(?:currentrow\$\(\)|RowFrame, 1), unboundedfollowing", plan)
+
+
+def test_counters_of_blocks_and_runs(spark):
+    """A page's last line in a block of seven and more lines, before a rule: pages end with their counters, blocks are told apart."""
+    text = "\n".join([*"abcdefg", "1/2", "---", *"hijklmn", "2/2", "---", "x"])
+    docs = spark.createDataFrame([(1, 2, text), (2, 2, "a/b\nPAGE 1\nx\nPAGE 2\ny")], "d int, n_pages int, text string")
+    got = {(r.d, r.ref): r.page for r in lines.page_map(lines.candidate_lines(docs, ["d", "n_pages"]), ["d", "n_pages"]).collect()}
+    assert [got[1, i] for i in range(1, 20)] == [1] * 8 + [2] * 9 + [None] * 2
+    assert [got[2, i] for i in range(1, 6)] == [None, 1, 1, 2, 2]
