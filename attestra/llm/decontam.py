@@ -18,9 +18,12 @@ occurrences too; where the rest does not reach that number, all of them together
 window of its own length; below ``shortest`` tokens its shape tells nothing, and it is looked up by its values alone, word for word.
 
 Each document is cut into tokens once and each token hashed once; the windows of all sizes that items have are then made in one
-pass from the tokens' hashes, inside one generated stage with the semi join on the items' hashes. Hashes, windows and items are
-broadcast only if measured at no more than ``broadcast_rows`` rows (and items at 16 MB), else joined by shuffle; likewise the
-ids of the documents that are hit. Only built-in functions are used.
+pass from the tokens' hashes, inside one generated stage with the semi join on the items' hashes. A window that is hit takes along the
+hashes of its own tokens alone, never its document, and values are compared by these. Items with the same texts are one class, which
+is met once; items take the place of their class at the end. What the windows' hits are is written once, as three steps read it.
+Hashes are broadcast only if measured at no more than four times ``broadcast_rows`` rows, as each is one long, and items' windows at no more
+than a quarter of it; else they are joined by shuffle, and the tokens of windows that are hit are looked up in a second pass over the documents that are hit.
+Only built-in functions are used.
 
 Defined results: null and empty texts and items hit nothing; rows with one id count as one document; a null doc_id is reported
 as null; rows that repeat change nothing; very long items have as many windows as tokens; other columns are ignored.
@@ -94,6 +97,12 @@ def _any_size(at: Column, size: Column, sizes: list[int], shortest: int) -> Colu
     return F.coalesce(*(F.when(size == n, window_hash(at, n, shortest)) for n in sizes))
 
 
+def item_classes(items: DataFrame) -> DataFrame:
+    """(item_id, class, texts): rows with one item_id are one item; items with the same texts are of one class."""
+    rows = items.groupBy("item_id").agg(F.array_sort(F.collect_set("text")).alias("texts"))
+    return rows.select("item_id", F.xxhash64("texts").alias("class"), "texts")
+
+
 def _item_rows(items: DataFrame, size: int) -> DataFrame:
     """(item_id, named, raw, words, vh, th, size): items as tokens, with the words that begin sentences as words and, if that differs, as names."""
     rows = items.select("item_id", F.explode(F.array(*(F.struct(F.lit(named).alias("named"), raw_tokens(F.col("text"), p).alias("raw")) for named, p in ((False, INNER_NAME), (True, NAME))))).alias("x"))
@@ -102,52 +111,74 @@ def _item_rows(items: DataFrame, size: int) -> DataFrame:
 
 
 def _item_windows(rows: DataFrame, sizes: list[int], shortest: int) -> DataFrame:
-    """(item_id, named, size, item_at, h, heavy, worded, n_worded) of every window.
+    """(item_id, named, size, item_at, h, item_th, item_vh, heavy, worded, n_worded) of every window.
 
-    ``heavy``: it holds more placeholders than words; ``worded``: it holds a word; ``n_worded``: the windows of its text that do.
+    ``item_th`` and ``item_vh`` are its tokens' hashes; ``heavy``: it holds more placeholders than words; ``worded``: it holds a word;
+    ``n_worded``: the windows of its text that do.
     """
     rows = rows.select("item_id", "named", "th", "vh", "size", F.explode(F.sequence(F.lit(0), F.size("th") - F.col("size"))).alias("item_at"))
-    slots = F.size(F.filter(F.slice("th", F.col("item_at") + 1, F.col("size")), _is_slot))
+    part = lambda c: F.slice(c, F.col("item_at") + 1, F.col("size"))
+    slots = F.size(F.filter(part("th"), _is_slot))
     rows = rows.withColumn("slots", F.when(F.col("size") < shortest, 0).otherwise(slots))
-    rows = rows.select("item_id", "named", "size", "item_at", _any_size(F.col("item_at"), F.col("size"), sizes, shortest).alias("h"), (2 * F.col("slots") > F.col("size")).alias("heavy"), (F.col("slots") < F.col("size")).alias("worded"))
+    rows = rows.select("item_id", "named", "size", "item_at", _any_size(F.col("item_at"), F.col("size"), sizes, shortest).alias("h"), part("th").alias("item_th"), part("vh").alias("item_vh"), (2 * F.col("slots") > F.col("size")).alias("heavy"), (F.col("slots") < F.col("size")).alias("worded"))
     n = rows.groupBy("item_id", "named").agg(F.count_if("worded").alias("n_worded"))
-    return rows.join(n.select(F.col("item_id").alias("_i"), F.col("named").alias("_n"), "n_worded"), F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("named") == F.col("_n"))).drop("_i", "_n")
+    return rows.join(n, ["item_id", "named"])
 
 
 def document_windows(docs: DataFrame, sizes: list[int], shortest: int) -> DataFrame:
-    """(doc_id, text_key, at, h) of every window of a document, of all sizes."""
-    rows = tokenised(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), raw_tokens(F.col("text")).alias("raw")))
+    """(doc_id, text_key, vh, at, h) of every window of a document, of all sizes; vh has the hashes of all its words."""
+    rows = _document_tokens(docs)
     n = F.size("th")
     # The outer form keeps Spark from working out the tokens once more, for each of them, in a filter below.
     places = F.explode_outer(F.when(n >= min(sizes), F.sequence(F.lit(0), n - min(sizes))))
     rows = rows.select("doc_id", "text_key", "th", "vh", places.alias("at")).where("at is not null")
     made = [F.when(F.col("at") + s <= n, window_hash(F.col("at"), s, shortest)) for s in sizes]
-    rows = rows.select("doc_id", "text_key", "at", (made[0] if len(made) == 1 else F.explode(F.array(*made))).alias("h"))
+    rows = rows.select("doc_id", "text_key", "vh", "at", (made[0] if len(made) == 1 else F.explode(F.array(*made))).alias("h"))
     return rows.where("h is not null")
 
 
+def _document_tokens(docs: DataFrame) -> DataFrame:
+    return tokenised(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), raw_tokens(F.col("text")).alias("raw")))
+
+
+def window_hits(docs: DataFrame, hashes: DataFrame, sizes: list[int], shortest: int, broadcast_rows: int) -> DataFrame:
+    """(doc_id, text_key, at, h, doc_vh) of the windows whose hash is in ``hashes(h)``; doc_vh has the hashes of the words from there on, as many as the largest size.
+
+    Where the hashes are too many to be broadcast, windows are shuffled by hash without their words: those are then looked up for each document that is hit.
+    """
+    said = F.slice("vh", F.col("at") + 1, max(sizes)).alias("doc_vh")
+    made = document_windows(docs, sizes, shortest)
+    if hashes.count() <= 4 * broadcast_rows:
+        return written(made.join(F.broadcast(hashes), "h", "left_semi").select("doc_id", "text_key", "at", "h", said), "decontam-hits")
+    met = made.drop("vh").join(hashes, "h", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "h")).alias("met"))
+    met = met.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "met")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").join(met.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    rows = tokenised(rows.select("doc_id", "text_key", "met", raw_tokens(F.col("text")).alias("raw")))
+    rows = rows.select("doc_id", "text_key", "vh", F.inline("met")).select("doc_id", "text_key", "at", "h", said)
+    return written(rows, "decontam-hits")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, least: int = 6, shortest: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, item_id, n_windows, n_hit, n_exact): pairs of documents and items that they hold, ``n_exact`` windows word by word."""
+    classes = written(item_classes(items), "decontam-classes")
+    held = held_classes(docs, classes, size, least, shortest, broadcast_rows)
+    return held.join(classes.select("item_id", "class"), "class").select("doc_id", "item_id", "n_windows", "n_hit", "n_exact")
+
+
+def held_classes(docs: DataFrame, classes: DataFrame, size: int = 8, least: int = 6, shortest: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
+    """(doc_id, class, n_windows, n_hit, n_exact): what ``contaminated`` gives, for classes of ``item_classes`` in the place of items."""
+    items = classes.dropDuplicates(["class"]).select(F.col("class").alias("item_id"), F.explode("texts").alias("text"))
     known = written(_item_rows(items, size), "decontam-items")
     sizes = sorted(r[0] for r in known.select("size").distinct().collect()) or [size]  # at most ``size`` numbers
     windows = written(_item_windows(known, sizes, shortest), "decontam-windows")
-    sized = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
-    hashes = sized(written(windows.select("h").distinct(), "decontam-hashes"))
-    found = written(document_windows(docs, sizes, shortest).join(hashes, "h", "left_semi"), "decontam-hits")
-    ids = sized(written(found.select("doc_id", "text_key").distinct(), "decontam-ids"))
-    raws = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"), F.col("text").alias("_text"))
-    raws = raws.join(ids, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")), "left_semi").dropDuplicates(["_id", "_key"])
-    raws = tokenised(raws.select("_id", "_key", raw_tokens(F.col("_text")).alias("raw"))).select("_id", "_key", F.col("words").alias("doc_words"))
-    texts = known.select(F.col("item_id").alias("_i"), F.col("named").alias("_n"), F.col("words").alias("item_words"), "th")
-    bytes_ = known.agg(F.coalesce(F.sum(F.size("raw") * 40), F.lit(0))).first()[0]
-    texts = F.broadcast(texts) if bytes_ <= 16 << 20 and broadcast_rows else texts
-    hits = found.join(sized(windows), "h").drop("h").join(texts, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("named") == F.col("_n"))).drop("_i", "_n")
-    hits = raws.join(hits, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
-    part = lambda c, at: F.slice(c, F.col(at) + 1, F.col("size"))
-    zipped = F.arrays_zip(part("item_words", "item_at").alias("item"), part("doc_words", "at").alias("doc"), part("th", "item_at").alias("th"))
+    hashes = written(windows.select("h").distinct(), "decontam-hashes")
+    found = window_hits(docs, hashes, sizes, shortest, broadcast_rows)
+    hits = found.join(F.broadcast(windows) if 4 * windows.count() <= broadcast_rows else windows.hint("merge"), "h")
+    zipped = F.arrays_zip(F.col("item_vh").alias("item"), F.slice("doc_vh", F.lit(1), F.col("size")).alias("doc"), F.col("item_th").alias("th"))
     places = F.filter(F.transform(zipped, lambda p, i: F.struct(p["th"].alias("kind"), p["item"].alias("item"), p["doc"].alias("doc"), (F.col("item_at") + i).alias("place"))), lambda p: _is_slot(p["kind"]))
     by = ["doc_id", "text_key", "item_id", "named", "run"]
-    hits = hits.select("doc_id", "text_key", "item_id", "named", (F.col("at") - F.col("item_at")).alias("run"), "item_at", places.alias("slots"), F.forall(zipped, lambda p: p["item"] == p["doc"]).alias("exact"), "heavy", "worded", "n_worded").distinct()
+    hits = hits.select(*by[:-1], (F.col("at") - F.col("item_at")).alias("run"), "item_at", places.alias("slots"), F.forall(zipped, lambda p: p["item"] == p["doc"]).alias("exact"), "heavy", "worded", "n_worded")
+    hits = written(hits.distinct(), "decontam-pairs")
     same = lambda x, y: reduce(lambda p, q: p & q, (x[c].eqNullSafe(y[c]) for c in by))
     slots = hits.select(*by, F.explode("slots").alias("p")).groupBy(*by, "p.kind", "p.item").agg(F.count_distinct("p.doc").alias("n"), F.count_distinct("p.place").alias("n_places"))
     slots = slots.groupBy(*by).agg(F.bool_or(F.col("n") > 1).alias("odd"), F.bool_or(F.col("n_places") > 1).alias("repeats"))
@@ -158,7 +189,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, least: int =
     held = held.groupBy("doc_id", "item_id", "item_at").agg(F.max("exact").alias("exact"), F.min("odd").alias("odd"))
     held = held.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hit"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("odd")).alias("n_even"))
     totals = windows.select("item_id", "item_at").distinct().groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    held = held.join(totals, held["item_id"].eqNullSafe(totals["item_id"])).select("doc_id", held["item_id"], "n_windows", "n_hit", "n_exact", "n_even")
+    held = held.join(totals, "item_id").select("doc_id", F.col("item_id").alias("class"), "n_windows", "n_hit", "n_exact", "n_even")
     half = F.ceil(F.col("n_windows") / 2)
     return held.where((F.col("n_even") >= F.least(F.lit(least), half)) | (F.col("n_hit") >= half)).drop("n_even")
 
@@ -169,6 +200,6 @@ def cleaned(docs: DataFrame, items: DataFrame, broadcast_rows: int = 500_000) ->
     The ids to drop are broadcast if counted at no more than ``broadcast_rows``; beyond that texts are shuffled by id.
     """
     (bad,) = unused(docs, "_bad")
-    ids = written(contaminated(docs, items, broadcast_rows=broadcast_rows).select(F.col("doc_id").alias(bad)).distinct(), "decontam-found")
+    ids = written(held_classes(docs, item_classes(items), broadcast_rows=broadcast_rows).select(F.col("doc_id").alias(bad)).distinct(), "decontam-found")
     ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
     return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids[bad]), "left_anti")
