@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import evidence_rank, normalize_ascii, plain_cells
+from ..functions.text import evidence_rank, let, normalize_ascii, plain_cells
 from .evidence import CLAUSE, normal_terms, phrase_pattern, term_hits
 from .lines import candidate_lines
 from .tables import table_cells
@@ -27,8 +27,9 @@ def words_of(text: Column) -> Column:
 
 def is_subsequence(short: Column, long: Column) -> Column:
     """Whether the words of ``short``, at least one, stand in ``long`` in that order."""
-    met = F.aggregate(long, F.lit(0), lambda i, w: F.when(F.get(short, i) == w, i + 1).otherwise(i))
-    return (F.size(short) > 0) & (met == F.size(short))
+    met = lambda x: F.aggregate(x["long"], F.lit(0), lambda i, w: F.when(F.get(x["short"], i) == w, i + 1).otherwise(i))
+    # Both are worked out once, not once for each word.
+    return let(F.struct(short.alias("short"), long.alias("long")), lambda x: (F.size(x["short"]) > 0) & (met(x) == F.size(x["short"])))
 
 
 def is_incomplete(value: Column, whole: Column) -> Column:
@@ -50,11 +51,15 @@ def header_words(text: Column) -> Column:
 
 def header_matches(header: Column, wanted: Column) -> Column:
     """Equal, or held as a phrase, or the words of the shorter in the longer: two at least, or one of seven letters."""
-    a, b = header_words(header), header_words(wanted)
-    swap = F.size(a) > F.size(b)
-    short, long = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-    telling = (F.size(short) >= 2) | (F.length(F.coalesce(F.get(short, F.lit(0)), F.lit(""))) >= 7)
-    return (header == wanted) | (F.regexp_instr(header, phrase_pattern(wanted)) > 0) | (telling & is_subsequence(short, long))
+
+    def alike(x: Column) -> Column:
+        swap = F.size(x["a"]) > F.size(x["b"])
+        short, long = F.when(swap, x["b"]).otherwise(x["a"]), F.when(swap, x["a"]).otherwise(x["b"])
+        telling = (F.size(short) >= 2) | (F.length(F.coalesce(F.get(short, F.lit(0)), F.lit(""))) >= 7)
+        return telling & is_subsequence(short, long)
+
+    held = F.contains(header, wanted) & (F.regexp_instr(header, phrase_pattern(wanted)) > 0)
+    return (header == wanted) | held | let(F.struct(header_words(header).alias("a"), header_words(wanted).alias("b")), alike)
 
 
 def marked_grids(docs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

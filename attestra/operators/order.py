@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import evidence_rank, is_delimiter, normalize_ascii, plain_cells
+from ..functions.text import evidence_rank, is_delimiter, let, normalize_ascii, plain_cells
 from .bindings import header_matches, header_words, is_subsequence, words_of
 from .evidence import holds, phrase_pattern
 from .lines import by, candidate_lines
@@ -136,7 +136,7 @@ def ordered_gate(docs: DataFrame, terms: DataFrame, keys: list[str], records: bo
     seqs = (record_sequences if records else field_sequences)(docs, keys, text)
     seqs = seqs.withColumn("values", F.transform("values", normalize_ascii)).where("size(values) > 0")
     met = seqs.withColumn("_w", F.explode(F.array_distinct(F.flatten(F.transform("values", header_words))))).join(keyed.hint("merge"), [*keys, "_w"]).drop("_w").distinct()
-    inside = lambda v, a: (F.size(words_of(a)) >= 2) & is_subsequence(words_of(a), words_of(v))
+    inside = lambda v, a: let(words_of(a), lambda ws: (F.size(ws) >= 2) & is_subsequence(ws, words_of(v)))
     fits = lambda v, alts: holds(v, alts) | F.exists(alts, lambda a: inside(v, a) if records else header_matches(v, a))
     chances = F.transform("groups", lambda alts: F.array_compact(F.transform("values", lambda v, i: F.when((v != "") & fits(v, alts), i))))
     met = met.withColumn("_c", chances).where(F.forall("_c", lambda c: F.size(c) > 0))

@@ -43,6 +43,16 @@ def scoped(paged: DataFrame, regions: DataFrame, keys: list[str]) -> tuple[DataF
     return texts.select(*keys, "scope", F.array_join(F.transform("x", lambda x: x["raw"]), "\n").alias("text")), own.select(*keys, "region_id", "scope", "pages")
 
 
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` in as many parts as there are shuffle partitions: texts are few bytes for what reading their tables and lines costs."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def present(rows: DataFrame, **tests: str) -> dict[str, bool]:
+    """Whether any of ``rows`` meets each test: what has no rows needs no gate."""
+    return rows.agg(*(F.coalesce(F.bool_or(F.expr(t)), F.lit(False)).alias(n) for n, t in tests.items())).first().asDict()
+
+
 def _flags(rows: DataFrame, keys: list[str], satisfied: Column, contradiction: Column, partial: Column | None = None) -> DataFrame:
     return rows.select(*keys, "leaf_id", satisfied.alias("satisfied"), contradiction.alias("contradiction"), (F.lit(False) if partial is None else partial).alias("partial"), F.col("refs").cast("array<int>").alias("refs"))
 
@@ -52,30 +62,39 @@ def resolved(texts: DataFrame, leaves: DataFrame, terms: DataFrame, keys: list[s
 
     ``texts(keys, text)``, ``leaves`` and ``terms`` with ``keys``; obligations of quality alone have no gate.
     """
-    of = lambda where: leaves.where(where).select(*keys, "leaf_id")
-    said = lambda some, *roles: terms.where(F.col("role").isin(*roles)).join(some.hint("merge"), [*keys, "leaf_id"], "left_semi")
-    plain = lambda some, *roles: said(some, *roles).select(*keys, "leaf_id", "role", "group_no", "alternative")
-    right, wrong = F.col("status") == "correct", F.col("status") == "incorrect"
-    table = bindings.binding(texts, plain(of("kind = 'table_binding'"), *GRID_ROLES), keys)
-    edge = edges.edge(texts, plain(of("kind = 'directed_edge'"), *EDGE_ROLES), keys)
-    labels = terms.where("role = 'label'").groupBy(*keys, "leaf_id").agg(F.collect_set("alternative").alias("label"))
-    form = gates.form_state(lines.candidate_lines(texts, keys), leaves.where("kind = 'form_state'").select(*keys, "leaf_id", "state").join(labels.hint("merge"), [*keys, "leaf_id"]), keys, docs=texts)
+    kinds = {
+        "table": "kind = 'table_binding'", "edge": "kind = 'directed_edge'", "form": "kind = 'form_state'", "near": "kind = 'lexical' and not strict", "strict": "kind = 'lexical' and strict",
+        "fields": "kind = 'ordered_tokens' and claim = 'structure'", "records": "kind = 'ordered_tokens' and claim = 'ordered_record'",
+        "tokens": "kind = 'ordered_tokens' and claim not in ('structure', 'ordered_record')",
+    }
+    of = lambda name: leaves.where(kinds[name]).select(*keys, "leaf_id")
+    said = lambda name, *roles: terms.where(F.col("role").isin(*roles)).join(of(name).hint("merge"), [*keys, "leaf_id"], "left_semi")
+    plain = lambda name, *roles: said(name, *roles).select(*keys, "leaf_id", "role", "group_no", "alternative")
+    right, wrong, no = F.col("status") == "correct", F.col("status") == "incorrect", F.lit(False)
     lexicals = leaves.where("kind = 'lexical'")
-    near = lexical.lexical_resolution(texts, said(of("kind = 'lexical' and not strict"), "allOf"), lexicals, keys)
-    strict = lexical.strict_lexical(texts, said(of("kind = 'lexical' and strict"), "allOf"), lexicals, keys)
-    fields = order.ordered_gate(texts, said(of("kind = 'ordered_tokens' and claim = 'structure'"), "tokens"), keys, records=False)
-    records = order.ordered_gate(texts, said(of("kind = 'ordered_tokens' and claim = 'ordered_record'"), "tokens"), keys, records=True)
-    tokens = evidence.ordered_tokens(texts, said(of("kind = 'ordered_tokens' and claim not in ('structure', 'ordered_record')"), "tokens"), keys)
-    no = F.lit(False)
-    found = [_flags(table, keys, right, wrong, F.col("partial")), _flags(edge, keys, right, wrong), _flags(form, keys, right, wrong), _flags(near, keys, F.col("satisfied"), no), _flags(strict, keys, F.col("satisfied"), no)]
-    found += [_flags(x, keys, F.col("satisfied"), F.col("contradiction")) for x in (fields, records)]
-    found.append(_flags(tokens, keys, F.col("in_order"), no))
-    # Each gate is a plan of its own; written one by one, Spark plans and runs them apart.
-    out = None
-    for x in found:
-        x = written(x, "evaluate-gate")
-        out = x if out is None else out.unionByName(x)
-    return out
+
+    def form() -> DataFrame:
+        labels = terms.where("role = 'label'").groupBy(*keys, "leaf_id").agg(F.collect_set("alternative").alias("label"))
+        return gates.form_state(lines.candidate_lines(texts, keys), leaves.where(kinds["form"]).select(*keys, "leaf_id", "state").join(labels.hint("merge"), [*keys, "leaf_id"]), keys, docs=texts)
+
+    told = lambda x: _flags(x, keys, F.col("satisfied"), F.col("contradiction"))
+    found = {
+        "table": lambda: _flags(bindings.binding(texts, plain("table", *GRID_ROLES), keys), keys, right, wrong, F.col("partial")),
+        "edge": lambda: _flags(edges.edge(texts, plain("edge", *EDGE_ROLES), keys), keys, right, wrong),
+        "form": lambda: _flags(form(), keys, right, wrong),
+        "near": lambda: _flags(lexical.lexical_resolution(texts, said("near", "allOf"), lexicals, keys), keys, F.col("satisfied"), no),
+        "strict": lambda: _flags(lexical.strict_lexical(texts, said("strict", "allOf"), lexicals, keys), keys, F.col("satisfied"), no),
+        "fields": lambda: told(order.ordered_gate(texts, said("fields", "tokens"), keys, records=False)),
+        "records": lambda: told(order.ordered_gate(texts, said("records", "tokens"), keys, records=True)),
+        "tokens": lambda: _flags(evidence.ordered_tokens(texts, said("tokens", "tokens"), keys), keys, F.col("in_order"), no),
+    }
+    out, here = None, present(leaves, **kinds)
+    # Each gate is a plan of its own; written one by one, Spark plans and runs them apart. One without obligations gives no rows and is not run.
+    for name, gate in found.items():
+        if here[name]:
+            x = written(gate(), "evaluate-gate")
+            out = x if out is None else out.unionByName(x)
+    return _flags(leaves.where(no).withColumn("refs", F.array().cast("array<int>")), keys, no, no) if out is None else out
 
 
 #: The roles by which obligations of a kind are found; a form has one.
@@ -168,20 +187,31 @@ def leaf_statuses(candidates: DataFrame, regions: DataFrame, leaves: DataFrame,
     """(keys, region_id, leaf_id, harm, status, refs, credited): a precredit, else the guarded judgement, else missing."""
     paged = written(paged_lines(candidates, regions, keys), "evaluate-lines")
     texts, own = scoped(paged, regions, keys)
-    texts, k = written(texts, "evaluate-texts"), [*keys, "scope"]
+    k = [*keys, "scope"]
+    texts = written(dealt(texts, k), "evaluate-texts")
     owed = written(own.join(leaves.hint("merge"), ["case_id", "region_id"]), "evaluate-leaves")
     said = written(owed.select(*k, "leaf_id").join(terms.hint("merge"), ["case_id", "leaf_id"]), "evaluate-terms")
     gate = resolved(texts, owed, said, k).withColumnRenamed("refs", "found_refs")
     roles = lambda *r: said.where(F.col("role").isin(*r)).select(*k, "leaf_id", "role", "group_no", "alternative")
-    near = bindings.near_binding(texts, roles(*GRID_ROLES), k).select(*k, "leaf_id").unionByName(edges.edge(texts, roles(*EDGE_ROLES), k, semantic=True).where("status = 'correct'").select(*k, "leaf_id"))
+    listed = lambda *r: "role in (" + ", ".join(f"'{x}'" for x in r) + ")"
+    here = present(said, grid=listed(*GRID_ROLES), edge=listed(*EDGE_ROLES), bound="role = 'requiredBindings'") | present(owed, visual="claim = 'visual_description' and kind = 'qualitative'")
+    near = said.where(F.lit(False)).select(*k, "leaf_id")
+    if here["grid"]:
+        near = near.unionByName(bindings.near_binding(texts, roles(*GRID_ROLES), k).select(*k, "leaf_id"))
+    if here["edge"]:
+        near = near.unionByName(edges.edge(texts, roles(*EDGE_ROLES), k, semantic=True).where("status = 'correct'").select(*k, "leaf_id"))
     near = written(near.distinct(), "evaluate-near")
     need = said.where("role = 'requiredBindings'")
-    bound = need.select(*k, "leaf_id").distinct().join(evidence.required_bindings(evidence.units(texts, k), need, k).withColumnRenamed("refs", "bound_refs").hint("merge"), [*k, "leaf_id"], "left")
+    bound = need.select(*k, "leaf_id").distinct().withColumn("bound_refs", F.lit(None).cast("array<int>"))
+    if here["bound"]:
+        bound = need.select(*k, "leaf_id").distinct().join(evidence.required_bindings(evidence.units(texts, k), need, k).withColumnRenamed("refs", "bound_refs").hint("merge"), [*k, "leaf_id"], "left")
     bound = written(bound.select(*k, "leaf_id", F.col("bound_refs").isNotNull().alias("bound"), F.col("bound_refs").cast("array<int>").alias("bound_refs")), "evaluate-bound")
     cited = written(cited_lines(judged, paged, own, owed, keys), "evaluate-cited")
     seen = owed.where("claim = 'visual_description' and kind = 'qualitative'").select(*k, "leaf_id", "expectation")
-    looked = seen.join(cited.hint("merge"), [*keys, "leaf_id"]).select(*k, "leaf_id", F.explode("refs").alias("ref"))
-    anchored = evidence.visual_citations(lines.candidate_lines(texts, k), looked, said.where("role = 'requiredTerms'"), seen, k, bindings=said.where("role = 'localBindings'"))
+    anchored = seen.select(*k, "leaf_id", F.lit(False).alias("anchored"))
+    if here["visual"]:
+        looked = seen.join(cited.hint("merge"), [*keys, "leaf_id"]).select(*k, "leaf_id", F.explode("refs").alias("ref"))
+        anchored = evidence.visual_citations(lines.candidate_lines(texts, k), looked, said.where("role = 'requiredTerms'"), seen, k, bindings=said.where("role = 'localBindings'"))
     anchored = written(anchored, "evaluate-anchored")
     rows = owed.join(cited.hint("merge"), [*keys, "leaf_id"], "left").join(gate.hint("merge"), [*k, "leaf_id"], "left").join(near.withColumn("near", F.lit(True)).hint("merge"), [*k, "leaf_id"], "left")
     rows = guarded(rows.join(bound.hint("merge"), [*k, "leaf_id"], "left").join(anchored.hint("merge"), [*k, "leaf_id"], "left"))
