@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import alias_join, bindings, closed_world, edges, evidence, gates, lexical, lines, order, scoring
-from ..session import written
+from ..session import dealt, written
 from ..sources import facts as fact_files
 
 GRID_ROLES, EDGE_ROLES = ("row", "rowParts", "column", "value"), ("source", "destination", "relation", "identifier")
@@ -43,11 +43,6 @@ def scoped(paged: DataFrame, regions: DataFrame, keys: list[str]) -> tuple[DataF
     return texts.select(*keys, "scope", F.array_join(F.transform("x", lambda x: x["raw"]), "\n").alias("text")), own.select(*keys, "region_id", "scope", "pages")
 
 
-def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` in as many parts as there are shuffle partitions: texts are few bytes for what reading their tables and lines costs."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def present(rows: DataFrame, **tests: str) -> dict[str, bool]:
     """Whether any of ``rows`` meets each test: what has no rows needs no gate."""
     return rows.agg(*(F.coalesce(F.bool_or(F.expr(t)), F.lit(False)).alias(n) for n, t in tests.items())).first().asDict()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from attestra.operators import bindings, evidence
+from attestra.operators import authoring, bindings, evidence
 from attestra.plans import evaluate
 
 
@@ -30,3 +30,15 @@ def test_words_are_worked_out_once(spark):
     plan = df.select(said.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 2
     assert "contains" in df.select(evidence.holds(F.col("v"), F.array("a")).alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_literals_are_read_once(spark, monkeypatch):
+    """Statements' literals and groups are worked out once, however many tables rest on them."""
+    calls, own = [], authoring.signals
+    monkeypatch.setattr(authoring, "signals", lambda leaves, keys: calls.append(1) or own(leaves, keys))
+    leaves = spark.createDataFrame([(i, 1, "S", f"Lot AB-{i} weighs {i}.5 kg") for i in range(1, 4)], "c int, leaf_id int, section string, expectation string")
+    gold = spark.createDataFrame([(1, "S", "AB-1 weighs 1.5 kg"), (2, "S", "AB-2 weighs kg"), (3, "T", "x")], "c int, section string, body string")
+    kept, failed = authoring.refined_groups(leaves, gold, ["c"])
+    assert {x.alternatives[0] for x in kept.where("c = 1").collect()} == {"AB-1", "1.5", "kg", "weighs"}
+    assert {(x.c, x.reason) for x in failed.collect()} >= {(2, "the gold section lacks the scalar 2.5"), (3, "the gold section has none of the terms")}
+    assert len(calls) == 1 and "regexp" not in kept._jdf.queryExecution().optimizedPlan().toString()
