@@ -28,3 +28,38 @@ def test_copies_of_items_make_no_hits_of_their_own(spark, monkeypatch, limit):
     assert {x[0] for x in tell(one, 0)} == {1, None} and {x[0] for x in tell(one, 50)} <= {1, 2, None}
     assert all(tell(got, i) == tell(one, 0) for i in [*range(9), None, *range(10, 40)]) and tell(got, 50) == tell(one, 50) and not tell(got, 51)
     assert len(got) == len(set(got))
+
+
+def test_no_link_of_a_crowd_is_lost(spark, monkeypatch):
+    """Where the linear pass finds next to nothing, groups are still those of all pairs that share a key."""
+    monkeypatch.setattr(near_copies, "NEXT", 0)
+    r = random.Random(9)
+    base, rows = words(r, 120).split(), []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.randrange(1, 14)):
+            w[r.randrange(len(w))] = words(r, 1)
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, words(r, 40)) for i in range(20)]
+    sets = {i: near_copies.shingle_set(t) for i, t in rows}
+    told = {i: near_copies.sketch(h) for i, h in sets.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+            near = ((told[a][1] ^ told[b][1]) & (1 << 64) - 1).bit_count() <= 20
+            if a < b and near and (told[a][2] == told[b][2]).any() and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                root[find(b)] = find(a)
+    got = {}
+    for x in near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=4, block=16).collect():
+        got.setdefault(x.root, set()).add(x.doc_id)
+    want = {}
+    for i in sets:
+        want.setdefault(find(i), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) < len(sets)
